@@ -116,3 +116,21 @@ def frequent(rows: DataFrame, items: Items, share: float, least: int = 1) -> tup
 
 def _longs(df: DataFrame) -> np.ndarray:
     return df.toArrow().column(0).to_numpy().view(np.uint64)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, limit: int) -> DataFrame:
+    """doc_id, text and label of at most ``limit`` labelled rows outside the held-out fold.
+
+    The rows with the smallest hashes of their ids are taken, so the sample does not
+    depend on how tables are laid out. Ids without a label of 0 or 1 take no part; of
+    several labels for an id the larger counts.
+    """
+    chosen = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+        .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (F.pmod(crc(), F.lit(folds)) != held_out))
+        .groupBy("doc_id")
+        .agg(F.max("label").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(limit)
+    )
+    return texts(docs).join(F.broadcast(chosen), "doc_id")

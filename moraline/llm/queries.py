@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint
+from . import bpe, fingerprint, quality, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,5 +15,17 @@ def op1_imatch_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.neighbour_report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_imatch_fingerprint,)}
+def op5_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"))
+
+
+def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_imatch_fingerprint, op5_toxicity_grammar, op6_bpe_roundtrip, op8_quality_fm)}
 ORACLES: dict[str, str] = {}
