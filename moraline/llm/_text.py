@@ -119,6 +119,10 @@ def span_hash(p: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((p[ends] - p[starts]) * powers(len(p), True)[starts] + (ends - starts).astype(np.uint64) * _M2)
 
 
+def folded_prefix(data: np.ndarray) -> np.ndarray:
+    return prefix_hash(data, _FOLDED)
+
+
 def exact_prefix(data: np.ndarray) -> np.ndarray:
     return prefix_hash(data, _EXACT)
 

@@ -8,8 +8,8 @@ the weight of the symbol read. A clause's score is the weight of its path; words
 the grammar leave the state as it is, and clause marks reset it. A document's score is a
 logistic of its clauses' total, its density, its largest clause and its matched clauses.
 
-The insult lexicon (words and their log-odds, at their lower confidence bound) and the
-logistic are learned from a bounded sample of labelled rows; all texts are scored whole.
+The insult lexicon (words and word beginnings with their log-odds, at their lower
+confidence bound; the largest that fits a word counts) and the logistic are learned from a bounded sample of labelled rows; all texts are scored whole.
 Defined results: null text is the empty text; without matches a text has the score of a
 text without matched clauses; without labels of both kinds scores are the share of 1s.
 """
@@ -104,9 +104,16 @@ class Grammar:
     def paths(self, piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
         """Matched clauses of a piece: their rows, their numbers, the weights of their paths; words of each row; rows."""
         data, offs = tx.flat(piece.column("text"))
-        starts, ends, h, first = bare_words(data, offs)
+        starts, h, first, stems = bare_words(data, offs)
         rows, n_words = len(offs) - 1, np.diff(first)
         at = tx.found(self.keys, h)
+        for of, stem in stems:
+            got = tx.found(self.keys, stem)
+            some = got >= 0
+            of, got = of[some], got[some]
+            now = at[of]
+            better = (now < 0) | ((self.cls[now] == INSULT) & (self.weight[got] > self.weight[now]))
+            at[of[better]] = got[better]
         here = np.flatnonzero(at >= 0)
         if not len(here):
             none = np.zeros(0, np.int64)
@@ -158,11 +165,22 @@ _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 
 
-def bare_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """words() where ASCII punctuation (apostrophes apart) separates words too."""
-    if len(data):
-        data = np.where(_STOPS[data], np.uint8(32), data)
-    return tx.words(data, offs)
+STEMS = (5, 7)
+
+
+def bare_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Starts and hashes of words, where ASCII punctuation (apostrophes apart) separates words too, each row's first
+    word, and for each length of STEMS the words with more bytes and the hashes of their beginnings."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(offs), np.int64), []
+    data = np.where(_STOPS[data], np.uint8(32), data)
+    starts, ends, h, first = tx.words(data, offs)
+    p = tx.folded_prefix(data)
+    stems = []
+    for n in STEMS:
+        of = np.flatnonzero(ends - starts > n)
+        stems.append((of, tx.mix(tx.span_hash(p, starts[of], starts[of] + n) ^ np.uint64(n))))
+    return starts, h, first, stems
 
 
 def _word_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +194,10 @@ def _word_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in rows:
         for piece in tx.pieces(batch):
-            _, _, h, first = bare_words(*tx.flat(piece.column("text")))
-            for a, b, y in zip(first[:-1], first[1:], piece.column("label").to_pylist(), strict=True):
-                sides[y].add(np.unique(h[a:b]))
+            _, h, first, stems = bare_words(*tx.flat(piece.column("text")))
+            spans = [(of, np.searchsorted(of, first), x) for of, x in stems]
+            for i, y in enumerate(piece.column("label").to_pylist()):
+                sides[y].add(np.unique(np.concatenate([h[first[i] : first[i + 1]], *(x[f[i] : f[i + 1]] for _, f, x in spans)])))
                 docs[y] += 1
         for side in (0, 1):
             if sides[side].full():
