@@ -61,19 +61,19 @@ def crc(column: str = "doc_id"):
 Items = Callable[[pa.RecordBatch], tuple[np.ndarray, int]]
 
 
-def frequent(rows: DataFrame, items: Items, share: float, least: int = 1) -> tuple[np.ndarray, np.ndarray, int]:
+def frequent(rows: DataFrame, items: Items, share: float, least: int = 1, local: float = 0.25) -> tuple[np.ndarray, np.ndarray, int]:
     """All 64-bit items whose count is at least max(least, share * total), their exact counts, and the total.
 
     ``items`` maps a piece of rows to (items with repeats, by how much the total grows).
-    Two scans. The first keeps, in each task, the items with at least a quarter of the share
-    there; what an item loses by that is under a quarter of the bound, so those whose kept
-    counts sum to three quarters of it include all that are wanted, and they are at most
-    (items per total) / (0.75 * share), however large the input is. The second scan counts
-    exactly those. So both what is broadcast and what is returned has a proven bound.
+    Two scans. The first keeps, in each task, the items that have ``local`` of the share
+    there; what an item loses by that is under ``local`` of the bound, so those whose kept
+    counts sum to the rest of it include all that are wanted, and they are at most
+    (items per total) / ((1 - local) * share), however large the input is. The second scan
+    counts exactly those. So what is broadcast and what is returned have a proven bound.
     """
     spark = rows.sparkSession
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total = tx.Counts(), 0
         for batch in batches:
             for piece in tx.pieces(batch):
@@ -87,13 +87,13 @@ def frequent(rows: DataFrame, items: Items, share: float, least: int = 1) -> tup
 
     def candidates(keys: np.ndarray, n: np.ndarray, total: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["item", "n"])
-        keep = n >= share * total / 4
+        keep = n >= local * share * total
         yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(n[keep])], ["item", "n"])
 
-    seen = written(rows.mapInArrow(local, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")))
+    seen = written(rows.mapInArrow(kept_here, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")))
     total = int((seen.where("item is null").agg(F.sum("n")).first() or [0])[0] or 0)
     bound = max(least, int(np.ceil(share * total)))
-    cand = np.sort(_longs(seen.where(F.col("item").isNotNull() & (F.col("n") >= 0.75 * share * total)).select("item")))
+    cand = np.sort(_longs(seen.where(F.col("item").isNotNull() & (F.col("n") >= (1 - local) * share * total)).select("item")))
     if not len(cand):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), total
     wanted = spark.sparkContext.broadcast(cand)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, quality, toxicity
+from . import bpe, fingerprint, quality, setjoin, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,5 +27,9 @@ def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_imatch_fingerprint, op5_toxicity_grammar, op6_bpe_roundtrip, op8_quality_fm)}
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_imatch_fingerprint, op5_toxicity_grammar, op6_bpe_roundtrip, op8_quality_fm, op9_ngram_jaccard)}
 ORACLES: dict[str, str] = {}
