@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, quality, setjoin, toxicity
+from . import bpe, fingerprint, quality, repeats, setjoin, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_imatch_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.neighbour_report(read(spark, sf_dir, "documents"))
 
 
+def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_report(read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -31,5 +35,5 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_imatch_fingerprint, op5_toxicity_grammar, op6_bpe_roundtrip, op8_quality_fm, op9_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_imatch_fingerprint, op2_repeated_bytes, op5_toxicity_grammar, op6_bpe_roundtrip, op8_quality_fm, op9_ngram_jaccard)}
 ORACLES: dict[str, str] = {}
