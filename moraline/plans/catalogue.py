@@ -1,4 +1,550 @@
-"""Queries over the driver's tables and the DuckDB SQL they must agree with."""
+"""Queries over the driver's tables and the DuckDB SQL they must agree with.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables hold no kana or Hangul, so operators run on analogues: accents play what
+transliteration loses, lower case the reading of a word, turns of a conversation the
+sentences of a text. Every query reads whole tables; limits are those of top-k operators.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import jamo, words
+from ..operators import autocomplete, cooccurrence, decode, dictionary, evaluation, ngram, phonetic, ranking, sentence, vectors
+from ..sources import generator, readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+PLAIN, ACCENTED = "aeiounceiaouaeo", "áéíóúñçèïàöüäêô"  # by place
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", words.tokens(F.col("text")).alias("words"))
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", F.posexplode("words").alias("pos", "word"))
+
+
+def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, pos, surface, reading: words as written, and lower-cased."""
+    w = F.filter(F.split("text", "[ \t\n\r]+"), lambda x: x != "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(w).alias("pos", "surface")).withColumn("reading", F.lower("surface"))
+
+
+def model(spark: SparkSession, sf_dir: str, bos: bool = True) -> ngram.NgramModel:
+    return ngram.NgramModel.build(docs(spark, sf_dir), bos=bos)
+
+
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("word"), F.col("embedding").alias("vector"), "vec_id", "label")
+
+
+_WS = r"w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> '') AS ws FROM documents)"
+_TOK = f"{_WS}, tok AS (SELECT doc_id, unnest(ws) AS word, (generate_subscripts(ws, 1) - 1)::int AS pos FROM w)"
+_SURF = r"s AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '') AS ws FROM documents), surf AS (SELECT doc_id, unnest(ws) AS surface, (generate_subscripts(ws, 1) - 1)::int AS pos, lower(unnest(ws)) AS reading FROM s)"
+_BOS = r"b AS (SELECT doc_id, list_prepend('<BOS>', ws) AS ws FROM w), bt AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM b)"
+_GRAMS = f"{_WS}, {_BOS}, g AS (SELECT doc_id, pos, word, lag(word) OVER d AS w1, lag(word, 2) OVER d AS w2 FROM bt WINDOW d AS (PARTITION BY doc_id ORDER BY pos)), uni AS (SELECT word, count(*) AS c FROM g GROUP BY word), bi AS (SELECT w1 AS prev, word, count(*) AS c FROM g WHERE w1 IS NOT NULL GROUP BY ALL), tri AS (SELECT w2 AS w1, w1 AS w2, word, count(*) AS c FROM g WHERE w2 IS NOT NULL GROUP BY ALL), size AS (SELECT sum(c)::double AS t, count(*)::double AS v FROM uni)"
+_SCORES = f"""{_GRAMS}, k AS (SELECT DISTINCT w2, w1, word FROM g),
+j AS (SELECT k.w2, k.w1, k.word, coalesce(u.c, 0) AS c1, coalesce(h.c, 0) AS h1, coalesce(b.c, 0) AS c2, coalesce(hb.c, 0) AS h2, coalesce(t.c, 0) AS c3, s.t, s.v FROM k CROSS JOIN size s
+ LEFT JOIN uni u ON u.word = k.word LEFT JOIN uni h ON h.word = k.w1 LEFT JOIN bi b ON b.prev = k.w1 AND b.word = k.word LEFT JOIN bi hb ON hb.prev = k.w2 AND hb.word = k.w1
+ LEFT JOIN tri t ON t.w1 = k.w2 AND t.w2 = k.w1 AND t.word = k.word),
+p AS (SELECT *, (c1 + 1e-1) / (t + 1e-1 * v) AS p1, CASE WHEN h1 = 0 THEN (c1 + 1e-1) / (t + 1e-1 * v) ELSE (c2 + 1e-1) / (h1 + 1e-1 * v) END AS p2 FROM j),
+q AS (SELECT *, CASE WHEN h2 = 0 THEN p2 ELSE (c3 + 1e-1) / (h2 + 1e-1 * v) END AS p3 FROM p),
+sc AS (SELECT *, CASE WHEN w1 IS NULL THEN p1 WHEN w2 IS NULL THEN 8e-1 * p2 + 2e-1 * p1 ELSE 4e-1 * p3 + 4e-1 * p2 + 2e-1 * p1 END AS score FROM q)"""
+_DOT = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::double * {b}[i]::double))"
+
+
+def _cos(a: str, b: str) -> str:
+    n = f"sqrt({_DOT.format(a=a, b=a)}) * sqrt({_DOT.format(a=b, b=b)})"
+    return f"CASE WHEN {n} < 1e-10 THEN 0.0 ELSE {_DOT.format(a=a, b=b)} / ({n}) END"
+
+
+@query(f"WITH {_TOK} SELECT doc_id, pos, word FROM tok")
+def q_tokens(spark, sf_dir):
+    return tokens(spark, sf_dir)
+
+
+@query(f"WITH {_TOK} SELECT (SELECT count(*) FROM w) AS sentences, count(*) AS tokens, count(DISTINCT word) AS surfaces FROM tok")
+def q_corpus_stats(spark, sf_dir):
+    as_words = docs(spark, sf_dir).withColumn("words", F.transform("words", lambda w: F.struct(w.alias("surface"))))
+    return readers.corpus_stats(as_words)
+
+
+@query("SELECT p_name AS surface, 'core' AS tier, 1000::bigint AS frequency FROM part UNION ALL SELECT s_name, 'N5', 500 FROM supplier")
+def q_union_tiers(spark, sf_dir):
+    parts = {"core": table(spark, sf_dir, "part").select(F.col("p_name").alias("surface")), "N5": table(spark, sf_dir, "supplier").select(F.col("s_name").alias("surface"))}
+    return dictionary.tiered(parts).select("surface", "tier", "frequency")
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE p_brand = 'Brand#4' AND p_type = 'LARGE'")
+def q_filter_pos_cat(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumns({"pos": F.col("p_brand"), "category": F.col("p_type")})
+    return readers.by_class(p, "Brand#4", "LARGE").select("p_partkey", "p_name", "p_brand", "p_type")
+
+
+@query("SELECT p_type AS pos, count(*) AS n FROM part GROUP BY 1")
+def q_class_counts(spark, sf_dir):
+    return readers.class_counts(table(spark, sf_dir, "part").withColumnRenamed("p_type", "pos"))
+
+
+@query("SELECT c_mktsegment AS reading, c_name AS surface, c_acctbal AS frequency FROM customer WHERE c_mktsegment = 'BUILDING'")
+def q_dict_lookup(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("reading"), F.col("c_name").alias("surface"), F.col("c_acctbal").alias("frequency"))
+    return dictionary.lookup(c, "BUILDING")
+
+
+@query("SELECT p_name AS reading, p_partkey AS surface, p_retailprice AS frequency FROM part WHERE starts_with(p_name, 'red') ORDER BY frequency DESC, reading, surface LIMIT 20")
+def q_prefix_top20(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("reading"), F.col("p_partkey").alias("surface"), F.col("p_retailprice").alias("frequency"))
+    return dictionary.by_prefix(p, "red", 20)
+
+
+@query("SELECT p_name AS hangul, p_partkey AS surface, p_size AS frequency FROM part WHERE starts_with(p_name, 'blue bolt') AND length(p_name) > 9 ORDER BY frequency DESC, hangul, surface LIMIT 30")
+def q_strict_prefix(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("hangul"), F.col("p_partkey").alias("surface"), F.col("p_size").alias("frequency"))
+    return dictionary.by_prefix(p, "blue bolt", 30, "hangul", strict=True)
+
+
+@query("SELECT user_id, event_type, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def q_upsert_last(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
+    return dictionary.last_wins(e, ["user_id", "event_type"], "event_id")
+
+
+@query("SELECT user_id::varchar AS input, event_type AS selected, count(*) AS count, max(ts) AS last_used FROM events GROUP BY ALL")
+def q_user_history(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("input"), F.col("event_type").alias("selected"), F.col("ts").alias("at"))
+    return dictionary.selections(e)
+
+
+@query(f"WITH {_TOK} SELECT word, doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY doc_id, pos) AS r FROM tok) WHERE r = 1")
+def q_unique_first(spark, sf_dir):
+    return dictionary.first_wins(tokens(spark, sf_dir), ["word"], "doc_id", "pos").select("word", "doc_id", "pos")
+
+
+@query(f"WITH {_SURF} SELECT reading, count(DISTINCT surface) AS n FROM surf GROUP BY reading HAVING count(DISTINCT surface) >= 2")
+def q_homophones(spark, sf_dir):
+    return surfaces(spark, sf_dir).select("reading", "surface").distinct().groupBy("reading").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+_ENTRIES = f"{_SURF}, e AS (SELECT reading, surface, count(*) AS frequency FROM surf GROUP BY ALL), "
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surfaces(spark, sf_dir).groupBy("reading", "surface").agg(F.count("*").alias("frequency"))
+
+
+@query(
+    f"WITH {_ENTRIES} c AS (SELECT DISTINCT reading AS hira FROM surf WHERE reading <> surface) SELECT hira, surface, frequency FROM c JOIN e ON e.reading = hira UNION ALL SELECT hira, hira, 0 FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.reading = hira AND e.surface = hira)"
+)
+def q_cand_join(spark, sf_dir):
+    e = entries(spark, sf_dir)
+    return dictionary.with_self(e.where("reading <> surface").select(F.col("reading").alias("hira")).distinct(), e)
+
+
+@query("SELECT d.doc_id, coalesce(l.quality::double, 0.5) AS score FROM documents d LEFT JOIN labels l USING (doc_id)")
+def q_left_default(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.coalesce(F.col("quality").cast("double"), F.lit(0.5)).alias("score"))
+
+
+@query(
+    f"WITH {_TOK}, a AS (SELECT word, count(*)::double AS n FROM tok JOIN documents USING (doc_id) WHERE lang = 'fr' GROUP BY word), b AS (SELECT word, count(*)::double AS n FROM tok JOIN documents USING (doc_id) WHERE lang = 'es' GROUP BY word) SELECT coalesce(a.word, b.word) AS word, CASE WHEN a.n IS NOT NULL AND b.n IS NOT NULL THEN (a.n + b.n) / 2 ELSE coalesce(a.n, b.n) END AS v FROM a FULL JOIN b ON a.word = b.word"
+)
+def q_full_outer_avg(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    of = lambda lang, name: d.where(F.col("lang") == lang).select(F.explode(words.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").cast("double").alias(name))
+    return of("fr", "a").join(of("es", "b"), "word", "full").select("word", F.coalesce((F.col("a") + F.col("b")) / 2, "a", "b").alias("v"))
+
+
+@query(
+    rf"WITH {_TOK}, bw AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> '')) AS token FROM benchmark) SELECT token FROM bw WHERE token NOT IN (SELECT word FROM tok)"
+)
+def q_anti_unknown(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.explode(words.tokens(F.col("text"))).alias("token")).distinct()
+    return dictionary.unknown(b, tokens(spark, sf_dir).withColumnRenamed("word", "token"))
+
+
+@query(f"WITH {_TOK} SELECT a.word AS u, b.word AS v, sum(60 // (b.pos - a.pos))::bigint AS x60 FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos - a.pos <= 5 GROUP BY ALL")
+def q_cooc(spark, sf_dir):
+    pairs = cooccurrence.window_pairs(docs(spark, sf_dir), 5)
+    return pairs.groupBy("u", "v").agg(F.sum((60 / F.col("d")).cast("long")).alias("x60"))
+
+
+_TURNS = r"cw AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> '') AS ws FROM conversations)"
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", words.tokens(F.col("text")).alias("words"))
+
+
+@query(
+    f"WITH {_TURNS}, ct AS (SELECT conv_id, turn, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM cw), x AS (SELECT a.word AS u, b.word AS v, 1.0::double / (b.turn - a.turn) / (a.n - a.i + b.i + 1) AS x FROM ct a JOIN ct b ON a.conv_id = b.conv_id AND b.turn - a.turn BETWEEN 1 AND 2) SELECT u, v, round(sum(x), 6) AS x FROM x WHERE x >= 1e-2 GROUP BY ALL"
+)
+def q_adjacent_cooc(spark, sf_dir):
+    pairs = cooccurrence.neighbour_pairs(turns(spark, sf_dir), 2, order=["conv_id", "turn"])
+    return pairs.groupBy("u", "v").agg(F.round(F.sum("x"), 6).alias("x"))
+
+
+_CHARS = f"ch AS (SELECT unnest(string_split(text, '')) AS hira FROM documents), pr AS (SELECT translate(hira, '{ACCENTED}', '{PLAIN}') AS token, hira, count(*) AS freq FROM ch WHERE hira <> '' GROUP BY ALL)"
+
+
+def char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ch = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("hira")).where("hira <> ''").groupBy("hira").agg(F.count("*").alias("freq"))
+    return ch.select(F.translate("hira", ACCENTED, PLAIN).alias("token"), "hira", "freq")
+
+
+_MAP = f"{_CHARS}, mp AS (SELECT token, hira, freq, freq / sum(freq) OVER (PARTITION BY token) AS prob, row_number() OVER (PARTITION BY token ORDER BY freq DESC, hira) AS rnk FROM pr)"
+
+
+@query(f"WITH {_MAP} SELECT token, hira, freq, prob, rnk::int AS rnk FROM mp")
+def q_cond_prob(spark, sf_dir):
+    return phonetic.probabilities(char_counts(spark, sf_dir))
+
+
+@query(f"WITH {_MAP}, n AS (SELECT token, count(*) AS n FROM mp GROUP BY token) SELECT count(*) AS tokens, sum(n)::bigint AS mappings, avg(n) AS avg_ambiguity, max(n) AS max_ambiguity FROM n")
+def q_map_stats(spark, sf_dir):
+    return phonetic.map_stats(phonetic.probabilities(char_counts(spark, sf_dir)))
+
+
+def plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(spark, sf_dir).select(F.translate("word", ACCENTED, PLAIN).alias("plain")).distinct()
+
+
+def char_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row with the whole map of single characters."""
+    m = phonetic.probabilities(char_counts(spark, sf_dir))
+    per = m.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("rnk", F.col("hira").alias("h"), F.col("prob").alias("p")))).alias("rows"))
+    return per.agg(F.map_from_entries(F.collect_list(F.struct("token", F.transform("rows", lambda r: F.struct(r["h"].alias("h"), r["p"].alias("p")))))).alias("lookup"))
+
+
+@query(
+    f"WITH {_TOK}, {_MAP}, pw AS (SELECT DISTINCT translate(word, '{ACCENTED}', '{PLAIN}') AS plain FROM tok), pc AS (SELECT plain, unnest(string_split(plain, '')) AS c, generate_subscripts(string_split(plain, ''), 1) AS i FROM pw) SELECT plain, string_agg(coalesce(hira, c), '' ORDER BY i) AS decoded FROM pc LEFT JOIN mp ON token = c AND rnk = 1 GROUP BY plain"
+)
+def q_decode_top1(spark, sf_dir):
+    w = plain_words(spark, sf_dir).crossJoin(F.broadcast(char_map(spark, sf_dir)))  # the map is one row
+    return w.select("plain", F.get(decode.fold(F.col("plain"), F.col("lookup"), 2, 1), F.lit(0))["h"].alias("decoded"))
+
+
+@query(
+    f"WITH {_TOK}, {_MAP}, f AS (SELECT token, hira, prob FROM mp WHERE prob >= 1e-2), pw AS (SELECT DISTINCT translate(word, '{ACCENTED}', '{PLAIN}') AS plain FROM tok WHERE length(word) = 3), x AS (SELECT plain, a.hira || b.hira || c.hira AS decoded, ln(a.prob) + ln(b.prob) + ln(c.prob) AS lp FROM pw JOIN f a ON a.token = plain[1] JOIN f b ON b.token = plain[2] JOIN f c ON c.token = plain[3]), r AS (SELECT *, row_number() OVER (PARTITION BY plain ORDER BY round(lp, 9) DESC, decoded) AS rank FROM x) SELECT plain, decoded, round(lp, 6) AS lp, rank::int AS rank FROM r WHERE rank <= 5"
+)
+def q_decode_topk(spark, sf_dir):
+    w = plain_words(spark, sf_dir).where(F.length("plain") == 3).crossJoin(F.broadcast(char_map(spark, sf_dir)))
+    each = w.select("plain", F.posexplode(decode.fold(F.col("plain"), F.col("lookup"), 6, 18)).alias("i", "s")).select("plain", F.col("s.h").alias("decoded"), F.col("s.lp").alias("lp"))
+    return dictionary.top(each, ["plain"], [F.desc(F.round("lp", 9)), F.col("decoded")], 5).withColumn("lp", F.round("lp", 6))
+
+
+_SYL = "44032 + l_orderkey % 11172"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, chr(({_SYL})::int) AS ch, ((l_orderkey % 11172) // 588)::int AS cho, ((l_orderkey % 11172) % 588 // 28)::int AS jung, ((l_orderkey % 11172) % 28)::int AS jong FROM lineitem")
+def q_jamo_decompose(spark, sf_dir):
+    ch = jamo.code_point(F.expr(_SYL))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ch.alias("ch"))
+    return li.withColumn("j", jamo.decompose(F.col("ch"))).select("l_orderkey", "l_linenumber", "ch", "j.*")
+
+
+@query("SELECT l_orderkey, l_linenumber, chr((44032 + (l_orderkey % 19 * 21 + l_partkey % 21) * 28 + l_suppkey % 28)::int) AS ch FROM lineitem")
+def q_jamo_compose(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", jamo.compose(F.col("l_orderkey") % 19, F.col("l_partkey") % 21, F.col("l_suppkey") % 28).alias("ch"))
+
+
+@query(f"SELECT doc_id, translate(text, '{ACCENTED}', '{PLAIN}') AS plain FROM documents")
+def q_translate_kana(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.translate("text", ACCENTED, PLAIN).alias("plain"))
+
+
+@query(f"WITH {_TOK} SELECT CASE WHEN word IN ('the', 'la', 'le', 'die') THEN 'particle' WHEN word LIKE '%ing' OR word LIKE '%ed' THEN 'verb' WHEN word LIKE '%ly' THEN 'adverb' ELSE 'noun' END AS wtype, count(*) AS n FROM tok GROUP BY 1")
+def q_ends_rules(spark, sf_dir):
+    w = F.col("word")
+    kind = F.when(w.isin("the", "la", "le", "die"), "particle").when(w.endswith("ing") | w.endswith("ed"), "verb").when(w.endswith("ly"), "adverb").otherwise("noun")
+    return tokens(spark, sf_dir).groupBy(kind.alias("wtype")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_GRAMS} SELECT word, c AS count FROM uni")
+def q_unigram(spark, sf_dir):
+    return ngram.unigrams(ngram.spans(docs(spark, sf_dir)))
+
+
+@query(f"WITH {_GRAMS} SELECT prev, word, c AS count FROM bi")
+def q_bigram(spark, sf_dir):
+    return ngram.bigrams(ngram.spans(docs(spark, sf_dir)))
+
+
+@query(f"WITH {_GRAMS} SELECT w1, w2, word, c AS count FROM tri")
+def q_trigram(spark, sf_dir):
+    return ngram.trigrams(ngram.spans(docs(spark, sf_dir)))
+
+
+@query(f"WITH {_GRAMS} SELECT word, (c + 1e-1) / (t + 1e-1 * v) AS p FROM uni, size")
+def q_p_unigram(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return m.uni.withColumnRenamed("count", "c1").select("word", m.p_unigram().alias("p"))
+
+
+@query(f"WITH {_TOK}, g AS (SELECT word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM tok), u AS (SELECT word, count(*) AS c FROM tok GROUP BY 1), b AS (SELECT prev, word, count(*) AS c2 FROM g WHERE prev IS NOT NULL GROUP BY ALL) SELECT b.prev, b.word, (c2 + 1e-1) / (u.c + 1e-1 * (SELECT count(*) FROM u)) AS p FROM b JOIN u ON u.word = b.prev")
+def q_p_bigram(spark, sf_dir):
+    """Without leading marks; the vocabulary is counted in the plan, so nothing is collected."""
+    s = ngram.spans(docs(spark, sf_dir), bos=False)
+    uni = ngram.unigrams(s)
+    size = uni.agg(F.count("*").alias("v"))
+    both = ngram.bigrams(s).join(uni.select(F.col("word").alias("prev"), F.col("count").alias("c1")), "prev").crossJoin(F.broadcast(size))  # size is one row
+    return both.select("prev", "word", ((F.col("count") + 0.1) / (F.col("c1") + 0.1 * F.col("v"))).alias("p"))
+
+
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.spans(docs(spark, sf_dir)).select("w2", "w1", "word").distinct()
+
+
+@query(f"WITH {_SCORES} SELECT w2, w1, word, round(p3, 9) AS p FROM q")
+def q_p_trigram(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return m.counted(keys(spark, sf_dir)).select("w2", "w1", "word", F.round(m.p_trigram(), 9).alias("p"))
+
+
+@query(f"WITH {_SCORES} SELECT w2, w1, word, round(score, 9) AS score FROM sc")
+def q_interp_score(spark, sf_dir):
+    m = model(spark, sf_dir)
+    return m.counted(keys(spark, sf_dir)).select("w2", "w1", "word", F.round(m.score(), 9).alias("score"))
+
+
+@query(f"WITH {_SCORES} SELECT w2, w1, word, round(greatest(0.0, least(1.0, (ln(score) + 15) / 15)), 6) AS norm_score FROM sc")
+def q_norm_score(spark, sf_dir):
+    return model(spark, sf_dir).scored(keys(spark, sf_dir)).select("w2", "w1", "word", F.round("norm_score", 6).alias("norm_score"))
+
+
+@query(f"WITH {_GRAMS}, r AS (SELECT prev AS id, word, row_number() OVER (PARTITION BY prev ORDER BY c DESC, word) AS rank FROM bi WHERE word <> '<BOS>'), few AS (SELECT prev AS id, count(*) AS n FROM bi WHERE word <> '<BOS>' GROUP BY 1), ids AS (SELECT DISTINCT word AS id FROM uni), top AS (SELECT word, c FROM uni WHERE word <> '<BOS>' ORDER BY c DESC, word LIMIT 3), a AS (SELECT id, word, 1 AS tier, rank AS o FROM r UNION ALL SELECT ids.id, top.word, 2, row_number() OVER (PARTITION BY ids.id ORDER BY top.c DESC, top.word) FROM ids LEFT JOIN few ON few.id = ids.id, top WHERE coalesce(few.n, 0) < 6), m AS (SELECT id, word, min(tier * 1000000000 + o) AS o FROM a GROUP BY ALL), z AS (SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY o, word) AS rank FROM m) SELECT id, word, rank::int AS rank FROM z WHERE rank <= 3")
+def q_predict_next(spark, sf_dir):
+    m = model(spark, sf_dir)
+    ctx = m.uni.select(F.col("word").alias("id"), F.lit(None).cast("string").alias("w2"), F.col("word").alias("w1"))
+    return m.predict(ctx, 3)
+
+
+@query(f"WITH {_GRAMS}, x AS (SELECT prev || '/' || word[:2] AS id, word, c FROM bi WHERE word <> '<BOS>' AND length(word) > 2), r AS (SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY c DESC, word) AS rank FROM x) SELECT id, word, rank::int AS rank FROM r WHERE rank <= 2")
+def q_predict_prefix(spark, sf_dir):
+    bi = ngram.bigrams(ngram.spans(docs(spark, sf_dir))).where((F.col("word") != ngram.BOS) & (F.length("word") > 2))
+    each = bi.select(F.concat("prev", F.lit("/"), F.substring("word", 1, 2)).alias("id"), "word", "count")
+    return dictionary.top(each, ["id"], [F.desc("count"), F.col("word")], 2).select("id", "word", "rank")
+
+
+@query(f"WITH {_TURNS}, ct AS (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM cw) SELECT conv_id, turn, i::int AS pos, coalesce(string_agg(word, ' ') OVER (PARTITION BY conv_id ORDER BY turn, i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), '') AS context FROM ct")
+def q_ctx_window20(spark, sf_dir):
+    t = turns(spark, sf_dir).select("conv_id", "turn", F.posexplode("words").alias("p", "word"))
+    w = Window.partitionBy("conv_id").orderBy("turn", "p").rowsBetween(-20, -1)
+    return t.select("conv_id", "turn", (F.col("p") + 1).alias("pos"), F.concat_ws(" ", F.collect_list("word").over(w)).alias("context"))
+
+
+@query("SELECT conv_id, turn, coalesce(string_agg(role, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context FROM conversations")
+def q_ctx_all(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", F.collect_list("role").over(w)).alias("context"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type")
+def q_dedup_consec(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    return dictionary.consecutive_distinct(e, ["user_id"], [F.col("ts"), F.col("event_id")], "event_type").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
+def q_dedup_first(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
+    return dictionary.first_wins(e, ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id")
+
+
+@query(f"WITH q AS (SELECT embedding AS b FROM embeddings WHERE vec_id = 0) SELECT vec_id, round({_cos('embedding', 'b')}, 6) AS score FROM embeddings, q WHERE vec_id <> 0 ORDER BY {_cos('embedding', 'b')} DESC, vec_id LIMIT 20")
+def q_cosine_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    one = e.where("vec_id = 0").select(F.col("embedding").alias("b"))  # one row
+    near = e.where("vec_id <> 0").crossJoin(F.broadcast(one)).select("vec_id", vectors.cosine(F.col("embedding"), F.col("b")).alias("score"))
+    return near.orderBy(F.desc("score"), "vec_id").limit(20).withColumn("score", F.round("score", 6))
+
+
+_PLACES = "x AS (SELECT label, vec_id, unnest(embedding)::double AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"
+
+
+@query(f"WITH {_PLACES} SELECT label, i::int AS i, round(avg(v), 6) AS v FROM x GROUP BY ALL")
+def q_centroid(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    return vectors.centroids(e, ["label"]).select("label", F.posexplode("vector").alias("i", "v")).withColumn("v", F.round("v", 6))
+
+
+@query(f"WITH {_PLACES} SELECT label, i::int AS i, round(sum(v / (1 + vec_id % 7)) / sum(1.0::double / (1 + vec_id % 7)), 6) AS v FROM x GROUP BY ALL")
+def q_weighted_centroid(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    out = vectors.centroids(e, ["label"], weight=1.0 / (1 + F.col("vec_id") % 7))
+    return out.select("label", F.posexplode("vector").alias("i", "v")).withColumn("v", F.round("v", 6))
+
+
+_CTX = "v AS (SELECT 'v' || vec_id AS word, embedding AS vector FROM embeddings), ev AS (SELECT user_id AS id, 'v' || (event_id % (SELECT count(*) FROM embeddings)) AS word, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), cx AS (SELECT id, j, sum(x * w) / sum(w) AS m FROM (SELECT id, 1.0::double / (n - i + 1) AS w, unnest(vector)::double AS x, generate_subscripts(vector, 1) AS j FROM ev JOIN v USING (word)) GROUP BY ALL), cv AS (SELECT id, list(m ORDER BY j) AS ctx FROM cx GROUP BY id)"
+
+
+def user_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, words: of each user the vectors that the events stand for, in order."""
+    n = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"))
+    e = table(spark, sf_dir, "events").crossJoin(F.broadcast(n))  # n is one row
+    word = F.concat(F.lit("v"), (F.col("event_id") % F.col("n")).cast("string"))
+    each = e.groupBy(F.col("user_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("event_id", word.alias("word")))).alias("w"))
+    return each.select("id", F.transform("w", lambda x: x["word"]).alias("words"))
+
+
+@query(f"WITH {_CTX} SELECT id, (j - 1)::int AS i, round(m, 5) AS v FROM cx")
+def q_context_score(spark, sf_dir):
+    out = vectors.context_vectors(user_contexts(spark, sf_dir), unit_vectors(spark, sf_dir))
+    return out.select("id", F.posexplode("vector").alias("i", "v")).withColumn("v", F.round("v", 5))
+
+
+_RANK = f"{_CTX}, cd AS (SELECT DISTINCT user_id AS id, event_type AS hira, 0.25 + (user_id % 4) / 8.0::double AS conf FROM events), en AS (SELECT event_type AS reading, 'v' || (event_id % 40) AS surface, count(*) AS frequency FROM events GROUP BY ALL), fd AS (SELECT id, hira, conf, surface, frequency FROM cd JOIN en ON reading = hira UNION ALL SELECT id, hira, conf, hira, 0 FROM cd)"
+
+
+def rank_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "events")
+    cands = e.select(F.col("user_id").alias("id"), F.col("event_type").alias("hira"), (0.25 + F.col("user_id") % 4 / 8.0).alias("conf")).distinct()
+    own = e.groupBy(F.col("event_type").alias("reading"), F.concat(F.lit("v"), (F.col("event_id") % 40).cast("string")).alias("surface")).agg(F.count("*").alias("frequency"))
+    return cands, own
+
+
+@query(f"WITH {_RANK}, sc AS (SELECT fd.*, 3e-1 * conf + 5e-1 * coalesce((({_cos('vector', 'ctx')}) + 1) / 2, 0.5) + 2e-1 * frequency / 10000 AS score FROM fd LEFT JOIN cv USING (id) LEFT JOIN v ON v.word = surface) SELECT id, hira, surface, round(score, 5) AS score FROM sc")
+def q_rank3(spark, sf_dir):
+    """Scores of all candidates; the order among near ties is left to tests."""
+    cands, own = rank_inputs(spark, sf_dir)
+    found = ranking.context_score(dictionary.with_self(cands, own), user_contexts(spark, sf_dir), unit_vectors(spark, sf_dir))
+    a, b, c = ranking.WEIGHTS
+    return found.select("id", "hira", "surface", F.round(a * F.col("conf") + b * F.col("context_score") + c * F.col("frequency") / 10_000, 5).alias("score"))
+
+
+@query()
+def q_rank4(spark, sf_dir):
+    cands, own = rank_inputs(spark, sf_dir)
+    ctx = user_contexts(spark, sf_dir)
+    m = ngram.NgramModel.build(ctx.select("words"))
+    return ranking.ranked4(cands, own, ctx, unit_vectors(spark, sf_dir), m).select("id", "hira", "surface", F.round("score", 5).alias("score"), "rank")
+
+
+@query()
+def q_dir_rank(spark, sf_dir):
+    cands, own = rank_inputs(spark, sf_dir)
+    v = unit_vectors(spark, sf_dir)
+    both = v.select(F.concat(F.lit("F:"), "word").alias("word"), "vector").unionByName(v.select(F.concat(F.lit("B:"), "word").alias("word"), "vector"))
+    ctx = user_contexts(spark, sf_dir)
+    right = ctx.withColumn("words", F.reverse("words"))
+    return ranking.ranked_directional(cands, own, ctx, right, both).select("id", "hira", "surface", F.round("score", 5).alias("score"), "rank")
+
+
+@query("SELECT toxic AS sid, count(*) AS words, avg(quality::double) AS exact FROM labels GROUP BY 1")
+def q_accuracy(spark, sf_dir):
+    return table(spark, sf_dir, "labels").groupBy(F.col("toxic").alias("sid")).agg(F.count("*").alias("words"), evaluation.share(F.col("quality") == 1).alias("exact"))
+
+
+@query("SELECT lang AS category, count(*)::bigint AS words, sum(quality)::bigint AS exact, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END)::bigint AS sentences FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+def q_by_class(spark, sf_dir):
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return evaluation.by_category(both.select(F.col("lang").alias("category"), F.col("doc_id").alias("sid"), F.when(F.col("quality") == 1, 1).otherwise(2).alias("rank")))
+
+
+@query(f"WITH {_TOK}, k AS (SELECT length(word) + 1 AS plain, least(length(word), 4) + 1 AS used FROM tok) SELECT count(*) AS words, sum(plain)::bigint AS plain, sum(used)::bigint AS used, round((sum(plain) - sum(used)) / sum(plain), 9) AS saving, round(sum(used) / count(*), 9) AS per_word FROM k")
+def q_keystroke(spark, sf_dir):
+    n = F.length("word")
+    out = evaluation.keystrokes(tokens(spark, sf_dir).select((n + 1).alias("plain"), (F.least(n, F.lit(4)) + 1).alias("used")))
+    return out.withColumns({"saving": F.round("saving", 9), "per_word": F.round("per_word", 9)})
+
+
+@query(f"WITH {_SURF} SELECT right(reading, 2) AS pattern, count(*) AS n FROM surf WHERE reading <> surface GROUP BY 1 ORDER BY n DESC, pattern LIMIT 30")
+def q_failures(spark, sf_dir):
+    wrong = surfaces(spark, sf_dir).where("reading <> surface").select(F.right("reading", F.lit(2)).alias("pattern"))
+    return evaluation.histogram(wrong, "pattern", 30)
+
+
+@query(f"WITH {_TOK}, p AS (SELECT word, unnest(range(1, length(word))) AS i FROM tok) SELECT word[i:i+1] AS pattern, count(*) AS n FROM p WHERE word[i:i+1] IN ('ea', 'ou', 'ie', 'ee', 'ai') GROUP BY 1")
+def q_longvowel(spark, sf_dir):
+    at = F.sequence(F.lit(1), F.length("word") - 1)
+    pairs = tokens(spark, sf_dir).where(F.length("word") > 1).select(F.explode(F.transform(at, lambda i: F.substring("word", i, F.lit(2)))).alias("pattern"))
+    return pairs.where(F.col("pattern").isin("ea", "ou", "ie", "ee", "ai")).groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'unknown' END AS platform, ts AS clicked_at, left(props, 300) AS user_agent, left(event_type, 300) AS referrer FROM events WHERE user_id % 2 = 0")
+def q_click_sink(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    body = F.to_json(F.struct(F.col("event_type").alias("platform")))
+    method = F.when(F.col("user_id") % 2 == 0, "POST").otherwise("GET")
+    requests = e.select(method.alias("method"), body.alias("body"), F.col("props").alias("user_agent"), F.col("event_type").alias("referrer"), F.col("ts").alias("at"))
+    return readers.clicks(requests, ("click", "view"))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sid, pos, hangul, candidates: one segment for each turn of a conversation; its candidates are the turn's role and its first word."""
+    t = table(spark, sf_dir, "conversations")
+    cands = F.array(F.struct(F.col("role").alias("hira"), F.lit(0.9).alias("conf")), F.struct(F.get(words.tokens(F.col("text")), F.lit(0)).alias("hira"), F.lit(0.6).alias("conf")))
+    return t.select(F.col("conv_id").alias("sid"), F.col("turn").alias("pos"), F.col("role").alias("hangul"), cands.alias("candidates"))
+
+
+def turn_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.when(F.col("vec_id") % 2 == 0, "user").otherwise("assistant").alias("reading"), F.concat(F.lit("v"), (F.col("label")).cast("string")).alias("surface")).groupBy("reading", "surface").agg(F.count("*").alias("frequency"))
+
+
+@query()
+def q_sentence_rerank(spark, sf_dir):
+    return sentence.reranked(segments(spark, sf_dir), turn_entries(spark, sf_dir), unit_vectors(spark, sf_dir).select("word", "vector")).withColumn("score", F.round("score", 5))
+
+
+def part_world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, ngram.NgramModel, DataFrame]:
+    """An index of part names, their entries, n-grams of users' parts, and vectors."""
+    p = table(spark, sf_dir, "part")
+    own = p.groupBy(F.col("p_name").alias("reading"), F.col("p_type").alias("surface")).agg(F.count("*").alias("frequency"))
+    index = autocomplete.surface_index(p.select(F.col("p_name").alias("hangul"), F.col("p_name").alias("reading")), own)
+    lines = table(spark, sf_dir, "lineitem").join(p.select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_name"), "l_partkey")
+    orders = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("p_type").alias("surface"), F.col("p_name").alias("hangul")))).alias("w"))
+    sents = orders.select(F.col("l_orderkey").alias("sid"), F.transform("w", lambda x: F.struct(x["surface"].alias("surface"), x["hangul"].alias("hangul"))).alias("words"))
+    m = ngram.NgramModel.build(sents.select(F.transform("words", lambda x: x["surface"]).alias("words")))
+    return index, own, m, sents
+
+
+@query()
+def q_autocomplete(spark, sf_dir):
+    index, own, m, sents = part_world(spark, sf_dir)
+    q = index.select(F.substring("hangul", 1, 5).alias("partial")).distinct().select(F.col("partial").alias("id"), "partial", F.array(F.lit("PROMO")).alias("words"))
+    return autocomplete.suggestions(q, index, own, m, unit_vectors(spark, sf_dir).select("word", "vector")).withColumn("score", F.round("score", 6))
+
+
+@query()
+def q_typing_sim(spark, sf_dir):
+    index, own, m, sents = part_world(spark, sf_dir)
+    out = autocomplete.simulated(sents, 2, index, own, m, unit_vectors(spark, sf_dir).select("word", "vector"))
+    return out.agg(F.count("*").alias("words"), F.sum("plain").alias("plain"), F.sum("used").alias("used"), F.sum("next_hit").alias("next_hits"), F.sum("prefix_hits").alias("prefix_hits"))
+
+
+@query()
+def q_train_embed(spark, sf_dir):
+    """Vectors of event types and users, from users' sequences of events."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("w"))
+    s = e.select(F.transform("w", lambda x: F.struct(x["event_type"].alias("surface"), F.concat(x["event_type"], F.lit("_"), (x["event_id"] % 10).cast("string")).alias("reading"))).alias("words"))
+    return vectors.trained(cooccurrence.trainable(cooccurrence.matrix(s, 5)), 16, 20).select("word", F.transform("vector", lambda v: F.round(v, 4)).alias("vector"))
+
+
+@query()
+def q_generate(spark, sf_dir):
+    """Sentences over part names as vocabulary, as many as there are parts."""
+    p = table(spark, sf_dir, "part")
+    pos = F.element_at(F.array(*[F.lit(x) for x in ("Noun", "Verb", "IAdjective", "Adverb")]), (F.col("p_size") % 4 + 1).cast("int"))
+    category = F.element_at(F.array(*[F.lit(x) for x in ("Time", "Place", "Food")]), (F.col("p_size") % 3 + 1).cast("int"))
+    vocab = p.select(F.col("p_name").alias("surface"), F.col("p_name").alias("reading"), pos.alias("pos"), category.alias("category"), F.col("p_partkey").alias("load_seq"))
+    return generator.scaled(vocab, p.count()).select("sid", "category", F.concat_ws(" ", F.transform("words", lambda w: w["surface"])).alias("sentence"))
