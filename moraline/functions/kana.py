@@ -63,7 +63,7 @@ def close(text: str, mark: str, compat: bool = True) -> str:
 def to_hangul(text: str, compat: bool = True) -> str:
     """Hiragana in Hangul: small tsu closes with ㅅ, n with ㅁ before labials and else ㄴ, a long mark repeats the last bare vowel."""
     units, out = _UNIT.findall(text), ""
-    for unit, after in zip(units, [*units[1:], ""], strict=True):
+    for unit, after in zip(units, [*units[1:], ""], strict=False):
         if unit == "っ":
             out = close(out, "ㅅ", compat) if after else out
         elif unit == "ん":

@@ -200,7 +200,11 @@ def decode_by_join(words: DataFrame, table: DataFrame, column: str = "hangul", w
     """candidates() for maps of any size: each distinct word meets its tokens in a join, then carries its own small map."""
     w = words.select(F.col(column).alias("__w")).distinct()
     n = F.length("__w")
-    spans = [F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.substring(F.col("__w"), i, F.lit(k))) for k in range(1, LONGEST + 1)]
+
+    def of_length(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("__w"), i, F.lit(k)))
+
+    spans = [of_length(k) for k in range(1, LONGEST + 1)]
     tokens = w.select("__w", F.explode(F.array_distinct(F.flatten(F.array(*[F.when(n >= k, s).otherwise(F.array().cast("array<string>")) for k, s in enumerate(spans, 1)])))).alias("token"))
     own = tokens.join(table, "token").groupBy("__w").agg(F.sort_array(F.collect_list(F.struct("token", "rnk", "hira", "prob"))).alias("own"))
 
