@@ -32,6 +32,7 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch_dir(spark)
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is now written
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,17 +62,14 @@ def crc(column: str = "doc_id"):
 Items = Callable[[pa.RecordBatch], tuple[np.ndarray, int]]
 
 
-def frequent(rows: DataFrame, items: Items, share: float, least: int = 1, local: float = 0.25) -> tuple[np.ndarray, np.ndarray, int]:
-    """All 64-bit items whose count is at least max(least, share * total), their exact counts, and the total.
+def often(rows: DataFrame, items: Items, share: float, local: float = 0.25, least: int = 1) -> tuple[np.ndarray, int]:
+    """A sorted list with all items whose count reaches max(least, share * total), and the total; one scan.
 
-    ``items`` maps a piece of rows to (items with repeats, by how much the total grows).
-    Two scans. The first keeps, in each task, the items that have ``local`` of the share
-    there; what an item loses by that is under ``local`` of the bound, so those whose kept
-    counts sum to the rest of it include all that are wanted, and they are at most
-    (items per total) / ((1 - local) * share), however large the input is. The second scan
-    counts exactly those. So what is broadcast and what is returned have a proven bound.
+    Each task keeps the items that have ``local`` of the share there. What an item loses by
+    that is under ``local`` of the bound, so those whose kept counts sum to the rest of it
+    include all that are wanted. They are at most (items per total) / ((1 - local) * share),
+    however large the input is, so the list may be broadcast.
     """
-    spark = rows.sparkSession
 
     def kept_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total = tx.Counts(), 0
@@ -92,8 +90,20 @@ def frequent(rows: DataFrame, items: Items, share: float, least: int = 1, local:
 
     seen = written(rows.mapInArrow(kept_here, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")))
     total = int((seen.where("item is null").agg(F.sum("n")).first() or [0])[0] or 0)
+    some = max((1 - local) * share * total, (1 - local) * least)
+    return np.sort(_longs(seen.where(F.col("item").isNotNull() & (F.col("n") >= some)).select("item"))), total
+
+
+def frequent(rows: DataFrame, items: Items, share: float, least: int = 1, local: float = 0.25) -> tuple[np.ndarray, np.ndarray, int]:
+    """All 64-bit items whose count is at least max(least, share * total), their exact counts, and the total.
+
+    ``items`` maps a piece of rows to (items with repeats, by how much the total grows).
+    A first scan lists all that may be (see often), a second one counts exactly those, so
+    what is broadcast and what is returned have a proven bound.
+    """
+    spark = rows.sparkSession
+    cand, total = often(rows, items, share, local)
     bound = max(least, int(np.ceil(share * total)))
-    cand = np.sort(_longs(seen.where(F.col("item").isNotNull() & (F.col("n") >= (1 - local) * share * total)).select("item")))
     if not len(cand):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), total
     wanted = spark.sparkContext.broadcast(cand)
@@ -134,3 +144,50 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_ou
         .limit(limit)
     )
     return texts(docs).join(F.broadcast(chosen), "doc_id")
+
+
+FILTER_BITS = 1 << 26
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (8 MB) in which the bit of every id of the one column is set, for passes()."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_bit(batch.column(0).to_numpy()))
+            word, first = np.unique(at >> 6, return_index=True)
+            value = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], ["word", "bits"])
+
+    got = ids.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (tx.mix(ids.view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def passes(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """False where an id was surely not among those of the filter."""
+    at = _bit(ids)
+    return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def only(rows: DataFrame, ids: DataFrame, column: str, other: bool = False) -> DataFrame:
+    """The rows whose id (a long that is never null) may be among the one column of ``ids``, or all others; no shuffle.
+
+    Whoever passes by chance must not matter: join what may be among them exactly.
+    """
+    bitmap = rows.sparkSession.sparkContext.broadcast(id_filter(ids))
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):  # small copies
+                part = batch.slice(i, 1000)
+                yield part.filter(pa.array(passes(bitmap.value, part.column(column).to_numpy()) != other))
+            tx.release()
+
+    return rows.mapInArrow(run, schema)

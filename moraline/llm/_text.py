@@ -8,13 +8,19 @@ piece of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: nothing to trim
+    _libc = None
+
+PIECE_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _R = np.uint64(0x9E3779B97F4A7C15 | 3)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -84,6 +90,15 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES)
         to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
         yield batch.slice(at, to - at)
         at, done = to, int(ends[to - 1])
+    if done > 4 * most:
+        release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers live long, and executors count it."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def prefix_hash(data: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -140,19 +155,21 @@ class Counts:
     flush() hands them out, and whoever sums the parts gets the same totals.
     """
 
-    def __init__(self, limit: int = 3_000_000):
+    def __init__(self, limit: int = 2_000_000):
         self.limit, self.keys, self.n, self.pending, self.waiting = limit, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
-    def add(self, keys: np.ndarray, n: np.ndarray | None = None) -> None:
+    def add(self, keys: np.ndarray) -> None:
         if len(keys):
-            self.pending.append((keys, np.ones(len(keys), np.int64) if n is None else n))
+            self.pending.append(keys)
             self.waiting += len(keys)
             if self.waiting > max(1_000_000, len(self.keys)):
                 self.compact()
 
     def compact(self) -> None:
         if self.pending:
-            self.keys, self.n = summed(np.concatenate([self.keys, *(k for k, _ in self.pending)]), np.concatenate([self.n, *(n for _, n in self.pending)]))
+            new = np.sort(np.concatenate(self.pending))
+            first = np.flatnonzero(np.r_[True, new[1:] != new[:-1]])
+            self.keys, self.n = summed(np.concatenate([self.keys, new[first]]), np.concatenate([self.n, np.diff(np.r_[first, len(new)])]))
             self.pending, self.waiting = [], 0
 
     def full(self) -> bool:

@@ -167,19 +167,20 @@ def _run(docs: DataFrame, path: str | None, schema: str, row) -> DataFrame:
             for piece in tx.pieces(batch):
                 texts = [t or "" for t in piece.column("text").to_pylist()]
                 rows = [row(t, i, b) for t, (i, b) in zip(texts, model.encode_rows(texts), strict=True)]
-                cols = [list(c) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(c) for c in cols)], names)
+                cols = [pa.array(list(c), pa.list_(pa.int32()) if n == "ids" else None) for n, c in zip(names[1:], zip(*rows, strict=True), strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *cols], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids array<int>, decoded: whole texts, in one pass."""
+    """doc_id, n_tokens, ids array<int>, decoded_sha256 of whole texts, in one pass."""
 
     def row(text: str, ids: str, back: bytes):
-        return np.array(ids.split(","), np.int32) if ids else np.zeros(0, np.int32), back.decode("utf-8", "replace")
+        flat = np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32)
+        return len(flat), flat, hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest()
 
-    return _run(docs, path, "doc_id long, ids array<int>, decoded string", row)
+    return _run(docs, path, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", row)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

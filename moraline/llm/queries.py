@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, mixing, neighbours, quality, repeats, setjoin, tokenfiles, toxicity
+from . import backoff, bpe, fingerprint, mixing, neighbours, quality, repeats, setjoin, tokenfiles, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
+def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.report(read(spark, sf_dir, "documents"))
+
+
 def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES = {
         op4_poisson_mix,
         op5_toxicity_grammar,
         op6_bpe_roundtrip,
+        op7_backoff_lm,
         op8_quality_fm,
         op9_ngram_jaccard,
         op10_kmeans_tree,
