@@ -47,9 +47,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
         size = size.withColumn("weight", F.pow("chars", F.lit(float(temperature))))
     else:
         given = docs.sparkSession.createDataFrame(list(weights.items()), "source string, weight double")
-        size = size.join(given, "source")
+        size = size.join(given, "source", "left")
     whole = size.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))  # one row
-    return size.crossJoin(F.broadcast(whole)).select("source", (F.col("weight") / F.col("all_weight") * F.col("all_chars") / F.col("chars")).alias("rate"))
+    return size.where("weight > 0").crossJoin(F.broadcast(whole)).select("source", (F.col("weight") / F.col("all_weight") * F.col("all_chars") / F.col("chars")).alias("rate"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
