@@ -8,8 +8,8 @@ two levels at which about one of its terms remains, so hashes of one-word notes
 of books are equally robust. The likeness of two fingerprints is the share of
 equal hashes at their closest common level.
 
-Defined results: null text is the empty text; a text of at most ``few`` distinct words,
-or without any in the band, uses all its words; without any word all hashes are blank, and two
+Defined results: null text is the empty text; a text with fewer than ``few`` terms in the
+band is filled up to so many with other words of its own; without any word all hashes are blank, and two
 blank fingerprints have likeness 1. Equal texts have equal fingerprints.
 """
 
@@ -58,8 +58,9 @@ class Fingerprinter:
         """The lower of the two levels used, and the 2 x subsets hashes (0: blank) of a document's word hashes."""
         words = np.unique(words)
         banded = words[tx.found(self.terms, words) >= 0]
-        if len(words) <= self.few or not len(banded):
-            banded = words
+        if len(banded) < self.few:  # filled up with the words of smallest hashes, so that like texts get like terms
+            rest = np.setdiff1d(words, banded)
+            banded = np.union1d(banded, rest[np.argsort(tx.mix(rest))[: self.few - len(banded)]])
         out = np.zeros((2, self.subsets), np.uint16)
         if not len(banded):
             return 0, out
