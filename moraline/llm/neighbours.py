@@ -3,11 +3,13 @@
 The tree is fitted on a bounded sample (``sample`` vectors); every vector is then put into
 a leaf. A query walks the tree through a priority queue that is ordered by the inner
 product with the nodes' centres, and visits the first ``visits`` leaves it comes to. That
-number is widened, doubling, until a bounded sample of queries (``probes``) finds the
+number is widened, by a quarter at a time, until a bounded sample of queries (``probes``) finds the
 wanted share of its true neighbours, which an exact search over all vectors gives.
-Leaves are dealt in blocks of at most ``BLOCK`` vectors, so a leaf that a third of all
-vectors fall into is spread over tasks; within a block scores are matrix products, and
-those that may belong to the k largest are computed anew, exactly, in double precision.
+Leaves are dealt to parts in tree order by their counts, large ones to several, so parts
+are equal whatever the leaves hold; a query goes once to each part that has a leaf it
+visits. A task holds its part's vectors and streams the queries: scores are matrix
+products, and those that may belong to the k largest are computed anew, exactly, in
+double precision.
 
 Defined results: null, empty and zero vectors, those with null or non-finite components
 and those whose length is not the commonest one take no part; equal scores are ordered
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from ._spark import partitions, written
 
 K, EVERY = 20, 20
-SAMPLE, BRANCH, LEAF, PROBES, RECALL, BLOCK = 20_000, 16, 60, 200, 0.97, 4096
+SAMPLE, BRANCH, LEAF, PROBES, RECALL, WIDEN = 20_000, 16, 200, 200, 0.95, 1.25
 
 
 @dataclass
@@ -170,7 +172,7 @@ def calibrated(tree: Tree, rows: DataFrame, queries: DataFrame, k: int, recall:
         place[mine] = [order[x] for x in leaf[mine]]
     visits = 1
     while visits < tree.leaves and len(place) and (place < visits).mean() < recall:
-        visits *= 2
+        visits = int(np.ceil(visits * WIDEN))
     return min(visits, tree.leaves)
 
 
@@ -190,45 +192,84 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = R
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.assign(matrix(batch.column("embedding"))))], [*batch.schema.names, "leaf"])
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    placed = written(rows.mapInArrow(place, "vec_id long, embedding array<double>, leaf int"))
+    held = placed.groupBy("leaf").count().collect()  # a row for each leaf of the bounded tree
+    count = np.zeros(tree.leaves, np.int64)
+    for r in held:
+        count[r.leaf] = r["count"]
+    parts = partitions(spark)
+    target = max(1, -(-int(count.sum()) // parts))
+    upto = np.cumsum(count)
+    base = np.minimum((upto - count) // target, parts - 1)
+    spread = np.where(count > 0, np.minimum(np.maximum(upto - 1, 0) // target, parts - 1) - base + 1, 0)
+    dealing = spark.sparkContext.broadcast((base, spread))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, spread = dealing.value
         for batch in batches:
-            leaves = [sent.value.first(q, visits) for q in matrix(batch.column("embedding"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int32()))], [*batch.schema.names, "leaves"])
+            leaf = batch.column("leaf").to_numpy()
+            mixed = (batch.column("vec_id").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            part = base[leaf] + (mixed % spread[leaf].astype(np.uint64)).astype(np.int64)
+            yield _rows(part, 0, batch.column("vec_id"), batch.column("embedding"), pa.array([[x] for x in leaf.tolist()], pa.list_(pa.int32())))
 
-    placed = written(rows.mapInArrow(place, "vec_id long, embedding array<double>, leaf int"))
-    blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row for each leaf at most
-    dealt = placed.join(F.broadcast(blocks), "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("side"), "vec_id", "embedding")
-    asked = queries.mapInArrow(route, "vec_id long, embedding array<double>, leaves array<int>").select("vec_id", "embedding", F.explode("leaves").alias("leaf"))
-    asked = asked.join(F.broadcast(blocks), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "vec_id", "embedding")
-    both = asked.unionByName(dealt).repartition(partitions(spark), "leaf", "block").sortWithinPartitions("leaf", "block", "side")
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, spread = dealing.value
+        for batch in batches:
+            at, parts_, leaves = [], [], []
+            for i, q in enumerate(matrix(batch.column("embedding"))):
+                visited = np.array(sent.value.first(q, visits))
+                visited = visited[spread[visited] > 0]
+                for part in np.unique(np.concatenate([np.arange(base[x], base[x] + spread[x]) for x in visited])) if len(visited) else []:
+                    own = visited[(base[visited] <= part) & (part < base[visited] + spread[visited])]
+                    at.append(i)
+                    parts_.append(part)
+                    leaves.append(own.tolist())
+            rows_ = batch.take(pa.array(at, pa.int64()))
+            yield _rows(np.array(parts_, np.int64), 1, rows_.column("vec_id"), rows_.column("embedding"), pa.array(leaves, pa.list_(pa.int32())))
+
+    both = placed.mapInArrow(deal, _DEALT).unionByName(queries.mapInArrow(ask, _DEALT))
+    both = both.repartitionById(parts, "part").sortWithinPartitions("part", "side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, part = None, []
+        stored: list[pa.RecordBatch] = []
+        by_leaf: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            keys = np.c_[batch.column("leaf").to_numpy(), batch.column("block").to_numpy()]
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a < b:
-                    if key is not None and tuple(keys[a]) != key:
-                        yield from block(part)
-                        part = []
-                    key = tuple(keys[a])
-                    part.append(batch.slice(a, b - a))
-        yield from block(part)
-
-    def block(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not part:
-            return
-        t = pa.Table.from_batches(part).combine_chunks()
-        side, ids, x = t.column("side").to_numpy(), t.column("vec_id").to_numpy(), matrix(t.column("embedding").combine_chunks())
-        qi, q, ids, x = ids[side == 0], x[side == 0], ids[side == 1], x[side == 1]
-        if not len(qi) or not len(ids):
-            return
-        for at in range(0, len(qi), 512):
-            s = x @ q[at : at + 512].T
-            got = [(i, *largest(ids, x, q[at + j], s[:, j], i, k)) for j, i in enumerate(qi[at : at + 512])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.full(len(n), i) for i, n, _ in got])), pa.array(np.concatenate([n for _, n, _ in got])), pa.array(np.concatenate([v for _, _, v in got]))], ["query_id", "vec_id", "score"]
-            )
+            side = batch.column("side").to_numpy()
+            if (side == 0).any():
+                stored.append(batch.filter(pa.array(side == 0)))
+            if not (side == 1).any():
+                continue
+            if stored:  # all vectors of the part came before its queries
+                t = pa.Table.from_batches(stored).combine_chunks()
+                leaf, ids, x = t.column("leaves").combine_chunks().flatten().to_numpy(), t.column("vec_id").to_numpy(), matrix(t.column("embedding").combine_chunks())
+                by_leaf = {int(n): (ids[leaf == n], x[leaf == n]) for n in np.unique(leaf)}
+                stored = []
+            asked = batch.filter(pa.array(side == 1))
+            qi, q, leaves = asked.column("vec_id").to_numpy(), matrix(asked.column("embedding")), asked.column("leaves").to_pylist()
+            visitors: dict[int, list[int]] = {}
+            for j, own in enumerate(leaves):
+                for n in own:
+                    visitors.setdefault(n, []).append(j)
+            best: dict[int, list] = {}
+            for n, who in visitors.items():
+                if n in by_leaf:
+                    ids, x = by_leaf[n]
+                    s = x @ q[who].T
+                    for c, j in enumerate(who):
+                        best.setdefault(j, []).append(largest(ids, x, q[j], s[:, c], qi[j], k))
+            out = []
+            for j, found in best.items():
+                ids, scores = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                top = np.lexsort((ids, -scores))[:k]
+                out.append((np.full(len(top), qi[j]), ids[top], scores[top]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     return ranked(both.mapInArrow(compare, "query_id long, vec_id long, score double"), k)
+
+
+_DEALT = "part int, side int, vec_id long, embedding array<double>, leaves array<int>"
+
+
+def _rows(part: np.ndarray, side: int, ids: pa.Array, vectors: pa.Array, leaves: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.full(len(part), side, np.int32)), ids, vectors, leaves], ["part", "side", "vec_id", "embedding", "leaves"])
