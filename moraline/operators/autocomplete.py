@@ -84,8 +84,10 @@ def simulated(sentences: DataFrame, threshold: int, index: DataFrame, entries: D
     """
     words = typed_words(sentences)
     typed = words.select("*", F.explode(F.sequence(F.lit(0), F.length("hangul"))).alias("i"))
-    typed = typed.where((F.col("i") > 0) | (F.size("words") > 0)).withColumns({"partial": F.substring("hangul", F.lit(1), F.col("i")), "id": F.concat_ws("#", "wid", F.col("i").cast("string"))})
-    top = suggestions(typed.select("id", "partial", "words"), index, entries, model, vectors, phonetic).where("rank = 1").select("id", F.col("surface").alias("top"), "saving", "tier")
+    typed = typed.where((F.col("i") > 0) | (F.size("words") > 0)).withColumns({"partial": F.substring("hangul", F.lit(1), F.col("i"))})
+    typed = typed.withColumn("id", F.concat_ws("\x1f", "partial", F.array_join("words", "\x1e")))
+    asked = typed.select("id", "partial", "words").dropDuplicates(["id"])  # the same keys after the same words are answered once
+    top = suggestions(asked, index, entries, model, vectors, phonetic).where("rank = 1").select("id", F.col("surface").alias("top"), "saving", "tier")
     hit = typed.join(top, "id", "left").withColumn("hit", F.coalesce(F.col("top") == F.col("surface"), F.lit(False)))
     i, full = F.col("i"), F.length("hangul")
     good = F.col("hit") & (i > 0) & (F.col("saving") >= threshold)

@@ -117,10 +117,10 @@ def q_prefix_top20(spark, sf_dir):
     return dictionary.by_prefix(p, "red", 20)
 
 
-@query("SELECT p_name AS hangul, p_partkey AS surface, p_size AS frequency FROM part WHERE starts_with(p_name, 'blue bolt') AND length(p_name) > 9 ORDER BY frequency DESC, hangul, surface LIMIT 30")
+@query("SELECT p_name AS hangul, p_partkey AS surface, p_size AS frequency FROM part WHERE starts_with(p_name, 'blue') AND length(p_name) > 4 ORDER BY frequency DESC, hangul, surface LIMIT 30")
 def q_strict_prefix(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_name").alias("hangul"), F.col("p_partkey").alias("surface"), F.col("p_size").alias("frequency"))
-    return dictionary.by_prefix(p, "blue bolt", 30, "hangul", strict=True)
+    return dictionary.by_prefix(p, "blue", 30, "hangul", strict=True)
 
 
 @query("SELECT user_id, event_type, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
