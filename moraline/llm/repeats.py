@@ -7,13 +7,14 @@ holds the fingerprint of the anchor string and that of the context, which is all
 with this anchor together; entries are ordered by these, since equality at the depth of
 an anchor, a context or a window is all that is asked. New batches are sorted, scanned
 against the existing levels for entries that meet, and levels of equal size are merged
-(``Family``). Three rounds decide every window exactly, up to 64-bit fingerprints:
+(``Family``). Every window is decided exactly, up to 64-bit fingerprints:
 
 1. each task builds a family of its own; contexts that meet there are repeated as a whole;
 2. what is left, one entry for each distinct context of a task, is dealt by its anchor,
    and families there find contexts that meet between tasks. An anchor that is met with
    different contexts only marks an edge of a repeat;
-3. windows of such edges are fingerprinted one by one and meet in the same two steps.
+3. edges are looked at in cells of ``CELL`` windows, whose common bytes take the part of
+   the anchor, in the same two steps, and edges of those window by window.
 
 A string that very many documents share reaches a round's second step once for each task,
 not once for each document, so no task gathers a frequent passage.
@@ -34,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import partitions, texts, written
+from ._spark import only, partitions, texts, written
 
-LENGTH = 200
+LENGTH, CELL = 200, 12
 _PLACE = np.uint64((1 << 21) - 1)
-FLUSH, VARIANTS = 1_500_000, 16
-REPEATED, EDGE, WITNESS, ENTRY = 1, 3, 4, 0  # WITNESS: known to be repeated, others may still meet it
+FLUSH, VARIANTS = 400_000, 16
+ENTRY, REPEATED, EDGE, WITNESS, PASSED = 0, 1, 3, 4, 8  # WITNESS: known to be repeated, others may still meet it
 
 
 class Family:
@@ -86,7 +87,7 @@ class Family:
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """row, anchor fingerprint, context fingerprint, first and last window start (within the row) of all anchors."""
+    """row, anchor fingerprint, context fingerprint, first and last window start and place (within the row) of all anchors."""
     k = length // 2
     w = length - k + 1
     limit = int(_PLACE) - length
@@ -100,11 +101,11 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[n
                 end = min(size, cut + step + length - 1) if to == at + 1 and size > limit else size
                 own = np.array([0, end - cut]) if to == at + 1 else offs[at : to + 1] - offs[at]
                 got = anchors(data[offs[at] + cut : offs[at] + end], own, length)
-                parts.append((got[0] + at, got[1], got[2], got[3] + cut, got[4] + cut))
+                parts.append((got[0] + at, got[1], got[2], got[3] + cut, got[4] + cut, got[5] + cut))
             at = to
         return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
     n = len(data)
-    empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     sizes = np.diff(offs)
     if n < length or sizes.max() < length:
         return empty
@@ -128,14 +129,30 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[n
     lo, hi, at = s[first], s[np.r_[first[1:], len(s)] - 1], m[first]
     row = np.searchsorted(offs, lo, "right") - 1
     context = tx.span_hash(p, lo, hi + length) ^ (at - lo).astype(np.uint64)
-    return row, grams[at], context, lo - offs[row], hi - offs[row]
+    return row, grams[at], context, lo - offs[row], hi - offs[row], at - offs[row]
 
 
-def _batch(kind, key, context, ident, th, s, e, names=("kind", "key", "context", "id", "th", "s", "e")) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int8)), pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), *(pa.array(x) for x in (ident, th, s.astype(np.int32), e.astype(np.int32)))], list(names))
+_ROWS = "key long, context long, id long, meta long, rel int"
+_NAMES = ["key", "context", "id", "meta", "rel"]
 
 
-_ROWS = "kind byte, key long, context long, id long, th int, s int, e int"
+def _batch(kind, key, context, ident, th, s, e, a) -> pa.RecordBatch:
+    """Rows as they are shuffled: meta holds s, 24 bits of the row's text hash and the kind; rel holds a - s and e - s."""
+    meta = (s.astype(np.int64) << 32) | (th.astype(np.int64) & 0xFFFFFF) << 8 | kind.astype(np.int64)
+    rel = (np.clip(a - s, 0, 0x7FFF).astype(np.int32) << 16) | (e - s).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ident), pa.array(meta), pa.array(rel)], _NAMES)
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """kind, key, context, id, th, s, e, a."""
+    key, context, ident, meta, rel = (batch.column(c).to_numpy() for c in _NAMES)
+    s = meta >> 32
+    return (meta & 0xFF).astype(np.int8), key.view(np.uint64), context.view(np.uint64), ident, ((meta >> 8) & 0xFFFFFF).astype(np.int32), s.astype(np.int32), (s + (rel & 0xFFFF)).astype(np.int32), (s + (rel >> 16)).astype(np.int32)
+
+
+def _chunks(*cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(cols[0]), 100_000):
+        yield _batch(*(c[i : i + 100_000] for c in cols))
 
 
 def _first_of_equals(key: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -147,120 +164,132 @@ def _settle(family: Family, edges: bool) -> Iterator[pa.RecordBatch]:
     got = family.take()
     if not got:
         return
-    met, key, context, ident, th, s, e, kind = got
+    met, key, context, ident, th, s, e, a, kind = got
     first = _first_of_equals(key, context)
     new_key = np.r_[True, key[1:] != key[:-1]]
-    variant = np.cumsum(first) - np.cumsum(first)[np.flatnonzero(new_key)][np.cumsum(new_key) - 1]  # 0, 1, ... among the contexts of a key
+    rank = np.cumsum(first)
+    variant = rank - rank[np.flatnonzero(new_key)][np.cumsum(new_key) - 1]  # 0, 1, ... among the contexts of a key
     sent = first & (variant < VARIANTS) if edges else first
-    out = np.where(met & sent, WITNESS, kind)
+    # of equals that met, the one that goes on is repeated, and a witness for other tasks
     told = met & (kind != WITNESS)
-    yield from _chunks(np.full(told.sum(), REPEATED), tx.mix(ident[told].view(np.uint64)), context[told] & np.uint64(0), ident[told], th[told], s[told], e[told])
-    yield from _chunks(out[sent], key[sent], context[sent], ident[sent], th[sent], s[sent], e[sent])
+    anywhere = tx.mix(ident.view(np.uint64))  # rows that need not meet any more are dealt evenly
+    zero = np.zeros(len(key), np.uint64)
+    yield from _chunks(*(c[told] for c in (np.full(len(key), REPEATED), anywhere, zero, ident, th, s, e, a)))
+    yield from _chunks(*(c[sent] for c in (np.where(met, WITNESS, kind), key, context, ident, th, s, e, a)))
     if edges:  # a key with very many contexts here is known to be an edge
         more = first & ~sent
-        yield from _chunks(np.where(met[more], WITNESS + 4, EDGE + 4), tx.mix(ident[more].view(np.uint64)), context[more] & np.uint64(0), ident[more], th[more], s[more], e[more])
-
-
-def _chunks(*cols: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(cols[0]), 100_000):
-        yield _batch(*(c[i : i + 100_000] for c in cols))
+        yield from _chunks(*(c[more] for c in (np.where(met, WITNESS, EDGE) + PASSED, anywhere, zero, ident, th, s, e, a)))
 
 
 def _meet(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordBatch]:
-    """The second step: entries of all tasks, dealt by key. Gives repeats and, with ``edges``, what needs a look at single windows."""
+    """The second step: entries of all tasks, dealt by key. Gives repeats and, with ``edges``, what needs a closer look."""
     family = Family()
     for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        key, context = (batch.column(c).to_numpy().view(np.uint64) for c in ("key", "context"))
-        ident, th, s, e = (batch.column(c).to_numpy() for c in ("id", "th", "s", "e"))
-        known = (kind == REPEATED) | (kind > WITNESS)
+        cols = _unpacked(batch)
+        kind = cols[0]
+        known = (kind == REPEATED) | (kind > PASSED)
         if known.any():
-            yield _batch(np.where(kind > WITNESS, kind - 4, kind)[known], key[known], context[known], ident[known], th[known], s[known], e[known])
-        left = ~known
-        if left.any():
-            family.add(key[left], context[left], ident[left], th[left], s[left], e[left], kind[left])
+            yield _batch(np.where(kind > PASSED, kind - PASSED, kind)[known], *(c[known] for c in cols[1:]))
+        if not known.all():
+            key, context, *rest = (c[~known] for c in cols[1:])
+            family.add(key, context, *rest, kind[~known])
     got = family.take()
     if not got:
         return
-    met, key, context, ident, th, s, e, kind = got
-    fresh = met & (kind == ENTRY)
-    yield from _chunks(np.full(fresh.sum(), REPEATED), key[fresh], context[fresh], ident[fresh], th[fresh], s[fresh], e[fresh])
+    met, key, context, ident, th, s, e, a, kind = got
+    fresh = met & (kind != WITNESS)
+    yield from _chunks(*(c[fresh] for c in (np.full(len(key), REPEATED), key, context, ident, th, s, e, a)))
     if edges:
         first = _first_of_equals(key, context)
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         variants = np.repeat(np.add.reduceat(first.astype(np.int64), begin), np.diff(np.r_[begin, len(key)]))
         look = first & (variants > 1)
-        settled = met | (kind == WITNESS)
-        yield from _chunks(np.where(settled[look], WITNESS, EDGE), key[look], context[look], ident[look], th[look], s[look], e[look])
+        yield from _chunks(*(c[look] for c in (np.where(met | (kind == WITNESS), WITNESS, EDGE), key, context, ident, th, s, e, a)))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the row key (id, th), which are never null; equal rows have equal keys and equal results."""
-    th = F.hash(F.coalesce("text", F.lit("")), F.col("doc_id").isNull())
-    return texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-1)).alias("id"), th.alias("th"))
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text, the named columns and the row key (id, th), which are never null; equal rows have equal keys and equal results."""
+    th = F.hash(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).bitwiseAND(0xFFFFFF)
+    return texts(docs, *more).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more, F.coalesce("doc_id", F.lit(-1)).alias("id"), th.alias("th"))
 
 
-def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """kind, id, th, s, e: whole contexts that are repeated (s up to e), and edges whose window starts s..e are undecided."""
+def _met(rows: DataFrame, step, edges: bool) -> DataFrame:
+    """kind, id, th, s, e, a of what the two steps say of the entries that ``step`` yields for batches of ``rows``."""
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family()
         for batch in batches:
             for piece in tx.pieces(batch):
-                row, key, context, lo, hi = anchors(*tx.flat(piece.column("text")), length)
-                ident, th = piece.column("id").to_numpy()[row], piece.column("th").to_numpy()[row]
-                family.add(key, context, ident, th, lo.astype(np.int32), hi.astype(np.int32), np.zeros(len(row), np.int8))
+                family.add(*step(piece))
                 if len(family) > FLUSH:
-                    yield from _settle(family, True)
-        yield from _settle(family, True)
+                    yield from _settle(family, edges)
+        yield from _settle(family, edges)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _meet(batches, True)
+        yield from _meet(batches, edges)
 
-    dealt = docs.select("text", "id", "th").mapInArrow(index, _ROWS).repartition(partitions(docs.sparkSession), "key")
-    return dealt.mapInArrow(meet, _ROWS).select("kind", "id", "th", "s", "e")
+    met = rows.mapInArrow(here, _ROWS).repartition(partitions(rows.sparkSession), "key").mapInArrow(meet, _ROWS)
+    s = F.shiftright("meta", 32).cast("int")
+    return met.select(
+        F.col("meta").bitwiseAND(0xFF).cast("int").alias("kind"), "id", F.shiftright("meta", 8).bitwiseAND(0xFFFFFF).cast("int").alias("th"),
+        s.alias("s"), (s + F.col("rel").bitwiseAND(0xFFFF)).alias("e"), (s + F.shiftright("rel", 16)).alias("a"),
+    )
 
 
-def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Contexts that are repeated as a whole (window starts s to e), and edges whose windows are undecided."""
+
+    def step(piece: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        row, key, context, lo, hi, at = anchors(*tx.flat(piece.column("text")), length)
+        return key, context, piece.column("id").to_numpy()[row], piece.column("th").to_numpy()[row], lo.astype(np.int32), hi.astype(np.int32), at.astype(np.int32), np.zeros(len(row), np.int8)
+
+    return _met(docs.select("text", "id", "th"), step, True)
+
+
+def looked_at(docs: DataFrame, marks: DataFrame, length: int, cell: int) -> DataFrame:
+    """Repeats and remaining edges among the undecided windows of ``marks``, in cells of ``cell`` windows counted from the anchor."""
+    edges = marks.where(F.col("kind") != REPEATED).groupBy("id", "th").agg(F.collect_list(F.struct("s", "e", "a", "kind")).alias("edges"))
+
+    def step(piece: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        data, offs = tx.flat(piece.column("text"))
+        p = tx.exact_prefix(data)
+        lists = piece.column("edges")
+        owner = np.repeat(np.arange(piece.num_rows), np.diff(lists.offsets.to_numpy()))
+        lo, hi, at, kind = (lists.flatten().field(c).to_numpy().astype(np.int64) for c in ("s", "e", "a", "kind"))
+        # cell c of an anchor has the windows that start between a - c * cell - cell + 1 and a - c * cell
+        c0, c1 = (at - hi) // cell, (at - lo) // cell
+        n = c1 - c0 + 1
+        c = np.repeat(c0 - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        owner, lo, hi, at, kind = (np.repeat(x, n) for x in (owner, lo, hi, at, kind))
+        last = at - c * cell
+        s, e = np.maximum(lo, last - cell + 1), np.minimum(hi, last)
+        once = np.unique(np.c_[owner, s, e, c], axis=0, return_index=True)[1]  # rows that repeat a key share their edges
+        owner, s, e, last, kind = (x[once] for x in (owner, s, e, last, kind))
+        at_doc = offs[owner]
+        key = tx.span_hash(p, at_doc + last, at_doc + last - cell + 1 + length)
+        context = tx.span_hash(p, at_doc + s, at_doc + e + length) ^ (last - s).astype(np.uint64)
+        kind = np.where(kind == WITNESS, WITNESS, ENTRY).astype(np.int8)
+        return key, context, piece.column("id").to_numpy()[owner], piece.column("th").to_numpy()[owner], s.astype(np.int32), e.astype(np.int32), e.astype(np.int32), kind
+
+    return _met(only(docs, edges.select("id"), "id").join(edges, ["id", "th"]).select("text", "id", "th", "edges"), step, cell > 1)
+
+
+def spans(docs: DataFrame, length: int = LENGTH, cell: int = CELL) -> DataFrame:
     """id, th, s, e: byte ranges of the rows that repeated strings cover; they may overlap."""
-    marks = written(marked(docs, length))
-    whole = marks.where(F.col("kind") == REPEATED).select("id", "th", "s", (F.col("e") + length).alias("e"))
-    edges = marks.where(F.col("kind") != REPEATED).groupBy("id", "th").agg(F.collect_list(F.struct("s", "e", "kind")).alias("edges"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = Family()
-        for batch in batches:
-            for piece in tx.pieces(batch):
-                data, offs = tx.flat(piece.column("text"))
-                p = tx.exact_prefix(data)
-                lists = piece.column("edges")
-                owner = np.repeat(np.arange(piece.num_rows), np.diff(lists.offsets.to_numpy()))
-                flat = lists.flatten()
-                lo, hi, kind = (flat.field(c).to_numpy().astype(np.int64) for c in ("s", "e", "kind"))
-                n = hi - lo + 1
-                at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                owner, kind = np.repeat(owner, n), np.repeat(kind, n)
-                once = np.unique(owner * np.int64(1 << 40) + at, return_index=True)[1]  # rows that repeat a key share their edges
-                owner, at, kind = owner[once], at[once], kind[once]
-                h = tx.span_hash(p, offs[owner] + at, offs[owner] + at + length)
-                kind = np.where(kind == WITNESS, WITNESS, ENTRY).astype(np.int8)
-                family.add(h, h & np.uint64(0), piece.column("id").to_numpy()[owner], piece.column("th").to_numpy()[owner], at.astype(np.int32), at.astype(np.int32), kind)
-                if len(family) > FLUSH:
-                    yield from _settle(family, False)
-        yield from _settle(family, False)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _meet(batches, False)
-
-    near = docs.join(edges, ["id", "th"]).select("text", "id", "th", "edges").mapInArrow(windows, _ROWS).repartition(partitions(docs.sparkSession), "key").mapInArrow(meet, _ROWS)
-    return whole.unionByName(near.where(F.col("kind") == REPEATED).select("id", "th", "s", (F.col("e") + length).alias("e")))
+    found = marks = written(marked(docs, length))
+    for width in (cell, 1):
+        marks = written(looked_at(docs, marks, length, width))
+        found = found.unionByName(marks)
+    return found.where(F.col("kind") == REPEATED).select("id", "th", "s", (F.col("e") + length).alias("e"))
 
 
-def _edited(docs: DataFrame, length: int, schema: str, row) -> DataFrame:
-    """``row`` (bytes, mask of removed bytes) for each document; columns after doc_id as in ``schema``."""
-    docs = keyed(docs)
-    covered = spans(docs, length).groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    names = [f.split()[0] for f in schema.split(", ")]
+def _edited(docs: DataFrame, length: int, columns: str, row, *keep: str) -> DataFrame:
+    """doc_id, the columns ``keep``, and ``columns`` as ``row`` gives them for the bytes of a text and the mask of removed ones."""
+    types = dict(docs.dtypes)
+    docs = keyed(docs, *keep)
+    covered = written(spans(docs, length).groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    schema = ", ".join(["doc_id long", *(f"`{c}` {types[c]}" for c in keep), columns])
+    names = ["doc_id", *keep, *(f.split()[0] for f in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,9 +305,13 @@ def _edited(docs: DataFrame, length: int, schema: str, row) -> DataFrame:
                         np.add.at(step, se[:, 1], -1)
                     out.append(row(own, np.cumsum(step[:-1]) > 0))
                 cols = [pa.array(list(c)) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *cols], names)
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", *keep)), *cols], names)
 
-    return docs.join(covered, ["id", "th"], "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    # texts without repeats, most of them, are not shuffled
+    ids, cols = covered.select("id"), ["doc_id", *dict.fromkeys(["text", *keep])]
+    touched = only(docs, ids, "id").join(covered, ["id", "th"], "left").select(*cols, "spans")
+    rest = only(docs, ids, "id", other=True).select(*cols, F.lit(None).cast("array<struct<s:int,e:int>>").alias("spans"))
+    return touched.mapInArrow(run, schema).unionByName(rest.mapInArrow(run, schema))
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -288,13 +321,13 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         return len(data), int(gone.sum()), runs, hashlib.sha256(data[~gone].tobytes()).hexdigest()
 
-    return _edited(docs, length, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", row)
+    return _edited(docs, length, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", row)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id and text of every row without its repeated bytes; bytes of characters that were cut through go too."""
+def without_repeats(docs: DataFrame, *keep: str, length: int = LENGTH) -> DataFrame:
+    """doc_id, the columns ``keep`` and kept_text, n_removed of every row; bytes of characters that were cut through go from the text too."""
 
     def row(data: np.ndarray, gone: np.ndarray):
-        return (data[~gone].tobytes().decode("utf-8", "ignore") if gone.any() else data.tobytes().decode("utf-8", "replace"),)
+        return data[~gone].tobytes().decode("utf-8", "ignore"), int(gone.sum())
 
-    return _edited(docs, length, "doc_id long, text string", row)
+    return _edited(docs, length, "kept_text string, n_removed long", row, *keep)
