@@ -10,10 +10,13 @@ the cost of passages that many documents share low. A set indexes segments in th
 until their grants exceed H; of two sets the one that stops first has a match within what
 the other has indexed too, so no link is lost.
 
-Sets that are equal form one class. A signature that several classes share links all of
-them to its smallest class; what those pairs don't settle is compared in further rounds
-with the next smallest ones, skipping pairs that are already in one component. Every pair
-is verified on whole sets. Tokens are 64-bit hashes of word n-grams.
+Sets that are equal form one class. In a first round each class is compared with one
+other of those it shares signatures with, the most central of their group, which joins
+most copies to their original. Whatever shares a signature and is not yet in one component
+is then held apart, where that can be, by two bounds that are never more than the number
+of differing tokens: the difference of the distances to the same central class, and the
+distance of histograms. What these can't tell apart is verified on whole sets. Groups of very many classes are
+compared in pairs of blocks, each a task's worth. Tokens are 64-bit hashes of word n-grams.
 
 Defined results: words are lower-cased (A-Z) runs outside white space; a text with fewer
 than n words has its whole word sequence as single token; null and wordless texts have
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import frequent, partitions, texts, written
+from ._spark import id_filter, often, only, partitions, passes, texts, written
 
 NGRAM, PERCENT, FREQUENT, FULL = 5, 80, 2.5e-4, 6
 
@@ -89,23 +92,26 @@ class Signer:
         most = 100 * n // self.percent
         own = band(n)
         rare = tx.found(self.common, tokens) < 0
-        out = [self.under(tokens, rare, own, differences(n, min(most, (2 << own) - 1), self.percent))]
+        place, value = tx.mix(tokens ^ np.uint64(0x5BD1E995)), tx.mix(tokens)
+        common = None if rare.all() else (~rare).astype(np.uint64) << np.uint64(63)
+        out = [self.under(place, value, common, own, differences(n, min(most, (2 << own) - 1), self.percent))]
         if most >= 2 << own:
-            out.append(self.under(tokens, rare, own + 1, differences(n, most, self.percent)))
-        return np.unique(np.concatenate(out))
+            out.append(self.under(place, value, common, own + 1, differences(n, most, self.percent)))
+        return np.concatenate(out)
 
-    def under(self, tokens: np.ndarray, rare: np.ndarray, scheme: int, most: int) -> np.ndarray:
+    def under(self, place: np.ndarray, value: np.ndarray, common: np.ndarray | None, scheme: int, most: int) -> np.ndarray:
         m = segments(2 << scheme)
-        place = tx.mix(tokens ^ np.uint64(0x5BD1E995))
         seg = place % np.uint64(m) if m else place >> np.uint64(1)
-        seg = seg | (np.uint64(0) if rare.all() else (~rare).astype(np.uint64) << np.uint64(63))
+        if common is not None:
+            seg = seg | common
         order = np.argsort(seg, kind="stable")
-        seg, value = seg[order], tx.mix(tokens[order])
+        seg, value = seg[order], value[order]
         first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
         size = np.diff(np.r_[first, len(seg)])
         grants = np.cumsum(np.where(size >= FULL, 2, 1))
         stop = int(np.searchsorted(grants, most + 1)) + 1  # all segments, if they should not suffice
-        first, size, whole = first[:stop], size[:stop], np.add.reduceat(value, first)[:stop]
+        whole = np.add.reduceat(value, first)[:stop]
+        first, size = first[:stop], size[:stop]
         tag = tx.mix(seg[first] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(scheme))
         sigs = [tx.mix(whole ^ tag)]
         for i in np.flatnonzero(size >= FULL):
@@ -134,7 +140,7 @@ def summaries(docs: DataFrame) -> DataFrame:
 
 
 def shared_signatures(docs: DataFrame, common: np.ndarray, parts: int) -> DataFrame:
-    """sig, cls, n, place, size: the signatures that at least two classes have; cls is a class's k1, place its rank among the size classes."""
+    """sig, cls, n, size: the signatures that at least two classes have, ``size`` of them; cls is a class's k1, n how many tokens it has."""
     signer = docs.sparkSession.sparkContext.broadcast(Signer(common))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,12 +180,12 @@ def shared_signatures(docs: DataFrame, common: np.ndarray, parts: int) -> DataFr
         once = np.r_[True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])] if len(sig) else np.zeros(0, bool)
         sig, cls, n = sig[once], cls[once], n[once]
         first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[first, len(sig)]).astype(np.int32)
-        place, size = (np.arange(len(sig)) - np.repeat(first, size)).astype(np.int32), np.repeat(size, size)
+        size = np.diff(np.r_[first, len(sig)])
+        size = np.repeat(size, size).astype(np.int32)
         for i in range(0, len(sig), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 200_000]) for a in (sig, cls, n, place, size)], ["sig", "cls", "n", "place", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 200_000]) for a in (sig, cls, n, size)], ["sig", "cls", "n", "size"])
 
-    return docs.mapInArrow(sign, "sig long, cls long, n int").repartition(parts, "sig").mapInArrow(group, "sig long, cls long, n int, place int, size int")
+    return docs.mapInArrow(sign, "sig long, cls long, n int").repartition(parts, "sig").mapInArrow(group, "sig long, cls long, n int, size int")
 
 
 def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -203,83 +209,246 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, summary: DataFrame, percent: int = PERCENT, block: int = 32) -> DataFrame:
-    """a, b: those pairs of classes (a < b) whose sets reach the likeness.
+    """a, b, apart, linked: the number of differing tokens of each pair of classes, and whether their sets reach the likeness.
 
-    Sets travel once for each pair on the member's side and once for each block of
-    members on the other, so a class with very many partners is spread over tasks.
+    Sets are built from the texts of one document for each class, found by a bitmap of
+    fixed size and an exact join, and travel to their pairs; the partners of a class are
+    dealt in blocks, so one with very many is spread over tasks.
     """
-    wanted = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
-    reps = summary.join(wanted, "k1").groupBy("k1").agg(F.min("doc_id").alias("doc_id"))
-    chosen = docs.join(reps, "doc_id")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in tx.pieces(batch):
-                got = shingles(piece)
-                own = [i for i, (s, k) in enumerate(zip(got, piece.column("k1").to_pylist(), strict=True)) if len(s) and set_key(s)[0] == k]
-                offs = np.r_[0, np.cumsum([len(got[i]) for i in own])].astype(np.int32)
-                values = np.concatenate([got[i] for i in own]) if own else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([piece.column("k1").take(pa.array(own, pa.int64())), pa.ListArray.from_arrays(offs, values.view(np.int64))], ["k1", "tokens"])
-
-    stored = written(chosen.select("text", "k1").mapInArrow(sets, "k1 long, tokens array<long>").dropDuplicates(["k1"]))
-    cut = F.pmod(F.xxhash64("b"), F.lit(1 << 20))
-    degree = pairs.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
-    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(cut, F.col("blocks")).cast("int").alias("block"))
-    members = dealt.join(stored.withColumnRenamed("k1", "b"), "b").select("a", "block", "b", "tokens")
-    heads = dealt.select("a", "block").distinct().join(stored.withColumnRenamed("k1", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "tokens")
+    spark = docs.sparkSession
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    heads = dealt.select("a", "block").distinct().select(F.col("a").alias("k1"), "a", "block", F.lit(0).alias("side"))
+    asked = heads.unionByName(dealt.select(F.col("b").alias("k1"), "a", "block", F.lit(1).alias("side")))
+    asked = written(asked.join(_reps(summary), "k1"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, key = None, None
         for batch in batches:
-            a, blk, b = batch.column("a").to_pylist(), batch.column("block").to_pylist(), batch.column("b").to_pylist()
+            a, blk, side, b = (batch.column(c).to_pylist() for c in ("a", "block", "side", "k1"))
             lists = batch.column("tokens")
             offs, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            out_a, out_b = [], []
+            out = []
             for i in range(batch.num_rows):
                 tokens = values[offs[i] : offs[i + 1]]
-                if b[i] is None:
+                if side[i] == 0:
                     head, key = np.sort(tokens), (a[i], blk[i])
                 elif (a[i], blk[i]) == key:
                     at = np.searchsorted(head, tokens)
                     at[at == len(head)] = 0
                     both = int((head[at] == tokens).sum())
-                    if 100 * both >= percent * (len(head) + len(tokens) - both):
-                        out_a.append(a[i])
-                        out_b.append(b[i])
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                    total = len(head) + len(tokens)
+                    out.append((a[i], b[i], total - 2 * both, 100 * both >= percent * (total - both)))
+            cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "apart", "linked"])
+
+    built = _built(docs, asked.select("rid"), "tokens array<long>", lambda sets: _lists(sets))
+    rows = built.join(asked, ["rid", "k1"]).select("a", "block", "side", "k1", "tokens")
+    return rows.repartition(partitions(spark), "a", "block").sortWithinPartitions("a", "block", "side").mapInArrow(compare, "a long, b long, apart long, linked boolean")
+
+
+def _rid():
+    """doc_id, or the smallest number for rows without."""
+    return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+
+
+def _reps(summary: DataFrame) -> DataFrame:
+    return summary.where("k1 is not null").groupBy("k1").agg(F.min(_rid()).alias("rid"))
+
+
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    offs = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
+    return pa.ListArray.from_arrays(offs, (np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64))
+
+
+def _built(docs: DataFrame, rids: DataFrame, column: str, make) -> DataFrame:
+    """rid, k1 and what ``make`` gives for the sets of the documents whose rid may be among ``rids``."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(rids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = pa.array(passes(bitmap.value, batch.column("rid").to_numpy()))
+            for piece in tx.pieces(batch.filter(some)):
+                got = shingles(piece)
+                own = [i for i, s in enumerate(got) if len(s)]
+                yield pa.RecordBatch.from_arrays([piece.column("rid").take(pa.array(own, pa.int64())), pa.array([set_key(got[i])[0] for i in own], pa.int64()), make([got[i] for i in own])], ["rid", "k1", column.split()[0]])
+
+    return docs.select("text", _rid().alias("rid")).mapInArrow(run, f"rid long, k1 long, {column}")
+
+
+def buckets(n: int) -> int:
+    return 128 if n < 512 else 256 if n < 2048 else 1024
 
-    rows = heads.unionByName(members).repartition(partitions(docs.sparkSession), "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(compare, "a long, b long")
+
+def histogram(tokens: np.ndarray) -> bytes:
+    """How many tokens, 255 at most, fall into each of buckets(n) ranges of a hash."""
+    s = buckets(len(tokens))
+    at = (tx.mix(tokens ^ np.uint64(0x1F3D5B79)) >> np.uint64(54)).astype(np.int64) // (1024 // s)
+    return np.minimum(np.bincount(at, minlength=s), 255).astype(np.uint8).tobytes()
+
+
+def folded(hist: bytes, s: int) -> np.ndarray:
+    """A histogram in s ranges, which are fewer or as many."""
+    return np.minimum(np.frombuffer(hist, np.uint8).reshape(s, -1).sum(1, dtype=np.int16), 255)
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], group: str, *columns: str) -> tuple[list, np.ndarray] | None:
+    """The columns of a whole partition by group, the most central classes first, and the groups' first places."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return None
+    t = pa.Table.from_batches(got)
+    cols = [t.column(c).to_numpy() for c in (group, *columns)]
+    order = np.lexsort((t.column("cls").to_numpy(), -t.column("central").to_numpy(), cols[0]))
+    cols = [c[order] for c in cols]
+    return cols, np.r_[np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]]), len(order)]
+
+
+def one_each(live: DataFrame, percent: int) -> DataFrame:
+    """a, b: for each class b that is not the most central one of all its groups, of those that are the one it shares most signatures with."""
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _by_group(batches, "sig", "cls", "n")
+        if got is None:
+            return
+        (sig, cls, n), first = got
+        n = n.astype(np.int64)
+        head = np.repeat(first[:-1], np.diff(first))
+        fit = (head < np.arange(len(sig))) & (100 * np.minimum(n, n[head]) >= percent * np.maximum(n, n[head]))
+        pair, votes = np.unique(np.c_[cls[fit], cls[head[fit]]], axis=0, return_counts=True)
+        order = np.lexsort((pair[:, 1], -votes, pair[:, 0]))  # a task speaks for one other class only
+        pair, votes = pair[order], votes[order]
+        once = np.r_[True, pair[1:, 0] != pair[:-1, 0]] if len(pair) else np.zeros(0, bool)
+        pair, votes = pair[once], votes[once]
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(votes)], ["b", "a", "votes"])
+
+    votes = live.repartition(partitions(live.sparkSession), "sig").mapInArrow(propose, "b long, a long, votes long").groupBy("b", "a").agg(F.sum("votes").alias("votes"))
+    return votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
+
+
+def described(live: DataFrame, docs: DataFrame, summary: DataFrame) -> DataFrame:
+    """cls, n, central, hist: one row for each class."""
+    nodes = live.groupBy("cls").agg(F.first("n").alias("n"), F.first("central").alias("central"))
+    nodes = written(nodes.join(_reps(summary).withColumnRenamed("k1", "cls"), "cls"))
+    hists = _built(docs, nodes.select("rid"), "hist binary", lambda sets: pa.array([histogram(s) for s in sets], pa.binary()))
+    hists = hists.join(nodes.select("rid", F.col("cls").alias("k1")), ["rid", "k1"]).select(F.col("k1").alias("cls"), "hist")
+    return written(nodes.drop("rid").join(hists, "cls").dropDuplicates(["cls"]))
+
+
+def not_apart(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose histograms allow the likeness."""
+    of = lambda c: nodes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("hist").alias(f"h{c}"))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("na", "nb", "ha", "hb")]
+            keep = []
+            for na, nb, ha, hb in zip(*cols, strict=True):
+                s = min(len(ha), len(hb))
+                keep.append(int(np.abs(folded(ha, s) - folded(hb, s)).sum()) <= differences(na, nb, percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(bound, "a long, b long")
+
+
+def close_pairs(live: DataFrame, nodes: DataFrame, pivots: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+    """a, b: all pairs of classes of different components that share a signature and that the bounds don't hold apart.
+
+    pivots: (cls, pivot, away; null where the distance is not known). Classes with one pivot
+    meet once, in its group; groups of a signature are for classes with different ones.
+    """
+    spark = live.sparkSession
+    labels = live.groupBy("cls").agg(F.first("label").alias("label"))
+    away = F.when(F.col("pivot").isNull(), 0).otherwise(F.coalesce("away", F.lit(-1)))
+    nodes = nodes.join(labels, "cls").join(pivots, "cls", "left").withColumn("away", away).withColumn("pivot", F.coalesce("pivot", "cls"))
+    nodes = written(nodes)
+    kept = ["cls", "n", "label", "central", "pivot", "away"]
+    by_sig = live.select("sig", "cls").join(nodes.select("cls", "pivot", "label"), "cls")
+    mixed = by_sig.groupBy("sig").agg(F.min("pivot").alias("p0"), F.max("pivot").alias("p1"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size"))
+    mixed = mixed.where("p0 <> p1 and l0 <> l1").select(F.col("sig").alias("group"), "size", F.lit(1).alias("by"))
+    family = nodes.groupBy("pivot").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size")).where("l0 <> l1")
+    members = by_sig.select(F.col("sig").alias("group"), "cls").join(mixed, "group").unionByName(
+        nodes.select(F.col("pivot").alias("group"), "cls").join(family.select(F.col("pivot").alias("group"), "size", F.lit(0).alias("by")), "group")
+    )
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    own = members.withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    # a block meets itself and every other one: pair (i, j) is with i on the left and j on the right
+    cell = F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(i, j) as i, greatest(i, j) as j))"))
+    dealt = own.select("group", "by", "cls", F.col("i").alias("mine"), cell.alias("cell")).select("group", "by", "cls", "mine", "cell.*")
+    side = F.when(F.col("i") == F.col("j"), 2).when(F.col("mine") == F.col("i"), 0).otherwise(1)
+    dealt = dealt.select(F.xxhash64("group", "by", "i", "j").alias("cell"), "by", "cls", side.alias("side"))
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _by_group(batches, "cell", "cls", "n", "label", "side", "by", "hist", "pivot", "away")
+        if got is None:
+            return
+        (_, cls, n, label, side, by, hist, pivot, away), first = got
+        n = n.astype(np.int64)
+        size = np.diff(first)
+        level = np.where(n < 512, 128, np.where(n < 2048, 256, 1024))
+        tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        out = []
+        for s in (128, 256, 1024):
+            rows = np.flatnonzero(level >= s)
+            at = np.full(len(n), -1)
+            at[rows] = np.arange(len(rows))
+            tables[s] = at, np.array([folded(hist[r], s) for r in rows], np.int16).reshape(len(rows), s)
+        for g in np.unique(size[size > 1]).tolist():
+            left, right = np.triu_indices(g, 1)
+            starts = first[:-1][size == g]
+            step = max(1, 500_000 // len(left))
+            for k in range(0, len(starts), step):
+                base = starts[k : k + step, None]
+                for c in range(0, len(left), 500_000):
+                    i, j = (base + left[c : c + 500_000]).ravel(), (base + right[c : c + 500_000]).ravel()
+                    fit = (label[i] != label[j]) & ((side[i] == 2) | (side[i] != side[j])) & ((by[i] == 0) | (pivot[i] != pivot[j]))
+                    fit &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                    i, j = i[fit], j[fit]
+                    most = (n[i] + n[j]) * (100 - percent) // (100 + percent)
+                    fit = (pivot[i] != pivot[j]) | (np.minimum(away[i], away[j]) < 0) | (np.abs(away[i] - away[j]) <= most)
+                    i, j, most = i[fit], j[fit], most[fit]
+                    for s, (at, table) in tables.items():  # each pair at the finest division that both have
+                        own = np.flatnonzero(np.minimum(level[i], level[j]) == s)
+                        for q in range(0, len(own), 20_000):
+                            p = own[q : q + 20_000]
+                            near = p[np.abs(table[at[i[p]]] - table[at[j[p]]]).sum(1, dtype=np.int64) <= most[p]]
+                            out.append(np.c_[cls[i[near]], cls[j[near]]])
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return dealt.join(nodes.select(*kept, "hist"), "cls").repartition(partitions(spark), "cell").mapInArrow(hold, "a long, b long").distinct()
 
 
 def class_components(docs: DataFrame, summary: DataFrame, percent: int = PERCENT, share: float = FREQUENT) -> tuple[DataFrame | None, DataFrame | None]:
-    """(node, label) of the classes that link with others, and the verified links (a, b); None without any."""
+    """(node, label) of the classes that link with others, and verified links (a, b) that connect them; None without any."""
     spark = docs.sparkSession
-    common = frequent(docs.select("text"), _distinct, share, local=0.75, least=8)[0]
-    live = written(shared_signatures(docs.select("text"), common, partitions(spark)).withColumn("label", F.col("cls")))
-    links, labels, pivots, done = None, None, 1, 0
-    while not live.isEmpty():
-        # the classes at places below ``done`` have been compared with all others of their groups
-        pivot = live.where((F.col("place") >= done) & (F.col("place") < done + pivots)).select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("place").alias("pa"))
-        later = live.where(F.col("place") > done).select("sig", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("place").alias("pb"))
-        apart = (F.col("pb") > F.col("pa")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        pairs = written(later.join(pivot, "sig").where(apart).select("a", "b").distinct())
-        if not pairs.isEmpty():
-            new = written(verified(pairs, docs, summary, percent))
-            links = new if links is None else written(links.union(new).distinct())
-            labels = components(links)
-        done, pivots = done + pivots, max(2, pivots * 2)
-        live = live.where(F.col("size") > done + 1).drop("label")
-        if labels is not None:
-            live = live.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        else:
-            live = live.withColumn("label", F.col("cls"))
-        live = written(live)
-        open_ = live.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-        live = written(live.join(open_, "sig", "left_semi"))
+    common = often(docs.select("text"), _distinct, share, local=0.75, least=8)[0]
+    live = written(shared_signatures(docs.select("text"), common, partitions(spark)))
+    central = live.groupBy("cls").agg(F.sum("size").alias("central"))
+    live = written(live.drop("size").join(central, "cls").withColumn("label", F.col("cls")))
+    if live.isEmpty():
+        return None, None
+    nodes = described(live, docs, summary)
+    first = written(one_each(live, percent))
+    known = written(verified(written(not_apart(first, nodes, percent)), docs, summary, percent))
+    links = known.where("linked").select("a", "b")
+    labels = components(links)
+    live = written(_relabelled(live, labels))
+    pivots = first.join(known.select("a", "b", "apart"), ["a", "b"], "left").select(F.col("b").alias("cls"), F.col("a").alias("pivot"), F.col("apart").alias("away"))
+    rest = written(close_pairs(live, nodes, pivots, percent))
+    if not rest.isEmpty():
+        links = written(links.union(verified(rest, docs, summary, percent).where("linked").select("a", "b")).distinct())
+        labels = components(links)
     return labels, links
 
 
+def _relabelled(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """The groups that still hold classes of several components, with their labels."""
+    now = live.drop("label").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    mixed = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+    return now.join(mixed, "sig", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = texts(docs)
@@ -293,6 +462,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the smallest id of their component; rows that repeat an id stay together."""
-    found = near_duplicates(docs, percent).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs``, all columns, that are the smallest id of their component.
+
+    Rows that repeat that id stay together, and so do rows without id. Only rows whose id
+    may be one of those dropped are shuffled.
+    """
+    dropped = written(near_duplicates(docs, percent).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct())
+    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    return only(rows, dropped, "__id", other=True).unionByName(only(rows, dropped, "__id").join(dropped, "__id", "left_anti")).select(*docs.columns)
