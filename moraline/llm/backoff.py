@@ -247,7 +247,8 @@ def scored(docs: DataFrame, held_out, model: Automaton) -> DataFrame:
         yield _sums(ids, zero > 0, zero, zero, total(n * (c > 0)), total(base), total(n * (c == 0)), total(score))
         yield _sums(np.zeros(0, np.int64), *(np.zeros(0, x) for x in (bool, int, int, int, float, int, float)), distinct=distinct)
 
-    met = rows.mapInArrow(read, "key long, uid long, n int, info binary").repartition(partitions(spark), "key").mapInArrow(count, _SUMS)
+    # more partitions than usual: a text's words then rarely meet in one, and sums of a text grow with its words, not with its number of partitions
+    met = rows.mapInArrow(read, "key long, uid long, n int, info binary").repartition(2 * partitions(spark), "key").mapInArrow(count, _SUMS)
     sums = ["n_tokens", "n_known", "base", "unseen", "score"]
     return met.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in sums))
 
