@@ -33,7 +33,15 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is now written
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes the files of tables that written() gave and that no later action reads."""
+    for t in tables:
+        _remove(t.sparkSession, t.scratch_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -62,13 +70,15 @@ def crc(column: str = "doc_id"):
 Items = Callable[[pa.RecordBatch], tuple[np.ndarray, int]]
 
 
-def often(rows: DataFrame, items: Items, share: float, local: float = 0.25, least: int = 1) -> tuple[np.ndarray, int]:
+def often(rows: DataFrame, items: Items, share: float, local: float = 0.25, least: int = 1, floor: int = 1) -> tuple[np.ndarray, int]:
     """A sorted list with all items whose count reaches max(least, share * total), and the total; one scan.
 
     Each task keeps the items that have ``local`` of the share there. What an item loses by
     that is under ``local`` of the bound, so those whose kept counts sum to the rest of it
     include all that are wanted. They are at most (items per total) / ((1 - local) * share),
-    however large the input is, so the list may be broadcast.
+    however large the input is, so the list may be broadcast. With ``floor`` 2 what a task
+    sees once doesn't count there, which spares a shuffle of nearly all items where tasks
+    are small; the list may then lack items that many tasks have once each.
     """
 
     def kept_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +95,7 @@ def often(rows: DataFrame, items: Items, share: float, local: float = 0.25, leas
 
     def candidates(keys: np.ndarray, n: np.ndarray, total: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["item", "n"])
-        keep = n >= local * share * total
+        keep = n >= max(floor, local * share * total)
         yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(n[keep])], ["item", "n"])
 
     seen = written(rows.mapInArrow(kept_here, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")))

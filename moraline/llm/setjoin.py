@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import id_filter, often, only, partitions, passes, texts, written
+from ._spark import drop, id_filter, often, only, partitions, passes, texts, written
 
 NGRAM, PERCENT, FREQUENT, FULL = 5, 80, 2.5e-4, 6
 
@@ -422,10 +422,11 @@ def close_pairs(live: DataFrame, nodes: DataFrame, pivots: DataFrame, percent: i
 def class_components(docs: DataFrame, summary: DataFrame, percent: int = PERCENT, share: float = FREQUENT) -> tuple[DataFrame | None, DataFrame | None]:
     """(node, label) of the classes that link with others, and verified links (a, b) that connect them; None without any."""
     spark = docs.sparkSession
-    common = often(docs.select("text"), _distinct, share, local=0.75, least=8)[0]
-    live = written(shared_signatures(docs.select("text"), common, partitions(spark)))
-    central = live.groupBy("cls").agg(F.sum("size").alias("central"))
-    live = written(live.drop("size").join(central, "cls").withColumn("label", F.col("cls")))
+    common = often(docs.select("text"), _distinct, share, local=0.75, least=8, floor=2)[0]
+    shared = written(shared_signatures(docs.select("text"), common, partitions(spark)))
+    central = shared.groupBy("cls").agg(F.sum("size").alias("central"))
+    live = written(shared.drop("size").join(central, "cls").withColumn("label", F.col("cls")))
+    drop(shared)
     if live.isEmpty():
         return None, None
     nodes = described(live, docs, summary)
@@ -433,9 +434,11 @@ def class_components(docs: DataFrame, summary: DataFrame, percent: int = PERCENT
     known = written(verified(written(not_apart(first, nodes, percent)), docs, summary, percent))
     links = known.where("linked").select("a", "b")
     labels = components(links)
-    live = written(_relabelled(live, labels))
+    left = written(_relabelled(live, labels))
+    drop(live)
     pivots = first.join(known.select("a", "b", "apart"), ["a", "b"], "left").select(F.col("b").alias("cls"), F.col("a").alias("pivot"), F.col("apart").alias("away"))
-    rest = written(close_pairs(live, nodes, pivots, percent))
+    rest = written(close_pairs(left, nodes, pivots, percent))
+    drop(left, nodes)
     if not rest.isEmpty():
         links = written(links.union(verified(rest, docs, summary, percent).where("linked").select("a", "b")).distinct())
         labels = components(links)
