@@ -1,15 +1,18 @@
-"""Language-model scores from a weighted backoff automaton.
-
-States are the n-grams (up to order - 1 words) that training texts repeat in at least a
-fixed share of their tokens, so there is a bounded number of them whatever the corpus; the
-empty history is the root. An arc for a word leads to the longest state that ends the new
-history and carries the discounted log-probability; without an arc the failure arc to the
-history without its first word is taken, which carries the log of the backoff weight. A
-text is read once from left to right. Below the states, the probability of a word is its
-discounted unigram probability, whose count covers every training text: words that are not
-in the automaton meet their counts in a shuffle by word, and only sums for each text come
-back. Unseen words are one class with the discounted rest of the mass, so probabilities
-sum to one over the words seen and that class.
+"""Language-model scores of a backoff model of words, bigrams and trigrams.
+
+States are all words of the training texts and all n-grams (up to order 3) that occur
+LEAST times or more there, whatever the size of the corpus; they stay in distributed
+tables. A text is scored as a weighted backoff automaton would read it: the arc of the
+longest n-gram that is a state, or the failure arcs (logs of backoff weights) down to one.
+As the history and the rest of a state are states too, that sum falls apart into a value
+for each n-gram of the text, whatever stands beside it: a word gives its discounted
+unigram log-probability and its backoff weight, a longer n-gram gives what its arc has
+more than the failure arc and the shorter arc it replaces, and its own backoff weight.
+So n-grams meet their values in a shuffle by n-gram and only sums for each text come back;
+values of n-grams with a fixed share of the tokens are broadcast, as a shortcut. Keys are
+taken in ROUNDS parts, one after the other, to hold less on disk. Unseen words are one
+class with the discounted rest of the mass, so probabilities sum to one over the words
+seen and that class. Automaton and learn() are the same model in one machine's memory.
 
 Tokens are lower-cased words and one end for each text; histories begin with an end.
 Defined results: null text is the empty text, which is its end alone; rows that repeat an
@@ -23,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import crc, frequent, partitions, texts, written
+from ._spark import crc, drop, frequent, id_filter, passes, texts, written
 
 ORDER, WORD_SHARE, GRAM_SHARE, DISCOUNT, FOLDS, HELD_OUT = 3, 1e-6, 2e-6, 0.75, 5, 1
+LEAST, ROUNDS, HELD = 2, 4, 2_000_000  # ROUNDS is a power of two; a task counts up to HELD n-grams at once
 END = np.uint64(0xE4D0F7E87A1C3B55)
 _SALT = tx.seeds(4, 91) | np.uint64(1)
 
@@ -178,111 +182,194 @@ def parents(train: DataFrame, model: Automaton, keys: np.ndarray, k: int) -> tup
     return history, suffix
 
 
-_INFO = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("n", "<i8"), ("known", "<i8"), ("score", "<f8"), ("base", "<f8")])
+def pair(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """The key of a k-gram from those of its history and of its rest."""
+    return tx.mix(tx.mix(a * _SALT[0]) ^ b * _SALT[1]) ^ np.uint64(k)
 
 
-def scored(docs: DataFrame, held_out, model: Automaton) -> DataFrame:
-    """uid, doc_id, held_out, n_tokens, n_known, base (sum of log10(c + 0.5)), unseen, score (without the unseen words' part); and one row with
-    uid null whose n_known is the number of distinct training tokens."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    rows = docs.select("doc_id", "text", held_out.alias("held_out"), F.monotonically_increasing_id().alias("uid"))
+def states(t: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """k, places, keys, keys of histories and keys of rests of the k-grams within rows; a word is its own key."""
+    room = np.arange(len(t)) - np.repeat(begin[:-1], np.diff(begin))
+    at = np.flatnonzero(room >= 1)
+    yield 1, at, t[at], t[at], np.zeros(len(at), np.uint64)
+    below = t
+    for k in range(2, ORDER + 1):
+        at = np.flatnonzero(room >= k - 1)
+        a, b = below[at - 1], below[at]
+        key = np.zeros(len(t), np.uint64)
+        key[at] = pair(a, b, k)
+        yield k, at, key[at], a, b
+        below = key
+
+
+def counted(train: DataFrame, part: int) -> DataFrame:
+    """k, key, a, b, c of all words and of the k-grams with LEAST occurrences or more, of one part of the keys."""
+
+    def here(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for k, arrays in held.items():
+            key, a, b = (np.concatenate(x) for x in zip(*arrays, strict=True))
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[first, len(key)])
+            some = order[first]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), pa.array(a[some].view(np.int64)), pa.array(b[some].view(np.int64)), pa.array(n)], ["k", "a", "b", "n"])
+        held.clear()
+        tx.release()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        waiting = 0
+        for batch in batches:
+            for piece in tx.pieces(batch):
+                for k, _, key, a, b in states(*tokens(piece)):
+                    own = key & np.uint64(ROUNDS - 1) == part
+                    held.setdefault(k, []).append((key[own], a[own], b[own]))
+                    waiting += int(own.sum())
+                if waiting > HELD:
+                    yield from here(held)
+                    waiting = 0
+        yield from here(held)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, a, b = (batch.column(c).to_numpy() for c in ("k", "a", "b"))
+            key = a.copy()
+            for j in range(2, ORDER + 1):
+                key[k == j] = pair(a[k == j].view(np.uint64), b[k == j].view(np.uint64), j).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(key), *(batch.column(c) for c in ("a", "b", "c"))], ["k", "key", "a", "b", "c"])
+
+    sums = train.mapInArrow(run, "k int, a long, b long, n long").groupBy("k", "a", "b").agg(F.sum("n").alias("c"))
+    return sums.where((F.col("k") == 1) | (F.col("c") >= LEAST)).mapInArrow(keyed, "k int, key long, a long, b long, c long")
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def level(grams: DataFrame, below: DataFrame, discount: float) -> tuple[DataFrame, DataFrame]:
+    """key, c, p and delta (what an arc has more than the shorter way) of the k-grams; and key and back (log of the backoff weight) of their histories.
+
+    ``below`` has key, c and p of the (k-1)-grams.
+    """
+    rest = lambda x: F.greatest(F.least(1 - x, F.lit(1.0)), F.lit(1e-6))
+    g = grams.select("key", "a", "b", "c").join(below.select(F.col("key").alias("b"), F.col("p").alias("lower")), "b").select("key", "a", "c", "lower")
+    sums = g.groupBy("a").agg(F.sum(F.col("c") - discount).alias("taken"), F.sum("lower").alias("shorter"))
+    history = written(
+        sums.join(below.select(F.col("key").alias("a"), F.col("c").alias("size")), "a").select("a", "size", F.log10(rest(F.col("taken") / F.col("size")) / rest(F.col("shorter"))).alias("back"))
+    )
+    p = (F.col("c") - discount) / F.col("size")
+    arcs = written(g.join(history, "a").select("key", "c", p.alias("p"), (F.log10(p) - F.col("back") - F.log10("lower")).alias("delta")))
+    back = written(history.select(F.col("a").alias("key"), "back"))
+    drop(history)
+    return arcs, back
+
+
+def values(train: DataFrame, discount: float) -> tuple[DataFrame, int, int]:
+    """key, c, v (the value) and base (log10(c + 0.5), of words only) of all states; the training tokens; the distinct ones."""
+    counts = [written(counted(train, part)) for part in range(ROUNDS)]
+    grams = union(counts)
+    row = grams.where("k = 1").agg(F.sum("c").alias("n"), F.count("*").alias("distinct")).first()
+    total, distinct = int(row.n or 0), int(row.distinct)
+    p = (F.col("c") - discount) / max(total, 1)
+    arcs = written(grams.where("k = 1").select("key", "c", p.alias("p"), F.log10(p).alias("delta")))
+    out = []
+    for k in range(2, ORDER + 2):
+        word = F.log10(F.col("c") + 0.5) if k == 2 else F.lit(None).cast("double")
+        if k > ORDER:
+            out.append(written(arcs.select("key", "c", F.col("delta").alias("v"), word.alias("base"))))
+            drop(arcs)
+            break
+        longer, back = level(grams.where(F.col("k") == k), arcs, discount)
+        out.append(written(arcs.join(back, "key", "left").select("key", "c", (F.col("delta") + F.coalesce("back", F.lit(0.0))).alias("v"), word.alias("base"))))
+        drop(arcs, back)
+        arcs = longer
+    drop(*counts)
+    return union(out), total, distinct
+
+
+_SENT = "key long, uid long, info struct<doc_id: long, n_tokens: long, n_known: long, base: double, score: double>"
+_FIELDS = ["doc_id", "n_tokens", "n_known", "base", "score"]
+
+
+def scored(rows: DataFrame, states_: DataFrame, total: int) -> DataFrame:
+    """uid, doc_id, n_tokens, n_known, base (sum of log10(c + 0.5) of known words) and score (without the unseen words' part)."""
+    spark = rows.sparkSession
+    often = (F.col("base").isNotNull() & (F.col("c") >= WORD_SHARE * total)) | (F.col("base").isNull() & (F.col("c") >= GRAM_SHARE * total))
+    got = states_.where(often).select("key", "v", "base").toArrow()
+    key = got.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    hot = spark.sparkContext.broadcast((key[order], got.column("v").to_numpy()[order], got.column("base").to_numpy()[order]))
+    sums = [written(_met(rows, states_.where(~often), hot, part)) for part in range(ROUNDS)]
+    return union(sums).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in _FIELDS[1:]))
+
+
+def _met(rows: DataFrame, states_: DataFrame, hot, part: int) -> DataFrame:
+    """The sums of one part of the keys. What isn't broadcast is sent by its key if the filter passes it, one row for each occurrence."""
+    mine = states_.where(F.col("key").bitwiseAND(F.lit(ROUNDS - 1)) == part).select("key", "v", "base")
+    bitmap = rows.sparkSession.sparkContext.broadcast(id_filter(mine.select("key")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        base = np.log10(m.counts + 0.5)
+        keys, v, base = hot.value
         for batch in batches:
             for piece in tx.pieces(batch):
                 t, begin = tokens(piece)
-                own = inner(begin)
-                weight, known = m.read(t, begin)
-                at = tx.found(m.words, t)
-                uid, held = piece.column("uid").to_numpy(), piece.column("held_out").to_numpy(zero_copy_only=False)
+                uid = piece.column("uid").to_numpy()
                 row = np.repeat(np.arange(len(uid)), np.diff(begin))
-                info = np.zeros(len(uid), _INFO)
-                info["null"] = piece.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-                info["doc_id"] = piece.column("doc_id").fill_null(0).to_numpy()
-                info["n"] = np.bincount(row[own], minlength=len(uid))
-                info["known"] = np.bincount(row[own & known], minlength=len(uid))
-                info["score"] = np.bincount(row[own], weight[own], len(uid))
-                some = own & known
-                info["base"] = np.bincount(row[some], base[at[some]], len(uid)) if some.any() else 0.0
-                yield _rows(tx.mix(uid.view(np.uint64)), uid, np.zeros(len(uid), np.int32), pa.array([x.tobytes() for x in info], pa.binary()))
-                rare = own & ~known
-                h, r = t[rare], row[rare]
-                order = np.lexsort((h, r))
-                h, r = h[order], r[order]
-                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) if len(h) else np.zeros(0, np.int64)
-                n = np.diff(np.r_[first, len(h)]).astype(np.int32)
-                h, r = h[first], r[first]
-                yield _rows(h, uid[r], np.where(held[r], -n, n), pa.nulls(len(h), pa.binary()))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for batch in batches:
-            n = batch.column("n").to_numpy()
-            whole = n == 0
-            if whole.any():
-                info = np.frombuffer(b"".join(batch.column("info").filter(pa.array(whole)).to_pylist()), _INFO)
-                yield _sums(batch.column("uid").to_numpy()[whole], info["null"] == 0, info["doc_id"], info["n"], info["known"], info["base"], np.zeros(len(info), np.int64), info["score"])
-            parts.append((batch.column("key").to_numpy()[~whole].view(np.uint64), batch.column("uid").to_numpy()[~whole], n[~whole]))
-        if not parts:
-            return
-        key, uid, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-        del parts
-        order = np.argsort(key, kind="stable")
-        key, uid, n = key[order], uid[order], n[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        c = np.add.reduceat(np.maximum(n, 0).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        distinct = int((c > 0).sum())
-        c, n = np.repeat(c, np.diff(np.r_[first, len(key)])), np.abs(n).astype(np.int64)
-        m = sent.value
-        base = n * np.log10(c + 0.5)
-        score = np.where(c > 0, n * np.log10(np.maximum(c - m.discount, 1e-9) / m.total), 0.0)
-        order = np.argsort(uid, kind="stable")
-        uid = uid[order]
-        first = np.flatnonzero(np.r_[True, uid[1:] != uid[:-1]]) if len(uid) else np.zeros(0, np.int64)
-        total = lambda x: np.add.reduceat(x[order], first) if len(first) else x[:0]
-        ids, zero = uid[first], np.zeros(len(first), np.int64)
-        yield _sums(ids, zero > 0, zero, zero, total(n * (c > 0)), total(base), total(n * (c == 0)), total(score))
-        yield _sums(np.zeros(0, np.int64), *(np.zeros(0, x) for x in (bool, int, int, int, float, int, float)), distinct=distinct)
-
-    # more partitions than usual: a text's words then rarely meet in one, and sums of a text grow with its words, not with its number of partitions
-    met = rows.mapInArrow(read, "key long, uid long, n int, info binary").repartition(2 * partitions(spark), "key").mapInArrow(count, _SUMS)
-    sums = ["n_tokens", "n_known", "base", "unseen", "score"]
-    return met.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in sums))
-
-
-_SUMS = "uid long, doc_id long, n_tokens long, n_known long, base double, unseen long, score double"
-
-
-def _rows(key: np.ndarray, uid: np.ndarray, n: np.ndarray, info: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(uid), pa.array(n.astype(np.int32)), info], ["key", "uid", "n", "info"])
-
-
-def _sums(uid, has_id, doc_id, n, known, base, unseen, score, distinct: int | None = None) -> pa.RecordBatch:
-    cols = [pa.array(uid), pa.array(doc_id, pa.int64(), mask=~has_id), *(pa.array(x) for x in (n.astype(np.int64), known.astype(np.int64), base, unseen.astype(np.int64), score))]
-    if distinct is not None:
-        cols = [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([0]), pa.array([distinct]), pa.array([0.0]), pa.array([0]), pa.array([0.0])]
-    return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in _SUMS.split(", ")])
-
-
-def report(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
+                known, bases, score = (np.zeros(len(uid)) for _ in range(3))
+                for k, place, key, _, _ in states(t, begin):
+                    own = key & np.uint64(ROUNDS - 1) == part
+                    key, r = key[own], row[place[own]]
+                    at = tx.found(keys, key)
+                    some = at >= 0
+                    score += np.bincount(r[some], v[at[some]], len(uid))
+                    if k == 1:
+                        known += np.bincount(r[some], minlength=len(uid))
+                        bases += np.bincount(r[some], base[at[some]], len(uid))
+                    key, r = key[~some], r[~some]
+                    some = passes(bitmap.value, key.view(np.int64))
+                    yield _rows(key[some], uid[r[some]], pa.nulls(int(some.sum()), _INFO))
+                n = np.diff(begin) - 1 if part == 0 else np.zeros(len(uid), np.int64)
+                info = [piece.column("doc_id"), pa.array(n), pa.array(known.astype(np.int64)), pa.array(bases), pa.array(score)]
+                yield _rows(tx.mix(uid.view(np.uint64)), uid, pa.StructArray.from_arrays(info, fields=list(_INFO)))
+
+    def both(own: str, met: Column) -> Column:
+        return F.sum(F.coalesce(F.col(f"info.{own}"), met)).alias(own)
+
+    met = rows.mapInArrow(read, _SENT).join(mine, "key", "left")
+    return met.groupBy("uid").agg(
+        F.max("info.doc_id").alias("doc_id"),
+        both("n_tokens", F.lit(0)),
+        both("n_known", F.col("base").isNotNull().cast("long")),
+        both("base", F.coalesce("base", F.lit(0.0))),
+        both("score", F.coalesce("v", F.lit(0.0))),
+    )
+
+
+_INFO = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+
+
+def _rows(key: np.ndarray, uid: np.ndarray, info: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(uid), info], ["key", "uid", "info"])
+
+
+def report(docs: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    docs = texts(docs)
     held_out = F.pmod(crc(), F.lit(FOLDS)) == HELD_OUT
-    model = learn(docs.where(~held_out).select("text"), order, discount=discount)
-    sums = written(scored(docs, held_out, model))
-    rare = sums.where("uid is null").first()
-    distinct = int(len(model.words) + (rare.n_known if rare else 0))
-    n = int(model.total) if distinct else 0
+    rows = written(texts(docs).select("doc_id", "text", F.monotonically_increasing_id().alias("uid")))  # read several times, with the same uid
+    states_, n, distinct = values(rows.where(~held_out).select("text"), discount)
+    sums = written(scored(rows, states_, n))
     unseen = np.log10(discount * distinct / n) if n else 0.0
-    return sums.where("uid is not null").select(
+    new = F.col("n_tokens") - F.col("n_known")
+    return sums.select(
         "doc_id",
         held_out.alias("held_out"),
         "n_tokens",
         "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * float(np.log10(n + 0.5 * (distinct + 1)))).alias("base_score"),
-        (F.col("score") + F.col("unseen") * float(unseen)).alias("score"),
+        (F.col("base") + new * float(np.log10(0.5)) - F.col("n_tokens") * float(np.log10(n + 0.5 * (distinct + 1)))).alias("base_score"),
+        (F.col("score") + new * float(unseen)).alias("score"),
     )

@@ -109,6 +109,44 @@ def test_probabilities_sum_to_one(spark):
         assert total == pytest.approx(1.0, abs=1e-6)
 
 
+def test_rare_grams_of_a_large_table_are_states(spark):
+    """Brute force over every n-gram of count 2 or more, on so many tokens that a share of them is more than 2."""
+    filler = " ".join(["f g"] * 2_500)
+    rows = [(i, filler) for i in range(400)] + [(1000 + i, f"u{i} p q r s v{i % 7}") for i in range(12)] + [(2000 + i, f"p q r x{i} q r s p q") for i in range(10)]
+    train, tokens = {}, {}
+    for i, text in rows:
+        tokens[i] = ["END", *text.split(), "END"]
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            train[i] = tokens[i]
+    c = {k: collections.Counter(g for t in train.values() for g in zip(*(t[j:] for j in range(k)))) for k in (2, 3)}
+    c = {k: collections.Counter({g: n for g, n in v.items() if n >= 2}) for k, v in c.items()}
+    c[1] = collections.Counter((w,) for t in train.values() for w in t[1:])
+    total = sum(c[1].values())
+    assert total * 1e-6 > 1 and total * 2e-6 > 2
+    after = collections.defaultdict(list)
+    for k in (2, 3):
+        for g in c[k]:
+            after[g[:-1]].append(g)
+
+    def p(g):
+        if len(g) == 1:
+            return (c[1][g] - 0.75) / total if c[1][g] else 0.75 * len(c[1]) / total
+        return (c[len(g)][g] - 0.75) / c[len(g) - 1][g[:-1]] if g in c[len(g)] else back(g[:-1]) * p(g[1:])
+
+    weights = {}
+
+    def back(h):
+        if h not in weights:
+            clip = lambda x: min(max(x, 1e-6), 1)
+            weights[h] = clip(1 - sum(map(p, after[h]))) / clip(1 - sum(p(g[1:]) for g in after[h])) if h in after else 1.0
+        return weights[h]
+
+    want = {i: sum(math.log10(p(tuple(t[max(j - 2, 0) : j + 1]))) for j in range(1, len(t))) for i, t in tokens.items()}
+    got = {r.doc_id: r.score for r in backoff.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-6) for i in want)
+
+
 def test_neighbours(spark, nothing):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 16)).astype(np.float32)
