@@ -247,7 +247,16 @@ def q_decode_top1(spark, sf_dir):
     f"WITH {_TOK}, {_MAP}, f AS (SELECT token, hira, prob FROM mp WHERE prob >= 1e-2), pw AS (SELECT DISTINCT translate(word, '{ACCENTED}', '{PLAIN}') AS plain FROM tok WHERE length(word) = 3), x AS (SELECT plain, a.hira || b.hira || c.hira AS decoded, ln(a.prob) + ln(b.prob) + ln(c.prob) AS lp FROM pw JOIN f a ON a.token = plain[1] JOIN f b ON b.token = plain[2] JOIN f c ON c.token = plain[3]), r AS (SELECT *, row_number() OVER (PARTITION BY plain ORDER BY round(lp, 9) DESC, decoded) AS rank FROM x) SELECT plain, decoded, round(lp, 6) AS lp, rank::int AS rank FROM r WHERE rank <= 5"
 )
 def q_decode_topk(spark, sf_dir):
-    w = plain_words(spark, sf_dir).where(F.length("plain") == 3).crossJoin(F.broadcast(char_map(spark, sf_dir)))
+    return top_readings(spark, sf_dir, plain_words(spark, sf_dir).where(F.length("plain") == 3))  # as its SQL; q_decode_topk_all has no bound
+
+
+@query()
+def q_decode_topk_all(spark, sf_dir):
+    return top_readings(spark, sf_dir, plain_words(spark, sf_dir))
+
+
+def top_readings(spark: SparkSession, sf_dir: str, plain: DataFrame) -> DataFrame:
+    w = plain.crossJoin(F.broadcast(char_map(spark, sf_dir)))
     each = w.select("plain", F.posexplode(decode.fold(F.col("plain"), F.col("lookup"), 6, 18)).alias("i", "s")).select("plain", F.col("s.h").alias("decoded"), F.col("s.lp").alias("lp"))
     return dictionary.top(each, ["plain"], [F.desc(F.round("lp", 9)), F.col("decoded")], 5).withColumn("lp", F.round("lp", 6))
 

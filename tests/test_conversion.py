@@ -190,3 +190,30 @@ def test_training(spark):
     edges = edges.union(edges.select("b", "a", "x"))
     got = {r.word: np.array(r.vector) for r in vectors.trained(edges, 16, 20).collect()}
     assert len(got) == 5 and all(abs(np.linalg.norm(v) - 1) < 0.01 and len(v) == 16 for v in got.values())
+
+
+def test_topk_of_words_of_any_length(spark, tmp_path):
+    """Brute force over all readings of every word; all lengths are decoded."""
+    import collections
+    import itertools
+    import math
+
+    from moraline.plans import catalogue
+
+    text = "a á à b é e ab áb eá bea béa abea ábeà aebéo oóbeaáé"
+    spark.createDataFrame([(1, text), (2, "e b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plain = str.maketrans(catalogue.ACCENTED, catalogue.PLAIN)
+    n = collections.Counter(text + "e b")
+    total = collections.Counter()
+    for c, k in n.items():
+        total[c.translate(plain)] += k
+    want = {}
+    for w in {w.translate(plain) for w in text.split()}:
+        options = [[(c, math.log(k / total[x])) for c, k in n.items() if c.translate(plain) == x and k / total[x] >= 0.01] for x in w]
+        all_ = [("".join(c for c, _ in s), sum(lp for _, lp in s)) for s in itertools.product(*options)]
+        want[w] = [(d, round(lp, 6)) for d, lp in sorted(all_, key=lambda s: (-round(s[1], 9), s[0]))[:5]]
+    got = collections.defaultdict(list)
+    for r in catalogue.QUERIES["q_decode_topk_all"](spark, str(tmp_path)).orderBy("plain", "rank").collect():
+        got[r.plain].append((r.decoded, r.lp))
+    assert {1, 2, 3, 4, 5, 7} == {len(w) for w in got} and got.keys() == want.keys()
+    assert all([d for d, _ in got[w]] == [d for d, _ in want[w]] and all(abs(a - b) < 2e-6 for (_, a), (_, b) in zip(got[w], want[w])) for w in want)
