@@ -166,7 +166,9 @@ def sentences(rows: DataFrame, table: DataFrame, column: str = "hangul", width:
     if surfaces is not None:
         from .dictionary import first_wins
 
-        first = first_wins(surfaces.select("reading", "surface", "load_seq"), ["reading"], "load_seq").limit(LIMIT).collect()
+        first = first_wins(surfaces.select("reading", "surface", "load_seq"), ["reading"], "load_seq").limit(LIMIT + 1).collect()
+        if len(first) > LIMIT:
+            raise ValueError(f"surfaces of more than {LIMIT} readings are not sent to executors")
         written = rows.sparkSession.sparkContext.broadcast({r.reading: r.surface for r in first})
 
     @F.pandas_udf(T.StringType())

@@ -217,3 +217,11 @@ def test_topk_of_words_of_any_length(spark, tmp_path):
         got[r.plain].append((r.decoded, r.lp))
     assert {1, 2, 3, 4, 5, 7} == {len(w) for w in got} and got.keys() == want.keys()
     assert all([d for d, _ in got[w]] == [d for d, _ in want[w]] and all(abs(a - b) < 2e-6 for (_, a), (_, b) in zip(got[w], want[w])) for w in want)
+
+
+def test_too_many_surfaces(spark, table, monkeypatch):
+    rows = spark.createDataFrame([("츠쿠바",)], "hangul string")
+    surfaces = spark.createDataFrame([(f"r{i}", f"s{i}", i) for i in range(table.count() + 1)], "reading string, surface string, load_seq long")
+    monkeypatch.setattr(decode, "LIMIT", table.count())
+    with pytest.raises(ValueError, match="surfaces"):
+        decode.sentences(rows, table, surfaces=surfaces)
