@@ -94,6 +94,16 @@ class Tree:
     def first(self, q: np.ndarray, visits: int) -> list[int]:
         return [leaf for leaf, _ in zip(self.walk(q), range(visits), strict=False)]
 
+    def enough(self, q: np.ndarray, visits: int, wanted: int, held: np.ndarray) -> list[int]:
+        """The first leaves, and more until they hold as many vectors as wanted."""
+        out, n = [], 0
+        for leaf in self.walk(q):
+            if len(out) >= visits and n >= wanted:
+                break
+            out.append(leaf)
+            n += held[leaf]
+        return out
+
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmax(x @ centres.T - 0.5 * (centres**2).sum(1), axis=1)
@@ -197,6 +207,9 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = R
     count = np.zeros(tree.leaves, np.int64)
     for r in held:
         count[r.leaf] = r["count"]
+    own_ids = np.zeros(tree.leaves, np.int64)  # an id that repeats counts in one of its leaves
+    for r in placed.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect():
+        own_ids[r.leaf] = r["count"]
     parts = partitions(spark)
     target = max(1, -(-int(count.sum()) // parts))
     upto = np.cumsum(count)
@@ -217,7 +230,7 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = R
         for batch in batches:
             at, parts_, leaves = [], [], []
             for i, q in enumerate(matrix(batch.column("embedding"))):
-                visited = np.array(sent.value.first(q, visits))
+                visited = np.array(sent.value.enough(q, visits, k + 1, own_ids))  # the query is one of the ids
                 visited = visited[spread[visited] > 0]
                 for part in np.unique(np.concatenate([np.arange(base[x], base[x] + spread[x]) for x in visited])) if len(visited) else []:
                     own = visited[(base[visited] <= part) & (part < base[visited] + spread[visited])]

@@ -147,6 +147,16 @@ def test_rare_grams_of_a_large_table_are_states(spark):
     assert all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-6) for i in want)
 
 
+def test_queries_with_small_first_leaves_have_all_rows(spark):
+    """Most vectors are in tight clusters, so one visit reaches nearly all neighbours of the probes; the others' leaves hold few."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(np.eye(16)[:8], 500, axis=0) + rng.normal(size=(4000, 16)) * 1e-3
+    x[::400] = -np.eye(16)[rng.integers(8, 16, 10)] * 50 + rng.normal(size=(10, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    n = collections.Counter(r.query_id for r in neighbours.search(df, recall=0.0).collect())
+    assert n == {i: 20 for i in range(0, 4000, 20)}
+
+
 def test_neighbours(spark, nothing):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 16)).astype(np.float32)
