@@ -208,9 +208,12 @@ def _meet(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordB
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text, the named columns and the row key (id, th), which are never null; equal rows have equal keys and equal results."""
+    """doc_id, text, the named columns and the row key (id, th), which are never null; equal rows have equal keys and equal results.
+
+    id is a 64-bit hash of doc_id and text, so rows with a null or the same doc_id and different texts stay apart.
+    """
     th = F.hash(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).bitwiseAND(0xFFFFFF)
-    return texts(docs, *more).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more, F.coalesce("doc_id", F.lit(-1)).alias("id"), th.alias("th"))
+    return texts(docs, *more).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("id"), th.alias("th"))
 
 
 def _met(rows: DataFrame, step, edges: bool) -> DataFrame:

@@ -83,6 +83,19 @@ def test_repeats(spark, nasty, texts, length):
     assert collections.Counter(tuple(r) for r in got) == want
 
 
+def test_texts_with_null_ids_stay_apart(spark):
+    """Two texts without ids whose 24-bit hashes are equal; only one of them occurs again."""
+    from pyspark.sql import functions as F
+
+    text = F.concat(*(F.sha2(F.concat(F.col("id").cast("string"), F.lit(x)), 256) for x in "abcde"))
+    some = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"))
+    first, second = some.groupBy(F.hash("text", F.lit(True)).bitwiseAND(0xFFFFFF)).agg(F.sort_array(F.collect_list("text")).alias("t")).where("size(t) > 1").first().t[:2]
+    docs = spark.createDataFrame([(None, first), (None, second), (5, first)], "doc_id long, text string")
+    got = {(r.doc_id, r.kept_sha256): r.n_removed for r in repeats.removal_report(docs).collect()}
+    kept = hashlib.sha256(second.encode()).hexdigest()
+    assert got[None, kept] == 0 and sorted(got.values()) == [0, len(first), len(first)]
+
+
 def test_repeats_of_nothing(nothing):
     assert repeats.removal_report(nothing).count() == 0
     assert repeats.without_repeats(nothing, "lang").columns == ["doc_id", "lang", "kept_text", "n_removed"]
