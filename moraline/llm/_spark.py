@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,12 +16,17 @@ from pyspark.sql import functions as F
 from . import _text as tx
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name below the shared checkpoint folder; one of our own only where none is set."""
+    """A new folder name below the shared checkpoint folder; one of our own only where none is set and one machine is all there is."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="moraline-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/moraline-{uuid.uuid4().hex}"
@@ -30,9 +36,13 @@ def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # what is now written needs its shuffle files no more
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is now written
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -9,6 +9,7 @@ piece of its own.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,13 @@ try:
 except OSError:  # another C library: nothing to trim
     _libc = None
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES, LONG = 1 << 20, 64
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _R = np.uint64(0x9E3779B97F4A7C15 | 3)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # keeps the first k bytes of a block
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -43,9 +47,6 @@ def seeds(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
-_EXACT = seeds(256, 11)
-_FOLDED = _EXACT.copy()
-_FOLDED[65:91] = _FOLDED[97:123]
 _powers: dict[bool, np.ndarray] = {}
 
 
@@ -101,12 +102,25 @@ def release() -> None:
         _libc.malloc_trim(0)
 
 
-def prefix_hash(data: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] = sum of table[data[k]] * r^k over i <= k < j."""
-    p = np.empty(len(data) + 1, np.uint64)
-    p[0] = 0
-    np.cumsum(table[data] * powers(len(data)), out=p[1:])
-    return p
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the last byte."""
+    return np.ndarray((len(data) + 1,), "<u8", np.r_[data, np.zeros(8, np.uint8)], 0, (1,))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, eight bytes at a time; those of more than LONG bytes by a digest each."""
+    size = ends - starts
+    at = blocks(data)
+    h = mix(at[starts] & _LOW[np.minimum(size, 8)]) ^ size.astype(np.uint64) * _M2
+    more = np.flatnonzero((size > 8) & (size <= LONG))
+    done = 8
+    while len(more):
+        h[more] = mix(h[more] ^ (at[starts[more] + done] & _LOW[np.minimum(size[more] - done, 8)]))
+        done += 8
+        more = more[size[more] > done]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(h)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,22 +138,24 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.
     after[-1] = False
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
-    p = prefix_hash(data, _FOLDED if fold else _EXACT)
-    h = mix((p[ends] - p[starts]) * powers(len(data), True)[starts] + (ends - starts).astype(np.uint64) * _M2)
-    return starts, ends, h, np.searchsorted(starts, offsets)
+    return starts, ends, word_hashes(LOWER[data] if fold else data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def span_hash(p: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges that depend on their content alone; ``p`` from prefix_hash."""
-    return mix((p[ends] - p[starts]) * powers(len(p), True)[starts] + (ends - starts).astype(np.uint64) * _M2)
+    """Hashes of byte ranges of eight bytes or more that depend on their content alone; ``p`` from block_prefix."""
+    return mix((p[ends - 7] - p[starts]) * powers(len(p), True)[starts] + (ends - starts).astype(np.uint64) * _M2)
 
 
-def folded_prefix(data: np.ndarray) -> np.ndarray:
-    return prefix_hash(data, _FOLDED)
-
-
-def exact_prefix(data: np.ndarray) -> np.ndarray:
-    return prefix_hash(data, _EXACT)
+def block_prefix(data: np.ndarray) -> np.ndarray:
+    """P with P[j] - P[i] = sum over i <= k < j of a mix of the eight bytes from k on, times r^k."""
+    x = blocks(data)[:-1] * _M1
+    x ^= x >> np.uint64(32)
+    x *= _M2
+    x ^= x >> np.uint64(29)
+    p = np.empty(len(data) + 1, np.uint64)
+    p[0] = 0
+    np.cumsum(x * powers(len(data)), out=p[1:])
+    return p
 
 
 def word_hash(word: str) -> int:

@@ -109,8 +109,8 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[n
     sizes = np.diff(offs)
     if n < length or sizes.max() < length:
         return empty
-    p = tx.exact_prefix(data)
-    grams = tx.mix((p[k:] - p[:-k]) * tx.powers(n + 1, True)[: n - k + 1])
+    p = tx.block_prefix(data)
+    grams = tx.mix((p[k - 7 : n - 6] - p[: n - k + 1]) * tx.powers(n + 1, True)[: n - k + 1])
     x = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     pad = -len(x) % w
     blocks = np.r_[x, np.full(pad, np.uint64(2**64 - 1))].reshape(-1, w)
@@ -255,7 +255,7 @@ def looked_at(docs: DataFrame, marks: DataFrame, length: int, cell: int) -> Data
 
     def step(piece: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         data, offs = tx.flat(piece.column("text"))
-        p = tx.exact_prefix(data)
+        p = tx.block_prefix(data)
         lists = piece.column("edges")
         owner = np.repeat(np.arange(piece.num_rows), np.diff(lists.offsets.to_numpy()))
         lo, hi, at, kind = (lists.flatten().field(c).to_numpy().astype(np.int64) for c in ("s", "e", "a", "kind"))

@@ -175,11 +175,11 @@ def bare_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(offs), np.int64), []
     data = np.where(_STOPS[data], np.uint8(32), data)
     starts, ends, h, first = tx.words(data, offs)
-    p = tx.folded_prefix(data)
+    lower = tx.LOWER[data]
     stems = []
     for n in STEMS:
         of = np.flatnonzero(ends - starts > n)
-        stems.append((of, tx.mix(tx.span_hash(p, starts[of], starts[of] + n) ^ np.uint64(n))))
+        stems.append((of, tx.mix(tx.word_hashes(lower, starts[of], starts[of] + n) ^ np.uint64(n))))
     return starts, h, first, stems
 
 
