@@ -1,23 +1,31 @@
-"""Language-model scores of a backoff model of words, bigrams and trigrams.
-
-States are all words of the training texts and all n-grams (up to order 3) that occur
-LEAST times or more there, whatever the size of the corpus; they stay in distributed
-tables. A text is scored as a weighted backoff automaton would read it: the arc of the
-longest n-gram that is a state, or the failure arcs (logs of backoff weights) down to one.
-As the history and the rest of a state are states too, that sum falls apart into a value
-for each n-gram of the text, whatever stands beside it: a word gives its discounted
-unigram log-probability and its backoff weight, a longer n-gram gives what its arc has
-more than the failure arc and the shorter arc it replaces, and its own backoff weight.
-So n-grams meet their values in a shuffle by n-gram and only sums for each text come back;
-values of n-grams with a fixed share of the tokens are broadcast, as a shortcut. Keys are
-taken in ROUNDS parts, one after the other, to hold less on disk. Unseen words are one
-class with the discounted rest of the mass, so probabilities sum to one over the words
-seen and that class. Automaton and learn() are the same model in one machine's memory.
+"""Language-model scores by a weighted backoff automaton of words, bigrams and trigrams.
+
+States are all n-grams (up to order 3) of the training texts, whatever their counts and
+the size of the corpus. The arc of a word w after a history h weighs the logarithm of
+
+    p(w | h) = k(h) c(hw) / c(h) + (1 - k(h)) p(w | h without its first word),
+
+and its failure arc log(1 - k(h)): an interpolated model whose share k grows with the
+count of the history, (c - 1) / (c - 1 + BETA sqrt(c)), so that a history that occurs once
+says nothing. Below is the discounted share of the word among all tokens; unseen words
+are one class with the rest of that mass, so probabilities sum to one over the words seen
+and that class. A text is read once from left to right: the state is the longest history
+seen, and log-probabilities add up.
+
+The automaton is never in one place. Documents are packed into slices of SLICE bytes, a
+row of a written table each, so what a slice holds never changes. A slice sends its
+distinct n-grams, sorted and packed, to their owners by ranges of hashes, with their
+counts in its training texts; the owner adds up and answers with the totals, in the order
+of the question. Then each slice meets its answers and is read by the automaton of all
+n-grams that occur in it, exact counts of the whole corpus included. A frequent n-gram
+reaches its owner once for each slice, so no key is hot. Owners take the ranges in ROUNDS
+parts one after the other, to hold less on disk; there are as many of them as keep a
+range below about PART n-grams.
 
 Tokens are lower-cased words and one end for each text; histories begin with an end.
-Defined results: null text is the empty text, which is its end alone; rows that repeat an
-id are counted and scored each; without training texts every score is that of unseen words
-under a uniform guess of 1.
+N-grams are told apart by 61-bit hashes. Defined results: null text is the empty text,
+which is its end alone; rows that repeat an id are counted and scored each; without
+training texts every score is that of unseen words under a uniform guess of 1.
 """
 
 from __future__ import annotations
@@ -26,16 +34,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import crc, drop, frequent, id_filter, passes, texts, written
+from ._spark import crc, partitions, texts, written
 
-ORDER, WORD_SHARE, GRAM_SHARE, DISCOUNT, FOLDS, HELD_OUT = 3, 1e-6, 2e-6, 0.75, 5, 1
-LEAST, ROUNDS, HELD = 2, 4, 2_000_000  # ROUNDS is a power of two; a task counts up to HELD n-grams at once
+ORDER, DISCOUNT, BETA, FOLDS, HELD_OUT = 3, 0.75, 1.0, 5, 1
+SLICE, PART, ROUNDS, GRAMS_A_BYTE = 12 << 20, 3_000_000, 2, 0.27
 END = np.uint64(0xE4D0F7E87A1C3B55)
-_SALT = tx.seeds(4, 91) | np.uint64(1)
+_SALT = tx.seeds(2, 91) | np.uint64(1)
+_KEY = ~np.uint64(7)
 
 
 def tokens(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -48,328 +58,266 @@ def tokens(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, first + 2 * np.arange(rows + 1)
 
 
-def inner(begin: np.ndarray) -> np.ndarray:
-    """Whether a place holds a token of its row's text, as against the end before it."""
-    out = np.ones(int(begin[-1]), bool)
-    out[begin[:-1]] = False
-    return out
+def grams(t: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1 .. ORDER the places at which an n-gram of a row's text ends (n > 1: with the end before it), and its key.
 
+    Keys are 61 bits of hash, two of n and a zero.
+    """
+    room = np.arange(len(t)) - np.repeat(begin[:-1], np.diff(begin))
+    below = t
+    for n in range(1, ORDER + 1):
+        at = np.flatnonzero(room >= max(n - 1, 1))
+        key = below[at] if n == 1 else tx.mix(below[at - 1] * _SALT[0] ^ below[at] * _SALT[1])
+        key = (key & _KEY) | np.uint64(2 * n)
+        yield at, key
+        if n < ORDER:
+            below = below.copy() if n == 1 else np.zeros(len(t), np.uint64)
+            below[at] = key
 
-def gram(t: np.ndarray, n: int) -> np.ndarray:
-    """For every place from n - 1 on the hash of the n tokens that end there."""
-    out = np.zeros(max(len(t) - n + 1, 0), np.uint64)
-    for k in range(n):
-        out = tx.mix(out ^ t[k : k + len(out)] * _SALT[k])
-    return out ^ np.uint64(n)
+
+def runs(ordered: np.ndarray) -> np.ndarray:
+    """The first place of each run of equals."""
+    return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
 
 
 class Automaton:
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, ends: int, order: int = ORDER, discount: float = DISCOUNT):
-        self.order, self.discount, self.total, self.ends = order, discount, max(total, 1), max(ends, 1)
-        self.words, self.counts = words, counts
-        self.grams: list[np.ndarray] = []  # for n = 2, 3, ...: sorted hashes
-        self.logp: list[np.ndarray] = []
-        self.back: list[np.ndarray] = [np.zeros(len(words))]  # for histories of 1, 2, ... words
-        self.uni = np.log10(np.maximum(counts - discount, 1e-9) / self.total)
-
-    def add(self, n: int, keys: np.ndarray, counts: np.ndarray, history: np.ndarray, suffix: np.ndarray) -> None:
-        """The n-grams with their counts, the places of their histories among the (n-1)-grams and of what is left without the first word."""
-        below = [self.uni, *self.logp][n - 2]
-        sizes = self.sizes[n - 2][history]
-        p = (counts - self.discount) / sizes
-        taken = np.bincount(history, p, len(self.back[n - 2]))
-        lower = np.bincount(history, 10 ** below[suffix], len(self.back[n - 2]))
-        self.back[n - 2] = np.log10(np.clip(1 - taken, 1e-6, 1) / np.clip(1 - lower, 1e-6, 1))
-        self.grams.append(keys)
-        self.logp.append(np.log10(p))
-        self.back.append(np.zeros(len(keys)))
-        self.sizes.append(counts.astype(float))
-
-    def places(self, t: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
-        """For n = 1 .. order, the place among the n-grams of the one that ends at each token, or -1."""
-        out = [tx.found(self.words, t)]
-        room = np.arange(len(t)) - np.repeat(begin[:-1], np.diff(begin))  # tokens before, within the row
-        for n, keys in enumerate(self.grams, 2):
-            last, here = out[-1], np.full(len(t), -1)
-            maybe = np.flatnonzero((last >= 0) & (np.r_[-1, last[:-1]] >= 0) & (room >= n - 1))
-            if len(maybe) and len(keys):
-                h = np.zeros(len(maybe), np.uint64)
-                for k in range(n):
-                    h = tx.mix(h ^ t[maybe - n + 1 + k] * _SALT[k])
-                here[maybe] = tx.found(keys, h ^ np.uint64(n))
-            out.append(here)
+    """All n-grams (sorted keys) with their counts in the training texts, whose tokens and distinct words are given.
+
+    ``keys`` may be those of the texts that are to be read alone, as others have no arc there.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+        self.keys, self.counts, self.total, self.distinct = keys, counts, total, distinct
+        self.unseen = DISCOUNT * distinct / total if total else 1.0
+
+    @classmethod
+    def of(cls, piece: pa.RecordBatch) -> Automaton:
+        """The model of the rows of one batch."""
+        keys = np.concatenate([k for _, k in grams(*tokens(piece))])
+        keys, counts = np.unique(keys, return_counts=True)
+        words = counts[keys & np.uint64(6) == 2]
+        return cls(keys, counts, int(words.sum()), len(words))
+
+    def occurrences(self, t: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+        """For n = 1 .. ORDER the counts of the n-gram that ends at each place, 0 where none does; the end before a row has the ends' count."""
+        found = list(grams(t, begin))
+        keys = np.concatenate([k for _, k in found])
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = runs(keys)
+        asked = keys[first]
+        if len(asked) == len(self.keys) and (asked == self.keys).all():
+            have = self.counts
+        else:
+            at = tx.found(self.keys, asked)
+            have = np.where(at >= 0, self.counts[at] if len(self.counts) else 0, 0)
+        each = np.empty(len(keys), np.int64)
+        each[order] = np.repeat(have, np.diff(np.r_[first, len(keys)]))
+        out, done = [], 0
+        for at, k in found:
+            c = np.zeros(len(t), np.int64)
+            c[at] = each[done : done + len(at)]
+            out.append(c)
+            done += len(at)
+        out[0][begin[:-1]] = out[0][begin[1:] - 1]  # each row closes with an end
         return out
 
     def read(self, t: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log10-weights of the arcs taken at each token, and whether the automaton has the word (else its unigram part is missing)."""
-        at = self.places(t, begin)
-        known = at[0] >= 0
-        out = np.where(known, self.uni[at[0]] if len(self.uni) else 0.0, 0.0)
-        for n in range(2, len(at) + 1):  # a longer match replaces what the shorter histories gave; else its failure arc adds to it
-            before = np.r_[-1, at[n - 2][:-1]]
-            before[begin[:-1]] = -1
-            fail = np.where(before >= 0, self.back[n - 2][before] if len(self.back[n - 2]) else 0.0, 0.0)
-            arc = at[n - 1] >= 0
-            out = np.where(arc, self.logp[n - 2][at[n - 1]] if len(self.logp[n - 2]) else 0.0, out + fail)
-        return out, known
-
-
-def learn(train: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, discount: float = DISCOUNT) -> Automaton:
-    """The automaton of the column text. Words and n-grams are counted over all rows; those below the share stay out."""
-    spark = train.sparkSession
-
-    def words(piece: pa.RecordBatch) -> tuple[np.ndarray, int]:
-        t, begin = tokens(piece)
-        own = t[inner(begin)]
-        return own, len(own)
-
-    keys, n, total = frequent(train, words, word_share, local=0.5)
-    at = tx.found(keys, np.array([END]))[0]
-    ends = int(n[at]) if at >= 0 else 1
-    model = Automaton(keys, n, total, ends, order, discount)
-    model.sizes = [n.astype(float)]
-    for k in range(2, order + 1):
-        sent = spark.sparkContext.broadcast(model)
-
-        def grams(piece: pa.RecordBatch, k: int = k, sent=sent) -> tuple[np.ndarray, int]:
-            t, begin = tokens(piece)
-            places = candidates(sent.value, t, begin, k)
-            h = np.zeros(len(places), np.uint64)
-            for j in range(k):
-                h = tx.mix(h ^ t[places - k + 1 + j] * _SALT[j])
-            return h ^ np.uint64(k), int(inner(begin).sum())
-
-        keys, n, _ = frequent(train, grams, gram_share, least=2, local=0.5)
-        history, suffix = parents(train, model, keys, k)
-        keep = (history >= 0) & (suffix >= 0)
-        model.add(k, keys[keep], n[keep], history[keep], suffix[keep])
-        sent.unpersist()
-    return model
-
-
-def candidates(model: Automaton, t: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
-    """The places at which a k-gram ends whose history and rest are states already."""
-    last = model.places(t, begin)[k - 2]
-    room = np.arange(len(t)) - np.repeat(begin[:-1], np.diff(begin))
-    return np.flatnonzero((last >= 0) & (np.r_[-1, last[:-1]] >= 0) & (room >= k - 1))
+        """Log10-weights on the way through the automaton at each token (0 for the ends before rows), and the words' counts."""
+        c = self.occurrences(t, begin)
+        p = np.where(c[0] > 0, (c[0] - DISCOUNT) / max(self.total, 1), self.unseen)
+        for n in range(2, len(c) + 1):
+            h = np.r_[0, c[n - 2][:-1]].astype(float)
+            if n > 2:  # a bigram that ends where a row begins is not there, so neither is a history
+                h[begin[:-1]] = 0
+            share = np.where(h > 1, (h - 1) / (h - 1 + BETA * np.sqrt(h)), 0.0)
+            p = share * c[n - 1] / np.maximum(h, 1) + (1 - share) * p
+        out = np.log10(np.maximum(p, 1e-300))
+        out[begin[:-1]] = 0
+        return out, c[0]
 
 
-def parents(train: DataFrame, model: Automaton, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the k-grams the places of its history and of its rest among the (k-1)-grams: one row for each comes back."""
-    sent = train.sparkSession.sparkContext.broadcast((model, keys))
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers below 2^64 in as few bytes each as the largest needs, byte planes apart, compressed."""
+    wide = next(w for w in (1, 2, 4, 8) if not len(x) or w == 8 or int(x.max()) < 1 << 8 * w)
+    planes = np.ascontiguousarray(x.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T)
+    return bytes([wide]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, wanted = sent.value
-        history, suffix = np.full(len(wanted), -1), np.full(len(wanted), -1)
-        for batch in batches:
-            for piece in tx.pieces(batch):
-                t, begin = tokens(piece)
-                last = m.places(t, begin)[k - 2]
-                places = candidates(m, t, begin, k)
-                h = np.zeros(len(places), np.uint64)
-                for j in range(k):
-                    h = tx.mix(h ^ t[places - k + 1 + j] * _SALT[j])
-                at = tx.found(wanted, h ^ np.uint64(k))
-                some = at >= 0
-                history[at[some]], suffix[at[some]] = last[places[some] - 1], last[places[some]]
-        seen = np.flatnonzero(history >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(history[seen]), pa.array(suffix[seen])], ["at", "history", "suffix"])
-
-    got = train.mapInArrow(run, "at long, history long, suffix long").groupBy("at").agg(F.max("history").alias("history"), F.max("suffix").alias("suffix")).toArrow()
-    history, suffix = np.full(len(keys), -1), np.full(len(keys), -1)
-    at = got.column("at").to_numpy()
-    history[at], suffix[at] = got.column("history").to_numpy(), got.column("suffix").to_numpy()
-    return history, suffix
-
-
-def pair(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    """The key of a k-gram from those of its history and of its rest."""
-    return tx.mix(tx.mix(a * _SALT[0]) ^ b * _SALT[1]) ^ np.uint64(k)
-
-
-def states(t: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """k, places, keys, keys of histories and keys of rests of the k-grams within rows; a word is its own key."""
-    room = np.arange(len(t)) - np.repeat(begin[:-1], np.diff(begin))
-    at = np.flatnonzero(room >= 1)
-    yield 1, at, t[at], t[at], np.zeros(len(at), np.uint64)
-    below = t
-    for k in range(2, ORDER + 1):
-        at = np.flatnonzero(room >= k - 1)
-        a, b = below[at - 1], below[at]
-        key = np.zeros(len(t), np.uint64)
-        key[at] = pair(a, b, k)
-        yield k, at, key[at], a, b
-        below = key
-
-
-def counted(train: DataFrame, part: int) -> DataFrame:
-    """k, key, a, b, c of all words and of the k-grams with LEAST occurrences or more, of one part of the keys."""
-
-    def here(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        for k, arrays in held.items():
-            key, a, b = (np.concatenate(x) for x in zip(*arrays, strict=True))
-            order = np.argsort(key)
-            key = key[order]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            n = np.diff(np.r_[first, len(key)])
-            some = order[first]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), pa.array(a[some].view(np.int64)), pa.array(b[some].view(np.int64)), pa.array(n)], ["k", "a", "b", "n"])
-        held.clear()
-        tx.release()
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    wide = data[0]
+    planes = np.frombuffer(pa.decompress(data[1:], wide * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(wide, n).T).view(f"<u{wide}").ravel()
+
+
+def sliced(docs: DataFrame) -> DataFrame:
+    """slice, bytes (of text) and docs (doc_id, text, held_out as a compressed Arrow stream) of every SLICE bytes, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        waiting = 0
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def row() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for piece in held:
+                    out.write_batch(piece)
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["slice", "bytes", "docs"])
+
         for batch in batches:
             for piece in tx.pieces(batch):
-                for k, _, key, a, b in states(*tokens(piece)):
-                    own = key & np.uint64(ROUNDS - 1) == part
-                    held.setdefault(k, []).append((key[own], a[own], b[own]))
-                    waiting += int(own.sum())
-                if waiting > HELD:
-                    yield from here(held)
-                    waiting = 0
-        yield from here(held)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k, a, b = (batch.column(c).to_numpy() for c in ("k", "a", "b"))
-            key = a.copy()
-            for j in range(2, ORDER + 1):
-                key[k == j] = pair(a[k == j].view(np.uint64), b[k == j].view(np.uint64), j).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(key), *(batch.column(c) for c in ("a", "b", "c"))], ["k", "key", "a", "b", "c"])
+                held.append(piece)
+                size += len(tx.flat(piece.column("text"))[0])
+                if size >= SLICE:
+                    yield row()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield row()
 
-    sums = train.mapInArrow(run, "k int, a long, b long, n long").groupBy("k", "a", "b").agg(F.sum("n").alias("c"))
-    return sums.where((F.col("k") == 1) | (F.col("c") >= LEAST)).mapInArrow(keyed, "k int, key long, a long, b long, c long")
+    held_out = F.coalesce(F.pmod(crc(), F.lit(FOLDS)) == HELD_OUT, F.lit(False)).alias("held_out")
+    return written(texts(docs).select("doc_id", "text", held_out).mapInArrow(run, "slice long, bytes long, docs binary"))
 
 
-def union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+def documents(data: bytes) -> Iterator[pa.RecordBatch]:
+    with pa.ipc.open_stream(data) as stream:
+        yield from stream
 
 
-def level(grams: DataFrame, below: DataFrame, discount: float) -> tuple[DataFrame, DataFrame]:
-    """key, c, p and delta (what an arc has more than the shorter way) of the k-grams; and key and back (log of the backoff weight) of their histories.
+def edges(owners: int) -> np.ndarray:
+    """Where the key range of each owner begins, and the end of the last."""
+    return np.array([(j << 64) // owners for j in range(owners)] + [2**64 - 1], np.uint64)
 
-    ``below`` has key, c and p of the (k-1)-grams.
-    """
-    rest = lambda x: F.greatest(F.least(1 - x, F.lit(1.0)), F.lit(1e-6))
-    g = grams.select("key", "a", "b", "c").join(below.select(F.col("key").alias("b"), F.col("p").alias("lower")), "b").select("key", "a", "c", "lower")
-    sums = g.groupBy("a").agg(F.sum(F.col("c") - discount).alias("taken"), F.sum("lower").alias("shorter"))
-    history = written(
-        sums.join(below.select(F.col("key").alias("a"), F.col("c").alias("size")), "a").select("a", "size", F.log10(rest(F.col("taken") / F.col("size")) / rest(F.col("shorter"))).alias("back"))
-    )
-    p = (F.col("c") - discount) / F.col("size")
-    arcs = written(g.join(history, "a").select("key", "c", p.alias("p"), (F.log10(p) - F.col("back") - F.log10("lower")).alias("delta")))
-    back = written(history.select(F.col("a").alias("key"), "back"))
-    drop(history)
-    return arcs, back
-
-
-def values(train: DataFrame, discount: float) -> tuple[DataFrame, int, int]:
-    """key, c, v (the value) and base (log10(c + 0.5), of words only) of all states; the training tokens; the distinct ones."""
-    counts = [written(counted(train, part)) for part in range(ROUNDS)]
-    grams = union(counts)
-    row = grams.where("k = 1").agg(F.sum("c").alias("n"), F.count("*").alias("distinct")).first()
-    total, distinct = int(row.n or 0), int(row.distinct)
-    p = (F.col("c") - discount) / max(total, 1)
-    arcs = written(grams.where("k = 1").select("key", "c", p.alias("p"), F.log10(p).alias("delta")))
-    out = []
-    for k in range(2, ORDER + 2):
-        word = F.log10(F.col("c") + 0.5) if k == 2 else F.lit(None).cast("double")
-        if k > ORDER:
-            out.append(written(arcs.select("key", "c", F.col("delta").alias("v"), word.alias("base"))))
-            drop(arcs)
-            break
-        longer, back = level(grams.where(F.col("k") == k), arcs, discount)
-        out.append(written(arcs.join(back, "key", "left").select("key", "c", (F.col("delta") + F.coalesce("back", F.lit(0.0))).alias("v"), word.alias("base"))))
-        drop(arcs, back)
-        arcs = longer
-    drop(*counts)
-    return union(out), total, distinct
-
-
-_SENT = "key long, uid long, info struct<doc_id: long, n_tokens: long, n_known: long, base: double, score: double>"
-_FIELDS = ["doc_id", "n_tokens", "n_known", "base", "score"]
-
-
-def scored(rows: DataFrame, states_: DataFrame, total: int) -> DataFrame:
-    """uid, doc_id, n_tokens, n_known, base (sum of log10(c + 0.5) of known words) and score (without the unseen words' part)."""
-    spark = rows.sparkSession
-    often = (F.col("base").isNotNull() & (F.col("c") >= WORD_SHARE * total)) | (F.col("base").isNull() & (F.col("c") >= GRAM_SHARE * total))
-    got = states_.where(often).select("key", "v", "base").toArrow()
-    key = got.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    hot = spark.sparkContext.broadcast((key[order], got.column("v").to_numpy()[order], got.column("base").to_numpy()[order]))
-    sums = [written(_met(rows, states_.where(~often), hot, part)) for part in range(ROUNDS)]
-    return union(sums).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in _FIELDS[1:]))
-
-
-def _met(rows: DataFrame, states_: DataFrame, hot, part: int) -> DataFrame:
-    """The sums of one part of the keys. What isn't broadcast is sent by its key if the filter passes it, one row for each occurrence."""
-    mine = states_.where(F.col("key").bitwiseAND(F.lit(ROUNDS - 1)) == part).select("key", "v", "base")
-    bitmap = rows.sparkSession.sparkContext.broadcast(id_filter(mine.select("key")))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, v, base = hot.value
+
+def questions(slices: DataFrame, owners: int, part: range) -> DataFrame:
+    """part, slice, n, keys, counts: the slices' distinct n-grams in the ranges of ``part``, and how often their training texts have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = edges(owners)[part.start : part.stop + 1]
         for batch in batches:
-            for piece in tx.pieces(batch):
-                t, begin = tokens(piece)
-                uid = piece.column("uid").to_numpy()
-                row = np.repeat(np.arange(len(uid)), np.diff(begin))
-                known, bases, score = (np.zeros(len(uid)) for _ in range(3))
-                for k, place, key, _, _ in states(t, begin):
-                    own = key & np.uint64(ROUNDS - 1) == part
-                    key, r = key[own], row[place[own]]
-                    at = tx.found(keys, key)
-                    some = at >= 0
-                    score += np.bincount(r[some], v[at[some]], len(uid))
-                    if k == 1:
-                        known += np.bincount(r[some], minlength=len(uid))
-                        bases += np.bincount(r[some], base[at[some]], len(uid))
-                    key, r = key[~some], r[~some]
-                    some = passes(bitmap.value, key.view(np.int64))
-                    yield _rows(key[some], uid[r[some]], pa.nulls(int(some.sum()), _INFO))
-                n = np.diff(begin) - 1 if part == 0 else np.zeros(len(uid), np.int64)
-                info = [piece.column("doc_id"), pa.array(n), pa.array(known.astype(np.int64)), pa.array(bases), pa.array(score)]
-                yield _rows(tx.mix(uid.view(np.uint64)), uid, pa.StructArray.from_arrays(info, fields=list(_INFO)))
-
-    def both(own: str, met: Column) -> Column:
-        return F.sum(F.coalesce(F.col(f"info.{own}"), met)).alias(own)
-
-    met = rows.mapInArrow(read, _SENT).join(mine, "key", "left")
-    return met.groupBy("uid").agg(
-        F.max("info.doc_id").alias("doc_id"),
-        both("n_tokens", F.lit(0)),
-        both("n_known", F.col("base").isNotNull().cast("long")),
-        both("base", F.coalesce("base", F.lit(0.0))),
-        both("score", F.coalesce("v", F.lit(0.0))),
-    )
-
-
-_INFO = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-
-
-def _rows(key: np.ndarray, uid: np.ndarray, info: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(uid), info], ["key", "uid", "info"])
-
-
-def report(docs: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+            for number, data in zip(batch.column("slice").to_pylist(), batch.column("docs"), strict=True):
+                held = []
+                for piece in documents(data.as_buffer()):
+                    t, begin = tokens(piece)
+                    out = np.repeat(piece.column("held_out").to_numpy(zero_copy_only=False), np.diff(begin)).astype(np.uint64)
+                    for at, key in grams(t, begin):
+                        own = (key >= bounds[0]) & (key < bounds[-1])
+                        held.append(key[own] | out[at[own]])
+                keys = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+                first = runs(keys >> np.uint64(1))
+                if not len(first):
+                    continue
+                n = np.diff(np.r_[first, len(keys)]) - np.add.reduceat((keys & np.uint64(1)).astype(np.int64), first)
+                keys = keys[first] & ~np.uint64(1)
+                cut = np.searchsorted(keys, bounds)
+                rows = [
+                    (j, number, int(b - a), packed(np.diff(keys[a:b], prepend=np.uint64(0))), packed(n[a:b]))
+                    for j, a, b in zip(part, cut[:-1], cut[1:], strict=True)
+                    if b > a
+                ]
+                tx.release()
+                yield pa.RecordBatch.from_pylist([dict(zip(_QUESTION.names, r, strict=True)) for r in rows], _QUESTION)
+
+    return slices.select("slice", "docs").mapInArrow(run, "part long, slice long, n long, keys binary, counts binary")
+
+
+_QUESTION = pa.schema([("part", pa.int64()), ("slice", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ANSWER = pa.schema([("slice", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("payload", pa.binary()), ("words", pa.int64()), ("tokens", pa.int64())])
+
+
+def answers(asked: DataFrame, owners: int) -> DataFrame:
+    """slice, part, n, payload (totals in the order of the question); and, once for each part, its distinct words and their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, keys, counts = [], [], []
+        for batch in batches:
+            for part, number, n, k, c in zip(*(batch.column(x) for x in _QUESTION.names), strict=True):
+                heads.append((number.as_py(), part.as_py(), n.as_py()))
+                keys.append(np.cumsum(unpacked(k.as_py(), heads[-1][2]).astype(np.uint64)))
+                counts.append(unpacked(c.as_py(), heads[-1][2]).astype(np.int64))
+        if not heads:
+            return
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(keys, kind="stable")  # sorted runs, which a stable sort merges
+        keys = keys[order]
+        first = runs(keys)
+        total = np.add.reduceat(counts[order], first)
+        words = total[(keys[first] & np.uint64(6) == 2) & (total > 0)]
+        del keys
+        counts[order] = np.repeat(total, np.diff(np.r_[first, len(order)]))
+        done, stats = 0, (len(words), int(words.sum()))
+        for number, part, n in heads:
+            yield pa.RecordBatch.from_pylist([dict(zip(_ANSWER.names, (number, part, n, packed(counts[done : done + n]), *stats), strict=True))], _ANSWER)
+            done, stats = done + n, (0, 0)
+
+    return asked.repartitionById(owners, F.pmod(F.col("part"), F.lit(owners)).cast("int")).mapInArrow(run, "slice long, part long, n long, payload binary, words long, tokens long")
+
+
+def counted(slices: DataFrame) -> tuple[DataFrame, int, int]:
+    """The answers to all slices, the tokens of the training texts and their distinct words."""
+    size = slices.agg(F.sum("bytes")).first()[0] or 0
+    owners = max(partitions(slices.sparkSession), int(np.ceil(size * GRAMS_A_BYTE / ROUNDS / PART)))
+    out = None
+    for r in range(ROUNDS):
+        got = written(answers(questions(slices, ROUNDS * owners, range(r * owners, (r + 1) * owners)), owners))
+        out = got if out is None else out.unionByName(got)
+    row = out.agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).first()
+    return out, int(row.tokens or 0), int(row.words or 0)
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def scored(slices: DataFrame, answered: DataFrame, total: int, distinct: int) -> DataFrame:
+    """The columns of _SCORES, each slice read by the automaton of its own n-grams."""
+    own = slices.select("slice", F.lit(-1).cast("long").alias("part"), F.lit(0).cast("long").alias("n"), F.col("docs").alias("payload"))
+    tasks = max(partitions(slices.sparkSession), slices.count())
+    both = own.unionByName(answered.select("slice", "part", "n", "payload")).repartition(tasks, "slice").sortWithinPartitions("slice", "part")
+
+    def read(data: pa.Buffer, counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pieces = list(documents(data))
+        parts = [tokens(p) for p in pieces]
+        starts = np.cumsum([0] + [len(t) for t, _ in parts])
+        t = np.concatenate([t for t, _ in parts])
+        begin = np.concatenate([b[:-1] + s for (_, b), s in zip(parts, starts[:-1], strict=True)] + [starts[-1:]])
+        every = np.concatenate(counts)
+        keys = np.unique(np.concatenate([k for _, k in grams(t, begin)]))
+        if len(keys) != len(every):
+            raise RuntimeError("a slice and its answers differ")
+        weights, c = Automaton(keys, every, total, distinct).read(t, begin)
+        n = np.diff(begin) - 1
+        inside = np.ones(len(t), bool)
+        inside[begin[:-1]] = False
+        base = np.where(inside, np.log10(c + 0.5), 0.0)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([p.column("doc_id") for p in pieces]),
+                pa.concat_arrays([p.column("held_out") for p in pieces]),
+                pa.array(n),
+                pa.array(np.add.reduceat((c > 0) & inside, begin[:-1], dtype=np.int64)),
+                pa.array(np.add.reduceat(base, begin[:-1]) - n * np.log10(total + 0.5 * (distinct + 1))),
+                pa.array(np.add.reduceat(weights, begin[:-1])),
+            ],
+            [f.split()[0] for f in _SCORES.split(", ")],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, counts = None, []
+        for batch in batches:
+            for part, n, payload in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), batch.column("payload"), strict=True):
+                if part < 0:
+                    if data is not None:
+                        yield from read(data, counts)
+                        tx.release()
+                    data, counts = payload.as_buffer(), []
+                else:
+                    counts.append(unpacked(payload.as_py(), n).astype(np.int64))
+        if data is not None:
+            yield from read(data, counts)
+
+    return both.mapInArrow(run, _SCORES)
+
+
+def report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    held_out = F.pmod(crc(), F.lit(FOLDS)) == HELD_OUT
-    rows = written(texts(docs).select("doc_id", "text", F.monotonically_increasing_id().alias("uid")))  # read several times, with the same uid
-    states_, n, distinct = values(rows.where(~held_out).select("text"), discount)
-    sums = written(scored(rows, states_, n))
-    unseen = np.log10(discount * distinct / n) if n else 0.0
-    new = F.col("n_tokens") - F.col("n_known")
-    return sums.select(
-        "doc_id",
-        held_out.alias("held_out"),
-        "n_tokens",
-        "n_known",
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + new * float(np.log10(0.5)) - F.col("n_tokens") * float(np.log10(n + 0.5 * (distinct + 1)))).alias("base_score"),
-        (F.col("score") + new * float(unseen)).alias("score"),
-    )
+    slices = sliced(docs)
+    answered, total, distinct = counted(slices)
+    return scored(slices, answered, total, distinct).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

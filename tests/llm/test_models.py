@@ -88,60 +88,75 @@ def test_language_model(spark, nasty, nothing):
     assert backoff.report(nothing).count() == 0
 
 
-def test_probabilities_sum_to_one(spark):
+def test_probabilities_sum_to_one():
     """Over all words seen and the class of unseen ones, after any history."""
-    rows = [("a b a b a c",), ("a b c",), ("b b a",), ("a b",)] * 3
-    train = spark.createDataFrame(rows, "text string")
-    m = backoff.learn(train, word_share=1e-9, gram_share=1e-9)
     import pyarrow as pa
 
     from moraline.llm import _text as tx
 
+    m = backoff.Automaton.of(pa.record_batch({"text": ["a b a b a c", "a b c", "b b a", "a b"] * 3}))
     seen = [tx.word_hash(w) for w in "abc"]
-    unseen = m.discount * len(m.words) / m.total
     for history in ("", "a", "b", "c", "a b", "b a", "zz a", "b zz"):
         t, begin = backoff.tokens(pa.record_batch({"text": [history]}))
         total = 0.0
         for w in [*seen, int(backoff.END), 12345]:
             own = np.r_[t[:-1], np.array([w], np.uint64)]
-            weight, known = m.read(own, np.array([0, len(own)]))
-            total += 10 ** weight[-1] * (1 if known[-1] else unseen)
-        assert total == pytest.approx(1.0, abs=1e-6)
+            weight, _ = m.read(np.r_[own, t[-1:]], np.array([0, len(own) + 1]))
+            total += 10 ** weight[-2]
+        assert total == pytest.approx(1.0, abs=1e-9)
 
 
-def test_rare_grams_of_a_large_table_are_states(spark):
-    """Brute force over every n-gram of count 2 or more, on so many tokens that a share of them is more than 2."""
-    filler = " ".join(["f g"] * 2_500)
-    rows = [(i, filler) for i in range(400)] + [(1000 + i, f"u{i} p q r s v{i % 7}") for i in range(12)] + [(2000 + i, f"p q r x{i} q r s p q") for i in range(10)]
-    train, tokens = {}, {}
-    for i, text in rows:
-        tokens[i] = ["END", *text.split(), "END"]
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            train[i] = tokens[i]
-    c = {k: collections.Counter(g for t in train.values() for g in zip(*(t[j:] for j in range(k)))) for k in (2, 3)}
-    c = {k: collections.Counter({g: n for g, n in v.items() if n >= 2}) for k, v in c.items()}
-    c[1] = collections.Counter((w,) for t in train.values() for w in t[1:])
+def brute_scores(rows):
+    """Log10-probabilities from counts of all n-grams of the training texts."""
+    tokens = {i: ["END", *WORD.findall(bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())), "END"] for i, text in rows}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = {k: collections.Counter(g for t in train for g in zip(*(t[j:] for j in range(k)))) for k in (2, 3)}
+    c[1] = collections.Counter((w,) for t in train for w in t[1:])
     total = sum(c[1].values())
-    assert total * 1e-6 > 1 and total * 2e-6 > 2
-    after = collections.defaultdict(list)
-    for k in (2, 3):
-        for g in c[k]:
-            after[g[:-1]].append(g)
 
     def p(g):
         if len(g) == 1:
             return (c[1][g] - 0.75) / total if c[1][g] else 0.75 * len(c[1]) / total
-        return (c[len(g)][g] - 0.75) / c[len(g) - 1][g[:-1]] if g in c[len(g)] else back(g[:-1]) * p(g[1:])
+        h = c[len(g) - 1][g[:-1]]
+        share = (h - 1) / (h - 1 + math.sqrt(h)) if h > 1 else 0
+        return share * c[len(g)][g] / max(h, 1) + (1 - share) * p(g[1:])
+
+    return {i: sum(math.log10(p(tuple(t[max(j - 2, 0) : j + 1]))) for j in range(1, len(t))) for i, t in tokens.items()}, total
+
+
+def test_scores_by_brute_force(spark):
+    docs = read(spark, SMALL, "documents")
+    want, _ = brute_scores([(r.doc_id, r.text or "") for r in docs.collect()])
+    got = {r.doc_id: r.score for r in backoff.report(docs).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-6) for i in want)
+
+
+def test_many_slices(spark, monkeypatch):
+    """Slices of a few texts each, texts that fill one alone, and more owners than there are keys."""
+    monkeypatch.setattr(backoff, "SLICE", 2_000)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 60, rng.integers(0, 300)))) for i in range(120)] + [(500, "a b " * 3_000)]
+    want, _ = brute_scores(rows)
+    got = {r.doc_id: r.score for r in backoff.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-6) for i in want)
+
 
-    weights = {}
+def test_texts_that_occur_twice_score_apart(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.3, 80) % 4_000)) for i in range(300)]
+    twice = {*range(40), *range(1000, 1040)}
+    got = backoff.report(spark.createDataFrame(rows + [(1000 + i, rows[i][1]) for i in range(40)], "doc_id long, text string")).collect()
+    mean = {r.doc_id: r.score / r.n_tokens for r in got if not r.held_out}
+    once = np.percentile([v for i, v in mean.items() if i not in twice], 95)
+    assert np.mean([v > once for i, v in mean.items() if i in twice and zlib.crc32(str((i + 1000) % 2000).encode()) % 5 != 1]) > 0.9
 
-    def back(h):
-        if h not in weights:
-            clip = lambda x: min(max(x, 1e-6), 1)
-            weights[h] = clip(1 - sum(map(p, after[h]))) / clip(1 - sum(p(g[1:]) for g in after[h])) if h in after else 1.0
-        return weights[h]
 
-    want = {i: sum(math.log10(p(tuple(t[max(j - 2, 0) : j + 1]))) for j in range(1, len(t))) for i, t in tokens.items()}
+def test_rare_grams_of_a_large_table_are_states(spark):
+    """Brute force over every n-gram, on so many tokens that a share of them is more than 2."""
+    filler = " ".join(["f g"] * 2_500)
+    rows = [(i, filler) for i in range(400)] + [(1000 + i, f"u{i} p q r s v{i % 7}") for i in range(12)] + [(2000 + i, f"p q r x{i} q r s p q") for i in range(10)]
+    want, total = brute_scores(rows)
+    assert total * 1e-6 > 1 and total * 2e-6 > 2
     got = {r.doc_id: r.score for r in backoff.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got.keys() == want.keys()
     assert all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-6) for i in want)
