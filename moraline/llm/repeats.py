@@ -1,23 +1,26 @@
 """Repeated byte strings of a corpus, by a logarithmic family of sparse suffix arrays.
 
 Every window of ``length`` bytes has an anchor: the first of its ``length/2``-byte strings
-with the smallest hash. Equal windows have equal anchors at the same place, so only
-anchored suffixes are indexed, about one for each ``length/4`` bytes. Of each, the array
-holds the fingerprint of the anchor string and that of the context, which is all windows
-with this anchor together; entries are ordered by these, since equality at the depth of
-an anchor, a context or a window is all that is asked. New batches are sorted, scanned
-against the existing levels for entries that meet, and levels of equal size are merged
-(``Family``). Every window is decided exactly, up to 64-bit fingerprints:
-
-1. each task builds a family of its own; contexts that meet there are repeated as a whole;
-2. what is left, one entry for each distinct context of a task, is dealt by its anchor,
-   and families there find contexts that meet between tasks. An anchor that is met with
-   different contexts only marks an edge of a repeat;
+with the smallest hash. Equal windows have equal anchors at the same place, so suffixes
+need only start where the windows of an anchor do, about one for each ``length/4`` bytes;
+a suffix is read as far as those windows go, its context. In each task new batches of
+texts get a suffix array, in the order of their bytes and with the lengths of common
+prefixes; it is scanned against the existing levels for matches as long as a context, and
+levels of equal size are merged (``Family``). Every window is decided exactly, up to
+64-bit fingerprints of contexts:
+
+1. each task has a family of its own; contexts that occur again there are repeated as a
+   whole;
+2. what is left, one entry for each distinct context of a task, goes without its bytes, as
+   fingerprints of anchor and context. Spark sorts these, and a scan of the sorted runs
+   finds contexts that occur in several tasks. An anchor that is met with different
+   contexts only marks an edge of a repeat;
 3. edges are looked at in cells of ``CELL`` windows, whose common bytes take the part of
    the anchor, in the same two steps, and edges of those window by window.
 
 A string that very many documents share reaches a round's second step once for each task,
-not once for each document, so no task gathers a frequent passage.
+not once for each document, and the scan holds one run of equals at a time, so no task
+gathers a frequent passage.
 
 Defined results: null text is the empty text; texts shorter than ``length`` bytes lose
 nothing; matches never cross rows; rows that repeat an id and a text count as
@@ -39,51 +42,148 @@ from ._spark import only, partitions, texts, written
 
 LENGTH, CELL = 200, 12
 _PLACE = np.uint64((1 << 21) - 1)
-FLUSH, VARIANTS = 400_000, 16
+FLUSH, VARIANTS = 1_000_000, 16  # entries of a family, some 50 MB of text
 ENTRY, REPEATED, EDGE, WITNESS, PASSED = 0, 1, 3, 4, 8  # WITNESS: known to be repeated, others may still meet it
 
 
+class Level:
+    """A sparse suffix array: starts and sizes of suffixes of ``data`` in the order of their bytes, the prefix that each
+    has in common with the one before it, whether all of it occurs again, and a payload."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, again: np.ndarray, payload: list[np.ndarray]):
+        self.data, self.blocks = data, tx.blocks(data)
+        self.start, self.size, self.again, self.payload = start, size, again, payload
+        self._sort()
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def word(self, rows: np.ndarray, j: int) -> np.ndarray:
+        """The j-th eight bytes of suffixes as a number that orders as they do; zeros follow a suffix."""
+        at = np.minimum(self.start[rows] + 8 * j, len(self.data))
+        return self.blocks[at].byteswap() & _FIRST[np.clip(self.size[rows] - 8 * j, 0, 8)]
+
+    def _sort(self) -> None:
+        """By the first eight bytes, then those that are still equal by the next, and so on."""
+        every = np.arange(len(self.start))
+        word = self.word(every, 0)
+        order = np.argsort(word, kind="stable")
+        tied, run = _tied(word[order])
+        j, deepest = 1, int(self.size.max(initial=0))
+        while len(tied) and 8 * j < deepest:
+            word = self.word(order[tied], j)
+            by = np.lexsort((word, run))
+            order[tied] = order[tied][by]
+            some, run = _tied(word[by], run[by])
+            tied = tied[some]
+            j += 1
+        self.start, self.size, self.again = self.start[order], self.size[order], self.again[order]
+        self.payload = [p[order] for p in self.payload]
+        self.first = self.word(every, 0)
+        self.common = np.zeros(len(every), np.int64)
+        self.common[1:] = compared(self, every[:-1], self, every[1:])[0]
+        whole = self.common[1:] >= self.size[:-1]  # the next one begins with all of it
+        self.again[:-1] |= whole
+        self.again[1:] |= self.common[1:] >= self.size[1:]
+
+    def scan(self, new: Level) -> None:
+        """Marks suffixes of either array that occur as a whole in the other: the nearest in order have the longest common prefix."""
+        lo, hi = np.searchsorted(self.first, new.first, "left"), np.searchsorted(self.first, new.first, "right")
+        rows = np.flatnonzero(lo < hi)  # others part within eight bytes
+        lo, hi = lo[rows], hi[rows]
+        top, bottom = hi.copy(), lo.copy()
+        while (open_ := lo < hi).any():
+            at = np.flatnonzero(open_)
+            mid = (lo[at] + hi[at]) // 2
+            less = compared(self, mid, new, rows[at])[1]
+            lo[at], hi[at] = np.where(less, mid + 1, lo[at]), np.where(less, hi[at], mid)
+        for near in (lo - 1, lo):
+            some = (near >= bottom) & (near < top)
+            a, b = near[some], rows[some]
+            common = compared(self, a, new, b)[0]
+            self.again[a[common >= self.size[a]]] = True
+            new.again[b[common >= new.size[b]]] = True
+
+    def merged(self, other: Level) -> Level:
+        return Level(
+            np.r_[self.data, other.data],
+            np.r_[self.start, other.start + len(self.data)],
+            np.r_[self.size, other.size],
+            np.r_[self.again, other.again],
+            [np.r_[x, y] for x, y in zip(self.payload, other.payload, strict=True)],
+        )
+
+
+_FIRST = np.array([0] + [(2**64 - 1) ^ ((1 << 8 * (8 - k)) - 1) for k in range(1, 9)], np.uint64)  # keeps the first k bytes
+_BYTES = np.array([1 << 8 * k for k in range(1, 8)], np.uint64)
+
+
+def _tied(word: np.ndarray, run: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The places of entries that equal a neighbour, and the number of their run of equals."""
+    if not len(word):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.r_[True, (word[1:] != word[:-1]) | (run is not None and run[1:] != run[:-1])]
+    tied = np.flatnonzero(~new | ~np.r_[new[1:], True])
+    return tied, np.cumsum(new)[tied]
+
+
+def compared(a: Level, i: np.ndarray, b: Level, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of suffixes the bytes that they have in common, and whether the first comes before the second."""
+    size = np.minimum(a.size[i], b.size[j])
+    common, less = size.copy(), a.size[i] < b.size[j]
+    left, at = np.arange(len(i)), 0
+    while len(left):
+        x, y = a.word(i[left], at), b.word(j[left], at)
+        apart = np.flatnonzero(x != y)
+        same = 7 - np.searchsorted(_BYTES, x[apart] ^ y[apart], "right")
+        common[left[apart]] = np.minimum(size[left[apart]], 8 * at + same)
+        less[left[apart]] = x[apart] < y[apart]
+        at += 1
+        left = left[(x == y) & (size[left] > 8 * at)]
+    return common, less
+
+
 class Family:
-    """Sorted levels of (key, context, payload row); add() scans a new batch against all levels, then merges equal sizes.
+    """Levels of suffix arrays; add() scans a new batch against all of them, then merges equal sizes.
 
-    ``met`` says of every entry whether another one has the same key and context.
+    Entries have a key, a context and more columns. Of entries of a batch that are equal in both one is kept.
     """
 
     def __init__(self):
-        self.levels: list[list[np.ndarray]] = []
-
-    def add(self, key: np.ndarray, context: np.ndarray, *payload: np.ndarray) -> None:
-        both = tx.mix(key ^ context * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort(both, kind="stable")
-        new = [both[order], np.zeros(len(order), bool), key[order], context[order], *(p[order] for p in payload)]
-        self._mark(new)
+        self.levels: list[Level] = []
+
+    def add(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, context: np.ndarray, *more: np.ndarray) -> np.ndarray:
+        """Indices of the entries that are not kept, as an equal one is."""
+        if not len(key):
+            return np.zeros(0, np.int64)
+        order = np.lexsort((context, key))
+        first = _first_of_equals(key[order], context[order])
+        some = order[first]
+        again = np.add.reduceat(~first, np.flatnonzero(first)) > 0
+        new = Level(data, start[some], size[some], again, [c[some] for c in (key, context, *more)])
         for level in self.levels:
-            at = tx.found(level[0], new[0])
-            new[1] |= at >= 0
-            level[1][at[at >= 0]] = True  # the first of equals stands for them: equals of a level have met already
+            level.scan(new)
         self.levels.append(new)
-        while len(self.levels) > 1 and len(self.levels[-1][0]) * 2 > len(self.levels[-2][0]):
+        while len(self.levels) > 1 and len(self.levels[-1]) * 2 > len(self.levels[-2]):
             b, a = self.levels.pop(), self.levels.pop()
-            order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
-            self.levels.append([np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True)])
-
-    @staticmethod
-    def _mark(level: list[np.ndarray]) -> None:
-        same = level[0][1:] == level[0][:-1]
-        level[1][1:] |= same
-        level[1][:-1] |= same
+            self.levels.append(a.merged(b))
+        return order[~first]
 
     def __len__(self) -> int:
-        return sum(len(x[0]) for x in self.levels)
+        return sum(map(len, self.levels))
 
     def take(self) -> list[np.ndarray]:
-        """met, key, context and payload of all entries by (key, context), and an empty family."""
+        """again, key, context and the other columns of all entries by (key, context), and an empty family."""
         if not self.levels:
             return []
-        cols = [np.concatenate(c) for c in zip(*self.levels, strict=True)][1:]
+        again = np.concatenate([x.again for x in self.levels])
+        cols = [np.concatenate(c) for c in zip(*(x.payload for x in self.levels), strict=True)]
         self.levels = []
-        order = np.lexsort((cols[2], cols[1]))
-        return [c[order] for c in cols]
+        order = np.lexsort((cols[1], cols[0]))
+        again, *cols = (c[order] for c in (again, *cols))
+        same = ~_first_of_equals(*cols[:2])
+        again |= same | np.r_[same[1:], False]
+        return [again, *cols]
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -171,40 +271,63 @@ def _settle(family: Family, edges: bool) -> Iterator[pa.RecordBatch]:
     variant = rank - rank[np.flatnonzero(new_key)][np.cumsum(new_key) - 1]  # 0, 1, ... among the contexts of a key
     sent = first & (variant < VARIANTS) if edges else first
     # of equals that met, the one that goes on is repeated, and a witness for other tasks
-    told = met & (kind != WITNESS)
-    anywhere = tx.mix(ident.view(np.uint64))  # rows that need not meet any more are dealt evenly
-    zero = np.zeros(len(key), np.uint64)
-    yield from _chunks(*(c[told] for c in (np.full(len(key), REPEATED), anywhere, zero, ident, th, s, e, a)))
+    yield from _told(met & (kind != WITNESS), ident, th, s, e, a)
     yield from _chunks(*(c[sent] for c in (np.where(met, WITNESS, kind), key, context, ident, th, s, e, a)))
     if edges:  # a key with very many contexts here is known to be an edge
         more = first & ~sent
-        yield from _chunks(*(c[more] for c in (np.where(met, WITNESS, EDGE) + PASSED, anywhere, zero, ident, th, s, e, a)))
+        zero = np.zeros(len(key), np.uint64)
+        yield from _chunks(*(c[more] for c in (np.where(met, WITNESS, EDGE) + PASSED, tx.mix(ident.view(np.uint64)), zero, ident, th, s, e, a)))
+
+
+def _told(which: np.ndarray, ident: np.ndarray, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Repeats; rows that need not meet any more are dealt evenly."""
+    zero = np.zeros(len(ident), np.uint64)
+    yield from _chunks(*(c[which] for c in (np.full(len(ident), REPEATED), tx.mix(ident.view(np.uint64)), zero, ident, *rest)))
 
 
 def _meet(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordBatch]:
-    """The second step: entries of all tasks, dealt by key. Gives repeats and, with ``edges``, what needs a closer look."""
-    family = Family()
+    """The second step: entries of all tasks by (key, context). Gives repeats and, with ``edges``, what needs a closer look.
+
+    Only the last run of equals is held from batch to batch, or two of its rows, as that says enough.
+    """
+    held: list[np.ndarray] | None = None
+    before = None  # the key of the last run that was decided
+
+    def decided(cols: list[np.ndarray], after) -> Iterator[pa.RecordBatch]:
+        kind, key, context, ident, th, s, e, a = cols
+        first = _first_of_equals(key, context)
+        met = ~first | ~np.r_[first[1:], True]
+        fresh = met & (kind != WITNESS)
+        yield from _chunks(*(c[fresh] for c in (np.full(len(key), REPEATED), key, context, ident, th, s, e, a)))
+        if edges:
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            variants = np.add.reduceat(first.astype(np.int64), begin)
+            variants[0] += key[0] == before
+            variants[-1] += key[-1] == after
+            look = first & (np.repeat(variants, np.diff(np.r_[begin, len(key)])) > 1)
+            yield from _chunks(*(c[look] for c in (np.where(met | (kind == WITNESS), WITNESS, EDGE), key, context, ident, th, s, e, a)))
+
     for batch in batches:
         cols = _unpacked(batch)
-        kind = cols[0]
-        known = (kind == REPEATED) | (kind > PASSED)
+        known = (cols[0] == REPEATED) | (cols[0] > PASSED)
         if known.any():
-            yield _batch(np.where(kind > PASSED, kind - PASSED, kind)[known], *(c[known] for c in cols[1:]))
-        if not known.all():
-            key, context, *rest = (c[~known] for c in cols[1:])
-            family.add(key, context, *rest, kind[~known])
-    got = family.take()
-    if not got:
-        return
-    met, key, context, ident, th, s, e, a, kind = got
-    fresh = met & (kind != WITNESS)
-    yield from _chunks(*(c[fresh] for c in (np.full(len(key), REPEATED), key, context, ident, th, s, e, a)))
-    if edges:
-        first = _first_of_equals(key, context)
-        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        variants = np.repeat(np.add.reduceat(first.astype(np.int64), begin), np.diff(np.r_[begin, len(key)]))
-        look = first & (variants > 1)
-        yield from _chunks(*(c[look] for c in (np.where(met | (kind == WITNESS), WITNESS, EDGE), key, context, ident, th, s, e, a)))
+            yield _batch(*(c[known] for c in (np.where(cols[0] > PASSED, cols[0] - PASSED, cols[0]), *cols[1:])))
+        cols = [c[~known] for c in cols]
+        if held is not None:
+            cols = [np.r_[x, y] for x, y in zip(held, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        last = int(np.flatnonzero(_first_of_equals(cols[1], cols[2]))[-1])
+        if last:
+            yield from decided([c[:last] for c in cols], cols[1][last])
+            before = cols[1][last - 1]
+        held = [c[last:] for c in cols]
+        if len(held[0]) > 2:  # the first stands for its context, the last shows that it is not alone
+            fresh = np.r_[False, held[0][1:-1] != WITNESS, False]
+            yield from _chunks(*(c[fresh] for c in (np.full(len(fresh), REPEATED), *held[1:])))
+            held = [c[[0, -1]] for c in held]
+    if held is not None:
+        yield from decided(held, None)
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
@@ -217,13 +340,19 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def _met(rows: DataFrame, step, edges: bool) -> DataFrame:
-    """kind, id, th, s, e, a of what the two steps say of the entries that ``step`` yields for batches of ``rows``."""
+    """kind, id, th, s, e, a of what the two steps say of the entries of ``rows``.
+
+    ``step`` gives those of a batch: its bytes, where suffixes start and how long they are, key, context, id, th, s, e, a and kind.
+    """
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family()
         for batch in batches:
             for piece in tx.pieces(batch):
-                family.add(*step(piece))
+                data, start, size, key, context, *more, kind = step(piece)
+                again = family.add(data, start, size, key, context, *more, kind)
+                again = again[kind[again] != WITNESS]
+                yield from _told(np.ones(len(again), bool), *(c[again] for c in more))
                 if len(family) > FLUSH:
                     yield from _settle(family, edges)
         yield from _settle(family, edges)
@@ -231,7 +360,7 @@ def _met(rows: DataFrame, step, edges: bool) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _meet(batches, edges)
 
-    met = rows.mapInArrow(here, _ROWS).repartition(partitions(rows.sparkSession), "key").mapInArrow(meet, _ROWS)
+    met = rows.mapInArrow(here, _ROWS).repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "context").mapInArrow(meet, _ROWS)
     s = F.shiftright("meta", 32).cast("int")
     return met.select(
         F.col("meta").bitwiseAND(0xFF).cast("int").alias("kind"), "id", F.shiftright("meta", 8).bitwiseAND(0xFFFFFF).cast("int").alias("th"),
@@ -243,8 +372,9 @@ def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Contexts that are repeated as a whole (window starts s to e), and edges whose windows are undecided."""
 
     def step(piece: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        row, key, context, lo, hi, at = anchors(*tx.flat(piece.column("text")), length)
-        return key, context, piece.column("id").to_numpy()[row], piece.column("th").to_numpy()[row], lo.astype(np.int32), hi.astype(np.int32), at.astype(np.int32), np.zeros(len(row), np.int8)
+        data, offs = tx.flat(piece.column("text"))
+        row, key, context, lo, hi, at = anchors(data, offs, length)
+        return data, offs[row] + lo, hi - lo + length, key, context, piece.column("id").to_numpy()[row], piece.column("th").to_numpy()[row], lo.astype(np.int32), hi.astype(np.int32), at.astype(np.int32), np.zeros(len(row), np.int8)
 
     return _met(docs.select("text", "id", "th"), step, True)
 
@@ -272,7 +402,7 @@ def looked_at(docs: DataFrame, marks: DataFrame, length: int, cell: int) -> Data
         key = tx.span_hash(p, at_doc + last, at_doc + last - cell + 1 + length)
         context = tx.span_hash(p, at_doc + s, at_doc + e + length) ^ (last - s).astype(np.uint64)
         kind = np.where(kind == WITNESS, WITNESS, ENTRY).astype(np.int8)
-        return key, context, piece.column("id").to_numpy()[owner], piece.column("th").to_numpy()[owner], s.astype(np.int32), e.astype(np.int32), e.astype(np.int32), kind
+        return data, at_doc + s, e - s + length, key, context, piece.column("id").to_numpy()[owner], piece.column("th").to_numpy()[owner], s.astype(np.int32), e.astype(np.int32), e.astype(np.int32), kind
 
     return _met(only(docs, edges.select("id"), "id").join(edges, ["id", "th"]).select("text", "id", "th", "edges"), step, cell > 1)
 

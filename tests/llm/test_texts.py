@@ -96,6 +96,49 @@ def test_texts_with_null_ids_stay_apart(spark):
     assert got[None, kept] == 0 and sorted(got.values()) == [0, len(first), len(first)]
 
 
+def test_suffix_arrays_of_a_family():
+    """Levels hold suffixes in the order of their bytes, with common prefixes, and know which occur again as a whole."""
+    rng = np.random.default_rng(6)
+    family, kept, told = repeats.Family(), [], 0
+    for _ in range(21):
+        data = rng.integers(97, 99, 400).astype(np.uint8)
+        data[rng.integers(0, 400, 3)] = 0
+        start = np.arange(0, 380, 3)
+        size = rng.integers(4, 20, len(start))
+        own = [bytes(data[a : a + n]) for a, n in zip(start, size)]
+        code = np.array([hash(x) & (2**62 - 1) for x in own], np.uint64)
+        again = family.add(data, start, size, code, code, np.array([len(kept) + i for i in range(len(own))]))
+        told += len(again)
+        kept += own
+        for level in family.levels:
+            read = [bytes(level.data[a : a + n]) for a, n in zip(level.start, level.size)]
+            assert [x.ljust(24, b"\0") for x in read] == sorted(x.ljust(24, b"\0") for x in read)
+            common = [next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y))) for x, y in zip(read, read[1:])]
+            assert level.common[1:].tolist() == common
+    sizes = [len(x) for x in family.levels]
+    assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:])) and len(family) + told == len(kept)
+    n = collections.Counter(kept)
+    again, _, _, which = family.take()
+    assert all(a for a, i in zip(again, which) if n[kept[i]] > 1) and len(family) == 0
+    assert all(sum(x.startswith(kept[i]) for x in kept) > 1 for a, i in zip(again, which) if a)
+
+
+def test_repeats_of_short_texts(spark):
+    docs = spark.createDataFrame([(1, "short text"), (2, "short text"), (3, None), (4, "")], "doc_id long, text string")
+    assert {(r.doc_id, r.n_removed) for r in repeats.removal_report(docs).collect()} == {(i, 0) for i in (1, 2, 3, 4)}
+    assert repeats.without_repeats(docs.limit(1)).collect()[0].kept_text == "short text"
+
+
+def test_repeats_of_many_rows_without_ids(spark):
+    """50,000 texts with a null or a repeated id, of which a few occur twice."""
+    from pyspark.sql import functions as F
+
+    text = F.concat(*(F.sha2(F.concat((F.col("id") % 49_990).cast("string"), F.lit(x)), 256) for x in "abcd"))
+    docs = spark.range(50_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), text.alias("text"))
+    got = repeats.removal_report(docs).groupBy("n_removed").count().collect()
+    assert {r.n_removed: r["count"] for r in got} == {0: 49_980, 256: 20}
+
+
 def test_repeats_of_nothing(nothing):
     assert repeats.removal_report(nothing).count() == 0
     assert repeats.without_repeats(nothing, "lang").columns == ["doc_id", "lang", "kept_text", "n_removed"]
