@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical k-means tree with best-bin-first search.
 
-The tree is fitted on a bounded sample (``sample`` vectors); every vector is then put into
-a leaf. A query walks the tree through a priority queue that is ordered by the inner
-product with the nodes' centres, and visits the first ``visits`` leaves it comes to. That
-number is widened, by a quarter at a time, until a bounded sample of queries (``probes``) finds the
-wanted share of its true neighbours, which an exact search over all vectors gives.
+The tree is fitted on a sample of one vector in SHARE, so that it grows with the data,
+but of FEWEST at least and MOST at most; every vector is then put into a leaf. A query
+walks the tree through a priority queue that is ordered by the inner product with the
+nodes' centres, and visits the first ``visits`` leaves it comes to. That number is widened,
+by a tenth at a time, until a bounded sample of queries (``probes``) finds the wanted share
+of its true neighbours, which an exact search over all vectors gives.
 Leaves are dealt to parts in tree order by their counts, large ones to several, so parts
 are equal whatever the leaves hold; a query goes once to each part that has a leaf it
 visits. A task holds its part's vectors and streams the queries: scores are matrix
@@ -13,7 +14,8 @@ double precision.
 
 Defined results: null, empty and zero vectors, those with null or non-finite components
 and those whose length is not the commonest one take no part; equal scores are ordered
-by vec_id; rows that repeat a vec_id count once, with their best score; null ids take no part.
+by vec_id; rows that repeat a vec_id count once, with their best score, and ask once, with the
+smallest of their vectors; null ids take no part.
 """
 
 from __future__ import annotations
@@ -30,13 +32,15 @@ from pyspark.sql import functions as F
 from ._spark import partitions, written
 
 K, EVERY = 20, 20
-SAMPLE, BRANCH, LEAF, PROBES, RECALL, WIDEN = 20_000, 16, 200, 200, 0.95, 1.25
+SHARE, FEWEST, MOST, BRANCH, LEAF, PROBES, RECALL, WIDEN = 50, 20_000, 200_000, 32, 50, 200, 0.93, 1.1
+PART = 100_000  # vectors that a task compares at once
 
 
 @dataclass
 class Node:
     centre: np.ndarray
     children: list[Node] = field(default_factory=list)
+    centres: np.ndarray | None = None  # of the children
     leaf: int = -1
 
 
@@ -52,6 +56,7 @@ class Tree:
             node.leaf, self.leaves = self.leaves, self.leaves + 1
         else:
             node.children = [self._grow(g, g.mean(0), depth + 1) for g in groups]
+            node.centres = np.array([c.centre for c in node.children])
         return node
 
     def _split(self, x: np.ndarray, rounds: int = 8) -> list[np.ndarray]:
@@ -73,7 +78,7 @@ class Tree:
         while todo:
             node, rows = todo.pop()
             if node.children:
-                own = nearest(x[rows], np.array([c.centre for c in node.children]))
+                own = nearest(x[rows], node.centres)
                 todo += [(c, rows[own == i]) for i, c in enumerate(node.children) if (own == i).any()]
             else:
                 out[rows] = node.leaf
@@ -87,8 +92,8 @@ class Tree:
             if not node.children:
                 yield node.leaf
                 continue
-            for score, child in zip(np.array([c.centre for c in node.children]) @ q, node.children, strict=True):
-                heapq.heappush(queue, (-float(score), n, child))
+            for score, child in zip((node.centres @ q).tolist(), node.children, strict=True):
+                heapq.heappush(queue, (-score, n, child))
                 n += 1
 
     def first(self, q: np.ndarray, visits: int) -> list[int]:
@@ -114,16 +119,26 @@ def matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
 
 
-def largest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, scores: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact scores of the k best of x for q; ``scores`` are close to exact."""
+def largest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, scores: np.ndarray, own: int, k: int, distinct: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact scores of the k best of x for q, each id once; ``scores`` are close to exact, ``distinct`` says that no id repeats."""
     some = np.flatnonzero(ids != own)
-    if len(some) > k:
+    if distinct and len(some) > k:
         s = scores[some]
         bound = np.partition(s, len(s) - k)[len(s) - k]
         some = some[s >= bound - 1e-9 * (1 + abs(bound))]
     exact = (x[some] * q).sum(1)  # the same order of additions for every row, so equal vectors tie
-    best = np.lexsort((ids[some], -exact))[:k]
-    return ids[some][best], exact[best]
+    best = firsts(ids[some], exact, k)
+    return some[best], exact[best]
+
+
+def firsts(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores, ties to smaller ids, each id with its best score alone."""
+    order = np.lexsort((ids, -scores))
+    return order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
+
+
+def repeats(ids: np.ndarray) -> bool:
+    return len(np.unique(ids)) < len(ids)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -143,15 +158,13 @@ def exact_search(rows: DataFrame, queries: list[tuple[int, np.ndarray]], k: int)
         for batch in batches:
             ids, x = batch.column("vec_id").to_numpy(), matrix(batch.column("embedding"))
             if len(ids):
-                s = x @ q.T
+                s, distinct = x @ q.T, not repeats(ids)
                 for j in range(len(qi)):
-                    got, _ = largest(ids, x, q[j], s[:, j], qi[j], k)
-                    rows_ = np.flatnonzero(np.isin(ids, got))[: 4 * k]
-                    near_ids, near_x = np.r_[best[j][0], ids[rows_]], np.r_[best[j][1], x[rows_]]
-                    top, _ = largest(near_ids, near_x, q[j], near_x @ q[j], qi[j], k)
-                    keep = np.flatnonzero(np.isin(near_ids, top))
+                    got, _ = largest(ids, x, q[j], s[:, j], qi[j], k, distinct)
+                    near_ids, near_x = np.r_[best[j][0], ids[got]], np.r_[best[j][1], x[got]]
+                    keep = firsts(near_ids, (near_x * q[j]).sum(1), k)
                     best[j] = near_ids[keep], near_x[keep]
-        out = [(qi[j], *largest(*best[j], q[j], best[j][1] @ q[j], qi[j], k)) for j in range(len(qi))]
+        out = [(qi[j], best[j][0], (best[j][1] * q[j]).sum(1)) for j in range(len(qi))]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([np.full(len(i), a) for a, i, _ in out])), pa.array(np.concatenate([i for _, i, _ in out])), pa.array(np.concatenate([s for _, _, s in out]))], ["query_id", "vec_id", "score"]
         )
@@ -186,11 +199,12 @@ def calibrated(tree: Tree, rows: DataFrame, queries: DataFrame, k: int, recall:
     return min(visits, tree.leaves)
 
 
-def search(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = RECALL, sample: int = SAMPLE, probes: int = PROBES) -> DataFrame:
+def search(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = RECALL, sample: int | None = None, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every`` its k nearest of all other rows."""
     spark = vectors.sparkSession
     rows = usable(vectors)
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    sample = sample or min(MOST, max(FEWEST, rows.count() // SHARE))
     got = rows.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(sample).select("embedding").toArrow().combine_chunks()
     if not got.num_rows:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
@@ -210,7 +224,7 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = R
     own_ids = np.zeros(tree.leaves, np.int64)  # an id that repeats counts in one of its leaves
     for r in placed.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect():
         own_ids[r.leaf] = r["count"]
-    parts = partitions(spark)
+    parts = max(partitions(spark), -(-int(count.sum()) // PART))
     target = max(1, -(-int(count.sum()) // parts))
     upto = np.cumsum(count)
     base = np.minimum((upto - count) // target, parts - 1)
@@ -255,7 +269,9 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = R
             if stored:  # all vectors of the part came before its queries
                 t = pa.Table.from_batches(stored).combine_chunks()
                 leaf, ids, x = t.column("leaves").combine_chunks().flatten().to_numpy(), t.column("vec_id").to_numpy(), matrix(t.column("embedding").combine_chunks())
-                by_leaf = {int(n): (ids[leaf == n], x[leaf == n]) for n in np.unique(leaf)}
+                order = np.argsort(leaf, kind="stable")
+                names, first = np.unique(leaf[order], return_index=True)
+                by_leaf = {int(n): (ids[own], x[own], not repeats(ids[own])) for n, own in zip(names, np.split(order, first[1:]), strict=True)}
                 stored = []
             asked = batch.filter(pa.array(side == 1))
             qi, q, leaves = asked.column("vec_id").to_numpy(), matrix(asked.column("embedding")), asked.column("leaves").to_pylist()
@@ -266,14 +282,15 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = R
             best: dict[int, list] = {}
             for n, who in visitors.items():
                 if n in by_leaf:
-                    ids, x = by_leaf[n]
+                    ids, x, distinct = by_leaf[n]
                     s = x @ q[who].T
                     for c, j in enumerate(who):
-                        best.setdefault(j, []).append(largest(ids, x, q[j], s[:, c], qi[j], k))
+                        at, score = largest(ids, x, q[j], s[:, c], qi[j], k, distinct)
+                        best.setdefault(j, []).append((ids[at], score))
             out = []
             for j, found in best.items():
                 ids, scores = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                top = np.lexsort((ids, -scores))[:k]
+                top = firsts(ids, scores, k)
                 out.append((np.full(len(top), qi[j]), ids[top], scores[top]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])

@@ -172,6 +172,19 @@ def test_queries_with_small_first_leaves_have_all_rows(spark):
     assert n == {i: 20 for i in range(0, 4000, 20)}
 
 
+def test_an_id_that_repeats_counts_once(spark):
+    """30 rows of one id lead every list: the other places go to other ids."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(100, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1001, (x.sum(0) * (5 + k)).tolist()) for k in range(30)] + [(0, (x[0] * 2).tolist())]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), recall=1.0).collect()
+    by = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by[r.query_id].append(r.vec_id)
+    assert {q: len(v) for q, v in by.items()} == {q: 20 for q in range(0, 100, 20)} and all(len(set(v)) == 20 for v in by.values())
+    assert all(r.score == max((np.array(v) * np.array(min(w for i, w in rows if i == r.query_id))).sum() for i, v in rows if i == r.vec_id) for r in got)
+
+
 def test_neighbours(spark, nothing):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 16)).astype(np.float32)
