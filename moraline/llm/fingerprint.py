@@ -1,16 +1,20 @@
-"""I-Match document fingerprints over several randomised lexicons.
-
-Terms are words whose document frequency lies in a chosen band. A fingerprint hashes,
-for each of ``subsets`` random lexicon subsets, the sorted distinct terms of the
-document that the subset holds. Subsets are nested by halving: subset k at level j
-holds a term when the term's k-th hash is below 2^-j. A document of n terms uses the
-two levels at which about one of its terms remains, so hashes of one-word notes and
-of books are equally robust. The likeness of two fingerprints is the share of
-equal hashes at their closest common level.
-
-Defined results: null text is the empty text; a text with fewer than ``few`` terms in the
-band is filled up to so many with other words of its own; without any word all hashes are blank, and two
-blank fingerprints have likeness 1. Equal texts have equal fingerprints.
+"""I-Match document fingerprints over several randomised lexicon subsets.
+
+Terms are words whose document frequency lies in a chosen band. A fingerprint has the hash of a document's sorted distinct terms, and the same for
+LEVELS x SUBSETS random subsets of the lexicon, which are fixed for all documents: subset k
+of level j holds a term when the term's k-th hash is below 2^-j, so a level has half the
+terms of the one before it, and there are subsets that keep a few terms of a note as well
+as of a book. Two fingerprints are compared where subsets keep few terms: at the sparsest
+level at which half of them have terms of either document, and at the next one. Their
+likeness is the share of equal hashes there among the subsets that either has terms in.
+
+The words of a text that is a tenth of a corpus, by its copies, leave the band; so a
+document with fewer than FEW terms in the band is filled up to so many with other words of
+its own, those of the smallest hashes, and like texts still get like terms.
+
+Defined results: null text is the empty text; a document without words has hashes of
+nothing, which are zeros; equal fingerprints, also two of these, have likeness 1. Equal
+texts have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -26,15 +30,15 @@ from pyspark.sql import functions as F
 from . import _text as tx
 from ._spark import frequent, partitions, texts
 
-SUBSETS, FEW = 64, 20
-LOW, HIGH = 1 / 500, 1 / 10
-_BLANK = "...."
+LEVELS, SUBSETS, FEW = 11, 16, 12
+LOW, HIGH = 1 / 2000, 1 / 10
+_STEP = np.uint64(0xD1342543DE82EF95)
 
 
 def _distinct_words(piece: pa.RecordBatch) -> tuple[np.ndarray, int]:
     data, offs = tx.flat(piece.column("text"))
     _, _, h, first = tx.words(data, offs)
-    parts = [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True) if b > a]
+    parts = [tx.distinct(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True) if b > a]
     return (np.concatenate(parts) if parts else h[:0]), piece.num_rows
 
 
@@ -50,62 +54,105 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray
 class Fingerprinter:
     """Fingerprints of texts for one lexicon; a value that tasks can carry."""
 
-    def __init__(self, terms: np.ndarray, subsets: int = SUBSETS, few: int = FEW, seed: int = 7):
-        self.terms, self.subsets, self.few = terms, subsets, few
+    def __init__(self, terms: np.ndarray, levels: int = LEVELS, subsets: int = SUBSETS, few: int = FEW, seed: int = 7):
+        self.terms, self.levels, self.subsets, self.few = terms, levels, subsets, few
         self.salt = tx.seeds(subsets, seed) | np.uint64(1)
 
-    def of_words(self, words: np.ndarray) -> tuple[int, np.ndarray]:
-        """The lower of the two levels used, and the 2 x subsets hashes (0: blank) of a document's word hashes."""
-        words = np.unique(words)
-        banded = words[tx.found(self.terms, words) >= 0]
-        if len(banded) < self.few:  # filled up with the words of smallest hashes, so that like texts get like terms
-            rest = np.setdiff1d(words, banded)
-            banded = np.union1d(banded, rest[np.argsort(tx.mix(rest))[: self.few - len(banded)]])
-        out = np.zeros((2, self.subsets), np.uint16)
-        if not len(banded):
-            return 0, out
-        level = int(np.log2(len(banded)))
-        drawn = (banded[:, None] ^ (banded[:, None] >> np.uint64(29))) * self.salt[None, :]
-        drawn ^= drawn >> np.uint64(32)
-        drawn *= np.uint64(0xD6E8FEB86659FD93)
-        # banded is sorted, so a sum of mixed values stands for the sorted distinct terms of a subset
-        values = tx.mix(drawn)
-        for i in range(2):
-            inside = drawn < np.uint64((1 << (64 - level - i)) - 1)
-            h = np.where(inside, values, np.uint64(0)).sum(axis=0)
-            out[i] = np.where(inside.any(axis=0), ((h ^ (h >> np.uint64(31))) >> np.uint64(7)).astype(np.uint16) | 1, 0)
-        return level, out
-
-    def of_texts(self, col: pa.Array) -> list[tuple[int, np.ndarray]]:
+    def of_texts(self, col: pa.Array) -> Prints:
         data, offs = tx.flat(col)
         _, _, h, first = tx.words(data, offs)
-        return [self.of_words(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-
-
-def as_text(print_: tuple[int, np.ndarray]) -> str:
-    level, h = print_
-    return f"{level:02d}:" + "".join(f"{x:04x}" if x else _BLANK for x in h.ravel().tolist())
-
-
-def from_text(text: str) -> tuple[int, np.ndarray]:
-    cells = [text[i : i + 4] for i in range(3, len(text), 4)]
-    return int(text[:2]), np.array([0 if c == _BLANK else int(c, 16) for c in cells], np.uint16).reshape(2, -1)
-
-
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """Share of equal hashes among the subsets that either document has terms in, at the highest common level."""
-    (la, ha), (lb, hb) = a, b
-    if not ha.any() and not hb.any():
-        return 1.0
-    top = min(la, lb) + 1
-    if top < max(la, lb):
-        return 0.0
-    x, y = ha[top - la], hb[top - lb]
-    some = (x > 0) | (y > 0)
-    if not some.any() and top > max(la, lb):
-        x, y = ha[top - 1 - la], hb[top - 1 - lb]
-        some = (x > 0) | (y > 0)
-    return float((x[some] == y[some]).mean()) if some.any() else 0.0
+        row = np.repeat(np.arange(len(col)), np.diff(first))
+        some = np.flatnonzero(tx.found(self.terms, h) >= 0)
+        terms, own = distinct_in_rows(h[some], row[some])
+        have = np.bincount(own, minlength=len(col))
+        poor = have < self.few
+        if poor[row].any():
+            some = np.flatnonzero(poor[row])
+            more, rows = distinct_in_rows(h[some], row[some])
+            other = tx.found(self.terms, more) < 0
+            more, rows = more[other], rows[other]
+            order = np.lexsort((tx.mix(more), rows))
+            first = np.searchsorted(rows, np.arange(len(col)))  # rows ascend, in either order
+            taken = order[np.arange(len(rows)) - first[rows] < (self.few - have)[rows]]
+            terms, own = np.r_[terms, more[taken]], np.r_[own, rows[taken]]
+            order = np.lexsort((terms, own))
+            terms, own = terms[order], own[order]
+        return self.of_terms(terms, own, len(col))
+
+    def of_terms(self, terms: np.ndarray, row: np.ndarray, rows: int) -> Prints:
+        """Of the distinct terms of each row, sorted within rows."""
+        value = tx.mix(terms)
+        whole = sequence_hashes(value, row, rows)
+        cells = np.zeros((rows, self.levels, self.subsets), np.uint16)
+        drawn = (terms ^ (terms >> np.uint64(29))) * self.salt[:, None]
+        drawn ^= drawn >> np.uint64(32)
+        drawn *= np.uint64(0xD6E8FEB86659FD93)
+        subset, at = np.nonzero(drawn >> np.uint64(63) == 0)
+        drawn = drawn[subset, at]
+        for level in range(self.levels):
+            if level:
+                inside = np.flatnonzero(drawn >> np.uint64(63 - level) == 0)
+                subset, at, drawn = subset[inside], at[inside], drawn[inside]
+            h = sequence_hashes(value[at], subset * rows + row[at], self.subsets * rows)
+            short = np.where(h > 0, (h >> np.uint64(40)).astype(np.uint16) | 1, 0)
+            cells[:, level] = short.reshape(self.subsets, rows).T
+        return Prints(whole, cells)
+
+
+def distinct_in_rows(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct values in order; rows ascend."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, np.int64)
+    return h[new], row[new]
+
+
+def sequence_hashes(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """The hash of each group's values in their order (h = h * step + value for one after the other); 0 for groups without any."""
+    out = np.zeros(groups, np.uint64)
+    if len(values):
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        size = np.diff(np.r_[first, len(group)])
+        after = np.repeat(first + size, size) - 1 - np.arange(len(group))
+        power = np.cumprod(np.r_[np.uint64(1), np.full(int(size.max()), _STEP)])
+        out[group[first]] = tx.mix(np.add.reduceat(values * power[after], first) + size.astype(np.uint64)) | np.uint64(1)
+    return out
+
+
+class Prints:
+    """Fingerprints of several texts: 64-bit hashes over the whole lexicon, and 16 bits for each level and subset; 0 stands for no terms."""
+
+    def __init__(self, whole: np.ndarray, cells: np.ndarray):
+        self.whole, self.cells = whole, cells
+
+    def take(self, rows) -> Prints:
+        return Prints(self.whole[rows], self.cells[rows])
+
+    def and_(self, other: Prints) -> Prints:
+        return Prints(np.r_[self.whole, other.whole], np.r_[self.cells, other.cells])
+
+    def as_text(self) -> list[str]:
+        cells = self.cells.astype(">u2")
+        return [f"{int(w):016x}{c.tobytes().hex()}" for w, c in zip(self.whole, cells, strict=True)]
+
+    @classmethod
+    def from_text(cls, texts: list[str], subsets: int = SUBSETS) -> Prints:
+        cells = [np.frombuffer(bytes.fromhex(t[16:]), ">u2").astype(np.uint16).reshape(-1, subsets) for t in texts]
+        return cls(np.array([int(t[:16], 16) for t in texts], np.uint64), np.array(cells))
+
+    def likeness(self, other: Prints) -> np.ndarray:
+        """Of the fingerprints at the same places."""
+        some = (self.cells > 0) | (other.cells > 0)
+        equal = some & (self.cells == other.cells)
+        n, same = some.sum(2), equal.sum(2)
+        levels = n.shape[1]
+        enough = 2 * n >= some.shape[2]
+        level = np.where(enough.any(1), levels - 1 - np.argmax(enough[:, ::-1], axis=1), 0)
+        rows, after = np.arange(len(n)), np.minimum(level + 1, levels - 1)
+        next_ = after > level
+        total = n[rows, level] + np.where(next_, n[rows, after], 0)
+        share = (same[rows, level] + np.where(next_, same[rows, after], 0)) / np.maximum(total, 1)
+        return np.where((self.whole == other.whole) & (self.cells == other.cells).all((1, 2)), 1.0, share)
 
 
 def fingerprints(docs: DataFrame, terms: np.ndarray | None = None, **options) -> DataFrame:
@@ -117,7 +164,7 @@ def fingerprints(docs: DataFrame, terms: np.ndarray | None = None, **options) ->
         for batch in batches:
             for piece in tx.pieces(batch):
                 prints = sent.value.of_texts(piece.column("text"))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([as_text(p) for p in prints], pa.string())], ["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(prints.as_text(), pa.string())], ["doc_id", "fingerprint"])
 
     return docs.mapInArrow(run, "doc_id long, fingerprint string")
 
@@ -181,31 +228,30 @@ def neighbour_report(docs: DataFrame, terms: np.ndarray | None = None, **options
     ranged = ranged.repartitionById(n, F.col("slot")).sortWithinPartitions("slot", "extra", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fp, last = sent.value, None  # last: the row whose successor is still to come
+        fp, last = sent.value, None  # last: the row whose successor is still to come, and its fingerprint
 
         for batch in batches:
             for piece in tx.pieces(batch):
-                here = piece.column("text").to_pylist()
-                rows = list(zip(piece.column("doc_id").to_pylist(), [t or "" for t in here], piece.column("slot").to_pylist(), piece.column("extra").to_pylist(), fp.of_texts(piece.column("text")), strict=True))
-                pairs = []
-                for row in rows:
-                    # a second copy for the same slot follows the first one and is nobody's successor
-                    if last is not None and last[3] == 0 and last[2] == row[2]:
-                        pairs.append((last, row))
-                    last = row
-                if not pairs:
+                rows = list(zip(piece.column("doc_id").to_pylist(), [t or "" for t in piece.column("text").to_pylist()], piece.column("slot").to_pylist(), piece.column("extra").to_pylist(), strict=True))
+                prints = fp.of_texts(piece.column("text"))
+                if last is not None:
+                    rows, prints = [last[0], *rows], last[1].and_(prints)
+                last = rows[-1], prints.take([-1])
+                # a second copy for the same slot follows the first one and is nobody's successor
+                at = np.array([i for i, (a, b) in enumerate(zip(rows, rows[1:])) if a[3] == 0 and a[2] == b[2]], np.int64)
+                if not len(at):
                     continue
-                new = [edited(a[1], b[1]) for a, b in pairs]
-                news = fp.of_texts(pa.array(new, pa.large_string()))
+                new = pa.array([edited(rows[i][1], rows[i + 1][1]) for i in at], pa.large_string())
+                own, news = prints.take(at), fp.of_texts(new)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": pa.array([a[0] for a, _ in pairs], pa.int64()),
-                        "n_chars": pa.array([len(a[1]) for a, _ in pairs], pa.int64()),
-                        "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in new],
-                        "fingerprint": [as_text(a[4]) for a, _ in pairs],
-                        "edited_fingerprint": [as_text(p) for p in news],
-                        "near_edited": [likeness(a[4], p) for (a, _), p in zip(pairs, news, strict=True)],
-                        "near_next": [likeness(a[4], b[4]) for a, b in pairs],
+                        "doc_id": pa.array([rows[i][0] for i in at], pa.int64()),
+                        "n_chars": pa.array([len(rows[i][1]) for i in at], pa.int64()),
+                        "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in new.to_pylist()],
+                        "fingerprint": own.as_text(),
+                        "edited_fingerprint": news.as_text(),
+                        "near_edited": own.likeness(news),
+                        "near_next": own.likeness(prints.take(at + 1)),
                     }
                 )
 

@@ -45,12 +45,64 @@ def test_fingerprints(spark, nasty, texts, nothing):
     by = {r.doc_id: r for r in got}
     assert by[0].fingerprint == by[2].fingerprint != by[1].fingerprint and by[3].fingerprint == by[4].fingerprint == by[5].fingerprint
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
-    a, b = (fingerprint.from_text(by[i].fingerprint) for i in (0, 1))
-    assert fingerprint.as_text(a) == by[0].fingerprint and fingerprint.likeness(a, a) == 1 and fingerprint.likeness(a, b) > 0.7
+    a, b = (fingerprint.Prints.from_text([by[i].fingerprint]) for i in (0, 1))
+    assert a.as_text() == [by[0].fingerprint] and a.likeness(a)[0] == 1 and a.likeness(b)[0] > 0.7
     assert fingerprint.neighbour_report(nothing).count() == 0
     assert fingerprint.neighbour_report(nasty.limit(1)).count() == 1
 
 
+def plain_prints(lexicon, model, text):
+    """The cells of a text's fingerprint, one subset after the other: the hash of the sorted distinct terms that it holds."""
+    words = {tx.word_hash(w.decode()) for w in WORD.findall(fold(text))}
+    rest = sorted(words - lexicon, key=lambda w: int(tx.mix(np.array([w], np.uint64))[0]))
+    terms = sorted(words & lexicon | set(rest[: max(0, fingerprint.FEW - len(words & lexicon))]))
+    mod = 1 << 64
+
+    def of(held):
+        h = 0
+        for t in held:
+            h = (h * int(fingerprint._STEP) + int(tx.mix(np.array([t], np.uint64))[0])) % mod
+        return int(tx.mix(np.array([(h + len(held)) % mod], np.uint64))[0]) | 1 if held else 0
+
+    cells = np.zeros((model.levels, model.subsets), int)
+    for k, salt in enumerate(model.salt.tolist()):
+        drawn = {}
+        for t in terms:
+            x = (t ^ t >> 29) * salt % mod
+            drawn[t] = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % mod
+        for level in range(model.levels):
+            h = of([t for t in terms if drawn[t] < 1 << 63 - level])
+            cells[level, k] = (h >> 40 & 0xFFFF) | 1 if h else 0
+    return of(terms), cells
+
+
+def plain_likeness(a, b):
+    if a[0] == b[0] and (a[1] == b[1]).all():
+        return 1.0
+    pairs = [[(x, y) for x, y in zip(r, s) if x or y] for r, s in zip(a[1].tolist(), b[1].tolist())]
+    dense = [i for i, p in enumerate(pairs) if 2 * len(p) >= a[1].shape[1]]
+    level = dense[-1] if dense else 0
+    used = [p for row in pairs[level : level + 2] for p in row]
+    return sum(x == y for x, y in used) / len(used) if used else 0.0
+
+
+def test_fingerprints_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
+    df = collections.Counter(w for _, t in rows for w in set(WORD.findall(fold(t))))
+    lexicon = {tx.word_hash(w.decode()) for w, n in df.items() if fingerprint.LOW * len(rows) <= n <= fingerprint.HIGH * len(rows)}
+    assert set(fingerprint.lexicon(docs).tolist()) == lexicon
+    model = fingerprint.Fingerprinter(np.array(sorted(lexicon), np.uint64))
+    got = {r.doc_id: r for r in fingerprint.neighbour_report(docs).collect()}
+    near = [0, 0]
+    for (i, a), (_, b) in list(zip(rows, [*rows[1:], rows[0]]))[::7]:
+        own, new, after = (plain_prints(lexicon, model, t) for t in (a, fingerprint.edited(a, b), b))
+        assert got[i].fingerprint == fingerprint.Prints(np.array([own[0]], np.uint64), own[1][None].astype(np.uint16)).as_text()[0]
+        assert got[i].near_edited == pytest.approx(plain_likeness(own, new)) and got[i].near_next == pytest.approx(plain_likeness(own, after))
+        near = [near[0] + got[i].near_edited, near[1] + got[i].near_next]
+    assert near[0] > 5 * near[1]
+
+
 def test_frequent_items(spark):
     from moraline.llm._spark import frequent
 
