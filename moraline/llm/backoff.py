@@ -42,7 +42,7 @@ from . import _text as tx
 from ._spark import crc, partitions, texts, written
 
 ORDER, DISCOUNT, BETA, FOLDS, HELD_OUT = 3, 0.75, 1.0, 5, 1
-SLICE, PART, ROUNDS, GRAMS_A_BYTE = 12 << 20, 3_000_000, 2, 0.27
+SLICE, PART, ROUNDS, GRAMS_A_BYTE = 8 << 20, 3_000_000, 2, 0.27
 END = np.uint64(0xE4D0F7E87A1C3B55)
 _SALT = tx.seeds(2, 91) | np.uint64(1)
 _KEY = ~np.uint64(7)
@@ -83,10 +83,10 @@ def runs(ordered: np.ndarray) -> np.ndarray:
 class Automaton:
     """All n-grams (sorted keys) with their counts in the training texts, whose tokens and distinct words are given.
 
-    ``keys`` may be those of the texts that are to be read alone, as others have no arc there.
+    Without ``keys`` these are the distinct n-grams of the texts that are to be read, as others have no arc there.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+    def __init__(self, keys: np.ndarray | None, counts: np.ndarray, total: int, distinct: int):
         self.keys, self.counts, self.total, self.distinct = keys, counts, total, distinct
         self.unseen = DISCOUNT * distinct / total if total else 1.0
 
@@ -102,14 +102,15 @@ class Automaton:
         """For n = 1 .. ORDER the counts of the n-gram that ends at each place, 0 where none does; the end before a row has the ends' count."""
         found = list(grams(t, begin))
         keys = np.concatenate([k for _, k in found])
-        order = np.argsort(keys)
+        order = tx.order_of(keys)
         keys = keys[order]
         first = runs(keys)
-        asked = keys[first]
-        if len(asked) == len(self.keys) and (asked == self.keys).all():
+        if self.keys is None:
+            if len(first) != len(self.counts):
+                raise RuntimeError("a slice and its answers differ")
             have = self.counts
         else:
-            at = tx.found(self.keys, asked)
+            at = tx.found(self.keys, keys[first])
             have = np.where(at >= 0, self.counts[at] if len(self.counts) else 0, 0)
         each = np.empty(len(keys), np.int64)
         each[order] = np.repeat(have, np.diff(np.r_[first, len(keys)]))
@@ -236,7 +237,7 @@ def answers(asked: DataFrame, owners: int) -> DataFrame:
         if not heads:
             return
         keys, counts = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(keys, kind="stable")  # sorted runs, which a stable sort merges
+        order = tx.order_of(keys)
         keys = keys[order]
         first = runs(keys)
         total = np.add.reduceat(counts[order], first)
@@ -269,8 +270,13 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_scor
 def scored(slices: DataFrame, answered: DataFrame, total: int, distinct: int) -> DataFrame:
     """The columns of _SCORES, each slice read by the automaton of its own n-grams."""
     own = slices.select("slice", F.lit(-1).cast("long").alias("part"), F.lit(0).cast("long").alias("n"), F.col("docs").alias("payload"))
-    tasks = max(partitions(slices.sparkSession), slices.count())
-    both = own.unionByName(answered.select("slice", "part", "n", "payload")).repartition(tasks, "slice").sortWithinPartitions("slice", "part")
+    # slices are numbered anew from 0 on, a task for each: their numbers are those of the tasks that packed them, each from 0 on
+    packers = slices.groupBy(F.shiftright("slice", 32).alias("packer")).count().orderBy("packer").collect()
+    begins = dict(zip([r.packer for r in packers], np.cumsum([0] + [r["count"] for r in packers]).tolist(), strict=False))
+    offsets = slices.sparkSession.createDataFrame(list(begins.items()), "packer long, offset long")
+    both = own.unionByName(answered.select("slice", "part", "n", "payload")).withColumn("packer", F.shiftright("slice", 32)).join(F.broadcast(offsets), "packer")
+    task = (F.col("offset") + F.col("slice").bitwiseAND(0xFFFFFFFF)).cast("int")
+    both = both.select("slice", "part", "n", "payload", task.alias("task")).repartitionById(max(1, sum(r["count"] for r in packers)), "task").sortWithinPartitions("slice", "part")
 
     def read(data: pa.Buffer, counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         pieces = list(documents(data))
@@ -278,11 +284,7 @@ def scored(slices: DataFrame, answered: DataFrame, total: int, distinct: int) ->
         starts = np.cumsum([0] + [len(t) for t, _ in parts])
         t = np.concatenate([t for t, _ in parts])
         begin = np.concatenate([b[:-1] + s for (_, b), s in zip(parts, starts[:-1], strict=True)] + [starts[-1:]])
-        every = np.concatenate(counts)
-        keys = np.unique(np.concatenate([k for _, k in grams(t, begin)]))
-        if len(keys) != len(every):
-            raise RuntimeError("a slice and its answers differ")
-        weights, c = Automaton(keys, every, total, distinct).read(t, begin)
+        weights, c = Automaton(None, np.concatenate(counts), total, distinct).read(t, begin)
         n = np.diff(begin) - 1
         inside = np.ones(len(t), bool)
         inside[begin[:-1]] = False
