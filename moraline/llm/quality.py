@@ -59,11 +59,11 @@ def features(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     stats[:, :8] = shares
     for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
         n = b - a
-        u = np.unique(h[a:b])
+        u = tx.distinct(h[a:b])
         kept.append(u)
         if n:
             t = max(n - 2, 0)
-            d3 = len(np.unique(triple[a : a + t])) / t if t else 1.0
+            d3 = len(tx.distinct(triple[a : a + t])) / t if t else 1.0
             stats[i, 8:15] = np.log1p(n), (lengths[b] - lengths[a]) / n, len(u) / n, d3, (closed[b] - closed[a]) / n, (capital[b] - capital[a]) / n, t == 0
     stats[:, 15] = np.log1p(np.diff(offs))
     return (np.concatenate(kept) if kept else h[:0]), np.r_[0, np.cumsum([len(k) for k in kept])].astype(np.int64), stats

@@ -53,7 +53,7 @@ def shingles(piece: pa.RecordBatch, n: int = NGRAM) -> list[np.ndarray]:
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= n:
-            out.append(np.unique(gram[a : b - n + 1]))
+            out.append(tx.distinct(gram[a : b - n + 1]))
         elif b > a:
             out.append(tx.mix(np.array([sum(int(x) * int(salt[k]) for k, x in enumerate(h[a:b])) + b - a & (1 << 64) - 1], np.uint64)))
         else:

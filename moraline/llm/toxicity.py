@@ -197,7 +197,7 @@ def _word_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, h, first, stems = bare_words(*tx.flat(piece.column("text")))
             spans = [(of, np.searchsorted(of, first), x) for of, x in stems]
             for i, y in enumerate(piece.column("label").to_pylist()):
-                sides[y].add(np.unique(np.concatenate([h[first[i] : first[i + 1]], *(x[f[i] : f[i + 1]] for _, f, x in spans)])))
+                sides[y].add(tx.distinct(np.concatenate([h[first[i] : first[i + 1]], *(x[f[i] : f[i + 1]] for _, f, x in spans)])))
                 docs[y] += 1
         for side in (0, 1):
             if sides[side].full():
