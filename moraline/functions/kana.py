@@ -97,32 +97,33 @@ def voice_text(text: str) -> str:
     return text[:1].translate(str.maketrans(*VOICED)) + text[1:]
 
 
-LONG = [(a + b, f"{a}+{b}") for v, b in (("あ", "あ"), ("い", "い"), ("う", "う"), ("え", "い"), ("え", "え"), ("お", "う"), ("お", "お")) for a in ROWS[v]]
-_LONG = {pair: name for pair, name in LONG}
+# The long vowels that are looked for in readings.
+LONG_PATTERNS = (
+    "おう こう そう とう のう ほう もう よう ろう ごう ぞう どう ぼう ぽう "
+    "きょう しょう ちょう にょう ひょう みょう りょう ぎょう じょう びょう "
+    "えい けい せい てい ねい へい めい れい げい ぜい でい べい ぺい "
+    "くう すう つう ふう ぐう ずう おお いい ああ ー"
+).split()
+# The long vowels whose last kana is written with a mark.
+MARKED_PATTERNS = (
+    "きょう しょう ちょう にょう ひょう みょう りょう ぎょう じょう びょう ぴょう "
+    "きゅう しゅう ちゅう にゅう ひゅう みゅう りゅう ぎゅう じゅう びゅう ぴゅう "
+    "おう こう そう とう のう ほう もう よう ろう ごう ぞう どう ぼう ぽう "
+    "えい けい せい てい ねい へい めい れい げい ぜい でい べい ぺい "
+    "くう すう つう ふう ぐう ずう ゆう おお いい ああ ええ うう"
+).split()
+_LONG = re.compile(f"(?=({'|'.join(LONG_PATTERNS)}))")
+_MARKED = re.compile("|".join([*MARKED_PATTERNS, "."]), re.DOTALL)
 
 
 def long_vowels(reading: str) -> list[tuple[int, str]]:
-    """Places and patterns (kana and what lengthens it) of the long vowels of a reading; a long mark counts for itself."""
-    out = []
-    for i in range(len(reading) - 1):
-        pair = reading[i : i + 2]
-        if pair in _LONG or pair[1] == "ー":
-            out.append((i, _LONG.get(pair, "ー")))
-    return out
+    """Places and patterns of the long vowels of a reading; no pattern begins another, so there is one at a place at most."""
+    return [(m.start(), m[1]) for m in _LONG.finditer(reading)]
 
 
 def with_marks(reading: str) -> str:
-    """Hangul of a reading where the second mora of a long vowel is written ~; kana are written one by one."""
-    out, at = "", 0
-    long = {i for i, _ in long_vowels(reading)}
-    while at < len(reading):
-        unit = _UNIT.match(reading, at)[0]
-        out += to_hangul(unit)
-        last = at + len(unit) - 1
-        at += len(unit)
-        if last in long:
-            out, at = out + "~", at + 1
-    return out
+    """Hangul of a reading where the last kana of a long vowel is written ~; other kana are written one by one."""
+    return "".join(to_hangul(u[:-1]) + "~" if len(u) > 1 else to_hangul(u) for u in _MARKED.findall(reading))
 
 
 def _udf(f):

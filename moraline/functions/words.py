@@ -41,22 +41,17 @@ def conjugate(reading: str, form: str) -> str:
     return reading[:-1] + forms[i] + tail if forms else reading
 
 
-# Word classes by the ends of readings, tried in this order.
-CLASSES = [
-    ("auxiliary", ("です", "ます", "ました", "ません", "でした")),
-    ("verb", ("る", "う", "く", "ぐ", "す", "つ", "ぬ", "ぶ", "む", "て", "た")),
-    ("adjective", ("い",)),
-]
-
-
-def word_class(reading: Column, particles: tuple[str, ...] = ("は", "が", "を", "に", "で", "と", "も", "の", "へ", "から", "まで", "より")) -> Column:
-    out = F.when(reading.isin(*particles), "particle")
-    for name, ends in CLASSES:
-        hit = F.lit(False)
-        for e in ends:
-            hit |= reading.endswith(e)
-        out = out.when(hit, name)
-    return out.otherwise("noun")
+# Particles, and the ends of verbs.
+PARTICLES = ("は", "が", "を", "に", "で", "と", "の", "も", "から", "まで", "より", "へ")
+VERB_ENDS = ("ます", "した", "して", "ない", "った", "いた", "んだ", "いで")
+
+
+def word_class(surface: Column, reading: Column) -> Column:
+    """particle, verb, adjective, auxiliary (other words with です) or noun, by the ends of a word as written and as read."""
+    ends = [surface.endswith(e) for e in VERB_ENDS]
+    polite, plain = surface.endswith("です"), surface.endswith("い") & reading.endswith("い") & (F.length(surface) > 1)
+    adjective = (polite & reading.endswith("いです")) | (~polite & plain)
+    return F.when(surface.isin(*PARTICLES), "particle").when(F.greatest(*ends), "verb").when(adjective, "adjective").when(polite, "auxiliary").otherwise("noun")
 
 
 def pieces(text: Column) -> Column:

@@ -27,8 +27,10 @@ def completions(index: DataFrame, queries: DataFrame, most: int = COMPLETIONS) -
     """id, surface, hangul, frequency, saving for queries (id, partial): entries whose Hangul goes on after it."""
     n = F.length("hangul")
     prefixes = index.where(n > 1).select("hangul", "surface", "frequency", F.explode(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring("hangul", F.lit(1), i))).alias("partial"))
-    found = queries.where(F.length("partial") > 0).join(prefixes, "partial").withColumn("saving", F.length("hangul") - F.length("partial"))
-    return dictionary.top(found, ["id"], [F.desc("frequency"), F.col("hangul"), F.col("surface")], most, "place").select("id", "surface", "hangul", "frequency", "saving")
+    # the order of completions does not depend on the query: each prefix keeps its first ones before any meets it
+    best = dictionary.top(prefixes, ["partial"], [F.desc("frequency"), F.col("hangul"), F.col("surface")], most, "place").drop("place")
+    found = queries.where(F.length("partial") > 0).join(best, "partial")
+    return found.select("id", "surface", "hangul", "frequency", (F.length("hangul") - F.length("partial")).alias("saving"))
 
 
 def next_words(model: ngram.NgramModel, queries: DataFrame, index: DataFrame, most: int = MOST) -> DataFrame:
@@ -62,7 +64,7 @@ def suggestions(queries: DataFrame, index: DataFrame, entries: DataFrame, model:
     a, b, c, d = WEIGHTS
     score: Column = a * F.col("conf") + b * F.col("context_score") + c * F.col("frequency") / 10_000 + d * F.col("norm_score")
     ranked = scored.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "surface")))
-    out = ranked.select("id", "surface", "hangul", "score", "saving", F.lit("PrefixCompletion").alias("tier"), "rank")
+    out = ranked.select("id", "surface", "hangul", "score", "saving", F.lit("PrefixCompletion").alias("tier"), "rank")  # exact readings too
     after = next_words(model, queries.where(F.length("partial") == 0), index, most)
     out = out.unionByName(after.select("id", "surface", "hangul", (1.0 / F.col("rank")).alias("score"), "saving", F.lit("NextWord").alias("tier"), "rank"))
     return out.where(F.col("rank") <= most)

@@ -7,6 +7,7 @@ executors); beyond it decode_by_join() finds the tokens of each word by a join f
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,8 +33,10 @@ KNOWN_WORDS = {
     "이타다키마스": "いただきます",
 }
 ENDINGS = {"데스카": "ですか", "데스요": "ですよ", "데스네": "ですね", "데스": "です", "마스카": "ますか", "마시타": "ました", "마스": "ます", "와": "は", "가": "が"}
-# Weights of variants with an n, a small tsu or a long mark put in.
+# What finals (indices as compatible output has them) may stand for, and weights of variants.
+FINAL_SIGNS = {2: "ん", 6: "ん", 21: "ん", 1: "っ", 7: "っ", 17: "っ", 9: "っ", 10: "っ"}
 VARIANTS = {"ん": 0.7, "っ": 0.6, "ー": 0.5}
+_LONG_U = re.compile("(?<=[%s])う" % "".join(c + chr(ord(c) + 96) for row in kana.ROWS.values() for c in row if c not in "ゃゅょ"))  # after kana of either script
 
 Map = dict[str, list[tuple[str, float]]]
 
@@ -118,18 +121,18 @@ def sentence(text: str, table: Map, **options) -> str:
     return "".join([*out, word(run, table, **options)])
 
 
-def hybrid(text: str, table: Map, width: int = 6, most: int = 10) -> list[tuple[str, float]]:
-    """The beam's readings and variants of each with one n, small tsu or long mark put in where a final stood."""
-    found = dict(beam(text, table, width, most))
-    finals = [i for i, ch in enumerate(text) if (p := jamo.parts(ch)) and p[2]]
-    for hira, conf in list(found.items()):
-        for at in finals:
-            p = jamo.parts(text[at])
-            sign = "ん" if p[2] in (2, 6) else "っ" if p[2] in (9, 10) else None  # indices as compatible output has them
-            for mark in [sign] if sign else []:
-                variant = hira[: at + 1] + mark + hira[at + 1 :]
-                found[variant] = max(found.get(variant, 0.0), conf * VARIANTS[mark])
-    return sorted(found.items(), key=lambda r: (-r[1], r[0]))[:most]
+def variants(hira: str, original: str) -> list[tuple[str, float]]:
+    """Readings with one n or small tsu put in after the place of a syllable with such a final, or one u as a long mark; and their weights."""
+    signs = [(i, FINAL_SIGNS[p[2]]) for i, ch in enumerate(original) if (p := jamo.parts(ch)) and p[2] in FINAL_SIGNS]
+    out = [(hira[: i + 1] + sign + hira[i + 1 :], VARIANTS[sign]) for i, sign in signs]
+    return out + [(hira[: m.start()] + "ー" + hira[m.end() :], VARIANTS["ー"]) for m in _LONG_U.finditer(hira)]
+
+
+def hybrid(text: str, table: Map, width: int = 6, most: int = 10, original: str | None = None) -> list[tuple[str, float]]:
+    """The beam's readings and the variants of each by the finals of what was typed, likeliest first; of equal neighbours the first stays."""
+    rows = [r for hira, conf in beam(text, table, width, most) for r in [(hira, conf), *((v, conf * w) for v, w in variants(hira, text if original is None else original))]]
+    rows.sort(key=lambda r: -r[1])
+    return [r for i, r in enumerate(rows) if i == 0 or rows[i - 1][0] != r[0]][:most]
 
 
 def rule_based(text: str, most: int = 10) -> list[tuple[str, str, float]]:

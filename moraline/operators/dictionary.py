@@ -53,9 +53,10 @@ def with_self(candidates: DataFrame, entries: DataFrame, reading: str = "hira")
 
 
 def consecutive_distinct(rows: DataFrame, group: list[str], order: list[Column], key: str) -> DataFrame:
-    """Rows whose key differs from the one before in the order of their group."""
+    """Rows whose key differs from the one before in the order of their group; a null key equals a null key."""
     w = Window.partitionBy(*group).orderBy(*order)
-    return rows.withColumn("__p", F.lag(key).over(w)).where(F.col("__p").isNull() | (F.col("__p") != F.col(key))).drop("__p")
+    before = rows.withColumns({"__p": F.lag(key).over(w), "__n": F.row_number().over(w)})
+    return before.where((F.col("__n") == 1) | ~F.col("__p").eqNullSafe(F.col(key))).drop("__p", "__n")
 
 
 def top(rows: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.words import bound
+from ..sources.scratch import written
+from . import dictionary
 
 BOS, K, LAMBDA = "<BOS>", 0.1, (0.4, 0.4, 0.2)  # weights of trigram, bigram, unigram
 
@@ -47,8 +49,13 @@ class NgramModel:
 
     @classmethod
     def build(cls, sentences: DataFrame, words: str = "words", bos: bool = True, **options) -> NgramModel:
+        """Sentences are read once: the counts are written, and every probability is a join with these tables."""
         s = spans(sentences, words, bos)
-        return cls.of(unigrams(s), bigrams(s), trigrams(s), **options)
+        grams = written(s.groupBy("w2", "w1", "word").agg(F.count("*").alias("count")))
+        total = F.sum("count").alias("count")
+        bi = written(grams.where("w1 is not null").groupBy(F.col("w1").alias("prev"), "word").agg(total))
+        tri = grams.where("w2 is not null").select(F.col("w2").alias("w1"), F.col("w1").alias("w2"), "word", "count")
+        return cls.of(written(grams.groupBy("word").agg(total)), bi, tri, **options)
 
     @classmethod
     def of(cls, uni: DataFrame, bi: DataFrame, tri: DataFrame, **options) -> NgramModel:
@@ -99,20 +106,36 @@ class NgramModel:
     def scored(self, keys: DataFrame) -> DataFrame:
         return self.counted(keys).withColumns({"score": self.score(), "norm_score": normalized(self.score())})
 
+    def scores(self, keys: DataFrame) -> DataFrame:
+        return self.counted(keys).withColumn("score", self.score())
+
     def predict(self, contexts: DataFrame, k: int) -> DataFrame:
-        """id, word, rank for contexts (id, w2, w1; null where missing): what follows, the longest context first, ties by word."""
-        seen = self.uni.where(F.col("word") != BOS)
-        top = seen.orderBy(F.desc("count"), "word").limit(k)  # k rows
+        """id, word, score, rank for contexts (id, w2, w1; null where missing): the best scored of what may follow, ties by word.
+
+        After two words that is what follows both or the last one anywhere; after one word
+        what follows it, and where that is less than 2k words the k most frequent others;
+        without words the most frequent ones.
+        """
+        words = lambda rows: rows.where(F.col("word") != BOS)
         two = contexts.where("w1 is not null and w2 is not null")
         one = contexts.where("w1 is not null and w2 is null")
-        bi, tri = self.bi.where(F.col("word") != BOS), self.tri.where(F.col("word") != BOS)
-        of_tri = two.join(tri.select(F.col("w1").alias("w2"), F.col("w2").alias("w1"), "word", "count"), ["w2", "w1"]).select("id", "word", "count", F.lit(0).alias("tier"))
-        of_bi = contexts.where("w1 is not null").join(bi.withColumnRenamed("prev", "w1"), "w1").select("id", "word", "count", F.lit(1).alias("tier"))
-        few = one.join(of_bi.groupBy("id").agg(F.count("*").alias("n")), "id", "left").where(F.coalesce("n", F.lit(0)) < 2 * k)
-        of_uni = contexts.where("w1 is null").select("id").union(few.select("id")).crossJoin(F.broadcast(top)).select("id", "word", "count", F.lit(2).alias("tier"))
-        found = of_tri.union(of_bi).union(of_uni).groupBy("id", "word").agg(F.min(F.struct("tier", (-F.col("count")).alias("n"))).alias("best"))
-        place = F.row_number().over(Window.partitionBy("id").orderBy("best.tier", "best.n", "word"))
-        return found.select("id", "word", place.alias("rank")).where(F.col("rank") <= k)
+        after = contexts.where("w1 is not null").join(words(self.bi).withColumnRenamed("prev", "w1"), "w1").select("id", "w2", "w1", "word")
+        both = two.join(words(self.tri).select(F.col("w1").alias("w2"), F.col("w2").alias("w1"), "word"), ["w2", "w1"]).select("id", "w2", "w1", "word")
+        frequent = words(self.uni).orderBy(F.desc("count"), "word").limit(3 * k).withColumnRenamed("count", "n")  # 3k rows
+        few = one.join(after.groupBy("id").agg(F.count("*").alias("have")), "id", "left").where(F.coalesce("have", F.lit(0)) < 2 * k)
+        others = few.select("id", "w2", "w1").crossJoin(F.broadcast(frequent)).join(after.select("id", "word"), ["id", "word"], "left_anti")
+        others = dictionary.top(others, ["id"], [F.desc("n"), F.col("word")], k, "place").select("id", "w2", "w1", "word")
+        first = contexts.where("w1 is null").select("id", "w2", "w1").crossJoin(F.broadcast(frequent)).select("id", "w2", "w1", "word")
+        found = after.unionByName(both).distinct().unionByName(others).unionByName(first)
+        return dictionary.top(self.scores(found), ["id"], [F.desc("score"), F.col("word")], k).select("id", "word", "score", "rank")
+
+    def predict_with_prefix(self, contexts: DataFrame, index: DataFrame, k: int) -> DataFrame:
+        """id, surface, hangul, score, rank for contexts (id, w2, w1, prefix): the best scored entries of the index (hangul, surface) that begin with the prefix."""
+        starts = F.transform(F.sequence(F.lit(0), F.length("hangul")), lambda i: F.substring("hangul", F.lit(1), i))
+        entries = index.select("hangul", "surface", F.explode(starts).alias("prefix"))
+        found = contexts.join(entries, "prefix").select("id", "w2", "w1", F.col("surface").alias("word"), "hangul")
+        out = dictionary.top(self.scores(found), ["id"], [F.desc("score"), F.col("word"), F.col("hangul")], k)
+        return out.select("id", F.col("word").alias("surface"), "hangul", "score", "rank")
 
 
 def normalized(p: Column) -> Column:

@@ -16,7 +16,18 @@ from ..functions import kana
 PAIRS = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("hira", T.StringType())]))
 KEEP = 0.005
 # Two-sign tokens that lengthen a syllable, for augmented maps.
-LONG_MARKS = {h + "~": k + kana.EXTENDS[k[-1]] for k, h in kana.KANA.items() if k in kana.EXTENDS and k not in "ぢづを"}
+LONG_MARKS = dict(
+    pair.split(":")
+    for pair in (
+        "오~:おう 코~:こう 소~:そう 토~:とう 노~:のう 호~:ほう 모~:もう 요~:よう 로~:ろう 고~:ごう 조~:ぞう 도~:どう 보~:ぼう 포~:ぽう "
+        "에~:えい 케~:けい 세~:せい 테~:てい 네~:ねい 헤~:へい 메~:めい 레~:れい 게~:げい 제~:ぜい 데~:でい 베~:べい 페~:ぺい "
+        "쿠~:くう 스~:すう 츠~:つう 후~:ふう 구~:ぐう 즈~:ずう 유~:ゆう "
+        "쿄~:きょう 쇼~:しょう 쵸~:ちょう 뇨~:にょう 효~:ひょう 묘~:みょう 료~:りょう 교~:ぎょう 죠~:じょう 뵤~:びょう "
+        "큐~:きゅう 슈~:しゅう 츄~:ちゅう 뉴~:にゅう 휴~:ひゅう 뮤~:みゅう 류~:りゅう 규~:ぎゅう 쥬~:じゅう 뷰~:びゅう "
+        "아~:ああ 이~:いい"
+    ).split()
+)
+SIGNS = {"ⓝ": "ん", "ⓧ": "っ", "ⓜ": "ー"}
 
 
 def units(reading: str, hangul: str, silent: str) -> list[tuple[int, int, int]]:
@@ -37,12 +48,21 @@ def units(reading: str, hangul: str, silent: str) -> list[tuple[int, int, int]]:
 
 
 def marked_units(reading: str, hangul: str) -> list[tuple[int, int, int]]:
-    """The alignment with signs: small ya, yu and yo belong to the kana before, everything else pairs one by one."""
-    out, h, s = [], 0, 0
-    while h < len(reading) and s < len(hangul):
-        wide = 2 if reading[h + 1 : h + 2] and reading[h + 1] in "ゃゅょ" else 1
-        out.append((h, h + wide, s))
-        h, s = h + wide, s + 1
+    """The alignment with signs: a sign stands for its own kana, and without it for nothing; that kana without a sign is left out.
+
+    Small ya, yu and yo belong to the kana before if both are written as one syllable; all else pairs one by one.
+    """
+    out, h = [], 0
+    for s, sign in enumerate(hangul):
+        own = SIGNS.get(sign)
+        while own is None and reading[h : h + 1] in SIGNS.values():
+            h += 1
+        if h == len(reading):
+            break
+        if own is None or own == reading[h]:
+            wide = 2 if own is None and reading[h + 1 : h + 2] in ("ゃ", "ゅ", "ょ") and kana.to_hangul(reading[h : h + 2]) == sign else 1
+            out.append((h, h + wide, s))
+            h += wide
     return out
 
 
@@ -109,7 +129,7 @@ def map_stats(table: DataFrame) -> DataFrame:
 
 def augmented(table: DataFrame, total: int, prob: float = 0.95) -> DataFrame:
     """A map with the fixed lengthened tokens added at a fixed probability, ranked anew but not renormalised."""
-    rows = [(t, h, max(total // 100, 1), prob) for t, h in LONG_MARKS.items()]
+    rows = [(t, h, max(total, 1) // 100, prob) for t, h in LONG_MARKS.items()]
     more = table.sparkSession.createDataFrame(rows, "token string, hira string, freq long, prob double")
     out = table.select("token", "hira", "freq", "prob").unionByName(more)
     return out.withColumn("rnk", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("prob"), "hira")))

@@ -340,18 +340,37 @@ def q_norm_score(spark, sf_dir):
     return model(spark, sf_dir).scored(keys(spark, sf_dir)).select("w2", "w1", "word", F.round("norm_score", 6).alias("norm_score"))
 
 
-@query(f"WITH {_GRAMS}, r AS (SELECT prev AS id, word, row_number() OVER (PARTITION BY prev ORDER BY c DESC, word) AS rank FROM bi WHERE word <> '<BOS>'), few AS (SELECT prev AS id, count(*) AS n FROM bi WHERE word <> '<BOS>' GROUP BY 1), ids AS (SELECT DISTINCT word AS id FROM uni), top AS (SELECT word, c FROM uni WHERE word <> '<BOS>' ORDER BY c DESC, word LIMIT 3), a AS (SELECT id, word, 1 AS tier, rank AS o FROM r UNION ALL SELECT ids.id, top.word, 2, row_number() OVER (PARTITION BY ids.id ORDER BY top.c DESC, top.word) FROM ids LEFT JOIN few ON few.id = ids.id, top WHERE coalesce(few.n, 0) < 6), m AS (SELECT id, word, min(tier * 1000000000 + o) AS o FROM a GROUP BY ALL), z AS (SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY o, word) AS rank FROM m) SELECT id, word, rank::int AS rank FROM z WHERE rank <= 3")
+_ONE_WORD = """SELECT x.id, x.word, 8e-1 * ((coalesce(b.c, 0) + 1e-1) / (h.c + 1e-1 * v)) + 2e-1 * ((u.c + 1e-1) / (t + 1e-1 * v)) AS score
+ FROM x CROSS JOIN size JOIN uni h ON h.word = x.w1 JOIN uni u ON u.word = x.word LEFT JOIN bi b ON b.prev = x.w1 AND b.word = x.word"""
+
+
+@query(
+    f"""WITH {_GRAMS}, cand AS (SELECT prev AS id, word FROM bi WHERE word <> '<BOS>'), few AS (SELECT id, count(*) AS n FROM cand GROUP BY 1),
+topu AS (SELECT word, c FROM uni WHERE word <> '<BOS>' ORDER BY c DESC, word LIMIT 9),
+fill AS (SELECT uni.word AS id, topu.word, row_number() OVER (PARTITION BY uni.word ORDER BY topu.c DESC, topu.word) AS r FROM uni LEFT JOIN few ON few.id = uni.word, topu
+ WHERE coalesce(few.n, 0) < 6 AND NOT EXISTS (SELECT 1 FROM cand WHERE cand.id = uni.word AND cand.word = topu.word)),
+x AS (SELECT id, id AS w1, word FROM cand UNION ALL SELECT id, id, word FROM fill WHERE r <= 3), s AS ({_ONE_WORD}),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, word) AS rank FROM s)
+SELECT id, word, round(score, 9) AS score, rank::int AS rank FROM r WHERE rank <= 3"""
+)
 def q_predict_next(spark, sf_dir):
     m = model(spark, sf_dir)
     ctx = m.uni.select(F.col("word").alias("id"), F.lit(None).cast("string").alias("w2"), F.col("word").alias("w1"))
-    return m.predict(ctx, 3)
+    return m.predict(ctx, 3).withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH {_GRAMS}, x AS (SELECT prev || '/' || word[:2] AS id, word, c FROM bi WHERE word <> '<BOS>' AND length(word) > 2), r AS (SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY c DESC, word) AS rank FROM x) SELECT id, word, rank::int AS rank FROM r WHERE rank <= 2")
+@query(
+    f"""WITH {_GRAMS}, px AS (SELECT word, unnest(list_distinct([word[:1], word[:2], word[:3]])) AS prefix FROM uni WHERE word <> '<BOS>'),
+x AS (SELECT uni.word AS id, uni.word AS w1, px.word FROM uni JOIN px ON px.prefix = uni.word[:3] WHERE uni.word <> '<BOS>'), s AS ({_ONE_WORD}),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, word) AS rank FROM s)
+SELECT id, word AS surface, word AS hangul, round(score, 9) AS score, rank::int AS rank FROM r WHERE rank <= 2"""
+)
 def q_predict_prefix(spark, sf_dir):
-    bi = ngram.bigrams(ngram.spans(docs(spark, sf_dir))).where((F.col("word") != ngram.BOS) & (F.length("word") > 2))
-    each = bi.select(F.concat("prev", F.lit("/"), F.substring("word", 1, 2)).alias("id"), "word", "count")
-    return dictionary.top(each, ["id"], [F.desc("count"), F.col("word")], 2).select("id", "word", "rank")
+    """After each word, the words that begin as it does."""
+    m = model(spark, sf_dir)
+    own = m.uni.where(F.col("word") != ngram.BOS)
+    ctx = own.select(F.col("word").alias("id"), F.lit(None).cast("string").alias("w2"), F.col("word").alias("w1"), F.substring("word", 1, 3).alias("prefix"))
+    return m.predict_with_prefix(ctx, own.select(F.col("word").alias("hangul"), F.col("word").alias("surface")), 2).withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {_TURNS}, ct AS (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM cw) SELECT conv_id, turn, i::int AS pos, coalesce(string_agg(word, ' ') OVER (PARTITION BY conv_id ORDER BY turn, i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), '') AS context FROM ct")

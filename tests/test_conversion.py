@@ -43,6 +43,31 @@ def test_augmented_map(spark, table):
     assert got.where("token = '코~'").first().hira == "こう" and got.where("token = '츠' and rnk = 1").count() == 1
 
 
+def test_alignment_with_signs():
+    """A sign without its kana, and such kana without a sign, are passed over."""
+    of = lambda r, h: [(h[s], r[a:b]) for a, b, s in phonetic.marked_units(r, h)]
+    assert of("きっ", "키ⓝⓧ") == [("키", "き"), ("ⓧ", "っ")]
+    assert of("かんき", "카키") == [("카", "か"), ("키", "き")]
+    assert of("きょう", "쿄우") == [("쿄", "きょ"), ("우", "う")] and of("きょう", "키x우")[:2] == [("키", "き"), ("x", "ょ")]
+    assert of("らー", "라ⓜⓜ") == [("라", "ら"), ("ⓜ", "ー")] and of("", "ⓝ") == []
+
+
+def test_marker_map(spark):
+    empty = spark.createDataFrame([], "token string, hira string, freq long, prob double, rnk int")
+    got = {r.token: (r.hira, r.freq, r.prob, r.rnk) for r in phonetic.augmented(empty, 250).collect()}
+    assert len(got) == 56 and got["쿄~"] == ("きょう", 2, 0.95, 1) and got["이~"][0] == "いい" and "카~" not in got
+
+
+def test_hybrid():
+    one = {"가": [("か", 1.0)], "강": [("か", 1.0)], "각": [("か", 1.0)], "토": [("と", 1.0)], "우": [("う", 1.0)]}
+    assert decode.hybrid("강", one) == [("か", 1.0), ("かん", 0.7)]
+    assert decode.hybrid("각가", one) == [("かか", 1.0), ("かっか", 0.6)]
+    assert decode.hybrid("토우", one) == [("とう", 1.0), ("とー", 0.5)]
+    assert decode.hybrid("가", one, original="갚") == [("か", 1.0)] and decode.hybrid("가가", one, original="가간") == [("かか", 1.0)]
+    finals = {f: decode.variants("か", chr(0xAC00 + f))[:1] for f in range(28)}
+    assert {f for f, v in finals.items() if v == [("かん", 0.7)]} == {2, 6, 21} and {f for f, v in finals.items() if v == [("かっ", 0.6)]} == {1, 7, 9, 10, 17}
+
+
 def test_beam(table):
     m = decode.collected(table)
     assert decode.beam("츠쿠바", m)[0][0] == "つくば"

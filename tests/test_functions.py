@@ -72,11 +72,38 @@ def test_conjugation(spark, form, cases):
 def test_marks(spark):
     assert kana.to_marked("がっこうんー") == "가ⓧ코우ⓝⓜ"
     assert kana.with_marks("とうきょう") == "토~쿄~"
-    assert [p for _, p in kana.long_vowels("せんせい")] == ["せ+い"]
+    assert [p for _, p in kana.long_vowels("せんせい")] == ["せい"]
     row = spark.range(1).select(kana.voice(F.lit("かさ")).alias("a"), kana.extension(F.lit("そ")).alias("b"), kana.extension(F.lit("ん")).alias("c")).first()
     assert tuple(row) == ("がさ", "う", None)
 
 
+def test_long_vowels():
+    for pattern in kana.LONG_PATTERNS:
+        assert kana.long_vowels("ん" + pattern) == [(1, pattern)]
+    assert kana.long_vowels("とうきょうー") == [(0, "とう"), (2, "きょう"), (5, "ー")] and kana.long_vowels("ちいさい") == kana.long_vowels("かあさん") == []
+    for pattern in kana.MARKED_PATTERNS:
+        assert kana.with_marks(pattern) == kana.to_hangul(pattern[:-1]) + "~"
+    assert kana.with_marks("ちいさい") == "치이사이" and kana.with_marks("かあさん") == "카아사ㄴ" and kana.with_marks("ーああ") == "아~"
+
+
+@pytest.mark.parametrize(
+    "surface,reading,want",
+    [
+        ("は", "は", "particle"), ("から", "から", "particle"), ("犬", "いぬ", "noun"), ("食べます", "たべます", "verb"), ("行った", "いった", "verb"), ("読んだ", "よんだ", "verb"), ("泳いで", "およいで", "verb"),
+        ("行かない", "いかない", "verb"), ("学生です", "がくせいです", "adjective"), ("花です", "はなです", "auxiliary"), ("赤いです", "あかいです", "adjective"), ("赤い", "あかい", "adjective"), ("い", "い", "noun"), ("食べる", "たべる", "noun"),
+    ],
+)
+def test_word_classes(spark, surface, reading, want):
+    assert spark.range(1).select(words.word_class(F.lit(surface), F.lit(reading)).alias("c")).first().c == want
+
+
+def test_fallback_table(spark):
+    table = romaji.fallback_table()
+    assert len(table) == 11_172 and all(len(v) <= 8 for v in table.values()) and romaji.fallback("A") == ()
+    got = {(r.token, r.rnk): r.hira for r in romaji.fallback_frame(spark).where("token = '갇'").collect()}
+    assert got["갇", 1] == "かっ"
+
+
 def test_pieces_join_to_the_text(spark):
     text = " a  b\tc "
     row = spark.createDataFrame([(text,)], "t string").select(F.array_join(words.pieces(F.col("t")), "").alias("p")).first()

@@ -34,7 +34,26 @@ def test_predictions(spark):
     got = {}
     for r in m.predict(ctx, 2).orderBy("id", "rank").collect():
         got.setdefault(r.id, []).append(r.word)
-    assert got == {1: ["b", "e"], 2: ["c", "d"], 3: ["a", "b"]}
+    assert got == {1: ["b", "e"], 2: ["d", "c"], 3: ["a", "b"]}  # d follows b as often as c, and is more frequent
+
+
+def test_predictions_are_in_the_order_of_scores(spark):
+    """After x, the rare pair's word is scored below frequent words that have not followed it; after two words none is filled in."""
+    m = ngram.NgramModel.build(sents(spark, [["x", "y"]] + [["z"] * 40, ["w"] * 30]))
+    ctx = spark.createDataFrame([(1, None, "x"), (2, "z", "x")], "id long, w2 string, w1 string")
+    rows = m.predict(ctx, 3).orderBy("id", "rank").collect()
+    assert [r.word for r in rows if r.id == 2] == ["y"] and {r.word for r in rows if r.id == 1} <= {"y", "z", "w"}
+    assert [r.score for r in rows if r.id == 1] == sorted((r.score for r in rows if r.id == 1), reverse=True)
+    keys = spark.createDataFrame([(None, "x", r.word) for r in rows if r.id == 1], "w2 string, w1 string, word string")
+    assert {r.word: r.score for r in m.scored(keys).collect()} == {r.word: r.score for r in rows if r.id == 1}
+
+
+def test_predictions_with_a_prefix(spark):
+    m = ngram.NgramModel.build(sents(spark, [["a", "ba"], ["a", "bb"], ["a", "bb"], ["c", "ba"]]))
+    index = spark.createDataFrame([("바", "ba"), ("밥", "bb"), ("바나", "c")], "hangul string, surface string")
+    ctx = spark.createDataFrame([(1, None, "a", "바"), (2, None, "a", ""), (3, None, "a", "x")], "id long, w2 string, w1 string, prefix string")
+    got = [(r.id, r.surface, r.hangul) for r in m.predict_with_prefix(ctx, index, 2).orderBy("id", "rank").collect()]
+    assert got == [(1, "ba", "바"), (1, "c", "바나"), (2, "bb", "밥"), (2, "ba", "바")]
 
 
 WORDS = "words array<struct<surface:string,reading:string,hangul:string>>"
@@ -88,7 +107,7 @@ def test_accuracy(spark):
     assert [(x.category, x.exact) for x in evaluation.by_category(df).collect()] == [("a", 1), ("b", 1)]
     assert evaluation.keystrokes(spark.createDataFrame([], "plain long, used long")).select(F.coalesce("saving", F.lit(0.0)).alias("s")).first().s == 0
     long = spark.createDataFrame([("せんせい",), (None,)], "reading string")
-    assert [(r.pattern, r.n) for r in evaluation.long_vowel_patterns(long).collect()] == [("せ+い", 1)]
+    assert [(r.pattern, r.n) for r in evaluation.long_vowel_patterns(long).collect()] == [("せい", 1)]
 
 
 VOCAB = [("犬", "いぬ", "Noun", "Animal"), ("食べる", "たべる", "Verb", "Action"), ("赤い", "あかい", "IAdjective", "Color"), ("とても", "とても", "Adverb", "Other"), ("朝", "あさ", "Noun", "Time"), ("駅", "えき", "Noun", "Place")]
