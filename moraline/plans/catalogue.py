@@ -276,18 +276,6 @@ def q_jamo_compose(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", jamo.compose(F.col("l_orderkey") % 19, F.col("l_partkey") % 21, F.col("l_suppkey") % 28).alias("ch"))
 
 
-@query(f"SELECT doc_id, translate(text, '{ACCENTED}', '{PLAIN}') AS plain FROM documents")
-def q_translate_kana(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.translate("text", ACCENTED, PLAIN).alias("plain"))
-
-
-@query(f"WITH {_TOK} SELECT CASE WHEN word IN ('the', 'la', 'le', 'die') THEN 'particle' WHEN word LIKE '%ing' OR word LIKE '%ed' THEN 'verb' WHEN word LIKE '%ly' THEN 'adverb' ELSE 'noun' END AS wtype, count(*) AS n FROM tok GROUP BY 1")
-def q_ends_rules(spark, sf_dir):
-    w = F.col("word")
-    kind = F.when(w.isin("the", "la", "le", "die"), "particle").when(w.endswith("ing") | w.endswith("ed"), "verb").when(w.endswith("ly"), "adverb").otherwise("noun")
-    return tokens(spark, sf_dir).groupBy(kind.alias("wtype")).agg(F.count("*").alias("n"))
-
-
 @query(f"WITH {_GRAMS} SELECT word, c AS count FROM uni")
 def q_unigram(spark, sf_dir):
     return ngram.unigrams(ngram.spans(docs(spark, sf_dir)))
@@ -501,13 +489,6 @@ def q_failures(spark, sf_dir):
     return evaluation.histogram(wrong, "pattern", 30)
 
 
-@query(f"WITH {_TOK}, p AS (SELECT word, unnest(range(1, length(word))) AS i FROM tok) SELECT word[i:i+1] AS pattern, count(*) AS n FROM p WHERE word[i:i+1] IN ('ea', 'ou', 'ie', 'ee', 'ai') GROUP BY 1")
-def q_longvowel(spark, sf_dir):
-    at = F.sequence(F.lit(1), F.length("word") - 1)
-    pairs = tokens(spark, sf_dir).where(F.length("word") > 1).select(F.explode(F.transform(at, lambda i: F.substring("word", i, F.lit(2)))).alias("pattern"))
-    return pairs.where(F.col("pattern").isin("ea", "ou", "ie", "ee", "ai")).groupBy("pattern").agg(F.count("*").alias("n"))
-
-
 @query("SELECT CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'unknown' END AS platform, ts AS clicked_at, left(props, 300) AS user_agent, left(event_type, 300) AS referrer FROM events WHERE user_id % 2 = 0")
 def q_click_sink(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -576,3 +557,6 @@ def q_generate(spark, sf_dir):
     category = F.element_at(F.array(*[F.lit(x) for x in ("Time", "Place", "Food")]), (F.col("p_size") % 3 + 1).cast("int"))
     vocab = p.select(F.col("p_name").alias("surface"), F.col("p_name").alias("reading"), pos.alias("pos"), category.alias("category"), F.col("p_partkey").alias("load_seq"))
     return generator.scaled(vocab, p.count()).select("sid", "category", F.concat_ws(" ", F.transform("words", lambda w: w["surface"])).alias("sentence"))
+
+
+from . import kana_queries  # noqa: E402, F401  registers its queries
