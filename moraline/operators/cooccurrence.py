@@ -8,18 +8,34 @@ aggregation; matrices are edge tables (a, b, x).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.words import bound
-
 CROSS, LINK, FLOOR = 0.5, 2.0, 0.01
 
 
 def window_pairs(sentences: DataFrame, window: int, words: str = "words") -> DataFrame:
-    """u, v, d: words at most ``window`` places apart, u first."""
-    pairs = lambda w: F.flatten(F.transform(w, lambda x, i: F.transform(F.slice(w, i + 2, F.lit(window)), lambda y, j: F.struct(x.alias("u"), y.alias("v"), (j + 1).alias("d")))))
-    return sentences.select(F.explode(bound(F.col(words), pairs)).alias("p")).select("p.*")
+    """u, v, d: words at most ``window`` places apart, u first. For each distance the array beside itself: slices and zips, which stay in generated code."""
+    w, d, n = F.col(words), F.col("d"), F.greatest(F.size(words) - F.col("d"), F.lit(0))
+    apart = sentences.where(F.size(words) > 1).select(w, F.explode(F.sequence(F.lit(1), F.least(F.lit(window), F.size(words) - 1))).alias("d"))
+    beside = F.arrays_zip(F.slice(w, F.lit(1), n).alias("u"), F.slice(w, d + 1, n).alias("v"))
+    return apart.select("d", F.explode(beside).alias("p")).select("p.u", "p.v", "d")
+
+
+def pair_sums(sentences: DataFrame, window: int, weight: Callable[[Column], Column], words: str = "words") -> DataFrame:
+    """u, v, x: the sums of a weight of the distance over all pairs of words (strings) in windows.
+
+    Words are summed as 64-bit hashes, which is much less to shuffle, and written again at
+    the end; should two words ever share a hash, the query fails.
+    """
+    names = sentences.select(F.explode(words).alias("word")).groupBy(F.xxhash64("word").alias("h")).agg(F.min("word").alias("word"), F.max("word").alias("other"))
+    name = names.select("h", F.when(F.col("word") == F.col("other"), F.col("word")).otherwise(F.raise_error(F.lit("two words with one hash"))).alias("word"))
+    hashed = sentences.select(F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+    sums = window_pairs(hashed, window).groupBy("u", "v").agg(F.sum(weight(F.col("d"))).alias("x"))
+    out = sums.join(name.select(F.col("h").alias("u"), F.col("word").alias("__u")), "u").join(name.select(F.col("h").alias("v"), F.col("word").alias("__v")), "v")
+    return out.select(F.col("__u").alias("u"), F.col("__v").alias("v"), "x")
 
 
 def neighbour_pairs(sentences: DataFrame, reach: int = 1, weight: float = 1.0, words: str = "words", order: list[str] | None = None) -> DataFrame:

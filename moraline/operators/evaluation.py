@@ -49,3 +49,22 @@ def long_vowels(reading: pd.Series) -> pd.Series:
 
 def long_vowel_patterns(words: DataFrame) -> DataFrame:
     return words.select(F.explode(long_vowels("reading")).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """words, any, first: how often the candidates (array of structs with hira, likeliest first) have the reading at all, and as their first."""
+    return rows.agg(F.count("*").alias("words"), share(F.exists("candidates", lambda c: c["hira"] == F.col("reading"))).alias("any"), share(F.get("candidates", F.lit(0))["hira"] == F.col("reading")).alias("first"))
+
+
+def by_long_vowels(rows: DataFrame, arms: list[str]) -> DataFrame:
+    """long, words, and for each arm its share of right words, of words (reading, a rank for each arm) with and without long vowels."""
+    has = F.size(long_vowels("reading")) > 0
+    return rows.groupBy(has.alias("long")).agg(F.count("*").alias("words"), *(share(F.col(a) == 1).alias(a) for a in arms))
+
+
+def failing(rows: DataFrame, most: int = 10) -> DataFrame:
+    """sid, original, hangul, restored of the first sentences with a wrong word, of words (sid, pos, surface, hangul, restored)."""
+    wrong = rows.where(~F.col("surface").eqNullSafe(F.col("restored"))).select("sid").distinct().orderBy("sid").limit(most)
+    words = rows.join(F.broadcast(wrong), "sid").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "surface", "hangul", "restored"))).alias("w"))
+    text = lambda field, by: F.array_join(F.transform("w", lambda w: F.coalesce(w[field], F.lit(""))), by)
+    return words.select("sid", text("surface", "").alias("original"), text("hangul", " ").alias("hangul"), text("restored", "").alias("restored")).orderBy("sid")

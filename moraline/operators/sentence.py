@@ -62,6 +62,10 @@ class SentenceBuffer:
     def composed(self, mark: str = "{}") -> str:
         return "".join(mark.format(s.surface()) for s in self.segments)
 
+    def clear(self) -> None:
+        """Drops the segments; what was committed stays."""
+        self.segments = []
+
     def commit(self) -> str:
         out = self.composed()
         self.committed = (self.committed + [s.surface() for s in self.segments])[-KEPT:]

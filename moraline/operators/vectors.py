@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import written
+
 TINY = 1e-10
-DIM, RATE, ROUNDS, CAP = 64, 0.05, 50, 10.0
+DIM, RATE, ROUNDS, CAP, EDGES = 64, 0.05, 50, 10.0, 2_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,39 +55,73 @@ def start(n: int, dim: int) -> np.ndarray:
     return (((i * 7919 + d * 104729 + 31) * 0.6180339887 % 1.0 - 0.5) * 0.1).astype(np.float32)
 
 
-def trained(edges: DataFrame, dim: int = DIM, rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
-    """word, vector (of length 1): log-weights of edges factorised by stochastic descent in a fixed order of edges.
+def descent(edges: pd.DataFrame, dim: int, rounds: int, rate: float) -> tuple[list[str], np.ndarray, list[float]]:
+    """Words in order, their vectors (of length 1), and the mean weighted loss of each round; edges in the order of words."""
+    edges = edges[(edges.a < edges.b) & (edges.x >= 0.01)].sort_values(["a", "b"])
+    words = sorted(set(edges.a) | set(edges.b))
+    number = {w: i for i, w in enumerate(words)}
+    v, bias, losses = start(len(words), dim), np.zeros(len(words), np.float32), []
+    a, b, x = edges.a.map(number).to_numpy(), edges.b.map(number).to_numpy(), edges.x.to_numpy()
+    f, t = np.minimum(1.0, (x / CAP) ** 0.75).astype(np.float32), np.log(x).astype(np.float32)
+    for _ in range(rounds):
+        loss = 0.0
+        for i, j, fi, ti in zip(a.tolist(), b.tolist(), f.tolist(), t.tolist(), strict=True):
+            off = float(v[i] @ v[j]) + bias[i] + bias[j] - ti
+            loss += float(fi * off * off)
+            g = np.float32(2 * rate * fi * off)
+            v[i], v[j] = v[i] - g * v[j], v[j] - g * v[i]
+            bias[i] -= g
+            bias[j] -= g
+        losses.append(loss / max(len(edges), 1))
+    return words, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), TINY), losses
+
+
+def in_one_task(edges: DataFrame, run, schema: str) -> DataFrame:
+    """Descent is sequential by its definition, so all edges meet in one task, after a check of their number."""
+    one = edges.select("a", "b", F.col("x").cast("double").alias("x"))
+    if one.limit(EDGES + 1).count() > EDGES:
+        raise ValueError(f"more than {EDGES} edges are not trained in one task; use factorised")
+    return one.groupBy(F.lit(0).alias("g")).applyInPandas(lambda key, pdf: run(pdf), schema)
 
-    Descent is sequential by its definition, so it runs in one task over the edges of one
-    vocabulary; words are numbered in order. For large vocabularies use factorised().
-    """
+
+def trained(edges: DataFrame, dim: int = DIM, rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
+    """word, vector (of length 1): log-weights of edges factorised by stochastic descent in a fixed order of edges."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[(pdf.a < pdf.b) & (pdf.x >= 0.01)].sort_values(["a", "b"])
-        words = sorted(set(pdf.a) | set(pdf.b))
-        number = {w: i for i, w in enumerate(words)}
-        v, bias = start(len(words), dim), np.zeros(len(words), np.float32)
-        a, b, x = pdf.a.map(number).to_numpy(), pdf.b.map(number).to_numpy(), pdf.x.to_numpy()
-        f, t = np.minimum(1.0, (x / CAP) ** 0.75).astype(np.float32), np.log(x).astype(np.float32)
-        for _ in range(rounds):
-            for i, j, fi, ti in zip(a.tolist(), b.tolist(), f.tolist(), t.tolist(), strict=True):
-                g = np.float32(rate * fi * (float(v[i] @ v[j]) + bias[i] + bias[j] - ti))
-                v[i], v[j] = v[i] - g * v[j], v[j] - g * v[i]
-                bias[i] -= g
-                bias[j] -= g
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), TINY)
+        words, v, _ = descent(pdf, dim, rounds, rate)
         return pd.DataFrame({"word": words, "vector": list(v)})
 
-    one = edges.select("a", "b", F.col("x").cast("double").alias("x"))
-    return one.groupBy(F.lit(0).alias("g")).applyInPandas(lambda key, pdf: run(pdf), "word string, vector array<float>")
+    return in_one_task(edges, run, "word string, vector array<float>")
+
+
+def training_loss(edges: DataFrame, dim: int = DIM, rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
+    """round (from 1), loss: the mean loss over all edges while trained() goes on."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        losses = descent(pdf, dim, rounds, rate)[2]
+        return pd.DataFrame({"round": range(1, len(losses) + 1), "loss": losses})
+
+    return in_one_task(edges, run, "round int, loss double")
+
+
+def numbered(words: DataFrame) -> DataFrame:
+    """word, id: distinct words numbered from 0 on without gaps, by ranges of words; the driver sees one number for each range."""
+    ranged = words.select("word").distinct().repartitionByRange("word").sortWithinPartitions("word")
+    rows = written(ranged.select("word", F.monotonically_increasing_id().alias("m"))).withColumn("part", F.shiftright("m", 33))
+    sizes = rows.groupBy("part").count().orderBy("part").collect()
+    upto = np.cumsum([0] + [r["count"] for r in sizes]).tolist()
+    if upto[-1] >= 2**31:
+        raise ValueError("factors have 32-bit ids")
+    offsets = words.sparkSession.createDataFrame([(r.part, o) for r, o in zip(sizes, upto, strict=False)], "part long, offset long")
+    return rows.join(F.broadcast(offsets), "part").select("word", (F.col("offset") + F.col("m").bitwiseAND((1 << 33) - 1)).cast("int").alias("id"))
 
 
 def factorised(edges: DataFrame, dim: int = DIM, rounds: int = 10) -> DataFrame:
     """word, vector: the distributed choice, alternating least squares on log(1 + weight); another algorithm than trained()."""
     from pyspark.ml.recommendation import ALS
 
-    words = edges.select(F.col("a").alias("word")).union(edges.select("b")).distinct()
-    ids = words.withColumn("id", F.pmod(F.xxhash64("word"), F.lit(2**31 - 1)).cast("int"))
-    e = edges.join(ids.select(F.col("word").alias("a"), F.col("id").alias("ia")), "a").join(ids.select(F.col("word").alias("b"), F.col("id").alias("ib")), "b")
+    both = edges.select("a", "b", "x").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "x"))  # every word has neighbours
+    ids = numbered(both.select(F.col("a").alias("word")))
+    e = both.join(ids.select(F.col("word").alias("a"), F.col("id").alias("ia")), "a").join(ids.select(F.col("word").alias("b"), F.col("id").alias("ib")), "b")
     model = ALS(rank=dim, maxIter=rounds, userCol="ia", itemCol="ib", ratingCol="r", seed=7).fit(e.select("ia", "ib", F.log1p("x").cast("float").alias("r")))
     return ids.join(model.userFactors, "id").select("word", F.col("features").alias("vector"))

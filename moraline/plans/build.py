@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cooccurrence, decode, dictionary, ngram, phonetic, ranking, vectors
+from ..sources.scratch import written
 
 
 @dataclass
@@ -46,8 +47,8 @@ def embeddings(sentences: DataFrame, c: Config) -> DataFrame:
     """word, vector; of directional ones F: and B: mark the two sides, and words of both have a plain mean as well."""
     learn = vectors.factorised if c.distributed_vectors else vectors.trained
     if not c.directional:
-        return learn(cooccurrence.trainable(cooccurrence.matrix(sentences, c.window, c.reach, c.cross_weight)), c.dim, c.rounds)
-    f, b = (learn(cooccurrence.trainable(e), c.dim, c.rounds) for e in cooccurrence.directional(sentences, c.window))
+        return learn(written(cooccurrence.trainable(cooccurrence.matrix(sentences, c.window, c.reach, c.cross_weight))), c.dim, c.rounds)
+    f, b = (learn(written(cooccurrence.trainable(e)), c.dim, c.rounds) for e in cooccurrence.directional(sentences, c.window))
     both = f.join(b.withColumnRenamed("vector", "other"), "word", "full")
     mean = F.when(F.col("vector").isNotNull() & F.col("other").isNotNull(), F.zip_with("vector", "other", lambda x, y: ((x + y) / 2).cast("float"))).otherwise(F.coalesce("vector", "other"))
     side = lambda df, mark: df.select(F.concat(F.lit(mark), "word").alias("word"), "vector")

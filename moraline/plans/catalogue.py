@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import jamo, words
 from ..operators import autocomplete, cooccurrence, decode, dictionary, evaluation, ngram, phonetic, ranking, sentence, vectors
 from ..sources import generator, readers
+from ..sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,8 +185,7 @@ def q_anti_unknown(spark, sf_dir):
 
 @query(f"WITH {_TOK} SELECT a.word AS u, b.word AS v, sum(60 // (b.pos - a.pos))::bigint AS x60 FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos - a.pos <= 5 GROUP BY ALL")
 def q_cooc(spark, sf_dir):
-    pairs = cooccurrence.window_pairs(docs(spark, sf_dir), 5)
-    return pairs.groupBy("u", "v").agg(F.sum((60 / F.col("d")).cast("long")).alias("x60"))
+    return cooccurrence.pair_sums(docs(spark, sf_dir), 5, lambda d: (60 / d).cast("long")).withColumnRenamed("x", "x60")
 
 
 _TURNS = r"cw AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> '') AS ws FROM conversations)"
@@ -203,6 +203,17 @@ def q_adjacent_cooc(spark, sf_dir):
     return pairs.groupBy("u", "v").agg(F.round(F.sum("x"), 6).alias("x"))
 
 
+_WAYS = "e AS (SELECT a.surface AS u, b.surface AS v, 1.0::double / (b.i - a.i) AS x FROM ct a JOIN ct b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.i - a.i BETWEEN 1 AND 5 UNION ALL SELECT a.word, b.word, 1.0::double / (b.i - a.i) FROM ct a JOIN ct b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.i - a.i BETWEEN 1 AND 5 UNION ALL SELECT a.surface, b.word, 0.5::double / (b.i - a.i) FROM ct a JOIN ct b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.i - a.i BETWEEN 1 AND 5 UNION ALL SELECT a.word, b.surface, 0.5::double / (b.i - a.i) FROM ct a JOIN ct b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.i - a.i BETWEEN 1 AND 5 UNION ALL SELECT surface, word, 2.0 FROM ct WHERE surface <> word)"
+_CASED = r"cw AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '') AS ws FROM conversations), ct AS (SELECT conv_id, turn, unnest(ws) AS surface, lower(unnest(ws)) AS word, generate_subscripts(ws, 1) AS i FROM cw)"
+
+
+@query(f"WITH {_CASED}, {_WAYS}, s AS (SELECT u AS a, v AS b, x FROM e UNION ALL SELECT v, u, x FROM e) SELECT a, b, round(sum(x), 6) AS x FROM s GROUP BY ALL")
+def q_cooc_matrix(spark, sf_dir):
+    w = F.filter(F.split("text", "[ \t\n\r]+"), lambda x: x != "")
+    s = table(spark, sf_dir, "conversations").select(F.transform(w, lambda x: F.struct(x.alias("surface"), F.lower(x).alias("reading"))).alias("words"))
+    return cooccurrence.matrix(s, 5).withColumn("x", F.round("x", 6))
+
+
 _CHARS = f"ch AS (SELECT unnest(string_split(text, '')) AS hira FROM documents), pr AS (SELECT translate(hira, '{ACCENTED}', '{PLAIN}') AS token, hira, count(*) AS freq FROM ch WHERE hira <> '' GROUP BY ALL)"
 
 
@@ -239,8 +250,8 @@ def char_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_TOK}, {_MAP}, pw AS (SELECT DISTINCT translate(word, '{ACCENTED}', '{PLAIN}') AS plain FROM tok), pc AS (SELECT plain, unnest(string_split(plain, '')) AS c, generate_subscripts(string_split(plain, ''), 1) AS i FROM pw) SELECT plain, string_agg(coalesce(hira, c), '' ORDER BY i) AS decoded FROM pc LEFT JOIN mp ON token = c AND rnk = 1 GROUP BY plain"
 )
 def q_decode_top1(spark, sf_dir):
-    w = plain_words(spark, sf_dir).crossJoin(F.broadcast(char_map(spark, sf_dir)))  # the map is one row
-    return w.select("plain", F.get(decode.fold(F.col("plain"), F.col("lookup"), 2, 1), F.lit(0))["h"].alias("decoded"))
+    found = decode.candidates(plain_words(spark, sf_dir), phonetic.probabilities(char_counts(spark, sf_dir)), "plain", 2, 1)
+    return found.select("plain", F.get("candidates", F.lit(0))["hira"].alias("decoded"))
 
 
 @query(
@@ -546,7 +557,7 @@ def q_train_embed(spark, sf_dir):
     """Vectors of event types and users, from users' sequences of events."""
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("w"))
     s = e.select(F.transform("w", lambda x: F.struct(x["event_type"].alias("surface"), F.concat(x["event_type"], F.lit("_"), (x["event_id"] % 10).cast("string")).alias("reading"))).alias("words"))
-    return vectors.trained(cooccurrence.trainable(cooccurrence.matrix(s, 5)), 16, 20).select("word", F.transform("vector", lambda v: F.round(v, 4)).alias("vector"))
+    return vectors.trained(written(cooccurrence.trainable(cooccurrence.matrix(s, 5))), 16, 20).select("word", F.transform("vector", lambda v: F.round(v, 4)).alias("vector"))
 
 
 @query()

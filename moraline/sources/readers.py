@@ -66,6 +66,11 @@ def corpus_stats(rows: DataFrame) -> DataFrame:
     return one.crossJoin(distinct)  # one row each
 
 
+def category_stats(rows: DataFrame) -> DataFrame:
+    """category, sentences: most frequent first."""
+    return rows.groupBy("category").agg(F.count("*").alias("sentences")).orderBy(F.desc("sentences"), "category")
+
+
 def with_hangul(vocab: DataFrame) -> DataFrame:
     return vocab.withColumn("hangul", kana.hangul("reading"))
 

@@ -35,3 +35,25 @@ def test_directional_vectors_and_vocabulary(spark):
     first = c.convert(spark.createDataFrame([(1, "코우에ㄴ")], "id long, hangul string")).count()
     assert first > 0
     assert c.entries.where(F.col("surface") == "公園").first().frequency == 300
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import io
+    import json
+
+    from moraline import __main__ as cli
+
+    out = io.StringIO()
+    assert cli.main(["사쿠라"], out=out) == 0 and "さくら" in out.getvalue()
+    assert cli.main([], out=out) == 0 and "usage" in out.getvalue()
+    path = tmp_path / "s.jsonl"
+    words = [{"surface": s, "reading": r, "hangul": kana.to_hangul(r)} for s, r in (("桜", "さくら"), ("花", "はな"))]
+    path.write_text("\n".join(json.dumps({"words": words}) for _ in range(3)))
+    out = io.StringIO()
+    assert cli.main(["build", str(path), str(tmp_path / "m"), "--dim", "4", "--rounds", "2"], out=out) == 0 and "sentences: 3" in out.getvalue()
+    out = io.StringIO()
+    cli.main(["--models", str(tmp_path / "m"), "--interactive"], lines=["사쿠라", "", "quit", "하나"], out=out)
+    assert "桜" in out.getvalue() and "花" not in out.getvalue()
+    (tmp_path / "v.csv").write_text("surface,reading,pos,category\n犬,いぬ,Noun,Animal\n食べる,たべる,Verb,Action\n赤い,あかい,IAdjective,Color\n朝,あさ,Noun,Time\n駅,えき,Noun,Place\n")
+    out = io.StringIO()
+    assert cli.main(["generate", str(tmp_path / "v.csv"), str(tmp_path / "g"), "--count", "20", "--dim", "4", "--rounds", "2"], out=out) == 0 and "sentences: 20" in out.getvalue()

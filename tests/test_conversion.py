@@ -217,6 +217,33 @@ def test_training(spark):
     assert len(got) == 5 and all(abs(np.linalg.norm(v) - 1) < 0.01 and len(v) == 16 for v in got.values())
 
 
+def test_training_follows_its_definition(spark):
+    """One edge by hand: the loss before the first step, and the step itself."""
+    import pandas as pd
+
+    words, _, losses = vectors.descent(pd.DataFrame({"a": ["a"], "b": ["b"], "x": [4.0]}), 2, 2, 0.05)
+    v = vectors.start(2, 2).astype(float)
+    f, off = (4 / 10) ** 0.75, v[0] @ v[1] - np.log(4)
+    g = 2 * 0.05 * f * off
+    after = (v[0] - g * v[1]) @ (v[1] - g * v[0]) - 2 * g - np.log(4)
+    assert words == ["a", "b"] and losses == pytest.approx([f * off**2, f * after**2], rel=1e-4)
+    edges = spark.createDataFrame([("a", "b", 4.0)], "a string, b string, x double")
+    assert [r.loss for r in vectors.training_loss(edges, 2, 2).orderBy("round").collect()] == pytest.approx(losses)
+
+
+def test_large_tables_are_not_trained_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "EDGES", 1)
+    with pytest.raises(ValueError, match="factorised"):
+        vectors.trained(spark.createDataFrame([("a", "b", 4.0), ("a", "c", 4.0)], "a string, b string, x double"))
+
+
+def test_factors_have_their_own_numbers(spark):
+    edges = spark.createDataFrame([(f"w{i}", f"w{i + 1}", 3.0) for i in range(400)], "a string, b string, x double")
+    ids = vectors.numbered(edges.select(F.col("a").alias("word")).union(edges.select("b"))).collect()
+    assert sorted(r.id for r in ids) == list(range(401)) and len({r.word for r in ids}) == 401
+    assert vectors.factorised(edges, 4, 2).count() == 401
+
+
 def test_topk_of_words_of_any_length(spark, tmp_path):
     """Brute force over all readings of every word; all lengths are decoded."""
     import collections

@@ -114,3 +114,13 @@ def test_nulls_stay_null(spark):
     df = spark.createDataFrame([(None,), ("",)], "t string")
     got = df.select(kana.hangul("t").alias("a"), romaji.hiragana("t").alias("b"), jamo.composed("t").alias("c")).collect()
     assert tuple(got[0]) == (None, None, None) and tuple(got[1]) == ("", "", "")
+
+
+def test_registered_functions(spark):
+    from moraline.functions import registry
+
+    assert set(registry.register(spark)) == {*registry.FUNCTIONS, *registry.TABLE_FUNCTIONS}
+    assert spark.sql("SELECT kana_to_hangul('さくら') AS a, romaji_to_hiragana('sakura') AS b").first() == ("사쿠라", "さくら")
+    assert "さくら" in {r.hira for r in spark.sql("SELECT * FROM rule_readings('사쿠라', 10)").collect()}
+    assert [tuple(r) for r in spark.sql("SELECT w, at, pattern FROM VALUES ('とう'), ('か') AS t(w), LATERAL long_vowels(w)").collect()] == [("とう", 0, "とう")]
+    assert {"こん", "ごん"} <= {r.hira for r in spark.sql("SELECT * FROM fallback_readings('곤')").collect()}

@@ -110,6 +110,19 @@ def test_accuracy(spark):
     assert [(r.pattern, r.n) for r in evaluation.long_vowel_patterns(long).collect()] == [("せい", 1)]
 
 
+def test_reports(spark):
+    rows = spark.createDataFrame([("せんせい", 1, None), ("かぜ", 1, 1), ("はな", 2, 1)], "reading string, plain int, marked int")
+    got = {r.long: (r.words, r.plain, r.marked) for r in evaluation.by_long_vowels(rows, ["plain", "marked"]).collect()}
+    assert got == {True: (1, 1.0, 0.0), False: (2, 0.5, 1.0)}
+    cands = spark.createDataFrame([("a", [("a", 0.9)]), ("b", [("x", 0.9), ("b", 0.1)]), ("c", []), ("d", None)], "reading string, candidates array<struct<hira:string,conf:double>>")
+    r = evaluation.decoded(cands).first()
+    assert (r.words, r["any"], r["first"]) == (4, 0.5, 0.25)
+    words = spark.createDataFrame([(1, 0, "花", "하나", "花"), (2, 1, "見る", "미루", None), (2, 0, "桜", "사쿠라", "桜"), (3, 0, "風", "카제", "風邪")], "sid long, pos int, surface string, hangul string, restored string")
+    assert [tuple(r) for r in evaluation.failing(words).collect()] == [(2, "桜見る", "사쿠라 미루", "桜"), (3, "風", "카제", "風邪")] and evaluation.failing(words, 1).count() == 1
+    cats = spark.createDataFrame([("b",), ("a",), ("b",)], "category string")
+    assert [tuple(r) for r in readers.category_stats(cats).collect()] == [("b", 2), ("a", 1)]
+
+
 VOCAB = [("犬", "いぬ", "Noun", "Animal"), ("食べる", "たべる", "Verb", "Action"), ("赤い", "あかい", "IAdjective", "Color"), ("とても", "とても", "Adverb", "Other"), ("朝", "あさ", "Noun", "Time"), ("駅", "えき", "Noun", "Place")]
 
 
