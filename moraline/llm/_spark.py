@@ -1,11 +1,7 @@
-"""What the operators share on the driver: scratch tables, sizes, counts of frequent items."""
+"""What the operators share on the driver: sizes, names, counts of frequent items."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,60 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop, remove, scratch_dir, written  # noqa: F401
 from . import _text as tx
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name below the shared checkpoint folder; one of our own only where none is set and one machine is all there is."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="moraline-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/moraline-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # what is now written needs its shuffle files no more
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Removes the files of tables that written() gave and that no later action reads."""
-    for t in tables:
-        _remove(t.sparkSession, t.scratch_path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended; the cluster's own cleaning of the folder remains
-        pass
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, or with underscores after it where a column has it already."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and the named columns only, so that scans are pruned and clashing extra columns can't matter."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import partitions
+from ._spark import fresh, partitions
 
 SEED, TEMPERATURE, BROADCAST_SOURCES, SALT = 42, 0.5, 100_000, 64
 TERMS = 40  # a mean is split in parts of at most 4, for which 40 terms leave less than 1e-25
@@ -55,25 +55,27 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """The columns of ``docs``, and copy (from 0) and shuffle_key: every drawn copy of every row, in random order.
 
-    The text moves once, in the shuffle. Rates reach the rows by a broadcast while there
-    are at most BROADCAST_SOURCES sources, else by a join on salted sources.
+    Where ``docs`` has columns of these names, they stay and the new ones get underscores
+    after theirs. The text moves once, in the shuffle. Rates reach the rows by a broadcast
+    while there are at most BROADCAST_SOURCES sources, else by a join on salted sources.
     """
-    table = rates(docs, weights, temperature)
-    known = table.cache()
-    few = known.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    if few:
-        with_rate = docs.alias("d").join(F.broadcast(known.withColumnRenamed("source", "__s").withColumnRenamed("rate", "__rate")), F.col("d.source").eqNullSafe(F.col("__s"))).drop("__s")
+    known = rates(docs, weights, temperature).cache()
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, F.col("source").alias("own"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("ident"))
+    if known.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        with_rate = rows.join(F.broadcast(known), F.col("own").eqNullSafe(F.col("source")))
     else:
-        salted = known.select(F.col("source").alias("__s"), F.col("rate").alias("__rate"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__t"))
-        own = docs.withColumn("__t", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
-        with_rate = own.join(salted, own.source.eqNullSafe(salted["__s"]) & (own["__t"] == salted["__t"])).drop("__s", own["__t"], salted["__t"])
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+        salted = known.select("source", "rate", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64("ident"), F.lit(SALT)).cast("int"))
+        with_rate = dealt.join(salted, F.col("own").eqNullSafe(F.col("source")) & (F.col("part") == F.col("salt")))
     # a Poisson of a large mean is a sum of such with equal small means, each with a hash of its own
-    parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / 4)).cast("int")
-    draw = F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda n, i: n + poisson(F.col("__rate") / parts, uniform(F.lit(str(seed)), ident, i.cast("string"))))
-    copies = with_rate.withColumn("__n", draw).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n", "__rate")
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}s"), ident, F.col("copy").cast("string")).cast("binary")))
-    return keyed.repartition(partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / 4)).cast("int")
+    draw = F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda n, i: n + poisson(F.col("rate") / parts, uniform(F.lit(str(seed)), F.col("ident"), i.cast("string"))))
+    drawn = with_rate.select("row", "ident", draw.alias("n")).where("n > 0")
+    copies = drawn.select("row", "ident", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    keyed = copies.select("row", "copy", F.md5(F.concat_ws(":", F.lit(f"{seed}s"), F.col("ident"), F.col("copy").cast("string")).cast("binary")).alias("shuffle_key"))
+    dealt = keyed.repartition(partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
+    return dealt.select("row.*", *(F.col(c).alias(fresh(c, docs.columns)) for c in ("copy", "shuffle_key")))
 
 
 def oracle(temperature: float = TEMPERATURE, seed: int = SEED) -> str:

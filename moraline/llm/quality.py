@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import crc, labelled, texts
+from ._spark import crc, fresh, labelled, texts
 
 LIMIT, BITS, RANK, EPOCHS, THRESHOLD = 12_000, 15, 6, 8, 0.3
 FOLDS, HELD_OUT = 5, 0
@@ -165,29 +165,31 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT, **options) -> Fa
     return FactorisationMachine(**options).fit(words, offs, stats, got.column("label").to_numpy().astype(float))
 
 
-def scored(docs: DataFrame, model: FactorisationMachine, *keep: str) -> DataFrame:
-    """doc_id, the columns ``keep``, and score of every row; one scan without a shuffle."""
-    rows = docs.select(*dict.fromkeys(["doc_id", "text", *keep]))
-    schema = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes] + ["score double"])
+def scored(docs: DataFrame, model: FactorisationMachine, *keep: str, name: str = "score") -> DataFrame:
+    """doc_id, the columns ``keep``, and the score as ``name`` of every row; one scan without a shuffle."""
+    rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys(["doc_id", "text", *keep])))
+    schema = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes] + [f"`{name}` double"])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in tx.pieces(batch):
                 s = pa.array(sent.value.scores(*features(piece)), pa.float64())
-                yield pa.RecordBatch.from_arrays([*piece.columns, s], [*piece.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*piece.columns, s], [*piece.schema.names, name])
 
     out = rows.mapInArrow(run, schema)
     return out if "text" in keep else out.drop("text")
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = LIMIT) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+    """doc_id, held_out, score, predicted (1 from the threshold on, which counts as reached) for every document."""
     docs = texts(docs)
     out = scored(docs, fit(docs, labels, limit), "doc_id")
     return out.select("doc_id", (F.pmod(crc(), F.lit(FOLDS)) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = LIMIT) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches the threshold."""
-    return scored(docs, fit(docs, labels, limit), *docs.columns).where(F.col("score") >= threshold).select(*docs.columns)
+    """The rows of ``docs``, all columns whatever their names, whose score reaches the threshold; a score equal to it stays."""
+    name = fresh("score", docs.columns)
+    kept = scored(docs, fit(docs, labels, limit), *docs.columns, name=name).where(F.col(f"`{name}`") >= threshold)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

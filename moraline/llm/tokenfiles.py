@@ -14,6 +14,7 @@ has no documents; a document may have no ids. ``write`` puts an empty text for n
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import partitions, scratch_dir, texts, written
+from ._spark import partitions, remove, scratch_dir, texts, written
 
 BLOCK_IDS, SUPER, EOD = 2 << 20, 1024, 50256
 
@@ -65,12 +66,12 @@ def write(docs: DataFrame, folder: str, path: str | None = None, eod: int = EOD,
         if stream is not None:
             stream.close()
 
-    if folder.startswith("/"):
-        folder = f"file://{folder}"
     spark = docs.sparkSession
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(folder)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(at)
+    folder = re.sub(r"^file:/+", "file:///", system.makeQualified(at).toString())  # without a scheme the cluster's own file system is meant
     return written(texts(docs).mapInArrow(run, "file string, ordinal long, doc_id long"))
 
 
@@ -105,7 +106,7 @@ def blocks(spark: SparkSession, files: DataFrame, eod: int = EOD, dtype: str = "
 
 
 def counts(spark: SparkSession, files: DataFrame, **options) -> DataFrame:
-    """file, ordinal, start, n_tokens of every document in the files."""
+    """file, ordinal, start, n_tokens of every document in the files, which are read when this is called."""
     found = written(blocks(spark, files, **options))
     one = found.select("file", "block", "n", "last", F.expr(f"block div {SUPER}").alias("super"))
     inside = Window.partitionBy("file", "super").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,7 +121,10 @@ def counts(spark: SparkSession, files: DataFrame, **options) -> DataFrame:
 
 
 def document_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, part_start of every document, counted in flat files that are written for it."""
+    """doc_id, n_tokens of every document, counted in flat files that are written for it and go when they are scanned."""
     spark = docs.sparkSession
-    held = write(docs, scratch_dir(spark) + "-flat", path)
-    return held.join(counts(spark, held), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    folder = scratch_dir(spark) + "-flat"
+    held = write(docs, folder, path)
+    counted = counts(spark, held)
+    remove(spark, folder)
+    return held.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")

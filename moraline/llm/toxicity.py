@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> Grammar:
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = LIMIT) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document; the scoring itself is one scan."""
+    """doc_id, held_out, score, predicted (1 from the threshold on, which counts as reached) for every document; the scoring itself is one scan."""
     docs = texts(docs)
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
 

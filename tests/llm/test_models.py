@@ -210,6 +210,26 @@ def test_neighbours(spark, nothing):
     assert neighbours.search(df.where("vec_id >= 1000")).count() == 0
 
 
+def test_columns_named_like_results(spark, nasty, labels):
+    kept = quality.keep_good(nasty, labels, threshold=0.0)
+    assert kept.columns == nasty.columns and sorted(map(str, kept.collect())) == sorted(map(str, nasty.collect()))
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_odd_tables(nasty, nothing, labels, tmp_path, empty):
+    """Nulls, empty and long texts, repeated rows and more columns; or no rows at all."""
+    import corpus_pipeline as cp
+
+    docs = nothing if empty else nasty
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = cp.run(docs.sparkSession, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {r.doc_id for r in docs.collect()} and (not empty or not got)
+    for _, stage in cp.STAGES:
+        docs = stage(docs.sparkSession, docs, str(tmp_path))
+    assert (docs.count() == 0) == empty or not empty
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
     from moraline.llm import bpe

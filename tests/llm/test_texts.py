@@ -311,6 +311,23 @@ def test_token_files(spark, nasty, texts, nothing, tmp_path):
         assert sorted((r.file[-1], r.ordinal, r.start, r.n_tokens) for r in rows) == [("a", 0, 0, 2), ("a", 1, 3, 0), ("a", 2, 4, 5), ("a", 3, 10, 1), ("c", 0, 0, 0), ("d", 0, 0, 40)]
 
 
+def test_flat_files_go(spark, nasty):
+    import os
+
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    tokenfiles.document_counts(nasty).collect()
+    assert not [f for d, _, names in os.walk(re.sub("^file:", "", root)) for f in names if f.endswith(".bin")]
+
+
+def test_mixing_with_many_sources_and_clashing_names(spark, nasty, monkeypatch):
+    few = mixing.mixed(nasty).collect()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert sorted(map(str, mixing.mixed(nasty).collect())) == sorted(map(str, few))
+    clash = nasty.withColumnRenamed("label", "copy").withColumnRenamed("key", "shuffle_key").withColumnRenamed("word", "rate")
+    got = mixing.mixed(clash)
+    assert got.columns == [*clash.columns, "copy_", "shuffle_key_"] and {r["copy"] for r in got.collect()} == {"x"} and got.count() == len(few)
+
+
 def test_mixing(spark, nasty, nothing):
     import duckdb
 
