@@ -8,8 +8,8 @@ token ids, with a digest of what these decode to.
 
 Defined results: null ids and texts take part, a null text as the empty one (what no
 stage rejects leaves the third with an empty text); a score equal to the classifier's
-threshold stays; among near duplicates ties go to the smallest id, and of rows that repeat
-an id and a text one stays; null source is a source of its own; texts of any length are
+threshold stays; of near duplicates the smallest id stays, with all rows that repeat it,
+and so do rows without an id; null source is a source of its own; texts of any length are
 taken whole; an empty table gives an empty result; other columns of documents, whatever
 their names, go before the first stage.
 
