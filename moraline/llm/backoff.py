@@ -42,7 +42,7 @@ from . import _text as tx
 from ._spark import crc, partitions, texts, written
 
 ORDER, DISCOUNT, BETA, FOLDS, HELD_OUT = 3, 0.75, 1.0, 5, 1
-SLICE, PART, ROUNDS, GRAMS_A_BYTE = 8 << 20, 3_000_000, 2, 0.27
+SLICE, PART, ROUNDS, GRAMS_A_BYTE = 5 << 20, 2_000_000, 2, 0.27
 END = np.uint64(0xE4D0F7E87A1C3B55)
 _SALT = tx.seeds(2, 91) | np.uint64(1)
 _KEY = ~np.uint64(7)
@@ -101,7 +101,8 @@ class Automaton:
     def occurrences(self, t: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
         """For n = 1 .. ORDER the counts of the n-gram that ends at each place, 0 where none does; the end before a row has the ends' count."""
         found = list(grams(t, begin))
-        keys = np.concatenate([k for _, k in found])
+        places, keys = [at for at, _ in found], np.concatenate([k for _, k in found])
+        del found
         order = tx.order_of(keys)
         keys = keys[order]
         first = runs(keys)
@@ -114,8 +115,9 @@ class Automaton:
             have = np.where(at >= 0, self.counts[at] if len(self.counts) else 0, 0)
         each = np.empty(len(keys), np.int64)
         each[order] = np.repeat(have, np.diff(np.r_[first, len(keys)]))
+        del keys, order
         out, done = [], 0
-        for at, k in found:
+        for at in places:
             c = np.zeros(len(t), np.int64)
             c[at] = each[done : done + len(at)]
             out.append(c)
