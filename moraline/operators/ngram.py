@@ -25,6 +25,12 @@ def spans(sentences: DataFrame, words: str = "words", bos: bool = True) -> DataF
     return sentences.select(F.explode(bound(w, place)).alias("s")).select("s.*")
 
 
+def before(rows: DataFrame, group: list[str], order: list[str], word: str, most: int | None = None) -> DataFrame:
+    """All columns and words: what comes before each row in its group, all of it or the last ``most``."""
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding if most is None else -most, -1)
+    return rows.withColumn("words", F.collect_list(word).over(w))
+
+
 def unigrams(s: DataFrame) -> DataFrame:
     return s.groupBy("word").agg(F.count("*").alias("count"))
 

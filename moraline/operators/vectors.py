@@ -39,6 +39,13 @@ def context_vectors(contexts: DataFrame, vectors: DataFrame) -> DataFrame:
     return out.where(F.exists("vector", lambda v: F.abs(v) >= TINY))
 
 
+def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """word, vector: the plain mean of the vectors of words in both tables, and the vector of words in one."""
+    both = a.select("word", "vector").join(b.select("word", F.col("vector").alias("other")), "word", "full")
+    mean = F.zip_with("vector", "other", lambda x, y: ((x + y) / 2).cast("float"))
+    return both.select("word", F.when(F.col("vector").isNotNull() & F.col("other").isNotNull(), mean).otherwise(F.coalesce("vector", "other")).alias("vector"))
+
+
 @F.pandas_udf(T.BinaryType())
 def to_bytes(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())

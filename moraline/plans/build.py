@@ -49,10 +49,8 @@ def embeddings(sentences: DataFrame, c: Config) -> DataFrame:
     if not c.directional:
         return learn(written(cooccurrence.trainable(cooccurrence.matrix(sentences, c.window, c.reach, c.cross_weight))), c.dim, c.rounds)
     f, b = (learn(written(cooccurrence.trainable(e)), c.dim, c.rounds) for e in cooccurrence.directional(sentences, c.window))
-    both = f.join(b.withColumnRenamed("vector", "other"), "word", "full")
-    mean = F.when(F.col("vector").isNotNull() & F.col("other").isNotNull(), F.zip_with("vector", "other", lambda x, y: ((x + y) / 2).cast("float"))).otherwise(F.coalesce("vector", "other"))
     side = lambda df, mark: df.select(F.concat(F.lit(mark), "word").alias("word"), "vector")
-    return side(f, "F:").unionByName(side(b, "B:")).unionByName(both.select("word", mean.alias("vector")))
+    return side(f, "F:").unionByName(side(b, "B:")).unionByName(vectors.merged(f, b))
 
 
 def build(sentences: DataFrame, path: str, config: Config | None = None, extras: DataFrame | None = None) -> dict[str, int]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jamo, words
@@ -374,15 +374,14 @@ def q_predict_prefix(spark, sf_dir):
 
 @query(f"WITH {_TURNS}, ct AS (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM cw) SELECT conv_id, turn, i::int AS pos, coalesce(string_agg(word, ' ') OVER (PARTITION BY conv_id ORDER BY turn, i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), '') AS context FROM ct")
 def q_ctx_window20(spark, sf_dir):
-    t = turns(spark, sf_dir).select("conv_id", "turn", F.posexplode("words").alias("p", "word"))
-    w = Window.partitionBy("conv_id").orderBy("turn", "p").rowsBetween(-20, -1)
-    return t.select("conv_id", "turn", (F.col("p") + 1).alias("pos"), F.concat_ws(" ", F.collect_list("word").over(w)).alias("context"))
+    t = ngram.before(turns(spark, sf_dir).select("conv_id", "turn", F.posexplode("words").alias("p", "word")), ["conv_id"], ["turn", "p"], "word", 20)
+    return t.select("conv_id", "turn", (F.col("p") + 1).alias("pos"), F.concat_ws(" ", "words").alias("context"))
 
 
 @query("SELECT conv_id, turn, coalesce(string_agg(role, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context FROM conversations")
 def q_ctx_all(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", F.collect_list("role").over(w)).alias("context"))
+    t = ngram.before(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "role")
+    return t.select("conv_id", "turn", F.concat_ws(" ", "words").alias("context"))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type")
@@ -449,31 +448,70 @@ def rank_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return cands, own
 
 
-@query(f"WITH {_RANK}, sc AS (SELECT fd.*, 3e-1 * conf + 5e-1 * coalesce((({_cos('vector', 'ctx')}) + 1) / 2, 0.5) + 2e-1 * frequency / 10000 AS score FROM fd LEFT JOIN cv USING (id) LEFT JOIN v ON v.word = surface) SELECT id, hira, surface, round(score, 5) AS score FROM sc")
+_NEAR = f"coalesce((({_cos('vector', 'ctx')}) + 1) / 2, 0.5)"
+
+
+def best(ranked: DataFrame) -> DataFrame:
+    """id, surface and the best score of each; the order among near ties is left to tests."""
+    return ranked.groupBy("id", "surface").agg(F.round(F.max("score"), 5).alias("score"))
+
+
+@query(f"WITH {_RANK} SELECT id, surface, round(max(3e-1 * conf + 5e-1 * {_NEAR} + 2e-1 * frequency / 10000), 5) AS score FROM fd LEFT JOIN cv USING (id) LEFT JOIN v ON v.word = surface GROUP BY id, surface")
 def q_rank3(spark, sf_dir):
-    """Scores of all candidates; the order among near ties is left to tests."""
     cands, own = rank_inputs(spark, sf_dir)
-    found = ranking.context_score(dictionary.with_self(cands, own), user_contexts(spark, sf_dir), unit_vectors(spark, sf_dir))
-    a, b, c = ranking.WEIGHTS
-    return found.select("id", "hira", "surface", F.round(a * F.col("conf") + b * F.col("context_score") + c * F.col("frequency") / 10_000, 5).alias("score"))
+    return best(ranking.ranked(cands, own, user_contexts(spark, sf_dir), unit_vectors(spark, sf_dir)))
 
 
-@query()
+_OF_USERS = f"w AS (SELECT id AS doc_id, list(word ORDER BY i) AS ws FROM ev GROUP BY id), {_GRAMS[len(_WS) + 2 :]}"
+
+
+@query(
+    f"""WITH {_RANK}, {_OF_USERS}, l AS (SELECT doc_id AS id, CASE WHEN len(ws) > 1 THEN ws[len(ws) - 1] END AS w2, ws[len(ws)] AS w1 FROM w),
+j AS (SELECT fd.id, fd.surface, l.w2, l.w1, 1e-1 * conf + 35e-2 * {_NEAR} + 25e-2 * frequency / 10000 AS part, coalesce(u.c, 0) AS c1, coalesce(h.c, 0) AS h1, coalesce(b.c, 0) AS c2, coalesce(hb.c, 0) AS h2, coalesce(t3.c, 0) AS c3, s.t, s.v
+ FROM fd LEFT JOIN cv ON cv.id = fd.id LEFT JOIN v ON v.word = fd.surface LEFT JOIN l ON l.id = fd.id CROSS JOIN size s LEFT JOIN uni u ON u.word = fd.surface LEFT JOIN uni h ON h.word = l.w1 LEFT JOIN bi b ON b.prev = l.w1 AND b.word = fd.surface
+ LEFT JOIN bi hb ON hb.prev = l.w2 AND hb.word = l.w1 LEFT JOIN tri t3 ON t3.w1 = l.w2 AND t3.w2 = l.w1 AND t3.word = fd.surface),
+p AS (SELECT *, (c1 + 1e-1) / (t + 1e-1 * v) AS p1, CASE WHEN h1 = 0 THEN (c1 + 1e-1) / (t + 1e-1 * v) ELSE (c2 + 1e-1) / (h1 + 1e-1 * v) END AS p2 FROM j),
+q AS (SELECT *, CASE WHEN h2 = 0 THEN p2 ELSE (c3 + 1e-1) / (h2 + 1e-1 * v) END AS p3 FROM p),
+z AS (SELECT *, CASE WHEN w1 IS NULL THEN p1 WHEN w2 IS NULL THEN 8e-1 * p2 + 2e-1 * p1 ELSE 4e-1 * p3 + 4e-1 * p2 + 2e-1 * p1 END AS n FROM q)
+SELECT id, surface, round(max(part + 3e-1 * greatest(0.0, least(1.0, (ln(n) + 15) / 15))), 5) AS score FROM z GROUP BY id, surface"""
+)
 def q_rank4(spark, sf_dir):
     cands, own = rank_inputs(spark, sf_dir)
     ctx = user_contexts(spark, sf_dir)
     m = ngram.NgramModel.build(ctx.select("words"))
-    return ranking.ranked4(cands, own, ctx, unit_vectors(spark, sf_dir), m).select("id", "hira", "surface", F.round("score", 5).alias("score"), "rank")
+    return best(ranking.ranked4(cands, own, ctx, unit_vectors(spark, sf_dir), m))
 
 
-@query()
+@query(
+    f"""WITH {_RANK}, cr AS (SELECT id, j, sum(x * w) / sum(w) AS m FROM (SELECT id, 1.0::double / i AS w, unnest(vector)::double AS x, generate_subscripts(vector, 1) AS j FROM ev JOIN v USING (word)) GROUP BY ALL), rv AS (SELECT id, list(m ORDER BY j) AS ctx2 FROM cr GROUP BY id),
+n AS (SELECT fd.*, (({_cos('vector', 'ctx')}) + 1) / 2 AS l, (({_cos('vector', 'ctx2')}) + 1) / 2 AS r FROM fd LEFT JOIN cv USING (id) LEFT JOIN rv USING (id) LEFT JOIN v ON v.word = surface)
+SELECT id, surface, round(max(3e-1 * conf + 5e-1 * coalesce(6e-1 * l + 4e-1 * r, l, r, 0.5) + 2e-1 * frequency / 10000), 5) AS score FROM n GROUP BY id, surface"""
+)
 def q_dir_rank(spark, sf_dir):
     cands, own = rank_inputs(spark, sf_dir)
     v = unit_vectors(spark, sf_dir)
     both = v.select(F.concat(F.lit("F:"), "word").alias("word"), "vector").unionByName(v.select(F.concat(F.lit("B:"), "word").alias("word"), "vector"))
     ctx = user_contexts(spark, sf_dir)
     right = ctx.withColumn("words", F.reverse("words"))
-    return ranking.ranked_directional(cands, own, ctx, right, both).select("id", "hira", "surface", F.round("score", 5).alias("score"), "rank")
+    return best(ranking.ranked_directional(cands, own, ctx, right, both))
+
+
+@query("WITH a AS (SELECT vec_id, embedding AS x FROM embeddings WHERE vec_id % 3 <> 0), b AS (SELECT vec_id - 1 AS vec_id, embedding AS y FROM embeddings WHERE vec_id % 2 = 0) SELECT 'v' || coalesce(a.vec_id, b.vec_id) AS word, round(list_sum(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN list_transform(range(1, len(x) + 1), lambda i: (x[i]::double + y[i]) / 2) ELSE coalesce(x, y) END)::double, 3) + 0.0 AS total FROM a FULL JOIN b ON a.vec_id = b.vec_id")
+def q_merge_vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    named = lambda n: e.select(F.concat(F.lit("v"), n.cast("string")).alias("word"), F.col("embedding").alias("vector"), "vec_id")
+    out = vectors.merged(named(F.col("vec_id")).where("vec_id % 3 <> 0"), named(F.col("vec_id") - 1).where("vec_id % 2 = 0"))
+    return out.select("word", (F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 3) + 0.0).alias("total"))
+
+
+@query(
+    "WITH r AS (SELECT lang AS category, doc_id % 40 AS sid, CASE WHEN quality = 1 THEN 1 WHEN toxic = 1 THEN 4 WHEN doc_id % 3 = 0 THEN 9 END AS rank FROM labels JOIN documents USING (doc_id)), s AS (SELECT category, sid, min(CASE WHEN rank = 1 THEN 1 ELSE 0 END) AS whole FROM r GROUP BY ALL), w AS (SELECT category, avg(whole) AS sentences FROM s GROUP BY 1) SELECT category, count(*) AS words, round(sum(CASE WHEN rank <= 1 THEN 1 ELSE 0 END) / count(*), 9) AS top1, round(sum(CASE WHEN rank <= 3 THEN 1 ELSE 0 END) / count(*), 9) AS top3, round(sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) / count(*), 9) AS top5, round(sum(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) / count(*), 9) AS top10, round(any_value(w.sentences), 9) AS sentences FROM r JOIN w USING (category) GROUP BY category"
+)
+def q_topk_accuracy(spark, sf_dir):
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    rank = F.when(F.col("quality") == 1, 1).when(F.col("toxic") == 1, 4).when(F.col("doc_id") % 3 == 0, 9)
+    out = evaluation.accuracy(both.select(F.col("lang").alias("category"), (F.col("doc_id") % 40).alias("sid"), rank.alias("rank")), ["category"])
+    return out.withColumns({c: F.round(c, 9) for c in ("top1", "top3", "top5", "top10", "sentences")})
 
 
 @query("SELECT toxic AS sid, count(*) AS words, avg(quality::double) AS exact FROM labels GROUP BY 1")
@@ -538,6 +576,20 @@ def part_world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return index, own, m, sents
 
 
+_INDEX = "own AS (SELECT p_name AS hangul, p_type AS surface, count(*) AS frequency FROM part GROUP BY ALL), ix AS (SELECT * FROM own UNION ALL SELECT DISTINCT p_name, p_name, 0 FROM part)"
+
+
+@query(
+    f"WITH {_INDEX}, q AS (SELECT DISTINCT p_name[:4] AS partial FROM part), c AS (SELECT partial, surface, hangul, frequency, length(hangul) - length(partial) AS saving, row_number() OVER (PARTITION BY partial ORDER BY frequency DESC, hangul, surface) AS r FROM q JOIN ix ON starts_with(hangul, partial) AND length(hangul) > length(partial)) SELECT partial AS id, surface, hangul, frequency, saving::int AS saving FROM c WHERE r <= 30"
+)
+def q_completions(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    own = p.groupBy(F.col("p_name").alias("reading"), F.col("p_type").alias("surface")).agg(F.count("*").alias("frequency"))
+    index = autocomplete.surface_index(p.select(F.col("p_name").alias("hangul"), F.col("p_name").alias("reading")), own)
+    asked = p.select(F.substring("p_name", 1, 4).alias("partial")).distinct().withColumn("id", F.col("partial"))
+    return autocomplete.completions(index, asked)
+
+
 @query()
 def q_autocomplete(spark, sf_dir):
     index, own, m, sents = part_world(spark, sf_dir)

@@ -61,6 +61,12 @@ def q_kana_marked(spark, sf_dir):
     return readings.select("reading", kana.marked("reading").alias("marked"))
 
 
+@query(f"WITH {_PARTS} SELECT DISTINCT k1 || k3 AS reading, translate(k1, '{kana.VOICED[0]}', '{kana.VOICED[1]}') || k3 AS voiced FROM pk")
+def q_voice(spark, sf_dir):
+    readings = parts(spark, sf_dir).select(F.concat("k1", "k3").alias("reading")).distinct()
+    return readings.select("reading", kana.voice(F.col("reading")).alias("voiced"))
+
+
 _LONG_UNITS = {p: (kana.YOUON[p[:2]] if len(p) == 3 else kana.KANA[p[0]]) + "~" for p in kana.MARKED_PATTERNS} | {k: kana.KANA[k] for k in "かさたなまやらわじぱ"}
 
 
