@@ -19,16 +19,17 @@ texts have equal fingerprints.
 
 from __future__ import annotations
 
+import collections
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import frequent, partitions, texts
+from ._spark import frequent, partitions, texts, written
 
 LEVELS, SUBSETS, FEW = 11, 16, 12
 LOW, HIGH = 1 / 2000, 1 / 10
@@ -169,44 +170,62 @@ def fingerprints(docs: DataFrame, terms: np.ndarray | None = None, **options) ->
     return docs.mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def slots(ids: DataFrame, n: int) -> tuple[Column, Column, int]:
+    """For rows (doc_id, text) a slot, ascending with doc_id and then the second column, which is that column's value, and the number of slots.
+
+    Cuts are quantiles of the ids, read without texts. An id with several quantiles of all
+    rows, or null, gets several slots, by ranges of a hash of the texts; without such an
+    id the second column is 0 and texts are not read for it. Null ids come last.
+    """
+    total, known = ids.agg(F.count("*"), F.count("doc_id")).first()
+    cuts = collections.Counter(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n)) if n > 1 and known else [])
+    marks = sorted(cuts)
+    hash_ = F.xxhash64("text")
+    share = (F.shiftright(hash_, 40) + (1 << 23)) / float(1 << 24)  # of all hashes that are lower, in order
+    spread = lambda first, k: (F.lit(first) + F.floor(share * k)).cast("int")
+    hot, leaves, used = [m for m in marks if cuts[m] > 1], [F.lit(0)], 1
+    for m in marks:
+        if cuts[m] > 1:
+            own = spread(used, cuts[m])
+            used += cuts[m]
+            leaves.append(F.when(F.col("doc_id") == int(m), own).otherwise(F.lit(used)))
+        else:
+            leaves.append(F.lit(used))
+        used += 1
+
+    def tree(lo: int, hi: int) -> Column:  # log2(n) comparisons for each row, in generated code
+        if lo == hi:
+            return leaves[lo]
+        mid = (lo + hi) // 2
+        return F.when(F.col("doc_id") < int(marks[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    nulls = max(1, round(n * (total - known) / max(total, 1)))
+    slot = F.when(F.col("doc_id").isNull(), spread(used, nulls) if nulls > 1 else F.lit(used)).otherwise(tree(0, len(marks)))
+    split = F.col("doc_id").isin([int(m) for m in hot]) if hot else F.lit(False)
+    split = split | F.col("doc_id").isNull() if nulls > 1 else split
+    return slot, F.when(split, hash_).otherwise(F.lit(0)) if hot or nulls > 1 else F.lit(0).cast("long"), used + nulls
+
+
 def in_order(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, int]:
-    """doc_id, text, slot, extra: ranges of ascending doc_id, one for each partition, each followed by a copy of the document after it.
+    """doc_id, text, slot, extra, second: slots of ascending doc_id, a partition each, followed by a copy of the document after them.
 
-    Ranges come from quantiles of the ids, which are read without the texts. The copy
-    (extra = 1) is the first document of the next range, or of all after the last, so
-    every task sees each document's successor, and texts are shuffled once. Null ids
-    come last; equal ids are ordered by their texts.
+    The copy (extra = 1) is the first document of the next slot with rows, or of all after
+    the last, so every task sees each document's successor, and texts are shuffled once.
+    Equal ids are ordered by the second key of slots(), then by their texts.
     """
     docs = texts(docs)
-    n = buckets or partitions(docs.sparkSession)
-    ids = docs.select("doc_id")
-    cuts = sorted({*ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n))}) if n > 1 else []
-    slot = F.lit(0)
-    if cuts:  # a balanced tree of comparisons: log2(n) for each row, and it stays in generated code
-
-        def tree(lo: int, hi: int):
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(F.col("doc_id") < int(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-        slot = tree(0, len(cuts))
-    slot = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(slot)
-    heads = sorted(((r[0], r[1]) for r in ids.groupBy(slot.alias("slot")).agg(F.min("doc_id")).collect()), key=lambda r: r[0])
-    own = docs.select("doc_id", "text", slot.alias("slot"), F.lit(0).alias("extra"))
-    if not heads:
-        return own, len(cuts) + 2
-    copies = []
-    for (before, _), (_, first) in zip([heads[-1], *heads[:-1]], heads, strict=True):
-        copies.append((first, before, heads[0][1] == first and before == heads[-1][0]))
-    ids_ = [c[0] for c in copies if c[0] is not None]
-    to = F.create_map(*[F.lit(x) for c in copies if c[0] is not None for x in (c[0], c[1])]) if ids_ else None
-    extra = docs.where(F.col("doc_id").isin(ids_)).select("doc_id", "text", to[F.col("doc_id")].alias("slot"), F.lit(1).alias("extra")) if ids_ else None
-    if any(c[0] is None for c in copies):
-        before = next(c[1] for c in copies if c[0] is None)
-        nulls = docs.where("doc_id is null").orderBy("text").limit(1).select("doc_id", "text", F.lit(before).alias("slot"), F.lit(1).alias("extra"))
-        extra = extra.unionByName(nulls) if extra is not None else nulls
-    return own.unionByName(extra), len(cuts) + 2
+    slot, second, n = slots(docs, buckets or partitions(docs.sparkSession))
+    own = docs.select("doc_id", "text", slot.alias("slot"), F.lit(0).alias("extra"), second.alias("second"))
+    # a row for each slot, in one task as a window: its first id, and the slot before
+    heads = own.groupBy("slot").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "second")).alias("first"))
+    around = Window.orderBy("slot")
+    whole = Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.lag("slot").over(around), F.max("slot").over(whole))
+    heads = written(heads.select(F.col("first.doc_id").alias("head"), F.col("first.second").alias("at"), before.alias("to")))
+    copies = own.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("second") == F.col("at")))
+    one = copies.groupBy("to", "doc_id", "second").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    extra = one.select("doc_id", "text", F.col("to").alias("slot"), F.lit(1).alias("extra"), "second")
+    return own.unionByName(extra), n
 
 
 def edited(text: str, after: str) -> str:
@@ -225,7 +244,7 @@ def neighbour_report(docs: DataFrame, terms: np.ndarray | None = None, **options
     """
     sent = docs.sparkSession.sparkContext.broadcast(Fingerprinter(lexicon(docs) if terms is None else terms, **options))
     ranged, n = in_order(docs)
-    ranged = ranged.repartitionById(n, F.col("slot")).sortWithinPartitions("slot", "extra", "doc_id", "text")
+    ranged = ranged.repartitionById(n, F.col("slot")).sortWithinPartitions("slot", "extra", "doc_id", "second", "text").drop("second")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp, last = sent.value, None  # last: the row whose successor is still to come, and its fingerprint

@@ -51,6 +51,22 @@ def test_fingerprints(spark, nasty, texts, nothing):
     assert fingerprint.neighbour_report(nasty.limit(1)).count() == 1
 
 
+@pytest.mark.parametrize("buckets", [2, 8, 40])
+def test_successors_of_repeated_and_missing_ids(spark, monkeypatch, buckets):
+    """A third of the rows have one id and a third none: each row has one successor, in the order of ids, and no slot gathers an id."""
+    monkeypatch.setattr(fingerprint, "partitions", lambda _: buckets)
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"{i:04d}" * 5) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fingerprint.neighbour_report(docs).collect()
+    shas = {hashlib.sha256(fingerprint.edited(a, b).encode()).hexdigest(): (j, k) for j, (_, a) in enumerate(rows) for k, (_, b) in enumerate(rows)}
+    after = dict(shas[r.edited_sha256] for r in got)
+    assert len(got) == 300 and sorted(after) == sorted(after.values()) == list(range(300))
+    key = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    assert sum(key(b) < key(a) for a, b in after.items()) == 1
+    ranged, _ = fingerprint.in_order(docs)
+    assert max(r["count"] for r in ranged.groupBy("slot").count().collect()) <= 3 * 300 / buckets + 5
+
+
 def plain_prints(lexicon, model, text):
     """The cells of a text's fingerprint, one subset after the other: the hash of the sorted distinct terms that it holds."""
     words = {tx.word_hash(w.decode()) for w in WORD.findall(fold(text))}
