@@ -33,7 +33,7 @@ from ._spark import partitions, written
 
 K, EVERY = 20, 20
 SHARE, FEWEST, MOST, BRANCH, LEAF, PROBES, RECALL, WIDEN = 50, 20_000, 200_000, 32, 50, 200, 0.93, 1.1
-PART = 100_000  # vectors that a task compares at once
+PART, CELLS = 100_000, 4_000_000  # vectors of a task, and scores that it holds at once
 
 
 @dataclass
@@ -120,8 +120,8 @@ def matrix(col: pa.Array) -> np.ndarray:
 
 
 def largest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, scores: np.ndarray, own: int, k: int, distinct: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Places and exact scores of the k best of x for q, each id once; ``scores`` are close to exact, ``distinct`` says that no id repeats."""
-    some = np.flatnonzero(ids != own)
+    """Places and exact scores of the k best of x for q, each id once; ``scores`` are close to exact, or -inf where x was not visited; ``distinct`` says that no id repeats."""
+    some = np.flatnonzero((ids != own) & (scores > -np.inf))
     if distinct and len(some) > k:
         s = scores[some]
         bound = np.partition(s, len(s) - k)[len(s) - k]
@@ -259,40 +259,41 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = R
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stored: list[pa.RecordBatch] = []
-        by_leaf: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        ids, x, first, distinct = np.zeros(0, np.int64), np.zeros((0, 0)), {}, True
         for batch in batches:
             side = batch.column("side").to_numpy()
             if (side == 0).any():
                 stored.append(batch.filter(pa.array(side == 0)))
             if not (side == 1).any():
                 continue
-            if stored:  # all vectors of the part came before its queries
+            if stored:  # all vectors of the part came before its queries; they are put in the order of leaves
                 t = pa.Table.from_batches(stored).combine_chunks()
-                leaf, ids, x = t.column("leaves").combine_chunks().flatten().to_numpy(), t.column("vec_id").to_numpy(), matrix(t.column("embedding").combine_chunks())
+                leaf = t.column("leaves").combine_chunks().flatten().to_numpy()
                 order = np.argsort(leaf, kind="stable")
-                names, first = np.unique(leaf[order], return_index=True)
-                by_leaf = {int(n): (ids[own], x[own], not repeats(ids[own])) for n, own in zip(names, np.split(order, first[1:]), strict=True)}
-                stored = []
+                ids, x = t.column("vec_id").to_numpy()[order], matrix(t.column("embedding").combine_chunks())[order]
+                names, begin = np.unique(leaf[order], return_index=True)
+                first = {int(n): (int(a), int(b)) for n, a, b in zip(names, begin, [*begin[1:], len(ids)], strict=True)}
+                distinct, stored = not repeats(ids), []
+            if not len(ids):
+                continue
             asked = batch.filter(pa.array(side == 1))
-            qi, q, leaves = asked.column("vec_id").to_numpy(), matrix(asked.column("embedding")), asked.column("leaves").to_pylist()
-            visitors: dict[int, list[int]] = {}
-            for j, own in enumerate(leaves):
-                for n in own:
-                    visitors.setdefault(n, []).append(j)
-            best: dict[int, list] = {}
-            for n, who in visitors.items():
-                if n in by_leaf:
-                    ids, x, distinct = by_leaf[n]
-                    s = x @ q[who].T
-                    for c, j in enumerate(who):
-                        at, score = largest(ids, x, q[j], s[:, c], qi[j], k, distinct)
-                        best.setdefault(j, []).append((ids[at], score))
-            out = []
-            for j, found in best.items():
-                ids, scores = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                top = firsts(ids, scores, k)
-                out.append((np.full(len(top), qi[j]), ids[top], scores[top]))
-            if out:
+            at_once = max(1, CELLS // len(ids))
+            for start in range(0, asked.num_rows, at_once):
+                some = asked.slice(start, at_once)
+                qi, q = some.column("vec_id").to_numpy(), matrix(some.column("embedding"))
+                visitors: dict[int, list[int]] = {}
+                for j, own in enumerate(some.column("leaves").to_pylist()):
+                    for n in own:
+                        visitors.setdefault(n, []).append(j)
+                scores = np.full((len(qi), len(ids)), -np.inf)
+                for n, who in visitors.items():
+                    if n in first:
+                        a, b = first[n]
+                        scores[who, a:b] = q[who] @ x[a:b].T
+                out = []
+                for j in range(len(qi)):
+                    at, score = largest(ids, x, q[j], scores[j], qi[j], k, distinct)
+                    out.append((np.full(len(at), qi[j]), ids[at], score))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     return ranked(both.mapInArrow(compare, "query_id long, vec_id long, score double"), k)
