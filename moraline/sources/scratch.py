@@ -9,7 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a table is written: its shuffle files go at once, and batches for Python workers stay small.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -29,12 +30,17 @@ def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a Parquet table of the scratch folder, which goes when the driver ends."""
     spark = df.sparkSession
     path = scratch_dir(spark)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # what is now written needs its shuffle files no more
+    before = {key: spark.conf.get(key, None) for key in WHILE_WRITING}
+    for key, value in WHILE_WRITING.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     atexit.register(remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
