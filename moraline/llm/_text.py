@@ -16,9 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-try:
+try:  # workers live long and executors count their memory: large blocks go back to the system as soon as they are free
     _libc = ctypes.CDLL("libc.so.6")
-except OSError:  # another C library: nothing to trim
+    _libc.mallopt(-3, 12 << 20)  # M_MMAP_THRESHOLD, which else grows
+    _libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+except (OSError, AttributeError):  # another C library
     _libc = None
 
 PIECE_BYTES, LONG = 1 << 20, 64

@@ -346,6 +346,7 @@ def _met(rows: DataFrame, step, edges: bool) -> DataFrame:
     """
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.release()
         family = Family()
         for batch in batches:
             for piece in tx.pieces(batch):
@@ -358,6 +359,7 @@ def _met(rows: DataFrame, step, edges: bool) -> DataFrame:
         yield from _settle(family, edges)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.release()
         yield from _meet(batches, edges)
 
     met = rows.mapInArrow(here, _ROWS).repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "context").mapInArrow(meet, _ROWS)
@@ -425,6 +427,7 @@ def _edited(docs: DataFrame, length: int, columns: str, row, *keep: str) -> Data
     names = ["doc_id", *keep, *(f.split()[0] for f in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.release()
         for batch in batches:
             for piece in tx.pieces(batch):
                 data, offs = tx.flat(piece.column("text"))

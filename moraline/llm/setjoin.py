@@ -144,6 +144,7 @@ def shared_signatures(docs: DataFrame, common: np.ndarray, parts: int) -> DataFr
     signer = docs.sparkSession.sparkContext.broadcast(Signer(common))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.release()
         for batch in batches:
             for piece in tx.pieces(batch):
                 sets = [s for s in shingles(piece) if len(s)]
@@ -163,6 +164,7 @@ def shared_signatures(docs: DataFrame, common: np.ndarray, parts: int) -> DataFr
                 )
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.release()
         got = [(b.column("sig").to_numpy(), b.column("cls").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
         if not got:
             return
@@ -223,6 +225,7 @@ def verified(pairs: DataFrame, docs: DataFrame, summary: DataFrame, percent: int
     asked = written(asked.join(_reps(summary), "k1"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.release()
         head, key = None, None
         for batch in batches:
             a, blk, side, b = (batch.column(c).to_pylist() for c in ("a", "block", "side", "k1"))
@@ -308,6 +311,7 @@ def one_each(live: DataFrame, percent: int) -> DataFrame:
     """a, b: for each class b that is not the most central one of all its groups, of those that are the one it shares most signatures with."""
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.release()
         got = _by_group(batches, "sig", "cls", "n")
         if got is None:
             return
@@ -379,6 +383,7 @@ def close_pairs(live: DataFrame, nodes: DataFrame, pivots: DataFrame, percent: i
     dealt = dealt.select(F.xxhash64("group", "by", "i", "j").alias("cell"), "by", "cls", side.alias("side"))
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.release()
         got = _by_group(batches, "cell", "cls", "n", "label", "side", "by", "hist", "pivot", "away")
         if got is None:
             return
