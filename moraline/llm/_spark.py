@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import drop, remove, scratch_dir, written  # noqa: F401
+from ..sources import scratch
+from ..sources.scratch import drop, remove, scratch_dir  # noqa: F401
 from . import _text as tx
 
 
@@ -17,6 +20,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_shared: weakref.WeakSet[Broadcast] = weakref.WeakSet()
+
+
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast that executors drop when the next table is written; who needs it later fetches it again."""
+    out = spark.sparkContext.broadcast(value)
+    _shared.add(out)
+    return out
+
+
+def written(df: DataFrame) -> DataFrame:
+    """scratch.written(), after which executors give up what was shared for it."""
+    out = scratch.written(df)
+    for sent in list(_shared):
+        sent.unpersist()
+    return out
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """The name, or with underscores after it where a column has it already."""
     have = {c.lower() for c in taken}
@@ -84,7 +105,7 @@ def frequent(rows: DataFrame, items: Items, share: float, least: int = 1, local:
     bound = max(least, int(np.ceil(share * total)))
     if not len(cand):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), total
-    wanted = spark.sparkContext.broadcast(cand)
+    wanted = share(spark, cand)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = wanted.value
@@ -158,7 +179,7 @@ def only(rows: DataFrame, ids: DataFrame, column: str, other: bool = False) -> D
 
     Whoever passes by chance must not matter: join what may be among them exactly.
     """
-    bitmap = rows.sparkSession.sparkContext.broadcast(id_filter(ids))
+    bitmap = share(rows.sparkSession, id_filter(ids))
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

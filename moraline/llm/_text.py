@@ -211,8 +211,15 @@ class Counts:
         if self.pending:
             new = np.sort(np.concatenate(self.pending))
             first = np.flatnonzero(np.r_[True, new[1:] != new[:-1]])
-            self.keys, self.n = summed(np.concatenate([self.keys, new[first]]), np.concatenate([self.n, np.diff(np.r_[first, len(new)])]))
             self.pending, self.waiting = [], 0
+            new, n = new[first], np.diff(np.r_[first, len(new)])
+            at = np.searchsorted(self.keys, new)
+            there = np.flatnonzero(at < len(self.keys))
+            there = there[self.keys[at[there]] == new[there]]
+            self.n[at[there]] += n[there]
+            fresh = np.ones(len(new), bool)
+            fresh[there] = False
+            self.keys, self.n = np.insert(self.keys, at[fresh], new[fresh]), np.insert(self.n, at[fresh], n[fresh])
 
     def full(self) -> bool:
         return len(self.keys) >= self.limit
@@ -224,15 +231,6 @@ class Counts:
         return out
 
 
-def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return keys, n
-    order = order_of(keys)
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(n, first)
-
-
 def found(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The place of each key in sorted_keys, or -1."""
     if not len(sorted_keys):

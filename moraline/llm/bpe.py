@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
+from ._spark import share
 
 # Fixed value: the pattern that cuts a text into words for this kind of vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -158,7 +159,7 @@ def _again(state: dict) -> Bpe:
 
 def _run(docs: DataFrame, path: str | None, schema: str, row) -> DataFrame:
     """One scan without a shuffle. The vocabulary is a file of fixed size, sent once to each executor."""
-    sent = docs.sparkSession.sparkContext.broadcast(Bpe(path))
+    sent = share(docs.sparkSession, Bpe(path))
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

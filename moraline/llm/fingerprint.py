@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import frequent, partitions, texts, written
+from ._spark import frequent, partitions, share, texts, written
 
 LEVELS, SUBSETS, FEW = 11, 16, 12
 LOW, HIGH = 1 / 2000, 1 / 10
@@ -159,7 +159,7 @@ class Prints:
 def fingerprints(docs: DataFrame, terms: np.ndarray | None = None, **options) -> DataFrame:
     """doc_id, n_terms and fingerprint of every document; one scan beside the lexicon's two."""
     docs = texts(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(Fingerprinter(lexicon(docs) if terms is None else terms, **options))
+    sent = share(docs.sparkSession, Fingerprinter(lexicon(docs) if terms is None else terms, **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,7 +242,7 @@ def neighbour_report(docs: DataFrame, terms: np.ndarray | None = None, **options
 
     With a single document the successor is the document itself.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(Fingerprinter(lexicon(docs) if terms is None else terms, **options))
+    sent = share(docs.sparkSession, Fingerprinter(lexicon(docs) if terms is None else terms, **options))
     ranged, n = in_order(docs)
     ranged = ranged.repartitionById(n, F.col("slot")).sortWithinPartitions("slot", "extra", "doc_id", "second", "text").drop("second")
 

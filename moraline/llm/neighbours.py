@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import partitions, written
+from ._spark import partitions, share, written
 
 K, EVERY = 20, 20
 SHARE, FEWEST, MOST, BRANCH, LEAF, PROBES, RECALL, WIDEN = 50, 20_000, 200_000, 32, 50, 200, 0.93, 1.1
@@ -150,7 +150,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def exact_search(rows: DataFrame, queries: list[tuple[int, np.ndarray]], k: int) -> DataFrame:
     """query_id, vec_id, score: the k nearest of a bounded list of queries among all rows; each task sends k for each query."""
-    sent = rows.sparkSession.sparkContext.broadcast((np.array([i for i, _ in queries]), np.array([q for _, q in queries])))
+    sent = share(rows.sparkSession, (np.array([i for i, _ in queries]), np.array([q for _, q in queries])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qi, q = sent.value
@@ -210,7 +210,7 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = R
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
     tree = Tree(matrix(got.column("embedding").combine_chunks()))
     visits = calibrated(tree, rows, queries, k, recall, probes)
-    sent = spark.sparkContext.broadcast(tree)
+    sent = share(spark, tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +229,7 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = R
     upto = np.cumsum(count)
     base = np.minimum((upto - count) // target, parts - 1)
     spread = np.where(count > 0, np.minimum(np.maximum(upto - 1, 0) // target, parts - 1) - base + 1, 0)
-    dealing = spark.sparkContext.broadcast((base, spread))
+    dealing = share(spark, (base, spread))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, spread = dealing.value

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import crc, fresh, labelled, texts
+from ._spark import crc, fresh, labelled, share, texts
 
 LIMIT, BITS, RANK, EPOCHS, THRESHOLD = 12_000, 15, 6, 8, 0.3
 FOLDS, HELD_OUT = 5, 0
@@ -169,7 +169,7 @@ def scored(docs: DataFrame, model: FactorisationMachine, *keep: str, name: str =
     """doc_id, the columns ``keep``, and the score as ``name`` of every row; one scan without a shuffle."""
     rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys(["doc_id", "text", *keep])))
     schema = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes] + [f"`{name}` double"])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -42,7 +42,7 @@ from ._spark import only, partitions, texts, written
 
 LENGTH, CELL = 200, 12
 _PLACE = np.uint64((1 << 21) - 1)
-FLUSH, VARIANTS = 1_000_000, 16  # entries of a family, some 50 MB of text
+FLUSH, VARIANTS = 300_000, 16  # entries of a family, some 15 MB of text
 ENTRY, REPEATED, EDGE, WITNESS, PASSED = 0, 1, 3, 4, 8  # WITNESS: known to be repeated, others may still meet it
 
 
@@ -51,7 +51,8 @@ class Level:
     has in common with the one before it, whether all of it occurs again, and a payload."""
 
     def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, again: np.ndarray, payload: list[np.ndarray]):
-        self.data, self.blocks = data, tx.blocks(data)
+        self.blocks = tx.blocks(data)
+        self.data = self.blocks.base[: len(data)]
         self.start, self.size, self.again, self.payload = start, size, again, payload
         self._sort()
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import drop, id_filter, often, only, partitions, passes, texts, written
+from ._spark import drop, id_filter, often, only, partitions, passes, share, texts, written
 
 NGRAM, PERCENT, FREQUENT, FULL = 5, 80, 2.5e-4, 6
 
@@ -141,7 +141,7 @@ def summaries(docs: DataFrame) -> DataFrame:
 
 def shared_signatures(docs: DataFrame, common: np.ndarray, parts: int) -> DataFrame:
     """sig, cls, n, size: the signatures that at least two classes have, ``size`` of them; cls is a class's k1, n how many tokens it has."""
-    signer = docs.sparkSession.sparkContext.broadcast(Signer(common))
+    signer = share(docs.sparkSession, Signer(common))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tx.release()
@@ -266,7 +266,7 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 def _built(docs: DataFrame, rids: DataFrame, column: str, make) -> DataFrame:
     """rid, k1 and what ``make`` gives for the sets of the documents whose rid may be among ``rids``."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(rids))
+    bitmap = share(docs.sparkSession, id_filter(rids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -428,7 +428,7 @@ def class_components(docs: DataFrame, summary: DataFrame, percent: int = PERCENT
     """(node, label) of the classes that link with others, and verified links (a, b) that connect them; None without any."""
     spark = docs.sparkSession
     common = often(docs.select("text"), _distinct, share, local=0.75, least=8, floor=2)[0]
-    shared = written(shared_signatures(docs.select("text"), common, partitions(spark)))
+    shared = written(shared_signatures(docs.select("text"), common, 2 * partitions(spark)))  # a task holds its partition
     central = shared.groupBy("cls").agg(F.sum("size").alias("central"))
     live = written(shared.drop("size").join(central, "cls").withColumn("label", F.col("cls")))
     drop(shared)

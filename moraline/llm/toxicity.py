@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import crc, labelled, texts
+from ._spark import crc, labelled, share, texts
 
 LIMIT, LEXICON, FOLDS, HELD_OUT, THRESHOLD = 40_000, 20_000, 3, 1, 0.7
 
@@ -224,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> Grammar:
     sample = labelled(docs, labels, "toxic", FOLDS, HELD_OUT, limit)
     half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) < 2
     model = Grammar(*lexicon(sample.where(half)))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = share(docs.sparkSession, model)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> Grammar:
 def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = LIMIT) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from the threshold on, which counts as reached) for every document; the scoring itself is one scan."""
     docs = texts(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
+    sent = share(docs.sparkSession, fit(docs, labels, limit))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
