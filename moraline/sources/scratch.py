@@ -42,6 +42,9 @@ def written(df: DataFrame) -> DataFrame:
             else:
                 spark.conf.set(key, value)
     atexit.register(remove, spark, path)
+    # Executors hold what was broadcast for finished jobs (a Hadoop configuration for each scan) until the driver's
+    # collector finds it unreachable; Spark itself only calls that every half hour, and there are many jobs a minute here.
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
