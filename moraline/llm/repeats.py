@@ -42,7 +42,7 @@ from ._spark import only, partitions, texts, written
 
 LENGTH, CELL = 200, 12
 _PLACE = np.uint64((1 << 21) - 1)
-FLUSH, VARIANTS = 300_000, 16  # entries of a family, some 15 MB of text
+FLUSH, VARIANTS = 100_000, 16  # entries of a family, some 5 MB of text
 ENTRY, REPEATED, EDGE, WITNESS, PASSED = 0, 1, 3, 4, 8  # WITNESS: known to be repeated, others may still meet it
 
 
@@ -350,7 +350,7 @@ def _met(rows: DataFrame, step, edges: bool) -> DataFrame:
         tx.release()
         family = Family()
         for batch in batches:
-            for piece in tx.pieces(batch):
+            for piece in tx.pieces(batch, most=tx.PIECE_BYTES // 2):
                 data, start, size, key, context, *more, kind = step(piece)
                 again = family.add(data, start, size, key, context, *more, kind)
                 again = again[kind[again] != WITNESS]
