@@ -87,7 +87,7 @@ def often(rows: DataFrame, items: Items, share: float, local: float = 0.25, leas
         keep = n >= max(floor, local * share * total)
         yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(n[keep])], ["item", "n"])
 
-    seen = written(rows.mapInArrow(kept_here, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")))
+    seen = written(rows.mapInArrow(tx.trimmed(kept_here), "item long, n long").groupBy("item").agg(F.sum("n").alias("n")))
     total = int((seen.where("item is null").agg(F.sum("n")).first() or [0])[0] or 0)
     some = max((1 - local) * share * total, (1 - local) * least)
     return np.sort(_longs(seen.where(F.col("item").isNotNull() & (F.col("n") >= some)).select("item"))), total
@@ -117,7 +117,7 @@ def frequent(rows: DataFrame, items: Items, share: float, least: int = 1, local:
         some = n > 0
         yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some])], ["item", "n"])
 
-    kept = rows.mapInArrow(exact, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= bound).toArrow()
+    kept = rows.mapInArrow(tx.trimmed(exact), "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= bound).toArrow()
     keys = kept.column("item").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], kept.column("n").to_numpy()[order], total
@@ -158,7 +158,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
             value = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], ["word", "bits"])
 
-    got = ids.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    got = ids.mapInArrow(tx.trimmed(bits), "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS >> 6, np.int64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     return out.view(np.uint64)
@@ -189,4 +189,4 @@ def only(rows: DataFrame, ids: DataFrame, column: str, other: bool = False) -> D
                 yield part.filter(pa.array(passes(bitmap.value, part.column(column).to_numpy()) != other))
             tx.release()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tx.trimmed(run), schema)

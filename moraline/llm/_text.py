@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +102,16 @@ def release() -> None:
         _libc.malloc_trim(0)
 
 
+def trimmed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same for mapInArrow, where a worker that then waits for its next task keeps no memory of this one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return run
+
+
 def blocks(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as one number; zeros follow the last byte."""
     return np.ndarray((len(data) + 1,), "<u8", np.r_[data, np.zeros(8, np.uint8)], 0, (1,))

@@ -177,7 +177,7 @@ def sliced(docs: DataFrame) -> DataFrame:
             yield row()
 
     held_out = F.coalesce(F.pmod(crc(), F.lit(FOLDS)) == HELD_OUT, F.lit(False)).alias("held_out")
-    return written(texts(docs).select("doc_id", "text", held_out).mapInArrow(run, "slice long, bytes long, docs binary"))
+    return written(texts(docs).select("doc_id", "text", held_out).mapInArrow(tx.trimmed(run), "slice long, bytes long, docs binary"))
 
 
 def documents(data: bytes) -> Iterator[pa.RecordBatch]:
@@ -219,7 +219,7 @@ def questions(slices: DataFrame, owners: int, part: range) -> DataFrame:
                 tx.release()
                 yield pa.RecordBatch.from_pylist([dict(zip(_QUESTION.names, r, strict=True)) for r in rows], _QUESTION)
 
-    return slices.select("slice", "docs").mapInArrow(run, "part long, slice long, n long, keys binary, counts binary")
+    return slices.select("slice", "docs").mapInArrow(tx.trimmed(run), "part long, slice long, n long, keys binary, counts binary")
 
 
 _QUESTION = pa.schema([("part", pa.int64()), ("slice", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -251,7 +251,7 @@ def answers(asked: DataFrame, owners: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(_ANSWER.names, (number, part, n, packed(counts[done : done + n]), *stats), strict=True))], _ANSWER)
             done, stats = done + n, (0, 0)
 
-    return asked.repartitionById(owners, F.pmod(F.col("part"), F.lit(owners)).cast("int")).mapInArrow(run, "slice long, part long, n long, payload binary, words long, tokens long")
+    return asked.repartitionById(owners, F.pmod(F.col("part"), F.lit(owners)).cast("int")).mapInArrow(tx.trimmed(run), "slice long, part long, n long, payload binary, words long, tokens long")
 
 
 def counted(slices: DataFrame) -> tuple[DataFrame, int, int]:
@@ -317,7 +317,7 @@ def scored(slices: DataFrame, answered: DataFrame, total: int, distinct: int) ->
         if data is not None:
             yield from read(data, counts)
 
-    return both.mapInArrow(run, _SCORES)
+    return both.mapInArrow(tx.trimmed(run), _SCORES)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ def _run(docs: DataFrame, path: str | None, schema: str, row) -> DataFrame:
                 cols = [pa.array(list(c), pa.list_(pa.int32()) if n == "ids" else None) for n, c in zip(names[1:], zip(*rows, strict=True), strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *cols], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tx.trimmed(run), schema)
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -167,7 +167,7 @@ def fingerprints(docs: DataFrame, terms: np.ndarray | None = None, **options) ->
                 prints = sent.value.of_texts(piece.column("text"))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(prints.as_text(), pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.mapInArrow(tx.trimmed(run), "doc_id long, fingerprint string")
 
 
 def slots(ids: DataFrame, n: int) -> tuple[Column, Column, int]:
@@ -274,4 +274,4 @@ def neighbour_report(docs: DataFrame, terms: np.ndarray | None = None, **options
                     }
                 )
 
-    return ranged.mapInArrow(run, _PAIRS)
+    return ranged.mapInArrow(tx.trimmed(run), _PAIRS)

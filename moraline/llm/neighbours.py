@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _text as tx
 from ._spark import partitions, share, written
 
 K, EVERY = 20, 20
@@ -169,7 +170,7 @@ def exact_search(rows: DataFrame, queries: list[tuple[int, np.ndarray]], k: int)
             [pa.array(np.concatenate([np.full(len(i), a) for a, i, _ in out])), pa.array(np.concatenate([i for _, i, _ in out])), pa.array(np.concatenate([s for _, _, s in out]))], ["query_id", "vec_id", "score"]
         )
 
-    return ranked(rows.mapInArrow(run, "query_id long, vec_id long, score double"), k)
+    return ranked(rows.mapInArrow(tx.trimmed(run), "query_id long, vec_id long, score double"), k)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -216,7 +217,7 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = R
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.assign(matrix(batch.column("embedding"))))], [*batch.schema.names, "leaf"])
 
-    placed = written(rows.mapInArrow(place, "vec_id long, embedding array<double>, leaf int"))
+    placed = written(rows.mapInArrow(tx.trimmed(place), "vec_id long, embedding array<double>, leaf int"))
     held = placed.groupBy("leaf").count().collect()  # a row for each leaf of the bounded tree
     count = np.zeros(tree.leaves, np.int64)
     for r in held:
@@ -254,7 +255,7 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = R
             rows_ = batch.take(pa.array(at, pa.int64()))
             yield _rows(np.array(parts_, np.int64), 1, rows_.column("vec_id"), rows_.column("embedding"), pa.array(leaves, pa.list_(pa.int32())))
 
-    both = placed.mapInArrow(deal, _DEALT).unionByName(queries.mapInArrow(ask, _DEALT))
+    both = placed.mapInArrow(tx.trimmed(deal), _DEALT).unionByName(queries.mapInArrow(tx.trimmed(ask), _DEALT))
     both = both.repartitionById(parts, "part").sortWithinPartitions("part", "side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +297,7 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, recall: float = R
                     out.append((np.full(len(at), qi[j]), ids[at], score))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
-    return ranked(both.mapInArrow(compare, "query_id long, vec_id long, score double"), k)
+    return ranked(both.mapInArrow(tx.trimmed(compare), "query_id long, vec_id long, score double"), k)
 
 
 _DEALT = "part int, side int, vec_id long, embedding array<double>, leaves array<int>"

@@ -155,7 +155,7 @@ def _gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT, **options) -> FactorisationMachine:
     """The machine for ``labels.quality``, from at most ``limit`` labelled rows outside the held-out fold."""
-    got = labelled(docs, labels, "quality", FOLDS, HELD_OUT, limit).mapInArrow(_gather, "words array<long>, stats array<double>, label int, doc_id long").toArrow()
+    got = labelled(docs, labels, "quality", FOLDS, HELD_OUT, limit).mapInArrow(tx.trimmed(_gather), "words array<long>, stats array<double>, label int, doc_id long").toArrow()
     got = got.sort_by("doc_id").combine_chunks()
     if not got.num_rows:
         return FactorisationMachine(**options)
@@ -177,7 +177,7 @@ def scored(docs: DataFrame, model: FactorisationMachine, *keep: str, name: str =
                 s = pa.array(sent.value.scores(*features(piece)), pa.float64())
                 yield pa.RecordBatch.from_arrays([*piece.columns, s], [*piece.schema.names, name])
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(tx.trimmed(run), schema)
     return out if "text" in keep else out.drop("text")
 
 

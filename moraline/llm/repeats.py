@@ -363,7 +363,7 @@ def _met(rows: DataFrame, step, edges: bool) -> DataFrame:
         tx.release()
         yield from _meet(batches, edges)
 
-    met = rows.mapInArrow(here, _ROWS).repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "context").mapInArrow(meet, _ROWS)
+    met = rows.mapInArrow(tx.trimmed(here), _ROWS).repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "context").mapInArrow(tx.trimmed(meet), _ROWS)
     s = F.shiftright("meta", 32).cast("int")
     return met.select(
         F.col("meta").bitwiseAND(0xFF).cast("int").alias("kind"), "id", F.shiftright("meta", 8).bitwiseAND(0xFFFFFF).cast("int").alias("th"),
@@ -448,7 +448,7 @@ def _edited(docs: DataFrame, length: int, columns: str, row, *keep: str) -> Data
     ids, cols = covered.select("id"), ["doc_id", *dict.fromkeys(["text", *keep])]
     touched = only(docs, ids, "id").join(covered, ["id", "th"], "left").select(*cols, "spans")
     rest = only(docs, ids, "id", other=True).select(*cols, F.lit(None).cast("array<struct<s:int,e:int>>").alias("spans"))
-    return touched.mapInArrow(run, schema).unionByName(rest.mapInArrow(run, schema))
+    return touched.mapInArrow(tx.trimmed(run), schema).unionByName(rest.mapInArrow(tx.trimmed(run), schema))
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -136,7 +136,7 @@ def summaries(docs: DataFrame) -> DataFrame:
                     [piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], ["doc_id", "n_shingles", "k1", "k2"]
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
+    return docs.mapInArrow(tx.trimmed(run), "doc_id long, n_shingles long, k1 long, k2 long")
 
 
 def shared_signatures(docs: DataFrame, common: np.ndarray, parts: int) -> DataFrame:
@@ -187,7 +187,7 @@ def shared_signatures(docs: DataFrame, common: np.ndarray, parts: int) -> DataFr
         for i in range(0, len(sig), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 200_000]) for a in (sig, cls, n, size)], ["sig", "cls", "n", "size"])
 
-    return docs.mapInArrow(sign, "sig long, cls long, n int").repartition(parts, "sig").mapInArrow(group, "sig long, cls long, n int, size int")
+    return docs.mapInArrow(tx.trimmed(sign), "sig long, cls long, n int").repartition(parts, "sig").mapInArrow(tx.trimmed(group), "sig long, cls long, n int, size int")
 
 
 def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -247,7 +247,7 @@ def verified(pairs: DataFrame, docs: DataFrame, summary: DataFrame, percent: int
 
     built = _built(docs, asked.select("rid"), "tokens array<long>", lambda sets: _lists(sets))
     rows = built.join(asked, ["rid", "k1"]).select("a", "block", "side", "k1", "tokens")
-    return rows.repartition(partitions(spark), "a", "block").sortWithinPartitions("a", "block", "side").mapInArrow(compare, "a long, b long, apart long, linked boolean")
+    return rows.repartition(partitions(spark), "a", "block").sortWithinPartitions("a", "block", "side").mapInArrow(tx.trimmed(compare), "a long, b long, apart long, linked boolean")
 
 
 def _rid():
@@ -276,7 +276,7 @@ def _built(docs: DataFrame, rids: DataFrame, column: str, make) -> DataFrame:
                 own = [i for i, s in enumerate(got) if len(s)]
                 yield pa.RecordBatch.from_arrays([piece.column("rid").take(pa.array(own, pa.int64())), pa.array([set_key(got[i])[0] for i in own], pa.int64()), make([got[i] for i in own])], ["rid", "k1", column.split()[0]])
 
-    return docs.select("text", _rid().alias("rid")).mapInArrow(run, f"rid long, k1 long, {column}")
+    return docs.select("text", _rid().alias("rid")).mapInArrow(tx.trimmed(run), f"rid long, k1 long, {column}")
 
 
 def buckets(n: int) -> int:
@@ -326,7 +326,7 @@ def one_each(live: DataFrame, percent: int) -> DataFrame:
         pair, votes = pair[once], votes[once]
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(votes)], ["b", "a", "votes"])
 
-    votes = live.repartition(partitions(live.sparkSession), "sig").mapInArrow(propose, "b long, a long, votes long").groupBy("b", "a").agg(F.sum("votes").alias("votes"))
+    votes = live.repartition(partitions(live.sparkSession), "sig").mapInArrow(tx.trimmed(propose), "b long, a long, votes long").groupBy("b", "a").agg(F.sum("votes").alias("votes"))
     return votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
 
 
@@ -352,7 +352,7 @@ def not_apart(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 keep.append(int(np.abs(folded(ha, s) - folded(hb, s)).sum()) <= differences(na, nb, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(bound, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(tx.trimmed(bound), "a long, b long")
 
 
 def close_pairs(live: DataFrame, nodes: DataFrame, pivots: DataFrame, percent: int, block: int = 1024) -> DataFrame:
@@ -421,7 +421,7 @@ def close_pairs(live: DataFrame, nodes: DataFrame, pivots: DataFrame, percent: i
         pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return dealt.join(nodes.select(*kept, "hist"), "cls").repartition(partitions(spark), "cell").mapInArrow(hold, "a long, b long").distinct()
+    return dealt.join(nodes.select(*kept, "hist"), "cls").repartition(partitions(spark), "cell").mapInArrow(tx.trimmed(hold), "a long, b long").distinct()
 
 
 def class_components(docs: DataFrame, summary: DataFrame, percent: int = PERCENT, share: float = FREQUENT) -> tuple[DataFrame | None, DataFrame | None]:

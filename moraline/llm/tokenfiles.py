@@ -72,7 +72,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, eod: int = EOD,
     system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     system.mkdirs(at)
     folder = re.sub(r"^file:/+", "file:///", system.makeQualified(at).toString())  # without a scheme the cluster's own file system is meant
-    return written(texts(docs).mapInArrow(run, "file string, ordinal long, doc_id long"))
+    return written(texts(docs).mapInArrow(tx.trimmed(run), "file string, ordinal long, doc_id long"))
 
 
 def blocks(spark: SparkSession, files: DataFrame, eod: int = EOD, dtype: str = "<u2", block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -100,9 +100,9 @@ def blocks(spark: SparkSession, files: DataFrame, eod: int = EOD, dtype: str = "
                     ["file", "block", "n", "last", "ends"],
                 )
 
-    known = files.select("file").distinct().mapInArrow(sizes, "file string, ids long").where("ids > 0")
+    known = files.select("file").distinct().mapInArrow(tx.trimmed(sizes), "file string, ids long").where("ids > 0")
     each = known.select("file", "ids", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(ids - 1) div {block_ids}"))).alias("block"))
-    return each.repartition(partitions(spark), "file", "block").mapInArrow(scan, "file string, block long, n long, last long, ends array<long>")
+    return each.repartition(partitions(spark), "file", "block").mapInArrow(tx.trimmed(scan), "file string, block long, n long, last long, ends array<long>")
 
 
 def counts(spark: SparkSession, files: DataFrame, **options) -> DataFrame:

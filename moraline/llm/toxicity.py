@@ -209,7 +209,7 @@ def _word_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def lexicon(sample: DataFrame, most: int = LEXICON, surely: float = 1.5, least: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
     """Words and weights: the ``most`` surest of those whose log-odds exceed ``least`` by ``surely`` standard errors."""
-    n = sample.mapInArrow(_word_counts, "word long, label long, n long").groupBy("word").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"))
+    n = sample.mapInArrow(tx.trimmed(_word_counts), "word long, label long, n long").groupBy("word").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"))
     whole = n.where("word is null").first()
     if whole is None or not whole.toxic or not whole.clean:
         return np.zeros(0, np.uint64), np.zeros(0)
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> Grammar:
                 x = sent.value.clauses(piece)
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(FEATURES)), piece.column("label")], [*"abcd", "label"])
 
-    got = sample.where(~half).mapInArrow(run, "a double, b double, c double, d double, label int").toArrow()
+    got = sample.where(~half).mapInArrow(tx.trimmed(run), "a double, b double, c double, d double, label int").toArrow()
     x = np.c_[tuple(got.column(c).to_numpy() for c in "abcd")] if got.num_rows else np.zeros((0, FEATURES))
     return model.fit(x, got.column("label").to_numpy().astype(float))
 
@@ -248,5 +248,5 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, lim
                 s = pa.array(sent.value.scores(sent.value.clauses(piece)), pa.float64())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), s], ["doc_id", "score"])
 
-    out = docs.mapInArrow(run, "doc_id long, score double")
+    out = docs.mapInArrow(tx.trimmed(run), "doc_id long, score double")
     return out.select("doc_id", (F.pmod(crc(), F.lit(FOLDS)) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
