@@ -93,16 +93,16 @@ def often(rows: DataFrame, items: Items, share: float, local: float = 0.25, leas
     return np.sort(_longs(seen.where(F.col("item").isNotNull() & (F.col("n") >= some)).select("item"))), total
 
 
-def frequent(rows: DataFrame, items: Items, share: float, least: int = 1, local: float = 0.25) -> tuple[np.ndarray, np.ndarray, int]:
-    """All 64-bit items whose count is at least max(least, share * total), their exact counts, and the total.
+def frequent(rows: DataFrame, items: Items, part: float, least: int = 1, local: float = 0.25) -> tuple[np.ndarray, np.ndarray, int]:
+    """All 64-bit items whose count is at least max(least, part * total), their exact counts, and the total.
 
     ``items`` maps a piece of rows to (items with repeats, by how much the total grows).
     A first scan lists all that may be (see often), a second one counts exactly those, so
     what is broadcast and what is returned have a proven bound.
     """
     spark = rows.sparkSession
-    cand, total = often(rows, items, share, local)
-    bound = max(least, int(np.ceil(share * total)))
+    cand, total = often(rows, items, part, local)
+    bound = max(least, int(np.ceil(part * total)))
     if not len(cand):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), total
     wanted = share(spark, cand)

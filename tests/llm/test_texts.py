@@ -127,6 +127,11 @@ def test_frequent_items(spark):
     assert total == 51 and sorted(n.tolist()) == [50, 50] and set(keys.tolist()) == {tx.word_hash("a"), tx.word_hash("b")}
 
 
+def test_lexicon_of_a_band(spark):
+    docs = spark.createDataFrame([(i, f"all w{i % 4} own{i}") for i in range(40)], "doc_id long, text string")
+    assert set(fingerprint.lexicon(docs, 0.1, 0.5).tolist()) == {tx.word_hash(f"w{k}") for k in range(4)}
+
+
 def covered(rows, length):
     where = collections.defaultdict(list)
     for k, b in enumerate(rows):
