@@ -143,6 +143,18 @@ def test_generator(spark):
     assert none.count() == 0
 
 
+def test_scaled_over_a_large_vocabulary(spark):
+    rows, count = 200_010, 40
+    pos, category = ("Noun", "Verb", "IAdjective", "Adverb"), ("Time", "Place", "Food", "Other", None)
+    at = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("id") % len(names) + 1).cast("int"))
+    v = spark.range(rows).select(F.concat(F.lit("s"), "id").alias("surface"), F.concat(F.lit("r"), "id").alias("reading"), at(pos).alias("pos"), at(category).alias("category"), (rows - F.col("id")).alias("load_seq"))
+    known = generator.Grammar([(f"s{i}", f"r{i}", pos[i % 4], category[i % 5]) for i in reversed(range(rows))])
+    seeds = spark.range(count).select("id", F.xxhash64(F.lit(generator.SEED), "id").alias("h")).collect()
+    want = {r.id: known.sentence(generator.Draws(r.h)) for r in seeds}
+    got = {r.sid: (r.category, [w.asDict() for w in r.words]) for r in generator.scaled(v, count).collect()}
+    assert got == want
+
+
 def test_sentence_files(spark, tmp_path):
     path = tmp_path / "s.jsonl"
     good = '{"words": [{"surface": "a", "reading": "b", "hangul": "c"}, {"surface": "d", "reading": "e", "hangul": "f"}]}'
