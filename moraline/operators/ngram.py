@@ -6,6 +6,7 @@ probabilities are left joins against them. Only totals (two numbers) reach the d
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -94,20 +95,20 @@ class NgramModel:
         out = out.join(self.tri.select(F.col("w1").alias("w2"), F.col("w2").alias("w1"), "word", F.col("count").alias("c3")), ["w2", "w1", "word"], "left")
         return out.fillna(0, ["c1", "c2", "c3", "h1", "h2"])
 
-    def p_unigram(self) -> Column:
-        return (F.col("c1") + self.k) / (self.total + self.k * self.vocabulary)
+    def p_unigram(self, of: Callable[[str], Column] = F.col) -> Column:
+        return (of("c1") + self.k) / (self.total + self.k * self.vocabulary)
 
-    def p_bigram(self) -> Column:
-        return F.when(F.col("h1") == 0, self.p_unigram()).otherwise((F.col("c2") + self.k) / (F.col("h1") + self.k * self.vocabulary))
+    def p_bigram(self, of: Callable[[str], Column] = F.col) -> Column:
+        return F.when(of("h1") == 0, self.p_unigram(of)).otherwise((of("c2") + self.k) / (of("h1") + self.k * self.vocabulary))
 
-    def p_trigram(self) -> Column:
-        return F.when(F.col("h2") == 0, self.p_bigram()).otherwise((F.col("c3") + self.k) / (F.col("h2") + self.k * self.vocabulary))
+    def p_trigram(self, of: Callable[[str], Column] = F.col) -> Column:
+        return F.when(of("h2") == 0, self.p_bigram(of)).otherwise((of("c3") + self.k) / (of("h2") + self.k * self.vocabulary))
 
-    def score(self) -> Column:
+    def score(self, of: Callable[[str], Column] = F.col) -> Column:
         t, b, u = self.weights
-        one = (b + t) * self.p_bigram() + u * self.p_unigram()
-        two = t * self.p_trigram() + b * self.p_bigram() + u * self.p_unigram()
-        return F.when(F.col("w1").isNull(), self.p_unigram()).when(F.col("w2").isNull(), one).otherwise(two)
+        one = (b + t) * self.p_bigram(of) + u * self.p_unigram(of)
+        two = t * self.p_trigram(of) + b * self.p_bigram(of) + u * self.p_unigram(of)
+        return F.when(of("w1").isNull(), self.p_unigram(of)).when(of("w2").isNull(), one).otherwise(two)
 
     def scored(self, keys: DataFrame) -> DataFrame:
         return self.counted(keys).withColumns({"score": self.score(), "norm_score": normalized(self.score())})
@@ -136,12 +137,35 @@ class NgramModel:
         return dictionary.top(self.scores(found), ["id"], [F.desc("score"), F.col("word")], k).select("id", "word", "score", "rank")
 
     def predict_with_prefix(self, contexts: DataFrame, index: DataFrame, k: int) -> DataFrame:
-        """id, surface, hangul, score, rank for contexts (id, w2, w1, prefix): the best scored entries of the index (hangul, surface) that begin with the prefix."""
-        starts = F.transform(F.sequence(F.lit(0), F.length("hangul")), lambda i: F.substring("hangul", F.lit(1), i))
-        entries = index.select("hangul", "surface", F.explode(starts).alias("prefix"))
-        found = contexts.join(entries, "prefix").select("id", "w2", "w1", F.col("surface").alias("word"), "hangul")
-        out = dictionary.top(self.scores(found), ["id"], [F.desc("score"), F.col("word"), F.col("hangul")], k)
-        return out.select("id", F.col("word").alias("surface"), "hangul", "score", "rank")
+        """id, surface, hangul, score, rank for contexts (id, w2, w1, prefix; one for each id): the best scored entries of the index (hangul, surface) that begin with the prefix.
+
+        Among entries that never followed a context the more frequent one has the higher
+        score, whatever the context is. So a context needs the k most frequent entries of its
+        prefix, found once for each prefix, and those that did follow it, not all that begin so.
+        """
+        length = contexts.select(F.length("prefix").alias("n")).distinct()  # at most as many rows as the longest prefix has letters
+        known = index.join(self.uni.select(F.col("word").alias("surface"), F.col("count").alias("c1")), "surface", "left").fillna(0, ["c1"])
+        starts = known.join(F.broadcast(length), F.length("hangul") >= F.col("n")).withColumn("prefix", F.expr("substring(hangul, 1, n)"))
+        first = dictionary.top(starts, ["prefix"], [F.desc("c1"), F.col("surface"), F.col("hangul")], k, "place")
+        entry = lambda c2, c3: F.struct("surface", "hangul", "c1", c2.cast("long").alias("c2"), c3.cast("long").alias("c3"))
+        most = written(first.groupBy("prefix").agg(F.collect_list(entry(F.lit(0), F.lit(0))).alias("most")))
+
+        own = contexts.select("id", "w2", "w1", "prefix")
+        after = own.join(self.bi.select(F.col("prev").alias("w1"), "word"), "w1").select("id", "w2", "w1", "prefix", "word")
+        both = own.join(self.tri.select(F.col("w1").alias("w2"), F.col("w2").alias("w1"), "word"), ["w2", "w1"]).select("id", "w2", "w1", "prefix", "word")
+        found = after.unionByName(both).where(F.col("prefix").isNotNull()).distinct()
+        found = found.join(index.select("hangul", F.col("surface").alias("word")), "word").where(F.col("hangul").startswith(F.col("prefix")))
+        each = self.counted(found).withColumnRenamed("word", "surface")
+        seen = written(each.groupBy("id").agg(F.collect_list(entry(F.col("c2"), F.col("c3"))).alias("seen")))
+
+        rows = own.join(self.uni.select(F.col("word").alias("w1"), F.col("count").alias("h1")), "w1", "left")
+        rows = rows.join(self.bi.select(F.col("prev").alias("w2"), F.col("word").alias("w1"), F.col("count").alias("h2")), ["w2", "w1"], "left").fillna(0, ["h1", "h2"])
+        rows = rows.join(most, "prefix").join(seen, "id", "left")
+        others = F.filter("most", lambda x: ~F.coalesce(F.exists("seen", lambda y: y["surface"] == x["surface"]), F.lit(False)))
+        every = F.concat(others, F.coalesce("seen", F.slice("most", 1, 0)))
+        scored = F.transform(every, lambda x: F.struct((-self.score(lambda c: x[c] if c in ("c1", "c2", "c3") else F.col(c))).alias("less"), x["surface"].alias("surface"), x["hangul"].alias("hangul")))
+        out = rows.select("id", F.posexplode(F.slice(F.array_sort(scored), 1, k)).alias("i", "e"))
+        return out.select("id", "e.surface", "e.hangul", (-F.col("e.less")).alias("score"), (F.col("i") + 1).alias("rank"))
 
 
 def normalized(p: Column) -> Column:

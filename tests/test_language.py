@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from moraline.operators import autocomplete, cooccurrence, evaluation, ngram
+from moraline.plans import catalogue
 from moraline.sources import generator, readers
 
 
@@ -59,6 +62,35 @@ def test_predictions_with_a_prefix(spark):
 WORDS = "words array<struct<surface:string,reading:string,hangul:string>>"
 
 
+def test_predictions_with_a_prefix_are_those_of_all_entries(spark):
+    """Against scores of all entries; what joins read stays far below contexts times entries."""
+    rng = random.Random(3)
+    names = [a + b + c for a in "pq" for b in "xyz" for c in "uvw"] + ["p", "px", "q"]
+    m = ngram.NgramModel.build(sents(spark, [[rng.choice(names) for _ in range(12)] for _ in range(60)]))
+    entries = [(n, n) for n in names] + [("pxu", "qzw"), ("pxu", "qzw"), ("pq", "unknown")]
+    index = spark.createDataFrame(entries, "hangul string, surface string")
+    rows = [(f"{i}", rng.choice([None, *names]), rng.choice([*names, "unknown"]), rng.choice(["", "p", "q", "px", "qz", "pxu", "z", None])) for i in range(80)] + [("none", None, None, "p")]
+    ctx = spark.createDataFrame(rows, "id string, w2 string, w1 string, prefix string")
+    keys = spark.createDataFrame([(i, w2, w1, h, s) for i, w2, w1, p in rows if p is not None for h, s in entries if h.startswith(p)], "id string, w2 string, w1 string, hangul string, word string")
+    want = {}
+    for r in sorted(m.scored(keys).collect(), key=lambda r: (-r.score, r.word, r.hangul)):
+        want.setdefault(r.id, []).append((r.word, r.hangul, r.score))
+    got = {}
+    for r in m.predict_with_prefix(ctx, index, 3).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r.surface, r.hangul, r.score))
+    assert got == {i: rows[:3] for i, rows in want.items()}
+
+
+def test_prefix_predictions_pair_no_words_that_never_met(spark, tmp_path, monkeypatch):
+    """1,000 words of one beginning make 1,000,000 pairs, of which a sentence has 999."""
+    spark.createDataFrame([(0, " ".join(f"pre{i}" for i in range(1000)))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked, counted = [], ngram.NgramModel.counted
+    monkeypatch.setattr(ngram.NgramModel, "counted", lambda m, keys: asked.append(keys.count()) or counted(m, keys))
+    out = catalogue.QUERIES["q_predict_prefix"](spark, str(tmp_path))
+    assert out.count() == 2000 and out.where("id = 'pre7' and rank = 1").first().surface == "pre8"
+    assert sum(asked) == 999
+
+
 def test_cooccurrence(spark):
     df = spark.createDataFrame([(1, 0, [("桜", "さくら", "x"), ("花", "はな", "y")])], f"chunk long, sid long, {WORDS}")
     got = {(r.a, r.b): r.x for r in cooccurrence.matrix(df).collect()}
