@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from . import decode, dictionary, ngram, ranking
 
 WEIGHTS, COMPLETIONS, MOST, CONTEXT = (0.1, 0.35, 0.25, 0.3), 30, 10, 20
@@ -78,24 +79,60 @@ def typed_words(sentences: DataFrame) -> DataFrame:
     return sentences.select("sid", F.explode(each).alias("e")).select(F.concat_ws("/", F.col("sid").cast("string"), F.col("e.at").cast("string")).alias("wid"), "sid", "e.*")
 
 
-def simulated(sentences: DataFrame, threshold: int, index: DataFrame, entries: DataFrame, model: ngram.NgramModel, vectors: DataFrame, phonetic: DataFrame | None = None) -> DataFrame:
-    """wid, sid, plain, used, next_hit, prefix_hits: keystrokes of every word.
+def seen_parts(contexts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """words, context of distinct contexts (words): what suggestions see of them, the last two words and those with a vector.
+
+    Others become null where they stand between, as vectors weigh by the distance from the
+    end, and go at the start. So contexts that get the same suggestions are one context.
+    """
+    each = contexts.select("words", F.posexplode("words").alias("i", "word")).join(vectors.select("word", F.lit(True).alias("has")).distinct(), "word", "left")
+    keep = F.coalesce("has", F.lit(False)) | (F.col("i") >= F.size("words") - 2)
+    rows = each.groupBy("words").agg(F.sort_array(F.collect_list(F.struct("i", keep.alias("keep"), "word"))).alias("a"))
+    first = F.array_position(F.transform("a", lambda e: e["keep"]), F.lit(True)).cast("int")
+    return rows.select("words", F.transform(F.slice("a", first, F.size("a")), lambda e: F.when(e["keep"], e["word"])).alias("context"))
+
+
+def keystrokes(typed: DataFrame, threshold: int, index: DataFrame, entries: DataFrame, model: ngram.NgramModel, vectors: DataFrame, phonetic: DataFrame | None = None) -> DataFrame:
+    """cid, plain, used, next_hit, prefix_hits of a table that is written, with typed words (cid, surface, hangul, words).
 
     A next word costs one key. Else the first prefix whose top suggestion is the word and
     saves enough is accepted with one more key; one at full length counts as a hit but not as saving.
     """
-    words = typed_words(sentences)
-    typed = words.select("*", F.explode(F.sequence(F.lit(0), F.length("hangul"))).alias("i"))
-    typed = typed.where((F.col("i") > 0) | (F.size("words") > 0)).withColumns({"partial": F.substring("hangul", F.lit(1), F.col("i"))})
-    typed = typed.withColumn("id", F.concat_ws("\x1f", "partial", F.array_join("words", "\x1e")))
-    asked = typed.select("id", "partial", "words").dropDuplicates(["id"])  # the same keys after the same words are answered once
-    top = suggestions(asked, index, entries, model, vectors, phonetic).where("rank = 1").select("id", F.col("surface").alias("top"), "saving", "tier")
-    hit = typed.join(top, "id", "left").withColumn("hit", F.coalesce(F.col("top") == F.col("surface"), F.lit(False)))
-    i, full = F.col("i"), F.length("hangul")
+    seen = seen_parts(typed.select("words").distinct(), vectors)
+    each = typed.join(seen, "words", "left").withColumn("context", F.coalesce("context", "words"))
+    each = each.select("cid", "surface", "hangul", "context", F.explode(F.sequence(F.lit(0), F.length("hangul"))).alias("i"))
+    each = each.where((F.col("i") > 0) | (F.size("context") > 0)).withColumn("partial", F.substring("hangul", F.lit(1), F.col("i")))
+    each = each.withColumn("id", F.concat_ws("\x1f", "partial", F.array_join("context", "\x1e", "\x1d")))
+    asked = written(each.select("id", "partial", F.col("context").alias("words")).dropDuplicates(["id"]))  # the same keys after the same words are answered once
+    top = written(suggestions(asked, index, entries, model, vectors, phonetic).where("rank = 1").select("id", F.col("surface").alias("top"), "saving", "tier"))
+    hit = each.select("cid", "surface", F.length("hangul").alias("n"), "i", "id").join(top, "id", "left").withColumn("hit", F.coalesce(F.col("top") == F.col("surface"), F.lit(False)))
+    i, full = F.col("i"), F.col("n")
     good = F.col("hit") & (i > 0) & (F.col("saving") >= threshold)
-    out = hit.groupBy("wid", "sid").agg(
+    out = hit.groupBy("cid").agg(
         F.max(full).alias("n"), F.max(F.when(F.col("hit") & (i == 0), 1).otherwise(0)).alias("next_hit"), F.min(F.when(good & (i < full), i)).alias("accepted"), F.max(F.when(good & (i == full), 1).otherwise(0)).alias("late")
     )
     used = F.when(F.col("next_hit") == 1, 1).when(F.col("accepted").isNotNull(), F.col("accepted") + 1).otherwise(F.col("n") + 1)
     hits = F.when(F.col("next_hit") == 1, 0).when(F.col("accepted").isNotNull(), 1).otherwise(F.col("late"))
-    return out.select("wid", "sid", (F.col("n") + 1).alias("plain"), used.alias("used"), "next_hit", hits.alias("prefix_hits"))
+    return out.select("cid", (F.col("n") + 1).alias("plain"), used.alias("used"), "next_hit", hits.alias("prefix_hits"))
+
+
+def distinct_typed(words: DataFrame) -> DataFrame:
+    """cid, surface, hangul, words, times: each word after each context once, as a table that is written."""
+    return written(words.groupBy("surface", "hangul", "words").agg(F.count("*").alias("times")).withColumn("cid", F.monotonically_increasing_id()))
+
+
+def simulated(sentences: DataFrame, threshold: int, index: DataFrame, entries: DataFrame, model: ngram.NgramModel, vectors: DataFrame, phonetic: DataFrame | None = None) -> DataFrame:
+    """wid, sid, plain, used, next_hit, prefix_hits: keystrokes of every word, see keystrokes()."""
+    words = typed_words(sentences)
+    typed = distinct_typed(words)
+    keys = [typed[c].eqNullSafe(words[c]) for c in ("surface", "hangul", "words")]
+    each = words.join(typed, keys).select("wid", "sid", "cid")
+    return each.join(keystrokes(typed, threshold, index, entries, model, vectors, phonetic), "cid").drop("cid")
+
+
+def totals(sentences: DataFrame, threshold: int, index: DataFrame, entries: DataFrame, model: ngram.NgramModel, vectors: DataFrame, phonetic: DataFrame | None = None) -> DataFrame:
+    """words, plain, used, next_hits, prefix_hits: sums over all words of simulated(), without a row for each."""
+    typed = distinct_typed(typed_words(sentences))
+    each = keystrokes(typed, threshold, index, entries, model, vectors, phonetic).join(typed.select("cid", "times"), "cid")
+    sums = {"words": F.lit(1), "plain": F.col("plain"), "used": F.col("used"), "next_hits": F.col("next_hit"), "prefix_hits": F.col("prefix_hits")}
+    return each.agg(*[F.sum(x * F.col("times")).alias(c) for c, x in sums.items()]).withColumn("words", F.coalesce("words", F.lit(0).cast("long")))

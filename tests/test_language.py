@@ -132,6 +132,34 @@ def test_suggestions_and_typing(spark, world):
     assert total.plain == 6 and total.used == 3 and total.saving == 0.5
 
 
+def test_typing_asks_once_for_what_suggestions_see(spark, world, monkeypatch):
+    """Only the last two words and words with vectors count, where they stand; sums are those of all words."""
+    vectors = spark.createDataFrame([("道路", [1.0, 0.5]), ("東京タワー", [0.2, 1.0])], "word string, vector array<float>")
+    names = [("東京", "도쿄"), ("東京タワー", "도쿄타워"), ("道路", "도로"), ("x", "도"), (None, "도쿄")]
+    rng = random.Random(5)
+    rows = [(i, [rng.choice(names) for _ in range(6)]) for i in range(30)] + [(30, [("y", f"{k}") for k in range(9)])]
+    s = spark.createDataFrame(rows, "sid long, words array<struct<surface:string,hangul:string>>")
+    plain = autocomplete.typed_words(s).select("wid", "words", F.explode(F.sequence(F.lit(0), F.length("hangul"))).alias("i"), "hangul", "surface").where("i > 0 or size(words) > 0")
+    every = plain.select(F.concat_ws("/", "wid", "i").alias("id"), F.expr("substring(hangul, 1, i)").alias("partial"), "words")
+    top = {r.id: (r.surface, r.saving) for r in autocomplete.suggestions(every, *world[:3], vectors).where("rank = 1").collect()}
+    want = {}
+    for r in plain.collect():
+        n, (surface, saving) = len(r.hangul), top.get(f"{r.wid}/{r.i}", (None, 0))
+        at = want.setdefault(r.wid, [n + 1, set()])
+        if surface is not None and surface == r.surface and (r.i == 0 or saving >= 1 and r.i < n):
+            at[1].add(r.i)
+    want = {w: (n, (1 if min(hits) == 0 else min(hits) + 1) if hits else n) for w, (n, hits) in want.items()}
+    asked, suggestions = [], autocomplete.suggestions
+    monkeypatch.setattr(autocomplete, "suggestions", lambda q, *more: asked.append(q.count()) or suggestions(q, *more))
+    got = autocomplete.simulated(s, 1, *world[:3], vectors).collect()
+    assert {r.wid: (r.plain, r.used) for r in got} == want
+    total = autocomplete.totals(s, 1, *world[:3], vectors).first()
+    assert (total.words, total.plain, total.used, total.next_hits, total.prefix_hits) == (len(got), *(sum(r[c] for r in got) for c in ("plain", "used", "next_hit", "prefix_hits")))
+    autocomplete.totals(spark.createDataFrame([(i, [("z", "도")] * (3 + i)) for i in range(9)], s.schema), 1, *world[:3], vectors).first()
+    assert asked[-1] == 5  # nothing, one or two words before; with words before, the empty partial too
+
+
+
 def test_accuracy(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (2, 1, "b"), (2, None, "b")], "sid long, rank int, category string")
     r = evaluation.accuracy(df).first()
