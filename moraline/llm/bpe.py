@@ -127,6 +127,9 @@ class Bpe:
             part = ids[a:b]
             self.cache[w] = ",".join([shown[i] for i in part]), b"".join([names[i] for i in part])
 
+    def forget(self) -> None:
+        self.cache = {}
+
     def cut(self, text: str) -> list[str]:
         if self.split is None or not any(t in text for t in self.added):
             return self.words(text)
@@ -170,6 +173,7 @@ def _run(docs: DataFrame, path: str | None, schema: str, row) -> DataFrame:
                 rows = [row(t, i, b) for t, (i, b) in zip(texts, model.encode_rows(texts), strict=True)]
                 cols = [pa.array(list(c), pa.list_(pa.int32()) if n == "ids" else None) for n, c in zip(names[1:], zip(*rows, strict=True), strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *cols], names)
+        model.forget()  # the worker may wait long for its next task
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tx.trimmed(run), schema)
 

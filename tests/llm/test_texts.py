@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -318,6 +319,17 @@ def test_token_ids(spark, nasty, texts, nothing):
     assert bpe.digests(nothing).count() == 0
 
 
+def test_bpe_worker_keeps_no_words(spark, monkeypatch):
+    """Idle workers take turns, so each would hold the words of its last task beside the two that run."""
+    model = bpe.Bpe()
+    monkeypatch.setattr(bpe, "share", lambda *_: types.SimpleNamespace(value=model))
+    docs = types.SimpleNamespace(sparkSession=spark, select=lambda *_: types.SimpleNamespace(mapInArrow=lambda run, _: run))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words", "of two texts"]})
+    out = bpe.encoded(docs)(iter([batch, batch]))
+    assert next(out).num_rows == 2 and model.cache
+    assert sum(b.num_rows for b in out) == 2 and not model.cache
+
+
 def test_token_files(spark, nasty, texts, nothing, tmp_path):
     coder = tokenfiles.tokenizer()
     got = tokenfiles.document_counts(nasty).collect()
