@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,6 +111,14 @@ class NgramModel:
         two = t * self.p_trigram(of) + b * self.p_bigram(of) + u * self.p_unigram(of)
         return F.when(of("w1").isNull(), self.p_unigram(of)).when(of("w2").isNull(), one).otherwise(two)
 
+    def score_of(self, c: dict[str, np.ndarray], no_w1: np.ndarray, no_w2: np.ndarray) -> np.ndarray:
+        """score() of arrays."""
+        (t, b, u), v = self.weights, self.k * self.vocabulary
+        p1 = (c["c1"] + self.k) / (self.total + v)
+        p2 = np.where(c["h1"] == 0, p1, (c["c2"] + self.k) / (c["h1"] + v))
+        p3 = np.where(c["h2"] == 0, p2, (c["c3"] + self.k) / (c["h2"] + v))
+        return np.where(no_w1, p1, np.where(no_w2, (b + t) * p2 + u * p1, t * p3 + b * p2 + u * p1))
+
     def scored(self, keys: DataFrame) -> DataFrame:
         return self.counted(keys).withColumns({"score": self.score(), "norm_score": normalized(self.score())})
 

@@ -98,7 +98,7 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(some), np.bincount(row[some.to_numpy(zero_copy_only=False)], minlength=len(texts))
 
 
-def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+def _flushes(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[pa.Array, np.ndarray]]:
     held, lengths, n = [], [], 0
     for batch in batches:
         for i in range(0, batch.num_rows, 100):  # some texts at a time, so that long ones don't add up
@@ -106,7 +106,7 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.n
             held.append(words)
             lengths.append(each)
             n += len(words) + len(each)
-            if n >= FLUSH:
+            if n >= (most or FLUSH):
                 yield pa.concat_arrays(held), np.concatenate(lengths)
                 held, lengths, n = [], [], 0
     if n:

@@ -2,10 +2,11 @@ import collections
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from moraline.operators import autocomplete, cooccurrence, evaluation, ngram, places
+from moraline.operators import asked, autocomplete, cooccurrence, evaluation, ngram, places
 from moraline.plans import catalogue
 from moraline.sources import generator, readers
 
@@ -59,6 +60,62 @@ def test_trigrams_travel_as_pieces(spark, tmp_path, monkeypatch):
     assert written() - before < 4 * os.path.getsize(f"{SMALL}/documents.parquet")
 
 
+def shuffled(spark, run):
+    """Bytes that a run writes to shuffle files."""
+    total = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = total()
+    run()
+    return total() - before
+
+
+def odd_documents(spark, path):
+    rng = random.Random(3)
+    names = ["a", "b", "é漢", "x" * 300, "c\u00a0d", "<bos>", "ÀB", "İ"]
+    rows = [(i, rng.choice(["", " ", "\t"]) + rng.choice([" ", "\n", " \r\n "]).join(rng.choice(names) for _ in range(rng.randrange(60)))) for i in range(700)] + [(900, None), (901, ""), (902, " \n")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    split = [[ngram.BOS, *r.words] for r in catalogue.docs(spark, str(path)).collect() if r.words is not None]
+    uni = collections.Counter(w for s in split for w in s)
+    at = [((None, None, *s)[i], (None, None, *s)[i + 1], w) for s in split for i, w in enumerate(s)]
+    return uni, collections.Counter((b, c) for _, b, c in at if b is not None), collections.Counter(at)
+
+
+def test_keys_with_equal_first_hashes():
+    """Second hashes tell them apart; one row of each key leads."""
+    rng = np.random.default_rng(4)
+    key, more, n = rng.integers(0, 9, 300).astype(np.uint64), rng.integers(0, 5, 300).astype(np.uint16), rng.integers(1, 9, 300)
+    total, leads = asked._totals(key, more, n)
+    same = (key[:, None] == key) & (more[:, None] == more)
+    assert (total == (same * n).sum(1)).all() and leads.sum() == len(set(zip(key.tolist(), more.tolist(), strict=True))) and (same[leads][:, leads] == np.eye(leads.sum())).all()
+
+
+def test_slices_ask_for_counts(spark, tmp_path, monkeypatch):
+    """Every count against Python's, over odd texts, many slices and owners."""
+    uni, bi, tri = odd_documents(spark, tmp_path)
+    monkeypatch.setattr(asked, "SLICE", 3000)
+    got = asked.counted(catalogue.lowered(spark, str(tmp_path)), ngram.BOS)
+    assert (got.total, got.vocabulary) == (uni.total(), len(uni))
+    rows = [tuple(r) for r in got.places().select("w2", "w1", "word", "c1", "c2", "c3", "h1", "h2").collect()]
+    assert sorted(rows, key=str) == sorted(((a, b, c, uni[c], bi[b, c], n * (a is not None), uni[b], bi[a, b]) for (a, b, c), n in tri.items()), key=str)
+
+
+@pytest.mark.parametrize("name, places_kept", [("q_norm_score", 6), ("q_interp_score", 9)])
+def test_scores_shuffle_no_strings(spark, tmp_path, name, places_kept):
+    """Scores are those of the count tables, and far less than strings is shuffled."""
+    odd_documents(spark, tmp_path)
+    m = catalogue.model(spark, str(tmp_path))
+    keys = ngram.spans(catalogue.docs(spark, str(tmp_path))).select("w2", "w1", "word").distinct()
+    want = {(r.w2, r.w1, r.word): r[name[2:].replace("interp_", "")] for r in m.scored(keys).collect()}
+    got = {(r.w2, r.w1, r.word): r[3] for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == {k: pytest.approx(x, abs=0.6 * 10**-places_kept) for k, x in want.items()}
+    spent = shuffled(spark, lambda: catalogue.QUERIES[name](spark, SMALL).write.format("noop").mode("overwrite").save())
+    assert spent < 6 * os.path.getsize(f"{SMALL}/documents.parquet")
+
+
+def test_scores_of_no_documents(spark, tmp_path):
+    spark.createDataFrame([(1, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert catalogue.QUERIES["q_norm_score"](spark, str(tmp_path)).count() == 0
+
+
 def test_predictions(spark):
     m = ngram.NgramModel.build(sents(spark, [["a", "b", "c"], ["a", "b", "d"], ["a", "e", "d"]]))
     ctx = spark.createDataFrame([(1, None, "a"), (2, "a", "b"), (3, None, None)], "id long, w2 string, w1 string")
