@@ -42,7 +42,7 @@ from . import _text as tx
 from ._spark import crc, partitions, texts, written
 
 ORDER, DISCOUNT, BETA, FOLDS, HELD_OUT = 3, 0.75, 1.0, 5, 1
-SLICE, PART, ROUNDS, GRAMS_A_BYTE = 5 << 20, 2_000_000, 2, 0.27
+SLICE, PART, ROUNDS, GRAMS_A_BYTE, SORTED, SLICES_A_TASK = 5 << 20, 2_000_000, 2, 0.27, 1 << 18, 4
 END = np.uint64(0xE4D0F7E87A1C3B55)
 _SALT = tx.seeds(2, 91) | np.uint64(1)
 _KEY = ~np.uint64(7)
@@ -80,6 +80,25 @@ def runs(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
 
 
+def in_order(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The places of all keys in ascending order, those keys and the first place of each run of equals.
+
+    They come in parts of about SORTED keys, each with all places of the keys it has, so that
+    what sorting needs besides the keys themselves doesn't grow with them.
+    """
+    if not len(keys):
+        return
+    low, high, parts = int(keys.min()), int(keys.max()), -(-len(keys) // SORTED)
+    bounds = [np.uint64(low + (high - low) * j // parts) for j in range(parts)]
+    for j, bound in enumerate(bounds):
+        at = np.flatnonzero((keys >= bound) & (keys < bounds[j + 1]) if j + 1 < parts else keys >= bound)
+        if len(at):
+            own = keys[at]
+            order = tx.order_of(own)
+            own = own[order]
+            yield at[order], own, runs(own)
+
+
 class Automaton:
     """All n-grams (sorted keys) with their counts in the training texts, whose tokens and distinct words are given.
 
@@ -103,19 +122,19 @@ class Automaton:
         found = list(grams(t, begin))
         places, keys = [at for at, _ in found], np.concatenate([k for _, k in found])
         del found
-        order = tx.order_of(keys)
-        keys = keys[order]
-        first = runs(keys)
-        if self.keys is None:
-            if len(first) != len(self.counts):
-                raise RuntimeError("a slice and its answers differ")
-            have = self.counts
-        else:
-            at = tx.found(self.keys, keys[first])
-            have = np.where(at >= 0, self.counts[at] if len(self.counts) else 0, 0)
-        each = np.empty(len(keys), np.int64)
-        each[order] = np.repeat(have, np.diff(np.r_[first, len(keys)]))
-        del keys, order
+        each, done = np.empty(len(keys), np.int64), 0
+        for order, own, first in in_order(keys):
+            if self.keys is None:
+                have, done = self.counts[done : done + len(first)], done + len(first)
+                if len(have) != len(first):
+                    break
+            else:
+                at = tx.found(self.keys, own[first])
+                have = np.where(at >= 0, self.counts[at] if len(self.counts) else 0, 0)
+            each[order] = np.repeat(have, np.diff(np.r_[first, len(own)]))
+        if self.keys is None and done != len(self.counts):
+            raise RuntimeError("a slice and its answers differ")
+        del keys
         out, done = [], 0
         for at in places:
             c = np.zeros(len(t), np.int64)
@@ -230,23 +249,28 @@ def answers(asked: DataFrame, owners: int) -> DataFrame:
     """slice, part, n, payload (totals in the order of the question); and, once for each part, its distinct words and their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, keys, counts = [], [], []
+        heads, sent = [], []
         for batch in batches:
             for part, number, n, k, c in zip(*(batch.column(x) for x in _QUESTION.names), strict=True):
                 heads.append((number.as_py(), part.as_py(), n.as_py()))
-                keys.append(np.cumsum(unpacked(k.as_py(), heads[-1][2]).astype(np.uint64)))
-                counts.append(unpacked(c.as_py(), heads[-1][2]).astype(np.int64))
+                sent.append((k.as_py(), c.as_py()))
         if not heads:
             return
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
-        order = tx.order_of(keys)
-        keys = keys[order]
-        first = runs(keys)
-        total = np.add.reduceat(counts[order], first)
-        words = total[(keys[first] & np.uint64(6) == 2) & (total > 0)]
+        size = sum(n for _, _, n in heads)
+        keys, counts, done = np.empty(size, np.uint64), np.empty(size, np.int64), 0
+        for (_, _, n), (k, c) in zip(heads, sent, strict=True):
+            np.cumsum(unpacked(k, n), dtype=np.uint64, out=keys[done : done + n])
+            counts[done : done + n] = unpacked(c, n)
+            done += n
+        del sent
+        stats = np.zeros(2, np.int64)
+        for order, own, first in in_order(keys):
+            total = np.add.reduceat(counts[order], first)
+            words = total[(own[first] & np.uint64(6) == 2) & (total > 0)]
+            stats += len(words), words.sum()
+            counts[order] = np.repeat(total, np.diff(np.r_[first, len(order)]))
         del keys
-        counts[order] = np.repeat(total, np.diff(np.r_[first, len(order)]))
-        done, stats = 0, (len(words), int(words.sum()))
+        done, stats = 0, stats.tolist()
         for number, part, n in heads:
             yield pa.RecordBatch.from_pylist([dict(zip(_ANSWER.names, (number, part, n, packed(counts[done : done + n]), *stats), strict=True))], _ANSWER)
             done, stats = done + n, (0, 0)
@@ -272,13 +296,15 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_scor
 def scored(slices: DataFrame, answered: DataFrame, total: int, distinct: int) -> DataFrame:
     """The columns of _SCORES, each slice read by the automaton of its own n-grams."""
     own = slices.select("slice", F.lit(-1).cast("long").alias("part"), F.lit(0).cast("long").alias("n"), F.col("docs").alias("payload"))
-    # slices are numbered anew from 0 on, a task for each: their numbers are those of the tasks that packed them, each from 0 on
+    # slices are numbered anew from 0 on, a few neighbours for a task: their numbers are those of the tasks that packed them, each from 0 on
     packers = slices.groupBy(F.shiftright("slice", 32).alias("packer")).count().orderBy("packer").collect()
     begins = dict(zip([r.packer for r in packers], np.cumsum([0] + [r["count"] for r in packers]).tolist(), strict=False))
     offsets = slices.sparkSession.createDataFrame(list(begins.items()), "packer long, offset long")
     both = own.unionByName(answered.select("slice", "part", "n", "payload")).withColumn("packer", F.shiftright("slice", 32)).join(F.broadcast(offsets), "packer")
-    task = (F.col("offset") + F.col("slice").bitwiseAND(0xFFFFFFFF)).cast("int")
-    both = both.select("slice", "part", "n", "payload", task.alias("task")).repartitionById(max(1, sum(r["count"] for r in packers)), "task").sortWithinPartitions("slice", "part")
+    number = sum(r["count"] for r in packers)
+    together = min(max(number // partitions(slices.sparkSession), 1), SLICES_A_TASK)
+    task = F.floor((F.col("offset") + F.col("slice").bitwiseAND(0xFFFFFFFF)) / together).cast("int")
+    both = both.select("slice", "part", "n", "payload", task.alias("task")).repartitionById(max(1, -(-number // together)), "task").sortWithinPartitions("slice", "part")
 
     def read(data: pa.Buffer, counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         pieces = list(documents(data))

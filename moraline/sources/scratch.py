@@ -9,8 +9,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# While a table is written: its shuffle files go at once, and batches for Python workers stay small.
-WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+# While a table is written: its shuffle files go at once, batches for Python workers stay small, and so do those read from Parquet:
+# the array that holds a batch's texts, 10 MB and more by Spark's own 4096 rows, is allocated apart and makes executors' heaps grow.
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.parquet.columnarReaderBatchSize": "64",
+}
 
 
 def scratch_dir(spark: SparkSession) -> str:

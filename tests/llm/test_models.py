@@ -141,6 +141,40 @@ def test_many_slices(spark, monkeypatch):
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-6) for i in want)
 
 
+def test_sorting_in_parts(spark, monkeypatch):
+    """Many parts for a few n-grams, and several slices in a task."""
+    monkeypatch.setattr(backoff, "SLICE", 2_000)
+    monkeypatch.setattr(backoff, "SORTED", 50)
+    monkeypatch.setattr(backoff, "partitions", lambda spark: 3)
+    rng = np.random.default_rng(10)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 60, rng.integers(0, 300)))) for i in range(120)] + [(500, "a b " * 3_000)]
+    want, _ = brute_scores(rows)
+    got = {r.doc_id: r.score for r in backoff.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-6) for i in want)
+
+
+def test_memory_of_a_slice():
+    """Reading a slice takes less than 45 bytes for each of its n-grams."""
+    import tracemalloc
+
+    from moraline.llm import _text as tx
+
+    begin = np.arange(0, 600_001, 600)
+    t = tx.mix(np.random.default_rng(11).integers(1, 1 << 40, begin[-1]).astype(np.uint64))
+    t[begin[:-1]] = t[begin[1:] - 1] = backoff.END
+    keys = np.unique(np.concatenate([k for _, k in backoff.grams(t, begin)]))
+    m = backoff.Automaton(None, np.arange(len(keys)), 10**6, len(keys))
+    tracemalloc.start()
+    try:
+        got = m.occurrences(t, begin)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    for (at, key), c in zip(backoff.grams(t, begin), got, strict=True):
+        assert (c[at] == np.searchsorted(keys, key)).all()
+    assert most < 45 * 3 * len(t)
+
+
 def test_texts_that_occur_twice_score_apart(spark):
     rng = np.random.default_rng(9)
     rows = [(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.3, 80) % 4_000)) for i in range(300)]
