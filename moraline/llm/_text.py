@@ -51,7 +51,7 @@ _powers: dict[bool, np.ndarray] = {}
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """r^0 .. r^(n-1) modulo 2^64, kept between calls."""
+    """r^0 .. r^(n-1) modulo 2^64, kept between the calls of a task."""
     have = _powers.get(inverse)
     if have is None or len(have) < n:
         m = max(n, PIECE_BYTES + 1)
@@ -107,6 +107,7 @@ def trimmed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from f(batches)
+        _powers.clear()
         release()
 
     return run

@@ -377,3 +377,22 @@ def test_mixing(spark, nasty, nothing):
     total, own = (docs.agg({"n_chars": "sum"}).first()[0], many.agg({"n_chars": "sum"}).first()[0])
     assert 0.7 < own / total < 1.3
     assert set(mixing.mixed(nasty).columns) == {*nasty.columns, "copy", "shuffle_key"} and mixing.mixed(nothing).count() == 0
+
+
+def test_waiting_workers_keep_no_powers():
+    from moraline.llm import _text as tx
+
+    assert len(tx.powers(10)) == 10
+    assert not list(tx.trimmed(lambda batches: batches)(iter([])))
+    assert not tx._powers
+
+
+def test_tables_are_read_in_small_batches_while_one_is_written(spark, monkeypatch):
+    from moraline.sources import scratch
+
+    key, df, seen = "spark.sql.parquet.columnarReaderBatchSize", spark.range(5), []
+    kind, before = type(df.write), spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    plain = kind.parquet
+    monkeypatch.setattr(kind, "parquet", lambda self, path: (seen.append(int(spark.conf.get(key))), plain(self, path)))
+    assert scratch.written(df).count() == 5
+    assert seen[0] <= 64 and spark.conf.get(key) == before
