@@ -13,6 +13,9 @@ and so do rows without an id; null source is a source of its own; texts of any l
 taken whole; an empty table gives an empty result; other columns of documents, whatever
 their names, go before the first stage.
 
+Before each stage executors give back the heap that the one before left them, which
+would else add to the memory of all that follow.
+
 SQL can't express the trained classifier or the byte-level stages, so ORACLE_SQL is None
 and tests hold the stages against brute-force versions.
 """
@@ -23,29 +26,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraline.llm import bpe, mixing, quality, repeats, setjoin
-from moraline.llm._spark import written
+from moraline.llm._spark import give_back, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back(spark)
     return quality.keep_good(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back(spark)
     return setjoin.keep_one(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back(spark)
     kept = repeats.without_repeats(docs, "lang", "source")
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back(spark)
     return mixing.mixed(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back(spark)
     return bpe.encoded(docs)
 
 
