@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import weakref
 from collections.abc import Callable, Iterator
 
@@ -38,19 +39,26 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
-def give_back(spark: SparkSession) -> None:
-    """Calls the collectors of the driver and of the executors.
+_given_back = float("-inf")
+
+
+def give_back(spark: SparkSession, seconds: float = 0) -> None:
+    """Calls the collectors of the driver and of the executors, if the last time is ``seconds`` ago.
 
     An executor's heap grows with what finished tasks have left, up to its limit, and gives
     nothing back to the system until its own collector is called, which takes a task there.
     Four for each executor are dealt out evenly while all are idle, and a later call finds what
     the first could not free yet; an executor that gets none only stays as it is.
     """
+    global _given_back
+    if time.monotonic() - _given_back < seconds:
+        return
     sc = spark.sparkContext
     sc._jvm.System.gc()
     tasks = 4 * (sc._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is one of them
     if tasks:
         spark.range(0, tasks, 1, tasks).select(F.expr("reflect('java.lang.System', 'gc')")).collect()
+    _given_back = time.monotonic()
 
 
 def fresh(name: str, taken: list[str]) -> str:

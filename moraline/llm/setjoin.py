@@ -35,10 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _spark
 from . import _text as tx
-from ._spark import drop, id_filter, often, only, partitions, passes, share, texts, written
+from ._spark import drop, give_back, id_filter, often, only, partitions, passes, share, texts
 
 NGRAM, PERCENT, FREQUENT, FULL = 5, 80, 2.5e-4, 6
+GIVE_BACK_S = 10
+
+
+def written(df: DataFrame) -> DataFrame:
+    """_spark.written(); the join writes many tables, between which executors give back heap."""
+    out = _spark.written(df)
+    give_back(df.sparkSession, GIVE_BACK_S)
+    return out
 
 
 def shingles(piece: pa.RecordBatch, n: int = NGRAM) -> list[np.ndarray]:
